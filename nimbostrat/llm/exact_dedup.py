@@ -38,7 +38,9 @@ def heavy_digests(keyed: DataFrame, tracked: int = TRACKED, least: int = 16) ->
     sketches = keyed.groupBy(F.pmod(F.spark_partition_id(), F.lit(FAN_IN)).alias("part")).agg(
         F.expr(f"approx_top_k_accumulate(text_sha256, {tracked})").alias("sketch")
     )
-    found = sketches.agg(F.expr(f"approx_top_k_combine(sketch, {tracked})").alias("sketch")).select(
+    # Grouped by a key, so that a partition without sketches gives no empty one.
+    whole = sketches.groupBy((F.col("part") >= 0).alias("any")).agg(F.expr(f"approx_top_k_combine(sketch, {tracked})").alias("sketch"))
+    found = whole.select(
         F.explode(F.expr(f"approx_top_k_estimate(sketch, {tracked})")).alias("x")
     )
     candidates = found.where(F.col("x.count") >= least).select(F.col("x.item").alias("text_sha256"))
