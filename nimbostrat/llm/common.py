@@ -6,6 +6,7 @@ import itertools
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,7 +49,7 @@ def total_bytes(df: DataFrame, column: str) -> int:
 
 def strings(array: pa.Array) -> pa.Array:
     """A text column with nulls as empty strings, safe beyond 2 GiB."""
-    return pa.compute.fill_null(array.cast(pa.large_string()), "")
+    return pc.fill_null(array.cast(pa.large_string()), "")
 
 
 def mix64(h: np.ndarray) -> np.ndarray:

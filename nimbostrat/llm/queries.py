@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from nimbostrat.llm.exact_dedup import exact_dedup
+from nimbostrat.llm.secrets import secret_scan
+from nimbostrat.llm.token_store import token_output
 from nimbostrat.llm.tokens import token_counts
 
 
@@ -20,16 +22,26 @@ def vocabulary(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op4_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_output(table(spark, sf_dir, "documents"), vocabulary())
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan(table(spark, sf_dir, "documents"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary())
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_token_output": op4_token_output,
     "op5_exact_dedup": op5_exact_dedup,
+    "op9_secret_scan": op9_secret_scan,
     "op10_token_counts": op10_token_counts,
 }
 

@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -141,7 +142,7 @@ def token_counts(docs: DataFrame, path: str, text: str = "text", limit: int = 51
             texts = strings(batch.column(body))
             counts = count_batch(texts.to_pylist(), path)
             columns = [batch.column(c) for c in kept]
-            columns += [pa.compute.binary_length(texts).cast(pa.int64()), pa.array(counts), pa.array(counts > limit)]
+            columns += [pc.binary_length(texts).cast(pa.int64()), pa.array(counts), pa.array(counts > limit)]
             yield pa.RecordBatch.from_arrays(columns, names=[*kept, *results])
 
     return given.mapInArrow(run, ", ".join([*fields, "n_bytes bigint", "n_tokens bigint", "over_limit boolean"]))
