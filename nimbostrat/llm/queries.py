@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from nimbostrat.llm.exact_dedup import exact_dedup
+from nimbostrat.llm.language_id import languages
 from nimbostrat.llm.secrets import secret_scan
 from nimbostrat.llm.token_store import token_output
 from nimbostrat.llm.tokens import token_counts
@@ -22,6 +23,10 @@ def vocabulary(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return languages(table(spark, sf_dir, "documents"))
+
+
 def op4_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output(table(spark, sf_dir, "documents"), vocabulary())
 
@@ -39,6 +44,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language_id": op1_language_id,
     "op4_token_output": op4_token_output,
     "op5_exact_dedup": op5_exact_dedup,
     "op9_secret_scan": op9_secret_scan,
