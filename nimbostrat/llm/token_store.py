@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from nimbostrat.llm.common import bound_batches, strings
-from nimbostrat.llm.tokens import encoder
+from nimbostrat.llm.tokens import encode_texts, encoder
 
 SHARD_TOKENS = 1 << 21
 MARK = 512
@@ -139,6 +139,13 @@ def folder(spark: SparkSession) -> str:
     return f"{shared}/tokens-{uuid.uuid4().hex}"
 
 
+def id_bits(vocabulary: str, end_id: int) -> tuple[int, str]:
+    """Planes that the ids need, and the NumPy type that holds an id."""
+    size = encoder(vocabulary, "lengths", len, sum).tokenizer.get_vocab_size()
+    bits = max(size - 1, end_id, 1).bit_length()
+    return bits, "<u2" if bits <= 16 else "<u4"
+
+
 def write_tokens(docs: DataFrame, vocabulary: str, out: str, text: str = "text", end_id: int = 0, shard_tokens: int = SHARD_TOKENS) -> None:
     """Encode ``docs`` in ascending doc_id order and write the shards to ``out``.
 
@@ -153,9 +160,8 @@ def write_tokens(docs: DataFrame, vocabulary: str, out: str, text: str = "text",
     ordered = docs.select("doc_id", body).repartitionByRange("doc_id", "text").sortWithinPartitions("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(vocabulary, "ids")
-        bits = max(enc.tokenizer.get_vocab_size() - 1, end_id, 1).bit_length()
-        kind = "<u2" if bits <= 16 else "<u4"
+        bits, kind = id_bits(vocabulary, end_id)
+        enc = encoder(vocabulary, kind, lambda ids: np.array(ids, kind).tobytes(), b"".join)
         end = np.array([end_id], kind).tobytes()
         part, seq = TaskContext.get().partitionId(), 0
         doc_ids, bodies, size = [], [], 0
@@ -168,14 +174,8 @@ def write_tokens(docs: DataFrame, vocabulary: str, out: str, text: str = "text",
             return pa.RecordBatch.from_pylist([row], schema=ARROW)
 
         for batch in batches:
-            texts = strings(batch.column(1)).to_pylist()
-            for doc_id, one in zip(batch.column(0).to_pylist(), texts, strict=True):
-                parts = enc.cut(one)
-                try:
-                    found = b"".join([enc.memory[x] for x in parts])
-                except KeyError:
-                    memory = enc.learn(parts, lambda ids: np.array(ids, kind).tobytes())
-                    found = b"".join([memory[x] for x in parts])
+            bodies_of = encode_texts(strings(batch.column(1)).to_pylist(), enc)
+            for doc_id, found in zip(batch.column(0).to_pylist(), bodies_of, strict=True):
                 n = len(found) // np.dtype(kind).itemsize + 1
                 if size and size + n > shard_tokens:
                     yield shard()

@@ -22,13 +22,19 @@ from pyspark.sql import functions as F
 
 from nimbostrat.llm.common import bound_batches, fresh, strings
 
-#: Segments remembered by one worker; the memory starts afresh beyond it.
-REMEMBERED = 400_000
+#: Segments, and pieces of segments, remembered by one worker (150 bytes each);
+#: either memory starts afresh beyond it.
+REMEMBERED, PIECES = 500_000, 1_200_000
 #: Bytes of text that are cut and looked up together.
 CHUNK_BYTES = 1 << 20
 
 _RAGGED = re.compile(r"\s ")
 _SAFE = re.compile(r"(?<=\S)(?= )")
+_ALNUM = "A-Za-z0-9À-ÖØ-öø-ÿ"
+# Within a segment: after a letter or digit before ASCII punctuation or white
+# space; after punctuation, save an apostrophe, before a letter or digit; and
+# after a single line break before a letter or digit.
+_INNER = re.compile(rf"(?<=[{_ALNUM}])(?=[!-/:-@\[-`{{-~\s])|(?<=[!-&(-/:-@\[-`{{-~])(?=[{_ALNUM}])|(?<=\S\n)(?=[{_ALNUM}])")
 _ENCODERS: dict[str, SegmentEncoder] = {}
 
 
@@ -46,10 +52,14 @@ def segments(text: str) -> list[str]:
 
 
 class SegmentEncoder:
-    """Encodes segments with a public vocabulary file and remembers them."""
+    """Encodes segments with a public vocabulary file and remembers them.
 
-    def __init__(self, path: str):
-        self.memory: dict[str, np.ndarray] = {}
+    keep turns the ids of a piece into what is remembered, join puts that of
+    several pieces together.
+    """
+
+    def __init__(self, path: str, keep, join):
+        self.memory, self.pieces, self.keep, self.join = {}, {}, keep, join
         if path.endswith(".json"):
             from tokenizers import Tokenizer
 
@@ -57,36 +67,47 @@ class SegmentEncoder:
             self.encode = lambda new: [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
             spec = self.tokenizer.pre_tokenizer
             self.splits = self.tokenizer.normalizer is None and type(spec).__name__ == "ByteLevel" and not spec.add_prefix_space
+            self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+            self.splits &= not any(c.isspace() for t in self.special for c in t)
         elif path.endswith(".model"):
             import sentencepiece
 
             self.tokenizer = sentencepiece.SentencePieceProcessor(model_file=path)
             self.encode = lambda new: self.tokenizer.encode(new, num_threads=1)
-            self.splits = False  # it adds a prefix and merges across spaces
+            self.splits, self.special = False, []  # it adds a prefix and merges across spaces
         else:
             raise ValueError(f"not a .json or .model vocabulary: {path}")
 
     def cut(self, text: str) -> list[str]:
         return segments(text) if self.splits else [text] if text else []
 
-    def learn(self, parts: list[str], keep) -> dict:
-        """The memory, with ``keep(ids)`` of every part."""
-        memory = self.memory
+    def _inner(self, segment: str) -> list[str]:
+        return [segment] if not self.splits or any(t in segment for t in self.special) else _INNER.split(segment)
+
+    def learn(self, parts: list[str]) -> dict:
+        """The memory, with every part in it."""
+        memory, pieces = self.memory, self.pieces
         if len(memory) > REMEMBERED:
             memory.clear()
+        if len(pieces) > PIECES:
+            pieces.clear()
         new = [x for x in set(parts) if x not in memory]
-        if new:
-            memory.update(zip(new, map(keep, self.encode(new)), strict=True))
+        cuts = [self._inner(x) for x in new]
+        late = list({p for c in cuts for p in c if p not in pieces})
+        if late:
+            pieces.update(zip(late, map(self.keep, self.encode(late)), strict=True))
+        for x, c in zip(new, cuts, strict=True):
+            memory[x] = pieces[c[0]] if len(c) == 1 else self.join([pieces[p] for p in c])
         return memory
 
 
-def encoder(path: str, purpose: str) -> SegmentEncoder:
+def encoder(path: str, purpose: str, keep, join) -> SegmentEncoder:
     """This worker's encoder for one vocabulary and purpose."""
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     if (path, purpose) not in _ENCODERS:
-        _ENCODERS[path, purpose] = SegmentEncoder(path)
+        _ENCODERS[path, purpose] = SegmentEncoder(path, keep, join)
     return _ENCODERS[path, purpose]
 
 
@@ -102,26 +123,25 @@ def by_bytes(texts: list[str], limit: int = CHUNK_BYTES) -> Iterator[tuple[int,
         yield start, len(texts)
 
 
-def count_batch(texts: list[str], path: str) -> np.ndarray:
-    """Tokens of each text."""
-    enc, out = encoder(path, "lengths"), np.zeros(len(texts), np.int64)
+def encode_texts(texts: list[str], enc: SegmentEncoder) -> list:
+    """What ``enc`` keeps of each text, joined."""
+    out = []
     for a, b in by_bytes(texts):
-        for i in range(a, b):
-            parts = enc.cut(texts[i])
-            known = enc.memory.get
-            try:
-                out[i] = sum(map(known, parts))
-            except TypeError:  # a part is new
-                out[i] = -1
-        late = [i for i in range(a, b) if out[i] < 0]
-        if late:
-            cuts = [enc.cut(texts[i]) for i in late]
-            memory = enc.learn([x for parts in cuts for x in parts], len)
-            for i, parts in zip(late, cuts, strict=True):
-                out[i] = sum(map(memory.__getitem__, parts))
+        cuts = [enc.cut(t) for t in texts[a:b]]
+        try:
+            out += [enc.join([enc.memory[x] for x in parts]) for parts in cuts]
+        except KeyError:  # a segment is new
+            del out[a:]
+            memory = enc.learn([x for parts in cuts for x in parts])
+            out += [enc.join([memory[x] for x in parts]) for parts in cuts]
     return out
 
 
+def count_batch(texts: list[str], path: str) -> np.ndarray:
+    """Tokens of each text."""
+    return np.array(encode_texts(texts, encoder(path, "lengths", len, sum)), np.int64)
+
+
 def token_counts(docs: DataFrame, path: str, text: str = "text", limit: int = 512) -> DataFrame:
     """``docs`` without its text, with ``n_bytes``, ``n_tokens`` and ``over_limit``.
 
