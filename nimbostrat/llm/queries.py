@@ -6,9 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from nimbostrat.llm import mixing
 from nimbostrat.llm.decontamination import find_leaks
 from nimbostrat.llm.exact_dedup import exact_dedup
+from nimbostrat.llm.html_text import extract
 from nimbostrat.llm.language_id import languages
+from nimbostrat.llm.line_dedup import drop_recurring_lines
 from nimbostrat.llm.ngram_join import ngram_join
 from nimbostrat.llm.secrets import secret_scan
 from nimbostrat.llm.token_store import token_output
@@ -29,6 +32,14 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return languages(table(spark, sf_dir, "documents"))
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drop_recurring_lines(table(spark, sf_dir, "documents"))
+
+
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def op4_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output(table(spark, sf_dir, "documents"), vocabulary())
 
@@ -42,6 +53,13 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(docs, table(spark, sf_dir, "benchmark")).drop("text")
 
 
+def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Half of all tokens, each leaf at most twice."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")
+    weights = {"domain": mixing.DOMAIN_WEIGHTS, "lang": mixing.LANG_WEIGHTS}
+    return mixing.mix(docs, weights, 0.5, epochs=2.0, seed=7).select("doc_id", "domain", "lang", "source", "n_copies")
+
+
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join(table(spark, sf_dir, "documents"))
 
@@ -56,9 +74,12 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
+    "op2_line_dedup": op2_line_dedup,
+    "op3_html_text": op3_html_text,
     "op4_token_output": op4_token_output,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_decontamination": op6_decontamination,
+    "op7_source_mixing": op7_source_mixing,
     "op8_ngram_join": op8_ngram_join,
     "op9_secret_scan": op9_secret_scan,
     "op10_token_counts": op10_token_counts,
