@@ -50,15 +50,15 @@ class WaveletMatrix:
     def build(cls, ids: np.ndarray, bits: int) -> WaveletMatrix:
         planes, marks, zeros = [], [], []
         for b in range(bits - 1, -1, -1):
-            bit = (ids >> ids.dtype.type(b)) & ids.dtype.type(1) != 0
+            bit = (ids & ids.dtype.type(1 << b)) != 0
             packed = np.packbits(bit)
             ones = np.bitwise_count(packed)
             cut = np.concatenate([[0], np.add.reduceat(ones, np.arange(0, len(ones), MARK // 8), dtype=np.int64)]) if len(ones) else np.zeros(1)
             planes.append(packed.tobytes())
             marks.append(np.cumsum(cut).astype("<u4").tobytes())
-            low = ids[~bit]
+            low = np.compress(~bit, ids)
             zeros.append(len(low))
-            ids = np.concatenate([low, ids[bit]])
+            ids = np.concatenate([low, np.compress(bit, ids)])
         return cls(len(ids), planes, marks, zeros)
 
     def parts(self) -> tuple[list[bytes], list[bytes], list[int]]:
@@ -149,7 +149,7 @@ def id_bits(vocabulary: str, end_id: int) -> tuple[int, str]:
 def write_tokens(docs: DataFrame, vocabulary: str, out: str, text: str = "text", end_id: int = 0, shard_tokens: int = SHARD_TOKENS) -> None:
     """Encode ``docs`` in ascending doc_id order and write the shards to ``out``.
 
-    vocabulary: a vocabulary file as ``tokens.SegmentEncoder`` takes it.
+    vocabulary: a vocabulary file as ``tokens.PieceEncoder`` takes it.
     A null text counts as empty and gives ``end_id`` alone. Rows that repeat a
     doc_id stay next to each other, ordered by text; null ids come first. A
     document is never cut: one longer than a shard has a shard of its own. An
@@ -157,7 +157,7 @@ def write_tokens(docs: DataFrame, vocabulary: str, out: str, text: str = "text",
     """
     bound_batches(docs.sparkSession)
     body = F.coalesce(F.col(text), F.lit("")).alias("text")
-    ordered = docs.select("doc_id", body).repartitionByRange("doc_id", "text").sortWithinPartitions("doc_id", "text")
+    ordered = docs.select("doc_id", body).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, kind = id_bits(vocabulary, end_id)

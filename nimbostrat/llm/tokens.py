@@ -1,12 +1,12 @@
 """Token counts: whole texts encoded in batches inside Arrow functions.
 
-Byte-level vocabularies split a text into pieces before they merge bytes.  No
-such piece holds a white-space character after another character, and the
-pattern looks ahead only from white space.  A space that follows a
-non-white-space character therefore always begins a new piece, and a text may
-be cut there without changing its ids.  Cutting at all such places yields short
-segments of which most recur, so each batch encodes only the segments that this
-worker hasn't met yet.
+Byte-level vocabularies split a text by a pattern before they merge bytes, so a
+text may be cut wherever that pattern must end a match.  The places used here
+are plain to see: before white space after another character (no match holds
+that pair, and the pattern looks ahead only from white space), between Latin
+letters or digits and ASCII punctuation (save that an apostrophe may begin a
+contraction), and between a single line break and a letter or digit.  The
+pieces recur, so each batch encodes only those that this worker hasn't met yet.
 """
 
 from __future__ import annotations
@@ -22,52 +22,41 @@ from pyspark.sql import functions as F
 
 from nimbostrat.llm.common import bound_batches, fresh, strings
 
-#: Segments, and pieces of segments, remembered by one worker (150 bytes each);
-#: either memory starts afresh beyond it.
-REMEMBERED, PIECES = 500_000, 1_200_000
-#: Bytes of text that are cut and looked up together.
-CHUNK_BYTES = 1 << 20
+#: Pieces remembered by one worker, 150 bytes each; its memory starts afresh beyond.
+REMEMBERED = 1_500_000
+#: Characters of text that are cut and looked up together.
+CHUNK_CHARS = 1 << 20
 
-_RAGGED = re.compile(r"\s ")
-_SAFE = re.compile(r"(?<=\S)(?= )")
 _ALNUM = "A-Za-z0-9À-ÖØ-öø-ÿ"
-# Within a segment: after a letter or digit before ASCII punctuation or white
-# space; after punctuation, save an apostrophe, before a letter or digit; and
-# after a single line break before a letter or digit.
-_INNER = re.compile(rf"(?<=[{_ALNUM}])(?=[!-/:-@\[-`{{-~\s])|(?<=[!-&(-/:-@\[-`{{-~])(?=[{_ALNUM}])|(?<=\S\n)(?=[{_ALNUM}])")
-_ENCODERS: dict[str, SegmentEncoder] = {}
+_PUNCT = r"!-/:-@\[-`{-~"
+_QUIET = r"!-&(-/:-@\[-`{-~"  # without the apostrophe
+_PIECE = re.compile(
+    rf" ?[{_ALNUM}]++(?=[\x00-\x7f]|\Z)"  # letters and digits up to another ASCII character
+    rf"| ?[{_PUNCT}]*[{_QUIET}](?=[{_ALNUM}\s]|\Z)"
+    rf"|(?<=\S)\n(?=[{_ALNUM}])"
+    r"|(?s:.)+?(?=(?<=\S) |\Z)"  # anything, up to a space after another character
+)
+_COARSE = re.compile(r"(?s:.)+?(?=(?<=\S) |\Z)")
+_ENCODERS: dict[tuple[str, str], PieceEncoder] = {}
 
 
-def segments(text: str) -> list[str]:
-    """``text`` cut before each space that follows a non-white-space character.
-
-    Joined again, the segments give the text. An empty text has none.
-    """
-    if not text:
-        return []
-    if _RAGGED.search(text) or text[0] == " ":
-        return [x for x in _SAFE.split(text) if x]
-    first, *rest = text.split(" ")
-    return [first, *[" " + x for x in rest]]
-
-
-class SegmentEncoder:
-    """Encodes segments with a public vocabulary file and remembers them.
+class PieceEncoder:
+    """Encodes pieces with a public vocabulary file and remembers them.
 
     keep turns the ids of a piece into what is remembered, join puts that of
     several pieces together.
     """
 
     def __init__(self, path: str, keep, join):
-        self.memory, self.pieces, self.keep, self.join = {}, {}, keep, join
+        self.memory, self.keep, self.join = {}, keep, join
         if path.endswith(".json"):
             from tokenizers import Tokenizer
 
             self.tokenizer = Tokenizer.from_file(path)
             self.encode = lambda new: [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
             spec = self.tokenizer.pre_tokenizer
-            self.splits = self.tokenizer.normalizer is None and type(spec).__name__ == "ByteLevel" and not spec.add_prefix_space
             self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+            self.splits = self.tokenizer.normalizer is None and type(spec).__name__ == "ByteLevel" and not spec.add_prefix_space
             self.splits &= not any(c.isspace() for t in self.special for c in t)
         elif path.endswith(".model"):
             import sentencepiece
@@ -79,39 +68,36 @@ class SegmentEncoder:
             raise ValueError(f"not a .json or .model vocabulary: {path}")
 
     def cut(self, text: str) -> list[str]:
-        return segments(text) if self.splits else [text] if text else []
+        """Pieces that give ``text`` when joined, and its ids when encoded apart.
 
-    def _inner(self, segment: str) -> list[str]:
-        return [segment] if not self.splits or any(t in segment for t in self.special) else _INNER.split(segment)
+        A text with special strings is cut at spaces alone, for they hold none.
+        """
+        if not self.splits:
+            return [text] if text else []
+        return (_COARSE if any(t in text for t in self.special) else _PIECE).findall(text)
 
     def learn(self, parts: list[str]) -> dict:
         """The memory, with every part in it."""
-        memory, pieces = self.memory, self.pieces
+        memory = self.memory
         if len(memory) > REMEMBERED:
             memory.clear()
-        if len(pieces) > PIECES:
-            pieces.clear()
-        new = [x for x in set(parts) if x not in memory]
-        cuts = [self._inner(x) for x in new]
-        late = list({p for c in cuts for p in c if p not in pieces})
-        if late:
-            pieces.update(zip(late, map(self.keep, self.encode(late)), strict=True))
-        for x, c in zip(new, cuts, strict=True):
-            memory[x] = pieces[c[0]] if len(c) == 1 else self.join([pieces[p] for p in c])
+        new = [x for x in dict.fromkeys(parts) if x not in memory]
+        if new:
+            memory.update(zip(new, map(self.keep, self.encode(new)), strict=True))
         return memory
 
 
-def encoder(path: str, purpose: str, keep, join) -> SegmentEncoder:
+def encoder(path: str, purpose: str, keep, join) -> PieceEncoder:
     """This worker's encoder for one vocabulary and purpose."""
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     if (path, purpose) not in _ENCODERS:
-        _ENCODERS[path, purpose] = SegmentEncoder(path, keep, join)
+        _ENCODERS[path, purpose] = PieceEncoder(path, keep, join)
     return _ENCODERS[path, purpose]
 
 
-def by_bytes(texts: list[str], limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
+def by_size(texts: list[str], limit: int = CHUNK_CHARS) -> Iterator[tuple[int, int]]:
     """Ranges of ``texts`` of about ``limit`` characters; a longer text stands alone."""
     start = size = 0
     for i, text in enumerate(texts):
@@ -123,14 +109,14 @@ def by_bytes(texts: list[str], limit: int = CHUNK_BYTES) -> Iterator[tuple[int,
         yield start, len(texts)
 
 
-def encode_texts(texts: list[str], enc: SegmentEncoder) -> list:
+def encode_texts(texts: list[str], enc: PieceEncoder) -> list:
     """What ``enc`` keeps of each text, joined."""
     out = []
-    for a, b in by_bytes(texts):
+    for a, b in by_size(texts):
         cuts = [enc.cut(t) for t in texts[a:b]]
         try:
             out += [enc.join([enc.memory[x] for x in parts]) for parts in cuts]
-        except KeyError:  # a segment is new
+        except KeyError:  # a piece is new
             del out[a:]
             memory = enc.learn([x for parts in cuts for x in parts])
             out += [enc.join([memory[x] for x in parts]) for parts in cuts]
