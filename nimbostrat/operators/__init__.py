@@ -1 +1 @@
-
+"""Relational operators over forecast fields."""

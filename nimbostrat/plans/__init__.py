@@ -1 +1 @@
-
+"""Catalogues, planners and the query registry."""

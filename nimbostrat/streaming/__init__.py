@@ -1 +1 @@
-
+"""Streaming forms of stateful operators."""
