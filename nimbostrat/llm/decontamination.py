@@ -169,7 +169,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, text: str = "text", item_text:
         out = _pass(out, body, ItemIndex(block, least), coverage, state)
         states.append(state)
     n = sum((F.col(f"{s}.n") for s in states), F.lit(0))
-    best = F.sort_array(F.array(*[F.struct((-F.col(f"{s}.coverage")).alias("order"), F.col(f"{s}.item_id").alias("item_id"), F.col(f"{s}.coverage").alias("coverage"), F.col(f"{s}.n_tiles").alias("n_tiles")) for s in states]))[0] if len(states) > 1 else F.col(states[0])
+    best = F.sort_array(F.array(*[F.struct(F.coalesce(-F.col(f"{s}.coverage"), F.lit(1.0)).alias("order"), F.col(f"{s}.item_id").alias("item_id"), F.col(f"{s}.coverage").alias("coverage"), F.col(f"{s}.n_tiles").alias("n_tiles")) for s in states]))[0] if len(states) > 1 else F.col(states[0])
     found = fresh("best")
     return out.withColumn(found, best).select(
         *[F.col(f"`{c}`") for c in kept],

@@ -230,7 +230,8 @@ class _Scorer:
     def texts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Bits in each language and scored characters of each text; 0 characters: no letter."""
         every = [words_of(t) for t in texts]
-        self._learn([w for words in every for w in words]) if any(w not in self.index for words in every for w in words) else None
+        if any(w not in self.index for words in every for w in words):
+            self._learn([w for words in every for w in words])
         bits, sizes = np.zeros((len(texts), len(self.models.languages))), np.zeros(len(texts), np.int64)
         for i, words in enumerate(every):
             if words:
@@ -261,10 +262,8 @@ def predict(docs: DataFrame, models: LanguageModels, text: str = "text") -> Data
         scorer, languages = _Scorer(models), np.array([*models.languages, UNKNOWN], object)
         for batch in batches:
             texts = strings(batch.column(body)).to_pylist()
-            parts = [scorer.texts(texts[i : i + 256]) for i in range(0, len(texts), 256)]
-            bits, sizes = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros((0, len(models.languages))), np.zeros(0, np.int64))
-            if not models.languages:
-                sizes = np.zeros(len(texts), np.int64)
+            parts = [scorer.texts(texts[i : i + 256]) for i in range(0, len(texts) if models.languages else 0, 256)]
+            bits, sizes = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros((len(texts), 0)), np.zeros(len(texts), np.int64))
             known = sizes > 0
             best = np.where(known, bits.argmin(axis=1) if models.languages else -1, -1)
             rows = np.arange(len(texts))
