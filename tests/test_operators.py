@@ -32,7 +32,7 @@ def test_interval_plans(spark):
 
 
 def grid(spark, rows):
-    cells = [(r, c, v) for r, line in enumerate(rows) for c, v in enumerate(line)]
+    cells = [(r, c, None if v is None else float(v)) for r, line in enumerate(rows) for c, v in enumerate(line)]
     return spark.createDataFrame(cells, "row int, col int, v double")
 
 
