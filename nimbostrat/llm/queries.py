@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from nimbostrat.llm import mixing
+from nimbostrat.llm import mixing, oracles
 from nimbostrat.llm.decontamination import find_leaks
 from nimbostrat.llm.exact_dedup import exact_dedup
 from nimbostrat.llm.html_text import extract
@@ -86,12 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
-    "op5_exact_dedup": """
-        WITH d AS (
-            SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS text_sha256
-            FROM documents),
-        g AS (SELECT text_sha256, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY text_sha256)
-        SELECT d.doc_id, g.keep_id, g.group_size, d.doc_id = g.keep_id AS kept, d.text_sha256
-        FROM d JOIN g USING (text_sha256)
-    """,
+    "op5_exact_dedup": oracles.EXACT_DEDUP,
+    "op7_source_mixing": oracles.source_mixing(0.5, 2.0, 7),
+    "op9_secret_scan": oracles.secret_scan(),
 }
