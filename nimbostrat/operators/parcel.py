@@ -145,3 +145,101 @@ def parcel_indices(profiles: DataFrame) -> DataFrame:
 
     out = arrays(profiles).mapInPandas(run, "cell bigint, cape double, cin double, dcape double")
     return out.select("cell", *[F.when(~F.isnan(c), F.col(c)).alias(c) for c in ("cape", "cin", "dcape")])
+
+
+# Coefficients of the Wobus function, lowest power first, below and above 20 C.
+WOBUS_COLD = [1.0, -8.841660499999999e-3, 1.4714143e-4, -9.671989000000001e-7, -3.2607217e-8, -3.8598073e-10]
+WOBUS_WARM = [1.0, 3.6182989e-3, -1.3603273e-5, 4.9618922e-7, -6.1059365e-9, 3.9401551e-11, -1.2588129e-13, 1.668828e-16]
+
+
+def wobus(t_c: np.ndarray) -> np.ndarray:
+    x = t_c - 20.0
+    cold, warm = np.polynomial.polynomial.polyval(x, WOBUS_COLD), np.polynomial.polynomial.polyval(x, WOBUS_WARM)
+    return np.where(x <= 0, 15.13 / cold**4, 29.93 / warm**4 + 0.96 * x - 14.8)
+
+
+def saturated_lift(p: np.ndarray, theta_c: np.ndarray, close: float = 0.1, rounds: int = 80) -> np.ndarray:
+    """Temperature in C at p of a saturated parcel, by the secant method on the Wobus function."""
+    power = (p / 1000.0) ** KAPPA
+    before = (theta_c + 273.15) * power - 273.15
+    gap_before, rate = wobus(before) - wobus(theta_c), np.ones_like(before)
+    t, error = before.copy(), np.full_like(before, np.inf)
+    for _ in range(rounds):
+        move = np.abs(error) > close
+        if not move.any():
+            break
+        now = before - gap_before * rate
+        potential = (now + 273.15) / power - 273.15
+        gap = potential + wobus(now) - wobus(potential) - theta_c
+        t, error = np.where(move, now, t), np.where(move, gap * rate, error)
+        with np.errstate(all="ignore"):
+            rate = np.where(move, (now - before) / (gap - gap_before), rate)
+        before, gap_before = np.where(move, now, before), np.where(move, gap, gap_before)
+    return np.where(np.abs(p - 1000.0) <= 0.001, theta_c, t - error)
+
+
+def moist_lift(p0: np.ndarray, t0: np.ndarray, p1: np.ndarray) -> np.ndarray:
+    """Kelvins at p1 of a parcel saturated at (p0, t0)."""
+    c = t0 - 273.15
+    theta = t0 * (1000.0 / p0) ** KAPPA - 273.15
+    return saturated_lift(p1, theta - wobus(theta) + wobus(c)) + 273.15
+
+
+def wet_bulb(t: np.ndarray, td: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """Normand's wet bulb in kelvins: dry ascent to condensation, saturated descent back."""
+    lcl = lcl_temperature(t, np.minimum(td, t))
+    return moist_lift(p * (lcl / t) ** (1 / KAPPA), lcl, p)
+
+
+def wet_bulbs(levels: DataFrame) -> DataFrame:
+    """levels (t, td, p) with ``wet_bulb``."""
+
+    @F.pandas_udf("double")
+    def run(t: pd.Series, td: pd.Series, p: pd.Series) -> pd.Series:
+        with np.errstate(all="ignore"):
+            return pd.Series(wet_bulb(t.to_numpy(float), td.to_numpy(float), p.to_numpy(float)))
+
+    out = run(F.col("t").cast("double"), F.col("td").cast("double"), F.col("p").cast("double"))
+    return levels.withColumn("wet_bulb", out).withColumn("wet_bulb", F.when(~F.isnan("wet_bulb"), F.col("wet_bulb")))
+
+
+def _from_level(p: np.ndarray, z: np.ndarray, t: np.ndarray, td: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    return cape_cin(p[:, k:], z[:, k:], t[:, k:], td[:, k:])
+
+
+def effective_layer(p: np.ndarray, z: np.ndarray, t: np.ndarray, td: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(base, top, most CAPE): heights of the first and last of consecutive source levels with CAPE >= 100 and CIN >= -250.
+
+    Sources lie within 300 hPa and 4 km of the lowest level, 25 hPa apart at least.
+    """
+    n = len(p)
+    base, top, most = np.full(n, np.nan), np.full(n, np.nan), np.zeros(n)
+    ended, last_p = np.zeros(n, bool), np.full(n, np.inf)
+    for k in range(p.shape[1] - 2):
+        source = (p[:, k] >= p[:, 0] - 300) & (z[:, k] - z[:, 0] <= 4000) & (last_p - p[:, k] >= 25) & ~ended
+        if not source.any():
+            continue
+        cape, cin = _from_level(p, z, t, td, k)
+        passes = source & (cape >= 100) & (cin >= -250)
+        ended |= source & ~passes & np.isfinite(base)
+        base = np.where(passes & np.isnan(base), z[:, k] - z[:, 0], base)
+        top = np.where(passes, z[:, k] - z[:, 0], top)
+        most = np.where(source & (cape > most), cape, most)
+        last_p = np.where(source, p[:, k], last_p)
+    return base, top, most
+
+
+def effective_layers(profiles: DataFrame) -> DataFrame:
+    """cell, base_m, top_m, mucape of profiles; missing without an effective layer."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for start in range(0, len(batch), 4096):
+                part = batch.iloc[start : start + 4096]
+                width = max(part["p"].map(len).max(), 3)
+                with np.errstate(all="ignore"):
+                    base, top, most = effective_layer(*(_matrix(part[c], width) for c in ("p", "z", "t", "td")))
+                yield pd.DataFrame({"cell": part["cell"], "base_m": base, "top_m": top, "mucape": most})
+
+    out = arrays(profiles).mapInPandas(run, "cell bigint, base_m double, top_m double, mucape double")
+    return out.select("cell", *[F.when(~F.isnan(c), F.col(c)).alias(c) for c in ("base_m", "top_m", "mucape")])

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nimbostrat.functions import severe, thermo, units, winter
-from nimbostrat.operators import parcel, profile
+from nimbostrat.operators import forest, parcel, profile
 from nimbostrat.plans.registry import query
 from nimbostrat.sources.proxies import SOUNDINGS_SQL, soundings, table
 
@@ -315,3 +316,41 @@ def lapse_rate_700_500(spark: SparkSession, sf_dir: str) -> DataFrame:
 def parcel_indices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Iterative ascent and descent, which SQL can't express; golden profiles test it."""
     return parcel.parcel_indices(soundings(spark, sf_dir))
+
+
+@query("effective_layer")
+def effective_layer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parcel.effective_layers(soundings(spark, sf_dir))
+
+
+@query("wet_bulb_at_pressure")
+def wet_bulb_at_pressure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Normand's wet bulb by secant iteration."""
+    return parcel.wet_bulbs(surface(spark, sf_dir)).select(*KEYS, "wet_bulb")
+
+
+@query(
+    "western_slr",
+    f"""WITH {ITEMS_SQL} SELECT {KEY_SQL}, round(CASE WHEN -80 - q <= -103 AND e / 20 >= 1000 THEN 175.77922006647756 - 0.5658923009849022 * (250 + q) - 0.03800487156496504 * (245 + q) - 0.2584244800211978 * (x * 100) - 0.033285591001853895 * (y * 100) END, 6) AS ratio FROM items0""",
+)
+def western_slr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q = F.col("q")
+    rows = items(spark, sf_dir).withColumns({"t_04k": 250 + q, "t_24k": 245 + q, "spd_04k": F.col("x") * 100, "spd_24k": F.col("y") * 100})
+    return rows.select(*KEYS, F.round(forest.western_ratio(-80 - q, F.col("e") / 20), 6).alias("ratio"))
+
+
+TOY_FOREST = [
+    forest.Tree(*map(np.array, ([1, -1, 3, -1, -1], [2, -1, 4, -1, -1], [0, 0, 1, 0, 0], [25.0, 0, 0.05, 0, 0], [0, 8.0, 0, 12.0, 16.0]))),
+    forest.Tree(*map(np.array, ([1, -1, -1], [2, -1, -1], [2, 0, 0], [0.04, 0, 0], [0, 10.0, 20.0]))),
+]
+
+
+@query(
+    "rf_slr",
+    f"""WITH {ITEMS_SQL}, v AS (SELECT *, CASE WHEN q <= 25 THEN 8.0 WHEN b % 6 <> 0 THEN CASE WHEN x <= 0.05 THEN 12.0 ELSE 16.0 END END AS t1, CASE WHEN y <= 0.04 THEN 10.0 ELSE 20.0 END AS t2 FROM items0)
+    SELECT {KEY_SQL}, list_avg([t1, t2]) AS ratio FROM v""",
+)
+def rf_slr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A forest of two small trees; a tree with a missing feature doesn't vote."""
+    rows = items(spark, sf_dir).withColumn("xm", F.when(F.col("b") % 6 != 0, F.col("x")))
+    return forest.forest_ratio(rows, TOY_FOREST, ["q", "xm", "y"]).select(*KEYS, "ratio")

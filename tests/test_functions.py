@@ -80,3 +80,24 @@ def test_parcels():
     assert cape[0] > 500 > dry[0] and cin[0] <= 0
     assert 0 < parcel.downdraft_cape(p, z, warm, warm - 20)[0] < 4000
     assert parcel.moist_move(np.array([290.0]), np.array([0.0]), np.array([1000.0]), np.array([900.0]))[0] == pytest.approx(285.5, abs=1)
+
+
+def test_saturated_lift():
+    lifted = parcel.moist_lift(np.array([1000.0, 850.0]), np.array([293.15, 280.0]), np.array([700.0, 850.0]))
+    assert lifted[0] == pytest.approx(279.7, abs=1.0) and lifted[1] == pytest.approx(280.0, abs=0.2)
+    wet = parcel.wet_bulb(np.array([300.0, 290.0]), np.array([280.0, 290.0]), np.array([950.0, 950.0]))
+    assert 280 < wet[0] < 300 and wet[1] == pytest.approx(290.0, abs=0.3)
+
+
+def test_effective_layer_and_models(spark):
+    from nimbostrat.operators import forest
+
+    z = np.array([[0, 300, 800, 1500, 3000, 5600, 9200, 11800.0]])
+    p = 1013.25 * (1 - z / 44330) ** 5.255
+    t = np.array([[303, 300, 296, 290, 279, 258, 230, 218.0]])
+    base, top, most = parcel.effective_layer(p, z, t, t - 4)
+    assert base[0] == 0 and top[0] > 0 and most[0] > 500
+    assert np.isnan(parcel.effective_layer(p, z, t, t - 40)[0][0])
+    row = spark.createDataFrame([(265.12524, 252.721327, 10.260052, 18.35802)], forest.WESTERN_FEATURES)
+    ratio = lambda lon, height: row.select(forest.western_ratio(L(lon), L(height)).alias("x")).first()["x"]
+    assert ratio(-110.0, 2000.0) == pytest.approx(12.879740230926302) and ratio(-90.0, 2000.0) is None and ratio(-110.0, 900.0) is None
