@@ -42,9 +42,16 @@ def saved(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def total_bytes(df: DataFrame, column: str) -> int:
-    """Bytes of a string column over all rows, for checks before a broadcast."""
-    return int(df.select(F.sum(F.octet_length(F.col(column))).alias("b")).first()["b"] or 0)
+#: Rows of ids that are broadcast at most, about 32 bytes each.
+BROADCAST_ROWS = 1_000_000
+
+
+def within_reach(ids: DataFrame) -> DataFrame:
+    """A saved table of ids, marked for broadcast where it is small enough.
+
+    Beyond ``BROADCAST_ROWS`` the join shuffles both sides as usual.
+    """
+    return F.broadcast(ids) if ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else ids
 
 
 def strings(array: pa.Array) -> pa.Array:

@@ -17,23 +17,28 @@ cost, never the result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from nimbostrat.llm.common import bound_batches, mix64, saved, strings
+from nimbostrat.llm.common import bound_batches, mix64, saved, strings, within_reach
 
-GROUPS = 32
+GROUPS = 64
 #: Frequent shingles that the sketch tracks, 8 bytes each when broadcast.
 TRACKED = 1 << 16
 FREQUENT = 512
 #: Sets verified together in one task; a larger cluster is dealt in pairs of blocks.
 CLUSTER = 4096
 FANOUT = 32
+#: Points of one key compared directly; more of them are gathered around leaders.
+RUN = 20_000
+#: Vertices of a task held before their edges are given out.
+FOREST = 1_000_000
 #: Characters of text shingled together.
 CHUNK_CHARS = 1 << 20
 
@@ -92,7 +97,18 @@ def shingle_sets(texts: pa.Array, width: int) -> Iterator[np.ndarray]:
 
 def point(shingles: np.ndarray) -> np.ndarray:
     """Counts of the shingles by hash group."""
-    return np.bincount((shingles >> np.uint64(3)).astype(np.int64) & (GROUPS - 1), minlength=GROUPS).astype("<u4")
+    return np.bincount((shingles >> np.uint64(3)).astype(np.int64) & (GROUPS - 1), minlength=GROUPS).astype(np.uint32)
+
+
+def packed(counts: np.ndarray) -> bytes:
+    """A point in 16-bit integers, or 32-bit ones where a count needs them."""
+    return counts.astype("<u2" if counts.max(initial=0) < 1 << 16 else "<u4").tobytes()
+
+
+def unpacked(rows: list[bytes]) -> np.ndarray:
+    if all(len(r) == 2 * GROUPS for r in rows):
+        return np.frombuffer(b"".join(rows), "<u2").reshape(-1, GROUPS).astype(np.uint32)
+    return np.array([np.frombuffer(r, "<u2" if len(r) == 2 * GROUPS else "<u4") for r in rows], np.uint32).reshape(-1, GROUPS)
 
 
 class Threshold:
@@ -155,7 +171,7 @@ def signatures(docs: DataFrame, text: str, width: int, limits: Threshold, freque
                     first = signed[:size]
                 n.append(len(s))
                 hashes.append(np.array([mix64(s ^ _A).sum(dtype=np.uint64), mix64(s ^ _B).sum(dtype=np.uint64)]).tobytes())
-                points.append(point(s).tobytes())
+                points.append(packed(point(s)))
                 prefixes.append(first)
             offsets = np.concatenate([[0], np.cumsum([len(p) for p in prefixes])]).astype(np.int32)
             keys = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(prefixes) if prefixes else np.zeros(0, np.int64)))
@@ -208,25 +224,102 @@ class Canopies:
         self.ids, self.sizes, self.points = np.concatenate([self.ids, ids[new]]), np.concatenate([self.sizes, sizes[new]]), np.concatenate([self.points, points[new]])
 
 
+class Forest:
+    """Disjoint sets over the edges of one task, given out as stars."""
+
+    def __init__(self):
+        self.above: dict[int, int] = {}
+
+    def root(self, v: int) -> int:
+        top = v
+        while (up := self.above.setdefault(top, top)) != top:
+            top = up
+        while self.above[v] != top:
+            self.above[v], v = top, self.above[v]
+        return top
+
+    def add(self, edges: Iterable[tuple[int, int]]) -> None:
+        for a, b in edges:
+            a, b = self.root(a), self.root(b)
+            if a != b:
+                self.above[max(a, b)] = min(a, b)
+
+    def stars(self) -> pa.RecordBatch:
+        found = np.array([(v, r) for v in self.above if (r := self.root(v)) != v], np.int64).reshape(-1, 2)
+        self.above = {}
+        return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
+
+
+def near_groups(sizes: np.ndarray, points: np.ndarray, limits: Threshold) -> np.ndarray:
+    """For each point, sizes ascending, the first one that it reaches over possible links."""
+    root, open_ = np.arange(len(sizes)), np.ones(len(sizes), bool)
+    low = np.searchsorted(sizes, sizes * limits.t * (1 - 1e-9))
+    high = np.searchsorted(sizes, sizes / limits.t * (1 + 1e-9), "right")
+    for start in range(len(sizes)):
+        if not open_[start]:
+            continue
+        open_[start], queue = False, [start]
+        while queue:
+            k = queue.pop()
+            some = low[k] + np.flatnonzero(open_[low[k] : high[k]])
+            if len(some):
+                overlap = np.minimum(points[some], points[k]).sum(axis=1, dtype=np.int64)
+                some = some[limits.close(overlap, sizes[some], sizes[k])]
+                open_[some], root[some] = False, start
+                queue.extend(some.tolist())
+    return root
+
+
 def candidate_edges(entries: DataFrame, limits: Threshold) -> DataFrame:
-    """a, b: a point and a leader; entries: key, rid, n, point, at least two a key."""
+    """a, b: stars that connect what may link; entries: key, rid, n, point.
+
+    The points of one key come together, sizes ascending. Up to ``RUN`` of them
+    are compared with each other until all are connected; of more, only leaders
+    are held.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, canopies = None, None
+        forest, canopies, canopy_key = Forest(), None, None
+        keys, rids, sizes, points = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, GROUPS), np.uint32)
+
+        def settle(upto: int) -> None:
+            """Edges of the complete keys among the first rows."""
+            cuts = np.concatenate([[0], np.flatnonzero(np.diff(keys[:upto])) + 1, [upto]])
+            lengths = np.diff(cuts)
+            two = cuts[:-1][lengths == 2]
+            overlap = np.minimum(points[two], points[two + 1]).sum(axis=1, dtype=np.int64)
+            two = two[limits.close(overlap, sizes[two], sizes[two + 1])]
+            forest.add(zip(rids[two].tolist(), rids[two + 1].tolist(), strict=True))
+            for a, b in zip(cuts[:-1][lengths > 2].tolist(), cuts[1:][lengths > 2].tolist(), strict=True):
+                own = rids[a:b].tolist()
+                if len({forest.root(r) for r in own}) > 1:
+                    root = near_groups(sizes[a:b], points[a:b], limits)
+                    forest.add((own[k], own[r]) for k, r in enumerate(root.tolist()) if r != k)
+
         for batch in batches:
-            keys = batch.column(0).to_numpy()
-            rids, sizes = batch.column(1).to_numpy(), batch.column(2).to_numpy().astype(float)
-            points = np.frombuffer(b"".join(batch.column(3).to_pylist()), "<u4").reshape(-1, GROUPS)
-            edges: list[tuple[int, int]] = []
-            cuts = [0, *(np.flatnonzero(np.diff(keys)) + 1).tolist(), len(keys)]
-            for a, b in zip(cuts, cuts[1:], strict=False):
-                if a == b:
-                    continue
-                if keys[a] != key:
-                    key, canopies = keys[a], Canopies(limits)
-                canopies.add(rids[a:b], sizes[a:b], points[a:b], edges)
-            found = np.array(list(dict.fromkeys(edges)), np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
+            keys = np.concatenate([keys, batch.column(0).to_numpy()])
+            rids = np.concatenate([rids, batch.column(1).to_numpy()])
+            sizes = np.concatenate([sizes, batch.column(2).to_numpy().astype(np.int64)])
+            points = np.concatenate([points, unpacked(batch.column(3).to_pylist())])
+            while len(keys):
+                first = int(np.searchsorted(keys, keys[0], "right")) if keys[0] == canopy_key else 0
+                if first:  # more of a key that is gathered around leaders
+                    edges: list[tuple[int, int]] = []
+                    canopies.add(rids[:first], sizes[:first].astype(float), points[:first], edges)
+                    forest.add(edges)
+                else:
+                    last = int(np.searchsorted(keys, keys[-1]))
+                    settle(last)
+                    first = last
+                    if len(keys) - last > RUN:
+                        canopies, canopy_key = Canopies(limits), keys[-1]
+                    elif not last:
+                        break
+                keys, rids, sizes, points = keys[first:], rids[first:], sizes[first:], points[first:]
+            if len(forest.above) > FOREST:
+                yield forest.stars()
+        settle(len(keys))
+        yield forest.stars()
 
     ordered = entries.select("key", "rid", "n", "point").repartition("key").sortWithinPartitions("key", "n", "rid")
     return ordered.mapInArrow(run, "a bigint, b bigint").distinct()
@@ -313,14 +406,9 @@ def verified_edges(members: DataFrame, docs: DataFrame, text: str, width: int, l
     dealt = dealt.withColumn("other", pair).select(
         "root", "rid", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "doc_id", "text_hash"
     )
-    wanted = dealt.select("rid", "doc_id", "text_hash").distinct()
     bodies = docs.select(F.col("doc_id").alias("d"), F.col(text).alias("text"), F.xxhash64(text).alias("h"))
-    found = bodies.join(wanted, F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("h") == F.col("text_hash"))).select("rid", "text").dropDuplicates(["rid"])
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [s.tobytes() for s in shingle_sets(strings(batch.column(1)), width)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary())], names=["rid", "shingles"])
+    same = F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("h") == F.col("text_hash"))
+    placed = bodies.join(within_reach(saved(dealt)), same).select("root", "i", "j", "rid", "text")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, ids, held = None, [], []
@@ -332,19 +420,18 @@ def verified_edges(members: DataFrame, docs: DataFrame, text: str, width: int, l
             return pa.RecordBatch.from_arrays([pa.array(rid[real]), pa.array(rid[root[real]])], names=["a", "b"])
 
         for batch in batches:
-            rows = zip(*[batch.column(c).to_pylist() for c in range(5)], strict=True)
+            rows = zip(*[batch.column(c).to_pylist() for c in range(4)], shingle_sets(strings(batch.column(4)), width), strict=True)
             for root, i, j, rid, shingles in rows:
                 if (root, i, j) != group:
                     if len(ids) > 1:
                         yield edges()
                     group, ids, held = (root, i, j), [], []
-                ids.append(rid)
-                held.append(np.frombuffer(shingles, np.uint64))
+                if not ids or ids[-1] != rid:  # a repeated row
+                    ids.append(rid)
+                    held.append(shingles)
         if len(ids) > 1:
             yield edges()
 
-    held = found.mapInArrow(sets, "rid bigint, shingles binary")
-    placed = dealt.select("root", "i", "j", "rid").join(held, "rid").select("root", "i", "j", "rid", "shingles")
     ordered = placed.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "rid")
     return ordered.mapInArrow(verify, "a bigint, b bigint")
 
@@ -371,8 +458,8 @@ def ngram_join(docs: DataFrame, text: str = "text", width: int = 3, percent: int
     )
     classes = saved(rows.select(F.monotonically_increasing_id().alias("rid"), "set_hash", "first.doc_id", "first.text_hash", "n", "point", "prefix"))
     entries = classes.select("rid", F.explode("prefix").alias("key"))
-    several = entries.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key")
-    paired = entries.join(several, "key", "left_semi").join(classes.select("rid", "n", "point"), "rid")
+    several = entries.withColumn("c", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("c > 1").drop("c")
+    paired = several.join(classes.select("rid", "n", "point"), "rid")
     clusters = components(saved(candidate_edges(paired, limits)))
     members = saved(clusters.join(classes.select("rid", "doc_id", "text_hash"), F.col("v") == F.col("rid")).select("root", "rid", "doc_id", "text_hash"))
     joined = components(saved(verified_edges(members, given, "text", width, limits, cluster)))

@@ -5,7 +5,7 @@ from itertools import combinations
 import numpy as np
 import pytest
 
-from nimbostrat.llm.ngram_join import RTree, Threshold, components, linked, ngram_join, point
+from nimbostrat.llm.ngram_join import RTree, Threshold, components, linked, ngram_join, packed, point, unpacked
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -86,3 +86,15 @@ def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(40)] + [(100, 101)], "a bigint, b bigint")
     out = {r["v"]: r["root"] for r in components(edges).collect()}
     assert out == {**dict.fromkeys(range(41), 0), 100: 100, 101: 100}
+
+
+def test_leaders_hold_every_possible_link(docs, by_id, monkeypatch):
+    rows = corpus(77)
+    plain = by_id(ngram_join(docs(rows), percent=80))
+    monkeypatch.setattr("nimbostrat.llm.ngram_join.RUN", 4)
+    assert by_id(ngram_join(docs(rows), percent=80)) == plain == {k: {"doc_id": k, "n_shingles": n, "component_id": c} for k, (n, c) in brute(rows, 3, 80).items()}
+
+
+def test_points_of_any_size():
+    rows = [np.arange(64, dtype=np.uint32), np.full(64, 70_000, np.uint32)]
+    assert (unpacked([packed(r) for r in rows]) == np.array(rows)).all() and (unpacked([packed(rows[0])]) == rows[:1]).all()
