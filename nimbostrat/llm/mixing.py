@@ -50,24 +50,24 @@ def budgets(leaves: DataFrame, weights: dict[str, dict[str, float]], budget: flo
     ``epochs`` times its size. Weights hold among siblings; a weight of 0 or
     less shuts a node out. Running sums go over siblings alone.
     """
-    weighted = leaves.withColumns({f"w_{k}": F.greatest(_weight(k, weights), F.lit(0.0)) for k in levels})
+    root = fresh("root")
+    weighted = leaves.withColumn(root, F.lit(0)).withColumns({f"w_{k}": F.greatest(_weight(k, weights), F.lit(0.0)) for k in levels})
     live = F.lit(True)
     for k in levels:
         live = live & (F.col(f"w_{k}") > 0)
     nodes = [weighted.withColumn("cap", F.when(live, F.col("size") * F.lit(float(epochs))).otherwise(0.0))]
     for depth in range(len(levels) - 1, -1, -1):
-        keys = [*levels[:depth], *[f"w_{k}" for k in levels[:depth]]]
+        keys = [root, *levels[:depth], *[f"w_{k}" for k in levels[:depth]]]
         nodes.insert(0, nodes[0].groupBy(*keys).agg(F.sum("cap").alias("cap")))
-    total = leaves.agg(F.coalesce(F.sum("size"), F.lit(0)).cast("double").alias("all"))
+    total = weighted.groupBy(root).agg(F.sum("size").cast("double").alias("all"))
     wanted = F.lit(float(budget)) if budget > 1 else F.col("all") * F.lit(float(budget))
-    granted = nodes[0].crossJoin(F.broadcast(total)).select(F.least(wanted, "cap").alias("grant"))  # one row each
+    granted = nodes[0].join(total, root).select(root, F.least(wanted, "cap").alias("grant"))
     for depth, level in enumerate(levels, 1):
-        above, keys = list(levels[: depth - 1]), list(levels[:depth])
-        parent = granted.select(*above, F.col("grant").alias("b"))
-        rows = nodes[depth].join(parent, above) if above else nodes[depth].crossJoin(F.broadcast(parent))
+        above, keys = [root, *levels[: depth - 1]], [root, *levels[:depth]]
+        rows = nodes[depth].join(granted.select(*above, F.col("grant").alias("b")), above)
         w, cap = F.col(f"w_{level}"), F.col("cap")
         rows = rows.withColumn("ratio", F.when(cap > 0, cap / w).otherwise(0.0)).withColumn("lw", F.when(cap > 0, w).otherwise(0.0))
-        group = Window.partitionBy(*above) if above else Window.partitionBy(F.lit(0))
+        group = Window.partitionBy(*above)
         before = group.orderBy("ratio", level).rowsBetween(Window.unboundedPreceding, -1)
         rows = rows.withColumn("full_before", F.coalesce(F.sum("cap").over(before), F.lit(0.0)))
         rows = rows.withColumn("left_weight", F.sum("lw").over(group) - F.coalesce(F.sum("lw").over(before), F.lit(0.0)))
