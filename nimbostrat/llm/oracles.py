@@ -14,6 +14,22 @@ EXACT_DEDUP = """
 """
 
 
+def ngram_join(width: int = 3, percent: int = 90) -> str:
+    """Links by shared shingles, and the smallest document that each one reaches."""
+    return f"""
+    WITH RECURSIVE d AS (
+        SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+    s AS (SELECT DISTINCT doc_id, x FROM (SELECT doc_id, unnest(CASE WHEN len(w) >= {width} THEN [array_to_string(w[i:i + {width - 1}], ' ') FOR i IN range(1, len(w) - {width - 2})] WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS x FROM d)),
+    n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+    c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY 1, 2),
+    l AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= {percent} * (x.n + y.n - c)),
+    e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+    r AS (SELECT doc_id AS v, doc_id AS r FROM d UNION SELECT e.b, r.r FROM r JOIN e ON e.a = r.v),
+    m AS (SELECT v, min(r) AS component_id FROM r GROUP BY v)
+    SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.component_id FROM d JOIN m ON m.v = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id
+    """
+
+
 def _weights(level: str, table: dict[str, float]) -> str:
     arms = " ".join(f"WHEN '{k}' THEN {w!r}" for k, w in table.items())
     return f"CASE {level} {arms} ELSE 1.0 END" if table else "1.0"

@@ -88,5 +88,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {
     "op5_exact_dedup": oracles.EXACT_DEDUP,
     "op7_source_mixing": oracles.source_mixing(0.5, 2.0, 7),
+    "op8_ngram_join": oracles.ngram_join(),
     "op9_secret_scan": oracles.secret_scan(),
 }
