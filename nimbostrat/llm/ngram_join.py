@@ -28,11 +28,11 @@ from pyspark.sql.window import Window
 
 from nimbostrat.llm.common import bound_batches, mix64, saved, strings, within_reach
 
-GROUPS = 64
+GROUPS = 256
 #: Frequent shingles that the sketch tracks, 8 bytes each when broadcast.
 TRACKED = 1 << 16
 FREQUENT = 512
-#: Sets verified together in one task; a larger cluster is dealt in pairs of blocks.
+#: Sets verified together in one task; a larger cluster is dealt in blocks.
 CLUSTER = 4096
 FANOUT = 32
 #: Points of one key compared directly; more of them are gathered around leaders.
@@ -101,14 +101,16 @@ def point(shingles: np.ndarray) -> np.ndarray:
 
 
 def packed(counts: np.ndarray) -> bytes:
-    """A point in 16-bit integers, or 32-bit ones where a count needs them."""
-    return counts.astype("<u2" if counts.max(initial=0) < 1 << 16 else "<u4").tobytes()
+    """A point in 8-bit integers, or in wider ones where a count needs them."""
+    most = counts.max(initial=0)
+    return counts.astype("u1" if most < 1 << 8 else "<u2" if most < 1 << 16 else "<u4").tobytes()
 
 
 def unpacked(rows: list[bytes]) -> np.ndarray:
-    if all(len(r) == 2 * GROUPS for r in rows):
-        return np.frombuffer(b"".join(rows), "<u2").reshape(-1, GROUPS).astype(np.uint32)
-    return np.array([np.frombuffer(r, "<u2" if len(r) == 2 * GROUPS else "<u4") for r in rows], np.uint32).reshape(-1, GROUPS)
+    if all(len(r) == GROUPS for r in rows):
+        return np.frombuffer(b"".join(rows), np.uint8).reshape(-1, GROUPS)
+    kinds = {GROUPS: "u1", 2 * GROUPS: "<u2", 4 * GROUPS: "<u4"}
+    return np.array([np.frombuffer(r, kinds[len(r)]) for r in rows], np.uint32).reshape(-1, GROUPS)
 
 
 class Threshold:
@@ -191,7 +193,7 @@ class Canopies:
     """
 
     def __init__(self, limits: Threshold):
-        self.limits, self.ids, self.sizes, self.points = limits, np.zeros(0, np.int64), np.zeros(0), np.zeros((0, GROUPS), np.uint32)
+        self.limits, self.ids, self.sizes, self.points = limits, np.zeros(0, np.int64), np.zeros(0), np.zeros((0, GROUPS), np.uint8)
 
     def add(self, ids: np.ndarray, sizes: np.ndarray, points: np.ndarray, edges: list) -> None:
         t, radius = self.limits.t, self.limits.radius
@@ -280,7 +282,7 @@ def candidate_edges(entries: DataFrame, limits: Threshold) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forest, canopies, canopy_key = Forest(), None, None
-        keys, rids, sizes, points = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, GROUPS), np.uint32)
+        keys, rids, sizes, points = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, GROUPS), np.uint8)
 
         def settle(upto: int) -> None:
             """Edges of the complete keys among the first rows."""
@@ -370,19 +372,52 @@ class RTree:
         return at[limits.close(overlap, self.sizes[at], size)]
 
 
+class RareKeys:
+    """Sets by their prefix keys, rarest in this group first: linked sets share one."""
+
+    def __init__(self, sets: list[np.ndarray], limits: Threshold):
+        sizes = np.array([len(s) for s in sets], np.int64)
+        _, token, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        ends = np.cumsum(sizes)
+        keys, owners = [], []
+        for k, (a, b) in enumerate(zip((ends - sizes).tolist(), ends.tolist(), strict=True)):
+            own = token[a:b]
+            first = own[np.lexsort((own, counts[own]))][: limits.prefix(b - a)]
+            first = first[counts[first] > 1]  # what no other set holds leads nowhere
+            keys.append(first)
+            owners.append(np.full(len(first), k))
+        key, owner = np.concatenate(keys), np.concatenate(owners)
+        order = np.argsort(key, kind="stable")
+        self.keys, self.owners = keys, owner[order]
+        self.first = np.searchsorted(key[order], np.arange(len(counts)))
+        self.last = np.searchsorted(key[order], np.arange(len(counts)), "right")
+
+    def sharing(self, k: int) -> np.ndarray:
+        """Sets, ``k`` among them, that share a key with set ``k``; some more than once."""
+        own = self.keys[k]
+        return np.concatenate([self.owners[a:b] for a, b in zip(self.first[own].tolist(), self.last[own].tolist(), strict=True)]) if len(own) else own
+
+
 def linked(sets: list[np.ndarray], limits: Threshold) -> np.ndarray:
     """For each set the index of the first set that it reaches over verified links."""
     sizes = np.array([len(s) for s in sets], np.int64)
     points = np.array([point(s) for s in sets])
-    tree, open_, root = RTree(sizes, points), np.ones(len(sets), bool), np.arange(len(sets))
+    tree, rare = RTree(sizes, points), RareKeys(sets, limits)
+    open_, root, asked = np.ones(len(sets), bool), np.arange(len(sets)), np.zeros(len(sets), bool)
     for start in range(len(sets)):
         if not open_[start]:
             continue
-        open_[start] = False
-        queue = [start]
+        open_[start], queue = False, [start]
         while queue:
             k = queue.pop()
-            for j in tree.near(k, limits, open_).tolist():
+            some = rare.sharing(k)
+            some = some[open_[some]]
+            if not len(some):
+                continue
+            asked[some] = True
+            near = tree.near(k, limits, asked)
+            asked[some] = False
+            for j in near.tolist():
                 small, large = (sets[k], sets[j]) if sizes[k] <= sizes[j] else (sets[j], sets[k])
                 at = np.minimum(np.searchsorted(large, small), len(large) - 1)
                 if limits.links(int((large[at] == small).sum()), int(sizes[k]), int(sizes[j])):
@@ -391,30 +426,21 @@ def linked(sets: list[np.ndarray], limits: Threshold) -> np.ndarray:
     return root
 
 
-def verified_edges(members: DataFrame, docs: DataFrame, text: str, width: int, limits: Threshold, cluster: int = CLUSTER) -> DataFrame:
-    """a, b: representatives that verified links connect, as stars.
+def _verify(groups: DataFrame, docs: DataFrame, text: str, width: int, limits: Threshold) -> DataFrame:
+    """a, b: verified links within each group, as stars.
 
-    members: root (of the candidate cluster), rid, doc_id, text_hash. A cluster
-    of up to ``cluster`` sets is verified at once; a larger one in all pairs of
-    blocks of half that size, so that no task holds more.
+    groups: root, i, j, rid, doc_id, text_hash; the first three name a group.
+    The texts join their groups and come together in one task, a group at a time.
     """
-    sizes = members.groupBy("root").agg(F.count(F.lit(1)).alias("m"))
-    blocks = F.ceil(F.col("m") / F.lit(cluster // 2)).cast("int")
-    dealt = members.join(sizes, "root").withColumn("blocks", F.when(F.col("m") <= cluster, 1).otherwise(blocks))
-    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int"))
-    pair = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = dealt.withColumn("other", pair).select(
-        "root", "rid", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "doc_id", "text_hash"
-    )
     bodies = docs.select(F.col("doc_id").alias("d"), F.col(text).alias("text"), F.xxhash64(text).alias("h"))
     same = F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("h") == F.col("text_hash"))
-    placed = bodies.join(within_reach(saved(dealt)), same).select("root", "i", "j", "rid", "text")
+    placed = bodies.join(within_reach(groups), same).select("root", "i", "j", "rid", "text")
 
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, ids, held = None, [], []
 
         def edges() -> pa.RecordBatch:
-            root = linked(held, limits) if len(held) > 1 else np.zeros(len(held), np.int64)
+            root = linked(held, limits)
             rid = np.array(ids, np.int64)
             real = root != np.arange(len(rid))
             return pa.RecordBatch.from_arrays([pa.array(rid[real]), pa.array(rid[root[real]])], names=["a", "b"])
@@ -433,7 +459,55 @@ def verified_edges(members: DataFrame, docs: DataFrame, text: str, width: int, l
             yield edges()
 
     ordered = placed.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "rid")
-    return ordered.mapInArrow(verify, "a bigint, b bigint")
+    return ordered.mapInArrow(run, "a bigint, b bigint")
+
+
+def verified_edges(members: DataFrame, docs: DataFrame, text: str, width: int, limits: Threshold, cluster: int = CLUSTER) -> DataFrame:
+    """a, b: representatives that verified links connect, as stars.
+
+    members: root (of the candidate cluster), rid, doc_id, text_hash. A cluster
+    of up to ``cluster`` sets is verified at once. A larger one is verified in
+    blocks; then a few sets of each part so connected are verified with each
+    other, which joins the parts of a group of near copies. Only sets outside a
+    cluster's largest part can still lack a link: they are verified, in blocks,
+    against each other and against all blocks of that part. So no task holds
+    more than ``cluster`` sets, and the work grows with what the largest part
+    leaves over.
+    """
+    half, names = cluster // 2, ["root", "i", "j", "rid", "doc_id", "text_hash"]
+    sizes = members.groupBy("root").agg(F.count(F.lit(1)).alias("m"))
+    dealt = members.join(sizes, "root")
+    zero = F.lit(0).cast("bigint")
+    block = lambda n, salt: F.pmod(F.xxhash64("rid", F.lit(salt)), F.ceil(n / F.lit(half)))
+    first = dealt.withColumn("i", F.when(F.col("m") <= cluster, zero).otherwise(block(F.col("m"), 1))).withColumn("j", zero)
+    edges = saved(_verify(saved(first.select(names)), docs, text, width, limits))
+    large = saved(dealt.where(F.col("m") > cluster).drop("m"))
+    if large.isEmpty():
+        return edges
+    parts = lambda e: large.join(components(e).select(F.col("v").alias("rid"), F.col("root").alias("p")), "rid", "left").withColumn("part", F.coalesce("p", "rid")).drop("p")
+    some = [F.min("rid"), F.max("rid"), *[F.min_by("rid", F.xxhash64("rid", F.lit(k))) for k in (2, 3)]]
+    chosen = parts(edges).groupBy("root", "part").agg(F.count(F.lit(1)).alias("c"), F.array_distinct(F.array(*some)).alias("x"))
+    chosen = chosen.where("c > 1").select("root", F.explode("x").alias("rid"))
+    few = chosen.join(chosen.groupBy("root").agg(F.count(F.lit(1)).alias("m")), "root").join(large, ["root", "rid"])
+    few = few.withColumn("i", F.when(F.col("m") <= cluster, zero).otherwise(block(F.col("m"), 4))).withColumn("j", zero)
+    edges = saved(edges.unionByName(_verify(saved(few.select(names)), docs, text, width, limits)))
+
+    left = saved(parts(edges))
+    counts = left.groupBy("root", "part").agg(F.count(F.lit(1)).alias("c"))
+    main = counts.groupBy("root").agg(F.max(F.struct("c", "part")).alias("x"), F.sum("c").alias("m"))
+    main = main.select("root", F.col("x.part").alias("main"), F.ceil(F.col("x.c") / half).alias("nd"), F.ceil((F.col("m") - F.col("x.c")) / half).alias("ns"))
+    # blocks of the rest are numbered from 0, blocks of the largest part from -1 down
+    rest = left.join(main.where("ns > 0"), "root").withColumn("rest", F.col("part") != F.col("main"))
+    own = F.pmod(F.xxhash64("rid", F.lit(5)), F.when(F.col("rest"), F.col("ns")).otherwise(F.col("nd")))
+    upto = lambda n: F.sequence(zero, F.col(n) - 1)
+    others = F.concat(
+        F.transform(upto("ns"), lambda k: F.struct(F.least("own", k).alias("i"), F.greatest("own", k).alias("j"))),
+        F.transform(upto("nd"), lambda k: F.struct(F.col("own").alias("i"), (-1 - k).alias("j"))),
+    )
+    of_main = F.transform(upto("ns"), lambda k: F.struct(k.alias("i"), (-1 - F.col("own")).alias("j")))
+    pairs = rest.withColumn("own", own).select("root", "rid", "doc_id", "text_hash", F.explode(F.when(F.col("rest"), others).otherwise(of_main)).alias("g"))
+    pairs = saved(pairs.select("root", F.col("g.i").alias("i"), F.col("g.j").alias("j"), "rid", "doc_id", "text_hash"))
+    return edges if pairs.isEmpty() else edges.unionByName(_verify(pairs, docs, text, width, limits))
 
 
 def ngram_join(docs: DataFrame, text: str = "text", width: int = 3, percent: int = 90, cluster: int = CLUSTER) -> DataFrame:
@@ -452,14 +526,16 @@ def ngram_join(docs: DataFrame, text: str = "text", width: int = 3, percent: int
     given = docs.select("doc_id", F.coalesce(F.col(text), F.lit("")).alias("text"))
     every = saved(signatures(given, "text", width, limits, frequent_shingles(given, "text", width)))
     full = every.where(F.col("n") > 0)
-    rows = full.groupBy("set_hash").agg(
-        F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash")).alias("first"),
-        F.first("n").alias("n"), F.first("point").alias("point"), F.first("prefix").alias("prefix"),
-    )
-    classes = saved(rows.select(F.monotonically_increasing_id().alias("rid"), "set_hash", "first.doc_id", "first.text_hash", "n", "point", "prefix"))
-    entries = classes.select("rid", F.explode("prefix").alias("key"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash"))
+    rows = full.groupBy("set_hash").agg(first.alias("first"), F.first("n").alias("n"))
+    classes = saved(rows.select(F.monotonically_increasing_id().alias("rid"), "set_hash", "first.doc_id", "first.text_hash", "n"))
+    # the representatives' own rows; a repeated one only repeats its keys
+    own = classes.select("rid", F.col("set_hash").alias("s"), F.col("doc_id").alias("d"), F.col("text_hash").alias("t"))
+    same = (F.col("set_hash") == F.col("s")) & F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("t"))
+    reps = full.join(own, same)
+    entries = reps.select("rid", F.explode("prefix").alias("key"))
     several = entries.withColumn("c", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("c > 1").drop("c")
-    paired = several.join(classes.select("rid", "n", "point"), "rid")
+    paired = several.join(reps.select("rid", "n", "point"), "rid")
     clusters = components(saved(candidate_edges(paired, limits)))
     members = saved(clusters.join(classes.select("rid", "doc_id", "text_hash"), F.col("v") == F.col("rid")).select("root", "rid", "doc_id", "text_hash"))
     joined = components(saved(verified_edges(members, given, "text", width, limits, cluster)))

@@ -96,5 +96,5 @@ def test_leaders_hold_every_possible_link(docs, by_id, monkeypatch):
 
 
 def test_points_of_any_size():
-    rows = [np.arange(64, dtype=np.uint32), np.full(64, 70_000, np.uint32)]
+    rows = [np.arange(256, dtype=np.uint32), np.full(256, 70_000, np.uint32), np.full(256, 300, np.uint32)]
     assert (unpacked([packed(r) for r in rows]) == np.array(rows)).all() and (unpacked([packed(rows[0])]) == rows[:1]).all()
