@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nimbostrat.llm.common import bound_batches, fresh, saved, strings
+from nimbostrat.llm.common import bound_batches, fresh, saved, strings, within_reach
 
 DEPTH = 3
 SIMILARITY = 0.7
@@ -122,7 +122,7 @@ def drop_recurring_lines(docs: DataFrame, text: str = "text", min_docs: int = MI
     given = given.withColumn(key, F.xxhash64(F.coalesce("doc_id", F.lit(-1)), F.col("doc_id").isNull(), body))
     rows = saved(parse_lines(given, key, body, depth))
     leaves = rows.groupBy("leaf").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= min_docs).select("leaf")
-    live = saved(rows.join(leaves, "leaf", "left_semi"))
+    live = saved(rows.join(within_reach(saved(leaves)), "leaf", "left_semi"))
     # one document that holds each distinct line gives its words
     holders = live.groupBy("leaf", "line").agg(F.min(F.struct(key, "place")).alias("at")).select("leaf", "line", F.col(f"at.{key}").alias(key), "at.place")
     wanted = holders.groupBy(key).agg(F.collect_list(F.struct("place", "leaf", "line")).alias("lines"))
@@ -141,7 +141,7 @@ def drop_recurring_lines(docs: DataFrame, text: str = "text", min_docs: int = MI
     distinct = given.join(wanted, key).select(body, "lines").mapInArrow(fetch, "leaf bigint, line bigint, words array<bigint>").dropDuplicates(["leaf", "line"])
     placed = saved(live.join(assign_templates(distinct, similarity), ["leaf", "line"]).select(key, "place", "leaf", "template"))
     often = placed.groupBy("leaf", "template").agg(F.count_distinct(key).alias("d")).where(F.col("d") >= min_docs).select("leaf", "template")
-    dropped = placed.join(often, ["leaf", "template"], "left_semi").groupBy(key).agg(F.collect_set("place").alias("places"))
+    dropped = placed.join(within_reach(saved(often)), ["leaf", "template"], "left_semi").groupBy(key).agg(F.collect_set("place").alias("places"))
     lines = F.split(F.col(body), "\n", -1)
     kept = F.filter(lines, lambda x, i: ~F.array_contains("places", i))
     out = given.join(dropped, key, "left").withColumn("places", F.coalesce("places", F.array().cast("array<int>")))

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from nimbostrat.llm.common import fresh, saved
+from nimbostrat.llm.common import fresh, saved, within_reach
 
 LEVELS = ("domain", "lang", "source")
 #: Documents of a leaf in one bucket of its order, on average.
@@ -97,7 +97,7 @@ def plan(docs: DataFrame, weights: dict[str, dict[str, float]], budget: float, t
     granted = saved(budgets(leaves, weights, budget, levels, epochs).withColumn("full", F.when(F.col("size") > 0, F.floor(F.col("allocation") / F.col("size"))).otherwise(0).cast("long")))
     digits = F.least(F.lit(8), F.ceil(F.log(16.0, F.greatest(F.col("n_docs") / BUCKET_ROWS, F.lit(1.0))))).cast("int")
     granted = granted.withColumn("rest", F.col("allocation") - F.col("full") * F.col("size")).withColumn("digits", digits)
-    placed = sized.join(granted.select(*levels, "full", "rest", "digits"), list(levels))
+    placed = sized.join(within_reach(granted.select(*levels, "full", "rest", "digits")), list(levels))
     placed = placed.withColumn("key", _order(seed, F.col("full"), F.col("doc_id"))).withColumn("bucket", F.expr("substring(key, 1, digits)"))
     buckets = placed.groupBy(*levels, "bucket", "rest").agg(F.sum("tokens").alias("of_bucket"))
     running = Window.partitionBy(*levels).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -105,7 +105,7 @@ def plan(docs: DataFrame, weights: dict[str, dict[str, float]], budget: float, t
     cut = saved(buckets.where((F.col("before") <= F.col("rest")) & (F.col("before") + F.col("of_bucket") > F.col("rest"))).select(*levels, "bucket", "before"))
     within = Window.partitionBy(*levels, "bucket").orderBy("key", "doc_id").rangeBetween(Window.unboundedPreceding, 0)
     last = (
-        placed.join(cut, [*levels, "bucket"]).withColumn("upto", F.col("before") + F.sum("tokens").over(within))
+        placed.join(within_reach(cut), [*levels, "bucket"]).withColumn("upto", F.col("before") + F.sum("tokens").over(within))
         .where(F.col("upto") <= F.col("rest")).groupBy(*levels).agg(F.max(F.struct("key", "doc_id")).alias("last"))
     )
     rows = granted.join(cut.select(*levels, "bucket"), list(levels), "left").join(last, list(levels), "left")
@@ -114,7 +114,11 @@ def plan(docs: DataFrame, weights: dict[str, dict[str, float]], budget: float, t
 
 
 def apply_plan(docs: DataFrame, chosen: DataFrame, levels: tuple[str, ...] = LEVELS, seed: int = 0, level_columns: dict[str, Column] | None = None) -> DataFrame:
-    """``docs`` with ``n_copies``, the epochs in which each row is taken."""
+    """``docs`` with ``n_copies``, the epochs in which each row is taken.
+
+    chosen: a saved plan; up to a counted number of leaves it is broadcast, so
+    that a leaf with a third of all rows stays spread as it was read.
+    """
     names = {k: fresh(k) for k in levels}
     given = docs.withColumns({names[k]: F.coalesce((level_columns or {}).get(k, F.col(k)), F.lit(NONE)) for k in levels})
     table = chosen.select(*[F.col(k).alias(f"p_{names[k]}") for k in levels], F.col("full").alias(f"f_{names[levels[0]]}"), F.struct(F.col("cut_key").alias("k"), F.col("cut_doc").alias("d")).alias(f"c_{names[levels[0]]}"))
@@ -125,7 +129,7 @@ def apply_plan(docs: DataFrame, chosen: DataFrame, levels: tuple[str, ...] = LEV
     key = _order(seed, full, F.col("doc_id"))
     # structs compare field by field, nulls first
     copies = full + F.when(F.struct(key.alias("k"), F.col("doc_id").alias("d")) <= cut, 1).otherwise(0)
-    return given.join(table, on).select(*[F.col(f"`{c}`") for c in docs.columns if c != "n_copies"], copies.cast("long").alias("n_copies"))
+    return given.join(within_reach(table), on).select(*[F.col(f"`{c}`") for c in docs.columns if c != "n_copies"], copies.cast("long").alias("n_copies"))
 
 
 def mix(docs: DataFrame, weights: dict[str, dict[str, float]], budget: float, epochs: float = 1.0, seed: int = 0, text: str = "text") -> DataFrame:
@@ -138,4 +142,4 @@ def mix(docs: DataFrame, weights: dict[str, dict[str, float]], budget: float, ep
     empty result.
     """
     tree = docs.withColumn("domain", domain_of())
-    return apply_plan(tree, plan(tree, weights, budget, word_count(text), epochs=epochs, seed=seed), seed=seed)
+    return apply_plan(tree, saved(plan(tree, weights, budget, word_count(text), epochs=epochs, seed=seed)), seed=seed)
