@@ -9,22 +9,24 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.window import Window, WindowSpec
 
 from nimbostrat.functions import thermo, winter
 from nimbostrat.functions.units import MPS_TO_KT
 
-ABOVE = Window.partitionBy("cell").orderBy("z", F.desc("p"))
+def upwards() -> WindowSpec:
+    """The levels of a cell from the lowest one up."""
+    return Window.partitionBy("cell").orderBy("z", F.desc("p"))
 
 
 def layers(profiles: DataFrame, columns: tuple[str, ...]) -> DataFrame:
     """Each level with the next higher one, whose columns end in ``_up``."""
-    return profiles.withColumns({f"{c}_up": F.lead(c).over(ABOVE) for c in columns})
+    return profiles.withColumns({f"{c}_up": F.lead(c).over(upwards()) for c in columns})
 
 
 def at_height(profiles: DataFrame, height: float, columns: tuple[str, ...]) -> DataFrame:
     """Values at a height above the lowest level, linear in z; cells that don't reach it are left out."""
-    base = F.first("z").over(ABOVE)
+    base = F.first("z").over(upwards())
     rows = layers(profiles.withColumn("agl", F.col("z") - base), ("agl", *columns))
     inside = rows.where((F.col("agl") <= height) & ((F.col("agl_up") > height) | (F.col("agl") == height)))
     share = F.coalesce(F.try_divide(height - F.col("agl"), F.col("agl_up") - F.col("agl")), F.lit(0.0))
@@ -41,7 +43,7 @@ def at_pressure(profiles: DataFrame, pressure: float, columns: tuple[str, ...])
 def freezing_level(profiles: DataFrame) -> DataFrame:
     """Height of the lowest crossing from above to below 0 C; the lowest level if that is frozen."""
     zero = thermo.ZERO_C
-    rows = layers(profiles, ("t", "z")).withColumn("first", F.row_number().over(ABOVE) == 1)
+    rows = layers(profiles, ("t", "z")).withColumn("first", F.row_number().over(upwards()) == 1)
     crossing = F.when((F.col("t") > zero) & (F.col("t_up") <= zero), F.col("z") + (F.col("t") - zero) / (F.col("t") - F.col("t_up")) * (F.col("z_up") - F.col("z")))
     return rows.groupBy("cell").agg(F.min(F.when(F.col("first") & (F.col("t") <= zero), F.col("z")).otherwise(crossing)).alias("freezing_m"))
 
@@ -56,7 +58,7 @@ def precipitable_water(profiles: DataFrame) -> DataFrame:
 
 def mean_wind(profiles: DataFrame, top: float) -> DataFrame:
     """Thickness-weighted mean wind from the lowest level to a height above it."""
-    rows = layers(profiles.withColumn("agl", F.col("z") - F.first("z").over(ABOVE)), ("agl", "u", "v")).where((F.col("agl") < top) & F.col("agl_up").isNotNull())
+    rows = layers(profiles.withColumn("agl", F.col("z") - F.first("z").over(upwards())), ("agl", "u", "v")).where((F.col("agl") < top) & F.col("agl_up").isNotNull())
     share = F.least(F.lit(1.0), (top - F.col("agl")) / (F.col("agl_up") - F.col("agl")))
     depth = share * (F.col("agl_up") - F.col("agl"))
     mean = lambda c: F.try_divide(F.sum((F.col(c) + share * (F.col(f"{c}_up") - F.col(c)) / 2) * depth), F.sum(depth))
@@ -84,7 +86,7 @@ def bunkers_motion(profiles: DataFrame, top: float = 6000.0, deviation: float =
 
 def storm_relative_helicity(profiles: DataFrame, motion: DataFrame, top: float) -> DataFrame:
     """m2/s2 from the lowest level to a height above it; motion: cell, c_u, c_v."""
-    rows = layers(profiles.withColumn("agl", F.col("z") - F.first("z").over(ABOVE)), ("agl", "u", "v")).where((F.col("agl") < top) & F.col("agl_up").isNotNull())
+    rows = layers(profiles.withColumn("agl", F.col("z") - F.first("z").over(upwards())), ("agl", "u", "v")).where((F.col("agl") < top) & F.col("agl_up").isNotNull())
     share = F.least(F.lit(1.0), (top - F.col("agl")) / (F.col("agl_up") - F.col("agl")))
     u2, v2 = F.col("u") + share * (F.col("u_up") - F.col("u")), F.col("v") + share * (F.col("v_up") - F.col("v"))
     turn = (u2 - F.col("c_u")) * (F.col("v") - F.col("c_v")) - (F.col("u") - F.col("c_u")) * (v2 - F.col("c_v"))

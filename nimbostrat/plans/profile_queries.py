@@ -45,15 +45,14 @@ def unit_transforms(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-# T, Td and p of the pseudo-surface
-TD = {"t": 270 + F.col("q"), "td": 265 + F.col("q") - 60 * F.col("x"), "p": 1000 - 2000 * F.col("y")}
 THERMO_SQL = ITEMS_SQL + """, s AS (SELECT *, 270 + q AS t, 265 + q - 60 * x AS td, 1000 - 2000 * y AS p FROM items0),
     v AS (SELECT *, 6.112 * exp(17.67 * (td - 273.15) / (td - 273.15 + 243.5)) AS ev, 6.112 * exp(17.67 * (t - 273.15) / (t - 273.15 + 243.5)) AS es FROM s),
     w AS (SELECT *, 0.622 * ev / (p - ev) AS w, 56 + 1 / (1 / (td - 56) + ln(t / td) / 800) AS tl, greatest(1, least(100, 100 * ev / es)) AS rh FROM v)"""
 
 
 def surface(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return items(spark, sf_dir).withColumns(TD)
+    """T, Td and p of the pseudo-surface."""
+    return items(spark, sf_dir).withColumns({"t": 270 + F.col("q"), "td": 265 + F.col("q") - 60 * F.col("x"), "p": 1000 - 2000 * F.col("y")})
 
 
 
