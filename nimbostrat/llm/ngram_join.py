@@ -34,11 +34,14 @@ TRACKED = 1 << 16
 FREQUENT = 512
 #: Sets verified together in one task; a larger cluster is dealt in blocks.
 CLUSTER = 4096
+#: Shingles that the sets verified together hold, about 35 bytes each; it bounds
+#: the memory of a task where the texts are long.
+LOAD = 1 << 22
 FANOUT = 32
 #: Points of one key compared directly; more of them are gathered around leaders.
 RUN = 20_000
 #: Vertices of a task held before their edges are given out.
-FOREST = 1_000_000
+FOREST = 200_000
 #: Characters of text shingled together.
 CHUNK_CHARS = 1 << 20
 
@@ -376,26 +379,25 @@ class RareKeys:
     """Sets by their prefix keys, rarest in this group first: linked sets share one."""
 
     def __init__(self, sets: list[np.ndarray], limits: Threshold):
-        sizes = np.array([len(s) for s in sets], np.int64)
-        _, token, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-        ends = np.cumsum(sizes)
-        keys, owners = [], []
-        for k, (a, b) in enumerate(zip((ends - sizes).tolist(), ends.tolist(), strict=True)):
-            own = token[a:b]
-            first = own[np.lexsort((own, counts[own]))][: limits.prefix(b - a)]
-            first = first[counts[first] > 1]  # what no other set holds leads nowhere
-            keys.append(first)
-            owners.append(np.full(len(first), k))
-        key, owner = np.concatenate(keys), np.concatenate(owners)
+        every = np.concatenate(sets)
+        every.sort()
+        starts = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]]))
+        shingles, counts = every[starts], np.diff(starts, append=len(every)).astype(np.int32)
+        del every, starts
+        self.keys = []
+        for own in sets:
+            at = np.searchsorted(shingles, own)
+            first = at[np.argsort(counts[at], kind="stable")[: limits.prefix(len(own))]]
+            self.keys.append(first[counts[first] > 1].astype(np.int32))  # what no other set holds leads nowhere
+        key = np.concatenate(self.keys)
         order = np.argsort(key, kind="stable")
-        self.keys, self.owners = keys, owner[order]
-        self.first = np.searchsorted(key[order], np.arange(len(counts)))
-        self.last = np.searchsorted(key[order], np.arange(len(counts)), "right")
+        self.sorted, self.owners = key[order], np.repeat(np.arange(len(sets)), [len(k) for k in self.keys])[order]
 
     def sharing(self, k: int) -> np.ndarray:
         """Sets, ``k`` among them, that share a key with set ``k``; some more than once."""
         own = self.keys[k]
-        return np.concatenate([self.owners[a:b] for a, b in zip(self.first[own].tolist(), self.last[own].tolist(), strict=True)]) if len(own) else own
+        first, last = np.searchsorted(self.sorted, own), np.searchsorted(self.sorted, own, "right")
+        return np.concatenate([self.owners[a:b] for a, b in zip(first.tolist(), last.tolist(), strict=True)]) if len(own) else own
 
 
 def linked(sets: list[np.ndarray], limits: Threshold) -> np.ndarray:
@@ -465,17 +467,18 @@ def _verify(groups: DataFrame, docs: DataFrame, text: str, width: int, limits: T
 def verified_edges(members: DataFrame, docs: DataFrame, text: str, width: int, limits: Threshold, cluster: int = CLUSTER) -> DataFrame:
     """a, b: representatives that verified links connect, as stars.
 
-    members: root (of the candidate cluster), rid, doc_id, text_hash. A cluster
-    of up to ``cluster`` sets is verified at once. A larger one is verified in
+    members: root (of the candidate cluster), rid, doc_id, text_hash, n. A cluster
+    of up to ``cluster`` sets and ``LOAD`` shingles is verified at once. A larger one is verified in
     blocks; then a few sets of each part so connected are verified with each
     other, which joins the parts of a group of near copies. Only sets outside a
     cluster's largest part can still lack a link: they are verified, in blocks,
     against each other and against all blocks of that part. So no task holds
-    more than ``cluster`` sets, and the work grows with what the largest part
-    leaves over.
+    more than about ``cluster`` sets or ``LOAD`` shingles, and the work grows with
+    what the largest part leaves over.
     """
     half, names = cluster // 2, ["root", "i", "j", "rid", "doc_id", "text_hash"]
-    sizes = members.groupBy("root").agg(F.count(F.lit(1)).alias("m"))
+    weight = F.greatest(F.count(F.lit(1)), F.ceil(F.sum("n") * cluster / LOAD))
+    sizes = members.groupBy("root").agg(weight.alias("m"))
     dealt = members.join(sizes, "root")
     zero = F.lit(0).cast("bigint")
     block = lambda n, salt: F.pmod(F.xxhash64("rid", F.lit(salt)), F.ceil(n / F.lit(half)))
@@ -488,12 +491,13 @@ def verified_edges(members: DataFrame, docs: DataFrame, text: str, width: int, l
     some = [F.min("rid"), F.max("rid"), *[F.min_by("rid", F.xxhash64("rid", F.lit(k))) for k in (2, 3)]]
     chosen = parts(edges).groupBy("root", "part").agg(F.count(F.lit(1)).alias("c"), F.array_distinct(F.array(*some)).alias("x"))
     chosen = chosen.where("c > 1").select("root", F.explode("x").alias("rid"))
-    few = chosen.join(chosen.groupBy("root").agg(F.count(F.lit(1)).alias("m")), "root").join(large, ["root", "rid"])
+    few = chosen.join(large, ["root", "rid"])
+    few = few.join(few.groupBy("root").agg(weight.alias("m")), "root")
     few = few.withColumn("i", F.when(F.col("m") <= cluster, zero).otherwise(block(F.col("m"), 4))).withColumn("j", zero)
     edges = saved(edges.unionByName(_verify(saved(few.select(names)), docs, text, width, limits)))
 
     left = saved(parts(edges))
-    counts = left.groupBy("root", "part").agg(F.count(F.lit(1)).alias("c"))
+    counts = left.groupBy("root", "part").agg(weight.alias("c"))
     main = counts.groupBy("root").agg(F.max(F.struct("c", "part")).alias("x"), F.sum("c").alias("m"))
     main = main.select("root", F.col("x.part").alias("main"), F.ceil(F.col("x.c") / half).alias("nd"), F.ceil((F.col("m") - F.col("x.c")) / half).alias("ns"))
     # blocks of the rest are numbered from 0, blocks of the largest part from -1 down
@@ -537,7 +541,7 @@ def ngram_join(docs: DataFrame, text: str = "text", width: int = 3, percent: int
     several = entries.withColumn("c", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("c > 1").drop("c")
     paired = several.join(reps.select("rid", "n", "point"), "rid")
     clusters = components(saved(candidate_edges(paired, limits)))
-    members = saved(clusters.join(classes.select("rid", "doc_id", "text_hash"), F.col("v") == F.col("rid")).select("root", "rid", "doc_id", "text_hash"))
+    members = saved(clusters.join(classes.select("rid", "doc_id", "text_hash", "n"), F.col("v") == F.col("rid")).select("root", "rid", "doc_id", "text_hash", "n"))
     joined = components(saved(verified_edges(members, given, "text", width, limits, cluster)))
     least = joined.join(classes.select("rid", "doc_id"), F.col("v") == F.col("rid")).groupBy("root").agg(F.min("doc_id").alias("least"))
     known = joined.join(least, "root").select(F.col("v").alias("rid"), "least")
