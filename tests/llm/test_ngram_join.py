@@ -63,6 +63,14 @@ def test_components_match_all_pairs(docs, by_id, width, percent, cluster):
     assert {k: (v["n_shingles"], v["component_id"]) for k, v in out.items()} == brute(rows, width, percent)
 
 
+def test_blocks_bounded_by_shingles(docs, by_id, monkeypatch):
+    monkeypatch.setattr("nimbostrat.llm.ngram_join.LOAD", 40)
+    width, percent, cluster = 3, 70, 64
+    rows = corpus(width * percent)
+    out = by_id(ngram_join(docs(rows), width=width, percent=percent, cluster=cluster))
+    assert {k: (v["n_shingles"], v["component_id"]) for k, v in out.items()} == brute(rows, width, percent)
+
+
 def test_odd_tables(docs):
     assert ngram_join(docs([])).count() == 0
     rows = [(5, "a b c d"), (5, "a b c d"), (3, "A B C D"), (None, "a b c d"), (9, None), (8, ""), (7, " \t")]
