@@ -38,7 +38,8 @@ def resample_points(grid: DataFrame, rows: int, cols: int, new_rows: int, new_co
     """Positions of a new raster's cells on the old one."""
     spark = grid.sparkSession
     cells = spark.range(new_rows * new_cols).select(F.col("id").alias("point"), F.floor(F.col("id") / new_cols).alias("y"), (F.col("id") % new_cols).alias("x"))
-    scale = lambda c, new, old: F.col(c) * ((old - 1) / max(new - 1, 1))
+    # rounding may put the last one beyond the edge
+    scale = lambda c, new, old: F.least(F.col(c) * ((old - 1) / max(new - 1, 1)), F.lit(old - 1.0))
     return cells.select("point", scale("x", new_cols, cols).alias("fx"), scale("y", new_rows, rows).alias("fy"))
 
 
@@ -63,7 +64,7 @@ def mercator_remap(grid: DataFrame, rows: int, bounds: Bounds, nearest: bool = F
         t = F.col("y") - low
         plan = target.select("row", F.explode(F.array(F.struct(low.alias("s"), (1 - t).alias("w")), F.struct((low + 1).alias("s"), t.alias("w")))).alias("p")).select("row", F.col("p.s").alias("source"), F.col("p.w").alias("w")).where("w > 0")
     cells = grid.select(*keys, F.col("row").alias("source"), "col", F.col(value).alias("cell_value"))
-    return cells.join(F.broadcast(plan), "source").groupBy(*keys, "row", "col").agg(renormalised(F.col("cell_value"), F.col("w")).alias("value"))
+    return cells.join(plan, "source").groupBy(*keys, "row", "col").agg(renormalised(F.col("cell_value"), F.col("w")).alias("value"))
 
 
 def position(latitude: Column, longitude: Column, rows: int, cols: int, bounds: Bounds) -> tuple[Column, Column]:

@@ -12,14 +12,22 @@ from nimbostrat.operators import contour, resample, stencil
 from nimbostrat.plans.registry import query
 from nimbostrat.sources.proxies import GRID_SQL, HOLED_SQL, grid, holed_grid, table
 
-ROWS, COLS = 500, 64  # of the grid that frontogenesis and remapping cut out
+ROWS, COLS = 500, 64  # of the raster in the SQL of frontogenesis and remapping; the queries count theirs
 DIMS_SQL = "n AS (SELECT max(row) + 1 AS rows, max(col) + 1 AS cols FROM grid)"
 
 
-def crop(spark: SparkSession, sf_dir: str, holes: bool = False) -> DataFrame:
-    """The first ROWS x COLS cells."""
-    cells = holed_grid(spark, sf_dir) if holes else grid(spark, sf_dir)
-    return cells.where((F.col("row") < ROWS) & (F.col("col") < COLS))
+def raster(spark: SparkSession, sf_dir: str, holes: bool = False) -> tuple[DataFrame, int, int]:
+    """The whole grid as one raster, with its rows and columns."""
+    size = table(spark, sf_dir, "embeddings").agg(F.max("vec_id").alias("row"), F.max(F.size("embedding")).alias("cols")).first()
+    rows, cols = (0, 0) if size["row"] is None else (size["row"] + 1, size["cols"])
+    return holed_grid(spark, sf_dir) if holes else grid(spark, sf_dir), rows, cols
+
+
+def thinned(spark: SparkSession, sf_dir: str, strict: bool) -> DataFrame:
+    """Two rows for five and five columns for eight, over the whole raster."""
+    cells, rows, cols = raster(spark, sf_dir, True)
+    points = resample.resample_points(cells, rows, cols, -(-rows * 2 // 5), -(-cols * 5 // 8))
+    return resample.sample(points, cells, rows, cols, strict=strict).select("point", F.round("value", 6).alias("value"))
 
 
 CROP_SQL = HOLED_SQL + f", crop AS (SELECT * FROM grid WHERE row < {ROWS} AND col < {COLS}), hcrop AS (SELECT * FROM holed WHERE row < {ROWS} AND col < {COLS})"
@@ -69,14 +77,15 @@ LAT = f"degrees(2 * atan(exp(ln(tan(pi() / 4 + radians({CONUS.north}) / 2)) + (l
 )
 def frontogenesis(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = F.col("v")
-    cells = crop(spark, sf_dir).select("row", "col", (280 + 20 * v).alias("t"), (10 + 30 * v).alias("u"), (5 - 40 * v * v).alias("v"))
-    return stencil.frontogenesis(cells, CONUS, ROWS, COLS, 850.0).select("row", "col", F.round("frontogenesis", 4).alias("frontogenesis"))
+    cells, rows, cols = raster(spark, sf_dir)
+    cells = cells.select("row", "col", (280 + 20 * v).alias("t"), (10 + 30 * v).alias("u"), (5 - 40 * v * v).alias("v"))
+    return stencil.frontogenesis(cells, CONUS, rows, cols, 850.0).select("row", "col", F.round("frontogenesis", 4).alias("frontogenesis"))
 
 
 @query("relative_vorticity", f"WITH {CROP_SQL} SELECT row, col, round((v * 1e-4 - 2 * 7.2921e-5 * sin(radians({LAT.format(r='row')}))) * 1e5, 6) AS relative FROM crop")
 def relative_vorticity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cells = crop(spark, sf_dir).withColumn("v", F.col("v") * 1e-4)
-    return stencil.relative_vorticity(cells, CONUS, ROWS).select("row", "col", F.round("relative", 6).alias("relative"))
+    cells, rows, _ = raster(spark, sf_dir)
+    return stencil.relative_vorticity(cells.withColumn("v", F.col("v") * 1e-4), CONUS, rows).select("row", "col", F.round("relative", 6).alias("relative"))
 
 
 @query(
@@ -102,16 +111,12 @@ def _resample_sql(strict: bool) -> str:
 
 @query("resample_strict", _resample_sql(True))
 def resample_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cells = crop(spark, sf_dir, True)
-    points = resample.resample_points(cells, ROWS, COLS, 200, 40)
-    return resample.sample(points, cells, ROWS, COLS, strict=True).select("point", F.round("value", 6).alias("value"))
+    return thinned(spark, sf_dir, strict=True)
 
 
 @query("resample_renormalised", _resample_sql(False))
 def resample_renormalised(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cells = crop(spark, sf_dir, True)
-    points = resample.resample_points(cells, ROWS, COLS, 200, 40)
-    return resample.sample(points, cells, ROWS, COLS).select("point", F.round("value", 6).alias("value"))
+    return thinned(spark, sf_dir, strict=False)
 
 
 SOURCE_ROW = f"greatest(0.0, least({ROWS - 1}.0, ({LAT.format(r='r')} - {CONUS.south}) / {CONUS.north - CONUS.south} * {ROWS - 1}))"
@@ -124,7 +129,8 @@ SOURCE_ROW = f"greatest(0.0, least({ROWS - 1}.0, ({LAT.format(r='r')} - {CONUS.s
     SELECT p.row, h.col, round(sum(h.v * w) / nullif(sum(CASE WHEN h.v IS NOT NULL THEN w END), 0), 5) AS value FROM p JOIN hcrop h ON h.row = p.source WHERE w > 0 GROUP BY 1, 2""",
 )
 def mercator_remap_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return resample.mercator_remap(crop(spark, sf_dir, True), ROWS, CONUS).select("row", "col", F.round("value", 5).alias("value"))
+    cells, rows, _ = raster(spark, sf_dir, True)
+    return resample.mercator_remap(cells, rows, CONUS).select("row", "col", F.round("value", 5).alias("value"))
 
 
 @query(
@@ -133,7 +139,8 @@ def mercator_remap_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT t.row, h.col, round(h.v, 6) AS value FROM t JOIN hcrop h ON h.row = t.source""",
 )
 def mercator_remap_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return resample.mercator_remap(crop(spark, sf_dir, True), ROWS, CONUS, nearest=True).select("row", "col", F.round("value", 6).alias("value"))
+    cells, rows, _ = raster(spark, sf_dir, True)
+    return resample.mercator_remap(cells, rows, CONUS, nearest=True).select("row", "col", F.round("value", 6).alias("value"))
 
 
 @query(
@@ -148,9 +155,10 @@ def mercator_remap_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def hover_point_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = F.col("event_id")
-    fx, fy = resample.position(CONUS.south - 2 + (e * 37 % 1000) * 0.036, CONUS.west - 2 + (e * 91 % 1000) * 0.07, ROWS, COLS, CONUS)
+    cells, rows, cols = raster(spark, sf_dir, True)
+    fx, fy = resample.position(CONUS.south - 2 + (e * 37 % 1000) * 0.036, CONUS.west - 2 + (e * 91 % 1000) * 0.07, rows, cols, CONUS)
     points = table(spark, sf_dir, "events").select(e.alias("point"), fx.alias("fx"), fy.alias("fy"))
-    return resample.sample(points, crop(spark, sf_dir, True), ROWS, COLS).select("point", F.round("value", 4).alias("value"))
+    return resample.sample(points, cells, rows, cols).select("point", F.round("value", 4).alias("value"))
 
 
 @query(
