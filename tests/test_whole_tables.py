@@ -1,13 +1,15 @@
 """Library queries on tables larger than the smallest ones."""
 
 import math
+import os
 
+import duckdb
 import numpy as np
 import pytest
 
 from nimbostrat.functions.mercator import CONUS
 from nimbostrat.operators.resample import resample_points
-from nimbostrat.plans.queries import QUERIES
+from nimbostrat.plans.queries import ORACLE_SQL, QUERIES
 
 ROWS, COLS = 1203, 8
 
@@ -107,3 +109,21 @@ def test_points_fall_on_the_whole_raster(run, field):
             n += 1
             assert got[e,]["value"] == pytest.approx(bilinear(holed(field), fx, fy), abs=1e-4)
     assert 0 <= len(got) - n < 5
+
+
+LINES = "/root/testdata/sf0.01"  # 100 suppliers
+FILTER = "WHERE l_suppkey <= 24 "
+
+
+@pytest.mark.skipif(not os.path.isdir(LINES), reason="needs the test tables")
+@pytest.mark.parametrize("name", ["idx_parse_windows", "idx_byte_ranges", "record_first_match", "record_dotted_order", "catalog_availability", "missing_required_anti"])
+def test_inventory_covers_every_supplier(spark, name):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM read_parquet('{LINES}/lineitem.parquet')")
+    plain = lambda rows: sorted(tuple(str(None if x != x else x) for x in row) for row in rows)
+    got = QUERIES[name](spark, LINES)
+    assert FILTER in ORACLE_SQL[name]
+    columns = [f'"{c}"' for c in got.columns]
+    fetch = lambda sql: plain(con.execute(f"SELECT {', '.join(columns)} FROM ({sql})").fetchall())
+    assert plain(got.collect()) == fetch(ORACLE_SQL[name].replace(FILTER, ""))
+    assert plain(got.where("hour <= 24").collect()) == fetch(ORACLE_SQL[name])
