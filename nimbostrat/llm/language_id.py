@@ -7,7 +7,8 @@ for the languages; back-off weights are kept alike by context.  A text gets the
 language of the lowest cross-entropy in bits per character, and is rejected
 where that is far above what the language's own texts have.
 
-Fitting uses a bounded sample of labelled texts; everything else covers all rows.
+Fitting uses a bounded sample of labelled texts; calibration uses all labelled
+texts of a fold that fitting leaves out, and everything else covers all rows.
 """
 
 from __future__ import annotations
@@ -30,9 +31,11 @@ TRAIN_CHARS = 8_000_000
 TRAIN_CHARS_ALL = 96_000_000
 #: Word scores remembered by one worker; the memory starts afresh beyond it.
 REMEMBERED = 300_000
-#: A rejected text's entropy is this many bits above its language's mean, and
-#: SLACK times as far as any text of the calibration fold at its length.
-LEAST_BITS, SLACK = 3.0, 1.5
+#: A text's excess over its language's median entropy counts in units of
+#: sqrt(1 / characters + 1 / BETWEEN): the second part is the spread of long texts.
+#: A rejected text is SPREADS times as far out as QUANTILE of the calibration fold,
+#: and as one unit at least, for folds of a few texts.
+BETWEEN, QUANTILE, SPREADS = 200.0, 0.95, 6.0
 UNSEEN = -20.0  # log2 of a character that no language has
 PAD = " "
 UNKNOWN = "und"
@@ -78,7 +81,7 @@ class LanguageModels:
     languages: list[str]
     grams: list[tuple[np.ndarray, np.ndarray]]  # by order 1..ORDER: keys, log2 probabilities (nan: not seen)
     backoff: list[tuple[np.ndarray, np.ndarray]]  # by context length 0..ORDER-1: keys, log2 weights (0: not seen)
-    mean: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    typical: np.ndarray = field(default_factory=lambda: np.zeros(0))
     limit: np.ndarray = field(default_factory=lambda: np.zeros(0))
 
     def score_words(self, words: list[str]) -> np.ndarray:
@@ -153,7 +156,7 @@ def fold(doc_id: str = "doc_id"):
 
 
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", train_chars: int = TRAIN_CHARS, train_chars_all: int = TRAIN_CHARS_ALL) -> LanguageModels:
-    """Models from labelled rows outside fold 0, calibrated on those of fold 1.
+    """Models from labelled rows of folds 2 to 4, calibrated on all those of fold 1.
 
     The sample takes whole texts by a hash of doc_id, at a rate that gives about
     ``train_chars`` characters a language and ``train_chars_all`` in all; that
@@ -161,7 +164,8 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", train_chars: in
     model has no languages.
     """
     bound_batches(docs.sparkSession)
-    labelled = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col("doc_id").isNotNull() & (fold() != 0))
+    known = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col("doc_id").isNotNull())
+    labelled = known.where(fold() > 1)
     sizes = {r["l"]: r["n"] for r in labelled.groupBy(F.col(lang).alias("l")).agg(F.sum(F.length(text)).alias("n")).collect()}
     languages = sorted(k for k, n in sizes.items() if n)
     if not languages:
@@ -197,18 +201,21 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", train_chars: in
         [_merged([p[k] for p, _ in fitted], np.nan) for k in range(ORDER)],
         [_merged([w[k] for _, w in fitted], 0.0) for k in range(ORDER)],
     )
-    return _calibrated(models, sample.where(fold() == 1))
+    return _calibrated(models, known.where(fold() == 1).select(F.col(lang).alias("lang"), F.col(text).alias("text")))
 
 
 def _calibrated(models: LanguageModels, sample: DataFrame) -> LanguageModels:
-    """The models with each language's mean entropy and its limit of excess."""
-    models.mean, models.limit = np.zeros(len(models.languages)), np.full(len(models.languages), np.inf)
-    scored = saved(predict(sample.select("lang", "text"), models).where(F.col("lang_pred") == F.col("lang")).select("lang", "cross_entropy", "n_letters"))
-    means = scored.groupBy("lang").agg((F.sum(F.col("cross_entropy") * F.col("n_letters")) / F.sum("n_letters")).alias("mean"))
-    excess = (F.col("cross_entropy") - F.col("mean")) * F.sqrt(F.col("n_letters") + 8)
-    for r in scored.join(means, "lang").groupBy("lang").agg(F.first("mean").alias("mean"), F.max(excess).alias("most")).collect():
+    """The models with each language's median entropy and its limit of excess."""
+    models.typical, models.limit = np.zeros(len(models.languages)), np.full(len(models.languages), np.inf)
+    scored = saved(predict(sample, models).where(F.col("lang_pred") == F.col("lang")).select("lang", "cross_entropy", "n_letters"))
+    typical = {r["lang"]: r["x"] for r in scored.groupBy("lang").agg(F.percentile_approx("cross_entropy", 0.5, 10_000).alias("x")).collect()}
+    if not typical:
+        return models
+    of_lang = F.create_map(*[F.lit(x) for pair in typical.items() for x in pair])[F.col("lang")]
+    excess = (F.col("cross_entropy") - of_lang) / F.sqrt(1 / F.col("n_letters") + 1 / BETWEEN)
+    for r in scored.groupBy("lang").agg(F.percentile_approx(excess, QUANTILE, 10_000).alias("far")).collect():
         k = models.languages.index(r["lang"])
-        models.mean[k], models.limit[k] = r["mean"], SLACK * max(r["most"], 0.0)
+        models.typical[k], models.limit[k] = typical[r["lang"]], SPREADS * max(r["far"], 1.0)
     return models
 
 
@@ -272,8 +279,7 @@ def predict(docs: DataFrame, models: LanguageModels, text: str = "text") -> Data
             score = np.where(known, 1 / np.exp2(np.maximum(least[:, None] - bits, -1000)).sum(axis=1) if models.languages else 0.0, 0.0)
             rejected = ~known
             if models.languages:
-                above = entropy - models.mean[best]
-                rejected |= (above > LEAST_BITS) & (above * np.sqrt(sizes + 8) > models.limit[best])
+                rejected |= known & ((entropy - models.typical[best]) / np.sqrt(1 / np.maximum(sizes, 1) + 1 / BETWEEN) > models.limit[best])
             columns = [batch.column(c) for c in kept]
             columns += [pa.array(languages[best], pa.string()), pa.array(score), pa.array(entropy), pa.array(rejected), pa.array(sizes)]
             yield pa.RecordBatch.from_arrays(columns, names=[*kept, *results])

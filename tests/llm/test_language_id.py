@@ -1,4 +1,5 @@
 import random
+import zlib
 
 import pytest
 
@@ -64,3 +65,30 @@ def test_words_and_bounds(docs):
     assert words_of("It's 3 ²") == ["it", "s", "²"] and words_of("² 3") == []
     models = fit(docs(corpus()), train_chars=200)
     assert len(models.languages) >= 1
+
+
+#: Made of the same letters; "cc" shares three stems with "aa".
+NEAR = {"aa": ["lor", "ven", "tik", "sarn", "oel"], "bb": ["rol", "nev", "kit", "nars", "leo"], "cc": ["lor", "ven", "tik", "arsn", "elo"]}
+
+
+def near_corpus(rng, lang, n, first):
+    return [(first + k, " ".join("".join(rng.choices(NEAR[lang], k=rng.randint(1, 3))) for _ in range(rng.randint(20, 60))), lang, "s") for k in range(n)]
+
+
+def test_unlearned_language_of_the_same_letters_is_rejected(docs, by_id):
+    rng = random.Random(9)
+    learned = near_corpus(rng, "aa", 300, 0) + near_corpus(rng, "bb", 300, 1000)
+    other = [(k, t, None, s) for k, t, _, s in near_corpus(rng, "cc", 60, 2000)]
+    # one odd text in the calibration fold doesn't widen the limit
+    odd = [(k, "xqzw jjvk " * 40, lang, "s") for lang in ("aa", "bb") for k in range(3000 + 100 * (lang == "bb"), 3020 + 100 * (lang == "bb")) if zlib.crc32(str(k).encode()) % 5 == 1][::4]
+    assert odd
+    out = by_id(languages(docs(learned + other + odd)))
+    assert all(out[k]["rejected"] for k, *_ in other)
+    assert all(not out[k]["rejected"] and out[k]["lang_pred"] == lang for k, _, lang, _ in learned)
+
+
+def test_calibration_fold_is_kept_out_of_fitting(docs, by_id):
+    rows = corpus()
+    shown = by_id(languages(docs(rows)))
+    hidden = [(k, t, None if zlib.crc32(str(k).encode()) % 5 == 1 else lang, s) for k, t, lang, s in rows]
+    assert {k: v["cross_entropy"] for k, v in by_id(languages(docs(hidden))).items()} == pytest.approx({k: v["cross_entropy"] for k, v in shown.items()})
