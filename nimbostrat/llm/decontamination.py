@@ -74,22 +74,22 @@ def tiles(text: np.ndarray, item: np.ndarray, seeds: list[tuple[int, int]], leas
 
 
 class ItemIndex:
-    """Word ids and sorted seed hashes of a block of test items."""
+    """Word ids and sorted seed hashes of a block of test items, numbered by place, as ids may repeat or be null."""
 
-    def __init__(self, items: list[tuple[int, str]], least: int):
-        self.least, self.vocabulary, self.words = least, {}, {}
+    def __init__(self, items: list[tuple[int | None, str]], least: int):
+        self.least, self.vocabulary, self.words, self.item_ids = least, {}, {}, [item_id for item_id, _ in items]
         hashes, owners, places = [], [], []
-        for item_id, text in items:
+        for number, (_, text) in enumerate(items):
             words = words_of(text)
             ids = np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words], np.uint64)
             # an item shorter than a seed is matched whole
             size = min(least, len(ids))
             if not size:
                 continue
-            self.words[item_id] = ids
+            self.words[number] = ids
             h = run_hashes(ids, size)
             hashes.append(h ^ np.uint64(size))
-            owners += [item_id] * len(h)
+            owners += [number] * len(h)
             places += range(len(h))
         self.sizes = sorted({min(least, len(ids)) for ids in self.words.values()})
         keys = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
@@ -97,7 +97,7 @@ class ItemIndex:
         self.keys, self.owners, self.places = keys[order], np.array(owners, np.int64)[order], np.array(places, np.int64)[order]
 
     def seeds(self, ids: np.ndarray, size: int) -> dict[int, list[tuple[int, int]]]:
-        """Matching positions (text, item) by item."""
+        """Matching positions (text, item) by the item's number."""
         known = ids != 0
         whole = known[: max(len(ids) - size + 1, 0)].copy()
         for k in range(1, size):
@@ -116,7 +116,7 @@ class ItemIndex:
                     found[owner].append((i, place))
         return found
 
-    def leaks(self, text: str, coverage: float) -> list[tuple[int, float, int]]:
+    def leaks(self, text: str, coverage: float) -> list[tuple[int | None, float, int]]:
         """(item, covered share, tiles) of all items that leak into a text."""
         get = self.vocabulary.get
         ids = np.array([get(w, 0) for w in words_of(text)], np.uint64)
@@ -130,14 +130,14 @@ class ItemIndex:
                 marked = tiles(ids, item, pairs, size)
                 share = sum(n for _, _, n in marked) / len(item)
                 if share >= coverage:
-                    out.append((owner, share, len(marked)))
-        return sorted(out, key=lambda x: (-x[1], x[0]))
+                    out.append((self.item_ids[owner], share, len(marked)))
+        return sorted(out, key=lambda x: (-x[1], x[0] is None, x[0] or 0, x[2]))
 
 
-def _blocks(items: DataFrame, text: str, limit: int) -> Iterator[list[tuple[int, str]]]:
+def _blocks(items: DataFrame, text: str, limit: int) -> Iterator[list[tuple[int | None, str]]]:
     """Items in id order, in blocks of about ``limit`` words; the driver holds one block."""
     block, size = [], 0
-    for row in items.select("item_id", F.col(text).alias("text")).where(F.col("item_id").isNotNull() & F.col(text).isNotNull()).distinct().orderBy("item_id", "text").toLocalIterator():
+    for row in items.select("item_id", F.col(text).alias("text")).where(F.col(text).isNotNull()).distinct().orderBy("item_id", "text").toLocalIterator():
         n = len(row["text"]) // 2 + 1
         if block and size + n > limit * 3:
             yield block
@@ -152,9 +152,10 @@ def find_leaks(docs: DataFrame, items: DataFrame, text: str = "text", item_text:
 
     docs: any table with a string column named by ``text``; columns with the
     names of the results are replaced, all others pass through. items: item_id
-    and a text; an item without words, a null item or a null text matches
-    nothing. item_id, coverage and n_tiles are of the item covered most (the
-    smallest id among equals), null and 0 where none leaks. Null and empty texts
+    and a text; an item without words or of null text matches nothing. Each
+    distinct pair of item_id, which may be null, and text is an item of its own.
+    item_id, coverage and n_tiles are of the item covered most (the smallest id
+    among equals, null last), null and 0 where none leaks. Null and empty texts
     are clean. Repeated rows are judged one by one.
     """
     spark = docs.sparkSession
@@ -169,7 +170,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, text: str = "text", item_text:
         out = _pass(out, body, ItemIndex(block, least), coverage, state)
         states.append(state)
     n = sum((F.col(f"{s}.n") for s in states), F.lit(0))
-    best = F.sort_array(F.array(*[F.struct(F.coalesce(-F.col(f"{s}.coverage"), F.lit(1.0)).alias("order"), F.col(f"{s}.item_id").alias("item_id"), F.col(f"{s}.coverage").alias("coverage"), F.col(f"{s}.n_tiles").alias("n_tiles")) for s in states]))[0] if len(states) > 1 else F.col(states[0])
+    best = F.sort_array(F.array(*[F.struct(F.coalesce(-F.col(f"{s}.coverage"), F.lit(1.0)).alias("order"), F.col(f"{s}.item_id").isNull().alias("no_id"), F.col(f"{s}.item_id").alias("item_id"), F.col(f"{s}.coverage").alias("coverage"), F.col(f"{s}.n_tiles").alias("n_tiles")) for s in states]))[0] if len(states) > 1 else F.col(states[0])
     found = fresh("best")
     return out.withColumn(found, best).select(
         *[F.col(f"`{c}`") for c in kept],

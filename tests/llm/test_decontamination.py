@@ -71,5 +71,14 @@ def test_odd_tables(spark, docs, items):
     assert [r["contaminated"] for r in find_leaks(clash, items).collect()] == [True, True]
 
 
+@pytest.mark.parametrize("block_words", [20, 2_000_000])
+def test_items_that_share_an_id_or_have_none(spark, docs, by_id, block_words):
+    texts = [" ".join(RNG.choices(VOCABULARY, k=40)) for _ in range(4)]
+    items = spark.createDataFrame([(5, texts[0]), (5, texts[1]), (None, texts[2]), (None, texts[3]), (7, texts[3])], "item_id bigint, text string")
+    rows = [*enumerate(texts), (4, " ".join(RNG.choices(VOCABULARY, k=40))), (6, texts[0] + " " + texts[1])]
+    out = by_id(find_leaks(docs(rows), items, block_words=block_words))
+    assert {k: (v["contaminated"], v["item_id"], v["n_items"]) for k, v in out.items()} == {0: (True, 5, 1), 1: (True, 5, 1), 2: (True, None, 1), 3: (True, 7, 2), 4: (False, None, 0), 6: (True, 5, 2)}
+
+
 def test_words():
     assert words_of("It's A_b 3.") == ["it", "s", "a_b", "3"]
