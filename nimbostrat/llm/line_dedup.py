@@ -60,52 +60,60 @@ def parse_lines(docs: DataFrame, key: str, text: str, depth: int = DEPTH) -> Dat
     return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, place int, leaf bigint, line bigint")
 
 
-def templates(lines: np.ndarray, similarity: float) -> np.ndarray:
-    """For each row of word hashes the number of its template, in order of first use.
+class Templates:
+    """The templates of one leaf so far: 8 bytes a word of each, no lines."""
 
-    A line joins the first template with the most equal words, if these are at
-    least ``similarity`` of all; the places that differ become wildcards.
-    """
-    known = np.zeros((0, lines.shape[1]), np.int64)
-    out = np.zeros(len(lines), np.int64)
-    for k, line in enumerate(lines):
-        if len(known):
-            agree = ((known == line) & (line != WILDCARD)).sum(axis=1) + ((known == WILDCARD)).sum(axis=1) * 0.5
-            best = int(agree.argmax())
-            if agree[best] >= similarity * lines.shape[1]:
-                known[best][known[best] != line] = WILDCARD
-                out[k] = best
-                continue
-        out[k] = len(known)
-        known = np.concatenate([known, line[None]])
-    return out
+    def __init__(self, width: int, similarity: float):
+        self.similarity, self.n = similarity, 0
+        self.known, self.wild = np.zeros((16, width), np.int64), np.zeros(16, np.int64)
 
+    def place(self, line: np.ndarray) -> int:
+        """The number of the line's template, in order of first use.
 
-def assign_templates(distinct: DataFrame, similarity: float) -> DataFrame:
-    """leaf, line, template of distinct lines; distinct: leaf, line, words (an array of hashes)."""
+        A line joins the first template with the most equal words, if these are
+        at least ``similarity`` of all; the places that differ become wildcards.
+        """
+        if self.n:
+            agree = ((self.known[: self.n] == line) & (line != WILDCARD)).sum(axis=1) + self.wild[: self.n] * 0.5
+            best = int(agree.argmax())
+            if agree[best] >= self.similarity * len(line):
+                one = self.known[best]
+                one[one != line] = WILDCARD
+                self.wild[best] = (one == WILDCARD).sum()
+                return best
+        if self.n == len(self.known):
+            self.known, self.wild = np.concatenate([self.known, np.zeros_like(self.known)]), np.concatenate([self.wild, np.zeros_like(self.wild)])
+        self.known[self.n], self.wild[self.n] = line, (line == WILDCARD).sum()
+        self.n += 1
+        return self.n - 1
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        leaf, lines, words = None, [], []
 
-        def result() -> pa.RecordBatch:
-            found = templates(np.array(words, np.int64).reshape(len(words), -1), similarity)
-            return pa.RecordBatch.from_arrays([pa.array([leaf] * len(lines), pa.int64()), pa.array(lines, pa.int64()), pa.array(found)], names=["leaf", "line", "template"])
+def templates(lines: np.ndarray, similarity: float) -> np.ndarray:
+    """For each row of word hashes the number of its template."""
+    known = Templates(lines.shape[1], similarity)
+    return np.array([known.place(line) for line in lines], np.int64)
+
+
+def place_lines(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    """leaf, line, template of each batch of leaf, line, words, where the rows of a leaf follow each other."""
+    leaf, known = None, None
+    for batch in batches:
+        leaves, lines, found = [], [], []
+        for at, line, row in zip(*[batch.column(c).to_pylist() for c in range(3)], strict=True):
+            if at != leaf:
+                leaf, known = at, Templates(len(row), similarity)
+            if len(row) != known.known.shape[1]:
+                continue  # two leaves of one hash; never seen
+            leaves.append(leaf)
+            lines.append(line)
+            found.append(known.place(np.array(row, np.int64)))
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (leaves, lines, found)], names=["leaf", "line", "template"])
 
-        for batch in batches:
-            for at, line, row in zip(*[batch.column(c).to_pylist() for c in range(3)], strict=True):
-                if at != leaf:
-                    if lines:
-                        yield result()
-                    leaf, lines, words = at, [], []
-                if words and len(row) != len(words[0]):
-                    continue  # two leaves of one hash; never seen
-                lines.append(line)
-                words.append(row)
-        if lines:
-            yield result()
 
+def assign_templates(distinct: DataFrame, similarity: float) -> DataFrame:
+    """leaf, line, template of distinct lines; distinct: leaf, line, words (an array of hashes)."""
     ordered = distinct.select("leaf", "line", "words").repartition("leaf").sortWithinPartitions("leaf", "line")
-    return ordered.mapInArrow(run, "leaf bigint, line bigint, template bigint")
+    return ordered.mapInArrow(lambda batches: place_lines(batches, similarity), "leaf bigint, line bigint, template bigint")
 
 
 def drop_recurring_lines(docs: DataFrame, text: str = "text", min_docs: int = MIN_DOCS, depth: int = DEPTH, similarity: float = SIMILARITY) -> DataFrame:

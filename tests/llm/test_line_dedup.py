@@ -1,6 +1,7 @@
 import numpy as np
+import pyarrow as pa
 
-from nimbostrat.llm.line_dedup import drop_recurring_lines, templates
+from nimbostrat.llm.line_dedup import WILDCARD, drop_recurring_lines, place_lines, templates
 
 
 def test_recurring_templates_go_everywhere(docs, by_id):
@@ -27,3 +28,37 @@ def test_odd_tables(docs):
 def test_templates_generalise_differing_places():
     lines = np.array([[1, 2, 3, 4, 5], [1, 2, 9, 4, 5], [1, 2, 8, 4, 5], [7, 7, 7, 7, 7]])
     assert templates(lines, 0.7).tolist() == [0, 0, 0, 1]
+
+
+def plain_templates(lines, similarity):
+    """Each line against every template, written out."""
+    known, out = [], []
+    for line in lines:
+        agree = [sum(0.5 if a == WILDCARD else float(a == b) for a, b in zip(t, line, strict=True)) for t in known]
+        best = agree.index(max(agree)) if known else -1
+        if known and agree[best] >= similarity * len(line):
+            known[best] = [a if a == b else WILDCARD for a, b in zip(known[best], line, strict=True)]
+        else:
+            best = len(known)
+            known.append(list(line))
+        out.append(best)
+    return out
+
+
+def test_a_leaf_of_thousands_of_lines_is_placed_batch_by_batch():
+    rng = np.random.default_rng(2)
+    lines = np.concatenate([np.full((8000, 3), 1), rng.integers(0, 30, (8000, 7))], axis=1)
+    taken = []
+
+    def batches():
+        for k in range(0, len(lines), 500):
+            taken.append(k)
+            part = lines[k : k + 500]
+            yield pa.RecordBatch.from_arrays([pa.array([7] * len(part), pa.int64()), pa.array(range(k, k + len(part)), pa.int64()), pa.array(part.tolist(), pa.list_(pa.int64()))], names=["leaf", "line", "words"])
+
+    got = place_lines(batches(), 0.7)
+    first = next(got)
+    assert len(taken) == 1 and first.column(2).to_pylist() == plain_templates(lines[:500].tolist(), 0.7)
+    rest = [x for b in got for x in b.column(2).to_pylist()]
+    assert len(rest) == 7500 and first.column(2).to_pylist() + rest == templates(lines, 0.7).tolist()
+    assert templates(lines[:1200], 0.7).tolist() == plain_templates(lines[:1200].tolist(), 0.7)
