@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import itertools
+import uuid
+import weakref
 
 import numpy as np
 import pyarrow as pa
@@ -27,19 +29,39 @@ def fresh(prefix: str) -> str:
     return f"__{prefix}_{next(_FRESH)}"
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: the session's ``spark.checkpoint.dir``.
+
+    Only in local mode, as in tests, it may be unset; then it is below the warehouse.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return folder or f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints"
+
+
 def saved(df: DataFrame) -> DataFrame:
-    """``df`` cut off from its lineage through ``spark.checkpoint.dir``.
+    """``df`` written to a table in the shared folder and read again.
 
-    The folder named by the session is used; only where none is set (as in
-    tests) a folder under the warehouse is.  Checkpoints survive the loss of
-    executors, unlike local ones.
+    That cuts its lineage and survives the loss of executors.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints")
-    return df.checkpoint(eager=True)
+    spark, path = df.sparkSession, f"{shared_folder(df.sparkSession)}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _PATHS[id(out)] = path
+    weakref.finalize(out, _PATHS.pop, id(out), None)
+    return out
+
+
+_PATHS: dict[int, str] = {}
+
+
+def forget(table: DataFrame) -> None:
+    """Remove a table of ``saved`` that nothing will read any more."""
+    if path := _PATHS.pop(id(table), None):
+        spark = table.sparkSession
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
 
 
 #: Rows of ids that are broadcast at most, about 32 bytes each.

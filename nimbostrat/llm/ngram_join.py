@@ -1,18 +1,20 @@
 """N-gram Jaccard self-join over a count-vector R-tree.
 
 Each text becomes the set of its distinct word shingles.  Shingles fall into
-``GROUPS`` hash groups; the group counts are the text's point, and the summed
-minima of two points' coordinates bound their sets' overlap from above.
+hash groups; the group counts are the text's point, and the summed minima of two
+points' coordinates bound their sets' overlap from above.
 
 Texts with equal sets form a class, joined through its representative alone.
 Two sets that link share one of the shingles that come first in a global order
-(a prefix of n - ceil(t n) + 1 each), so the points are sharded by such keys:
-in a shard, points within the bound are gathered around leaders.  The candidate
-clusters so found hold every link; in each, an R-tree over the points prunes by
-the bound and the surviving pairs are verified on the sets.  Very frequent
-shingles come last in the order, so shards stay small; they come from a
-frequent-item sketch of fixed size over all texts.  The order affects only the
-cost, never the result.
+(a prefix of n - ceil(t n) + 1 each), so the points are sharded by such keys,
+and in a shard points within the bound are connected.  A key of more points than
+``RUN`` is dealt in parts; each part gives its groups' leaders with the distance
+of their furthest member, and leaders whose groups may hold a link are connected
+too.  The candidate clusters so found hold every link; in each, an R-tree over
+the points finds what the bound allows, and those pairs are verified on the sets.
+Very frequent shingles come last in the order, so shards stay small; they come
+from a frequent-item sketch of fixed size over all texts.  The order affects only
+the cost, never the result.
 """
 
 from __future__ import annotations
@@ -24,27 +26,29 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from nimbostrat.llm.common import bound_batches, mix64, saved, strings, within_reach
+from nimbostrat.llm.common import bound_batches, forget, mix64, saved, strings, within_reach
 
-GROUPS = 256
+#: Groups of the points in the tree, and most and fewest groups of those sent by key.
+GROUPS, MOST_GROUPS, FEWEST_GROUPS = 256, 1024, 16
 #: Frequent shingles that the sketch tracks, 8 bytes each when broadcast.
 TRACKED = 1 << 16
 FREQUENT = 512
 #: Sets verified together in one task; a larger cluster is dealt in blocks.
-CLUSTER = 4096
+CLUSTER = 1024
 #: Shingles that the sets verified together hold, about 35 bytes each; it bounds
 #: the memory of a task where the texts are long.
 LOAD = 1 << 22
-FANOUT = 32
-#: Points of one key compared directly; more of them are gathered around leaders.
-RUN = 20_000
+FANOUT = 16
+#: Points of one key compared directly; more of them are dealt in parts of about so many.
+RUN = 4096
 #: Vertices of a task held before their edges are given out.
 FOREST = 200_000
 #: Characters of text shingled together.
 CHUNK_CHARS = 1 << 20
 
+#: Fixed: the integers of a packed point.
+_KINDS = ("u1", "<u2", "<u4")
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -98,22 +102,47 @@ def shingle_sets(texts: pa.Array, width: int) -> Iterator[np.ndarray]:
         start = end
 
 
-def point(shingles: np.ndarray) -> np.ndarray:
-    """Counts of the shingles by hash group."""
-    return np.bincount((shingles >> np.uint64(3)).astype(np.int64) & (GROUPS - 1), minlength=GROUPS).astype(np.uint32)
+def point(shingles: np.ndarray, groups: int = GROUPS) -> np.ndarray:
+    """Counts of the shingles by hash group; half the groups are sums of two."""
+    return np.bincount((shingles >> np.uint64(3)).astype(np.int64) & (groups - 1), minlength=groups).astype(np.uint32)
 
 
 def packed(counts: np.ndarray) -> bytes:
-    """A point in 8-bit integers, or in wider ones where a count needs them."""
-    most = counts.max(initial=0)
-    return counts.astype("u1" if most < 1 << 8 else "<u2" if most < 1 << 16 else "<u4").tobytes()
-
-
-def unpacked(rows: list[bytes]) -> np.ndarray:
-    if all(len(r) == GROUPS for r in rows):
-        return np.frombuffer(b"".join(rows), np.uint8).reshape(-1, GROUPS)
-    kinds = {GROUPS: "u1", 2 * GROUPS: "<u2", 4 * GROUPS: "<u4"}
-    return np.array([np.frombuffer(r, kinds[len(r)]) for r in rows], np.uint32).reshape(-1, GROUPS)
+    """A byte that gives the groups and the kind of integer, and the counts in the narrowest one."""
+    kind = int(np.searchsorted([1 << 8, 1 << 16], counts.max(initial=0), "right"))
+    return bytes([len(counts).bit_length() << 2 | kind]) + counts.astype(_KINDS[kind]).tobytes()
+
+
+class Points:
+    """Packed points of several resolutions, compared at the coarser one of each pair."""
+
+    def __init__(self, rows: pa.Array):
+        raw = rows.cast(pa.large_binary())
+        offsets = np.frombuffer(raw.buffers()[1], np.int64)[raw.offset : raw.offset + len(raw) + 1]
+        data = np.frombuffer(raw.buffers()[2] or b"", np.uint8)
+        heads = data[offsets[:-1]] if len(raw) else np.zeros(0, np.uint8)
+        self.bits, self.row, self.counts = (heads >> 2).astype(np.int64), np.zeros(len(raw), np.int64), {}
+        for bits in np.unique(self.bits).tolist():
+            parts = []
+            for kind in np.unique(heads[self.bits == bits] & 3).tolist():
+                at = np.flatnonzero(heads == (bits << 2 | kind))
+                width = (1 << bits - 1) * np.dtype(_KINDS[kind]).itemsize
+                body = data[offsets[at][:, None] + np.arange(1, width + 1)]
+                self.row[at] = np.arange(len(at)) + sum(map(len, parts))
+                parts.append(np.ascontiguousarray(body).view(_KINDS[kind]))
+            self.counts[bits] = np.concatenate(parts) if len(parts) > 1 else parts[0]
+
+    def overlap(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Summed minima of the points numbered ``a`` and those numbered ``b``, pair by pair."""
+        out, kinds = np.zeros(len(a), np.int64), self.bits[a] << 8 | self.bits[b]
+        for kind in np.unique(kinds).tolist():
+            some, (x, y) = np.flatnonzero(kinds == kind), (kind >> 8, kind & 255)
+            left, right = self.counts[x][self.row[a[some]]], self.counts[y][self.row[b[some]]]
+            low = 1 << min(x, y) - 1
+            if x != y:
+                left, right = (m.reshape(len(some), -1, low).sum(axis=1, dtype=np.int64) for m in (left, right))
+            out[some] = np.minimum(left, right).sum(axis=1, dtype=np.int64)
+        return out
 
 
 class Threshold:
@@ -127,6 +156,11 @@ class Threshold:
         """Shingles of which a linked set shares at least one."""
         return n - -(-self.percent * n // 100) + 1 if n else 0
 
+    def groups(self, n: int) -> int:
+        """Groups at which unrelated points of n shingles lie well beyond the bound."""
+        wanted = n * (2.7 * self.radius) ** 2
+        return min(max(1 << int(wanted).bit_length(), FEWEST_GROUPS), MOST_GROUPS)
+
     def links(self, shared, n, m):
         return 100 * shared >= self.percent * (n + m - shared)
 
@@ -158,7 +192,7 @@ def frequent_shingles(docs: DataFrame, text: str, width: int, tracked: int = TRA
 
 
 def signatures(docs: DataFrame, text: str, width: int, limits: Threshold, frequent: np.ndarray) -> DataFrame:
-    """doc_id, text_hash, n, set_hash (16 bytes), point, prefix of every row."""
+    """rid, doc_id, text_hash, n, set_hash (16 bytes), point, prefix of every row."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,7 +210,7 @@ def signatures(docs: DataFrame, text: str, width: int, limits: Threshold, freque
                     first = signed[:size]
                 n.append(len(s))
                 hashes.append(np.array([mix64(s ^ _A).sum(dtype=np.uint64), mix64(s ^ _B).sum(dtype=np.uint64)]).tobytes())
-                points.append(packed(point(s)))
+                points.append(packed(point(s, limits.groups(len(s)))))
                 prefixes.append(first)
             offsets = np.concatenate([[0], np.cumsum([len(p) for p in prefixes])]).astype(np.int32)
             keys = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(prefixes) if prefixes else np.zeros(0, np.int64)))
@@ -184,49 +218,8 @@ def signatures(docs: DataFrame, text: str, width: int, limits: Threshold, freque
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_hash", "n", "set_hash", "point", "prefix"])
 
     given = docs.select("doc_id", F.col(text).alias("text"), F.xxhash64(text).alias("text_hash"))
-    return given.mapInArrow(run, "doc_id bigint, text_hash bigint, n int, set_hash binary, point binary, prefix array<bigint>")
-
-
-class Canopies:
-    """Points of one key, ascending in size, gathered around leaders.
-
-    A point that may link with a leader joins it for good. A point further away,
-    but so near that it may link with one that has joined, joins and stays in
-    play. So the clusters of joined points hold every pair that may link.
-    """
-
-    def __init__(self, limits: Threshold):
-        self.limits, self.ids, self.sizes, self.points = limits, np.zeros(0, np.int64), np.zeros(0), np.zeros((0, GROUPS), np.uint8)
-
-    def add(self, ids: np.ndarray, sizes: np.ndarray, points: np.ndarray, edges: list) -> None:
-        t, radius = self.limits.t, self.limits.radius
-        free = np.ones(len(ids), bool)
-
-        def reach(leader: int, size: float, centre: np.ndarray, start: int) -> None:
-            # sizes ascend: beyond a size nothing can link, even by way of another
-            end = int(np.searchsorted(sizes, size / t / t * (1 + 1e-9), "right"))
-            some = slice(start, end)
-            if start >= end:
-                return
-            n = sizes[some]
-            apart = n + size - 2.0 * np.minimum(points[some], centre).sum(axis=1)
-            low = np.minimum(n, size)
-            loose = apart <= (n + size + 2 * low / t) * radius + 1e-6
-            tight = self.limits.close(np.minimum(points[some], centre).sum(axis=1, dtype=np.int64), n, size) & free[some]
-            for k in np.flatnonzero(loose & free[some]):
-                edges.append((int(ids[start + k]), leader))
-            free[some] &= ~tight
-
-        first = sizes[0] * t * t * (1 - 1e-9)
-        for k in range(int(np.searchsorted(self.sizes, first)), len(self.ids)):
-            reach(int(self.ids[k]), float(self.sizes[k]), self.points[k], 0)
-        new = []
-        for k in range(len(ids)):
-            if free[k]:
-                free[k] = False
-                new.append(k)
-                reach(int(ids[k]), float(sizes[k]), points[k], k + 1)
-        self.ids, self.sizes, self.points = np.concatenate([self.ids, ids[new]]), np.concatenate([self.sizes, sizes[new]]), np.concatenate([self.points, points[new]])
+    rows = given.mapInArrow(run, "doc_id bigint, text_hash bigint, n int, set_hash binary, point binary, prefix array<bigint>")
+    return rows.withColumn("rid", F.monotonically_increasing_id())
 
 
 class Forest:
@@ -255,171 +248,210 @@ class Forest:
         return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
 
 
-def near_groups(sizes: np.ndarray, points: np.ndarray, limits: Threshold) -> np.ndarray:
-    """For each point, sizes ascending, the first one that it reaches over possible links."""
+def near_groups(sizes: np.ndarray, points: Points, start: int, limits: Threshold) -> np.ndarray:
+    """For each of the points from ``start`` on, sizes ascending, the first one that it reaches over possible links."""
     root, open_ = np.arange(len(sizes)), np.ones(len(sizes), bool)
     low = np.searchsorted(sizes, sizes * limits.t * (1 - 1e-9))
     high = np.searchsorted(sizes, sizes / limits.t * (1 + 1e-9), "right")
-    for start in range(len(sizes)):
-        if not open_[start]:
+    for first in range(len(sizes)):
+        if not open_[first]:
             continue
-        open_[start], queue = False, [start]
+        open_[first], queue = False, [first]
         while queue:
             k = queue.pop()
             some = low[k] + np.flatnonzero(open_[low[k] : high[k]])
             if len(some):
-                overlap = np.minimum(points[some], points[k]).sum(axis=1, dtype=np.int64)
+                overlap = points.overlap(np.full(len(some), start + k), start + some)
                 some = some[limits.close(overlap, sizes[some], sizes[k])]
-                open_[some], root[some] = False, start
+                open_[some], root[some] = False, first
                 queue.extend(some.tolist())
     return root
 
 
+_LEADER = {"key": pa.int64(), "rid": pa.int64(), "low": pa.int64(), "high": pa.int64(), "reach": pa.int64(), "point": pa.binary()}
+
+
 def candidate_edges(entries: DataFrame, limits: Threshold) -> DataFrame:
     """a, b: stars that connect what may link; entries: key, rid, n, point.
 
-    The points of one key come together, sizes ascending. Up to ``RUN`` of them
-    are compared with each other until all are connected; of more, only leaders
-    are held.
+    The points of one key come together, sizes ascending, and are compared with
+    each other until all are connected. A key of more than ``RUN`` points comes
+    in parts, and the leaders of the parts' groups are connected afterwards.
     """
+    most = RUN
+    hot = saved(entries.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > most))
+    parts = F.when(F.col("c").isNull(), 0).otherwise(1 + F.pmod(F.xxhash64("rid"), F.ceil(F.col("c") / most))).alias("part")
+    dealt = entries.join(within_reach(hot), "key", "left").select("key", parts, "n", "rid", "point")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forest, canopies, canopy_key = Forest(), None, None
-        keys, rids, sizes, points = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, GROUPS), np.uint8)
+        forest, held = Forest(), None
 
-        def settle(upto: int) -> None:
-            """Edges of the complete keys among the first rows."""
-            cuts = np.concatenate([[0], np.flatnonzero(np.diff(keys[:upto])) + 1, [upto]])
+        def settle(rows: pa.RecordBatch) -> pa.RecordBatch:
+            """Edges of complete groups into the forest; the leaders of parts are returned."""
+            keys, part, sizes, rids = (rows.column(c).to_numpy().astype(np.int64) for c in range(4))
+            points = Points(rows.column(4))
+            cuts = np.concatenate([[0], np.flatnonzero((np.diff(keys) != 0) | (np.diff(part) != 0)) + 1, [len(keys)]])
             lengths = np.diff(cuts)
-            two = cuts[:-1][lengths == 2]
-            overlap = np.minimum(points[two], points[two + 1]).sum(axis=1, dtype=np.int64)
-            two = two[limits.close(overlap, sizes[two], sizes[two + 1])]
+            two = cuts[:-1][(lengths == 2) & (part[cuts[:-1]] == 0)]
+            two = two[limits.close(points.overlap(two, two + 1), sizes[two], sizes[two + 1])]
             forest.add(zip(rids[two].tolist(), rids[two + 1].tolist(), strict=True))
-            for a, b in zip(cuts[:-1][lengths > 2].tolist(), cuts[1:][lengths > 2].tolist(), strict=True):
+            leaders = []
+            more = (lengths > 2) | (part[cuts[:-1]] > 0)
+            for a, b in zip(cuts[:-1][more].tolist(), cuts[1:][more].tolist(), strict=True):
                 own = rids[a:b].tolist()
-                if len({forest.root(r) for r in own}) > 1:
-                    root = near_groups(sizes[a:b], points[a:b], limits)
-                    forest.add((own[k], own[r]) for k, r in enumerate(root.tolist()) if r != k)
+                if not part[a] and len({forest.root(r) for r in own}) == 1:
+                    continue
+                root = near_groups(sizes[a:b], points, a, limits)
+                forest.add((own[k], own[r]) for k, r in enumerate(root.tolist()) if r != k)
+                if part[a]:
+                    apart = sizes[a:b] + sizes[a + root] - 2 * points.overlap(np.arange(a, b), a + root)
+                    for k in np.unique(root).tolist():
+                        of = a + np.flatnonzero(root == k)
+                        # at the coarsest resolution of its group, so that distances to members bound from above
+                        centre = points.counts[points.bits[a + k]][points.row[a + k]].reshape(-1, 1 << points.bits[of].min() - 1).sum(axis=0, dtype=np.int64)
+                        leaders.append((int(keys[a]), own[k], int(sizes[of].min()), int(sizes[of].max()), int(apart[of - a].max()), packed(centre)))
+            columns = zip(*leaders, strict=True) if leaders else [[]] * len(_LEADER)
+            return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, _LEADER.values(), strict=True)], names=list(_LEADER))
+
+        def out(leaders: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            nothing = pa.nulls(leaders.num_rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([nothing, nothing, *leaders.columns], names=["a", "b", *_LEADER])
+            if len(forest.above) > FOREST:
+                yield from stars()
+
+        def stars() -> Iterator[pa.RecordBatch]:
+            found = forest.stars()
+            yield pa.RecordBatch.from_arrays([*found.columns, *[pa.nulls(found.num_rows, t) for t in _LEADER.values()]], names=["a", "b", *_LEADER])
 
         for batch in batches:
-            keys = np.concatenate([keys, batch.column(0).to_numpy()])
-            rids = np.concatenate([rids, batch.column(1).to_numpy()])
-            sizes = np.concatenate([sizes, batch.column(2).to_numpy().astype(np.int64)])
-            points = np.concatenate([points, unpacked(batch.column(3).to_pylist())])
-            while len(keys):
-                first = int(np.searchsorted(keys, keys[0], "right")) if keys[0] == canopy_key else 0
-                if first:  # more of a key that is gathered around leaders
-                    edges: list[tuple[int, int]] = []
-                    canopies.add(rids[:first], sizes[:first].astype(float), points[:first], edges)
-                    forest.add(edges)
-                else:
-                    last = int(np.searchsorted(keys, keys[-1]))
-                    settle(last)
-                    first = last
-                    if len(keys) - last > RUN:
-                        canopies, canopy_key = Canopies(limits), keys[-1]
-                    elif not last:
-                        break
-                keys, rids, sizes, points = keys[first:], rids[first:], sizes[first:], points[first:]
-            if len(forest.above) > FOREST:
-                yield forest.stars()
-        settle(len(keys))
+            rows = batch if held is None else pa.concat_batches([held, batch]) if held.num_rows else batch
+            key, part = rows.column(0).to_numpy(), rows.column(1).to_numpy()
+            other = np.flatnonzero((key != key[-1]) | (part != part[-1])) if len(key) else []
+            last = int(other[-1]) + 1 if len(other) else 0
+            if last:
+                yield from out(settle(rows.slice(0, last)))
+            held = rows.slice(last)
+        if held is not None and held.num_rows:
+            yield from out(settle(held))
+        yield from stars()
+
+    schema = "a bigint, b bigint, key bigint, rid bigint, low bigint, high bigint, reach bigint, point binary"
+    found = saved(dealt.repartition("key", "part").sortWithinPartitions("key", "part", "n", "rid").mapInArrow(run, schema))
+    edges, leaders = found.where("a IS NOT NULL").select("a", "b"), found.where("a IS NULL").drop("a", "b")
+    return edges if hot.isEmpty() else edges.unionByName(leader_edges(leaders, limits, most))
+
+
+def leader_edges(leaders: DataFrame, limits: Threshold, most: int) -> DataFrame:
+    """a, b: leaders of one key whose groups may hold a link between them.
+
+    leaders: key, rid, point, low and high (sizes in the group), reach (the
+    distance of its furthest member). Distances of points obey the triangle
+    inequality. Leaders are dealt in blocks, and two blocks meet in one task.
+    """
+    blocks = leaders.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / most).alias("m"))
+    own = F.pmod(F.xxhash64("rid", F.lit(9)), "m")
+    pairs = F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("m") - 1), lambda k: F.struct(F.least(own, k).alias("i"), F.greatest(own, k).alias("j")))
+    dealt = leaders.join(blocks, "key").withColumn("g", F.explode(pairs)).select("key", "g.i", "g.j", "rid", "low", "high", "reach", "point")
+
+    def run(groups: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forest, held = Forest(), None
+
+        def settle(rows: pa.RecordBatch) -> None:
+            name = np.stack([rows.column(c).to_numpy() for c in range(3)])
+            rid, low, high, reach = (rows.column(c).to_numpy() for c in range(3, 7))
+            points = Points(rows.column(7))
+            size = np.array([points.counts[b][r].sum(dtype=np.int64) for b, r in zip(points.bits.tolist(), points.row.tolist(), strict=True)], np.int64)
+            cuts = np.concatenate([[0], np.flatnonzero((np.diff(name) != 0).any(axis=0)) + 1, [rows.num_rows]])
+            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                for k in range(a, b - 1):
+                    some = np.arange(k + 1, b)
+                    some = some[(low[some] <= high[k] / limits.t + 1) & (low[k] <= high[some] / limits.t + 1)]
+                    apart = size[some] + size[k] - 2 * points.overlap(np.full(len(some), k), some)
+                    near = some[apart <= reach[some] + reach[k] + limits.radius * (high[some] + high[k]) + 1e-6]
+                    forest.add((int(rid[k]), r) for r in rid[near].tolist())
+
+        for batch in groups:
+            rows = batch if held is None else pa.concat_batches([held, batch])
+            name = np.stack([rows.column(c).to_numpy() for c in range(3)])
+            other = np.flatnonzero((name != name[:, -1:]).any(axis=0)) if rows.num_rows else []
+            last = int(other[-1]) + 1 if len(other) else 0
+            if last:
+                settle(rows.slice(0, last))
+            held = rows.slice(last)
+        if held is not None and held.num_rows:
+            settle(held)
         yield forest.stars()
 
-    ordered = entries.select("key", "rid", "n", "point").repartition("key").sortWithinPartitions("key", "n", "rid")
-    return ordered.mapInArrow(run, "a bigint, b bigint").distinct()
+    return dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "rid").mapInArrow(run, "a bigint, b bigint")
 
 
 def components(edges: DataFrame) -> DataFrame:
     """v, root: the smallest vertex that each vertex reaches over the edges a, b.
 
     Rounds of minima over neighbours with pointer jumping; each round is written
-    to the shared checkpoint folder. Neighbours are never gathered in a list.
+    to the shared folder and the one before it removed. Neighbours are never
+    gathered in a list.
     """
-    both = saved(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))))
-    labels = saved(both.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("m")).select("v", F.least("v", "m").alias("root")))
+    both = saved(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    labels = saved(both.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("m")).select("v", F.least("v", "m").alias("root"), F.lit(True).alias("moved")))
     while True:
         near = both.join(labels, both["b"] == labels["v"]).groupBy(F.col("a").alias("w")).agg(F.min("root").alias("least"))
         step = labels.join(near, F.col("v") == F.col("w")).select("v", "root", F.least("root", "least").alias("next"))
         jump = step.select(F.col("v").alias("u"), F.col("next").alias("far"))
-        moved = saved(step.join(jump, F.col("next") == F.col("u")).select("v", F.col("far").alias("new"), "root"))
-        labels = moved.select("v", F.col("new").alias("root"))
-        if moved.where(F.col("new") != F.col("root")).limit(1).count() == 0:
-            return labels
+        after = saved(step.join(jump, F.col("next") == F.col("u")).select("v", F.col("far").alias("root"), (F.col("far") != F.col("root")).alias("moved")))
+        forget(labels)
+        labels = after
+        if labels.where("moved").isEmpty():
+            forget(both)
+            return labels.select("v", "root")
 
 
 class RTree:
-    """Points packed in leaves by size and then along coordinates, with bounding maxima."""
+    """A packed R-tree: nodes of ``FANOUT`` children with bounding maxima and least sizes, level by level."""
 
     def __init__(self, sizes: np.ndarray, points: np.ndarray):
-        slab = FANOUT * FANOUT
-        order = np.argsort(sizes, kind="stable")
-        parts = [order[i : i + slab] for i in range(0, len(order), slab)]
-        self.order = np.concatenate([p[np.argsort(points[p][:, k % GROUPS], kind="stable")] for k, p in enumerate(parts)])
-        self.starts = np.arange(0, len(order), FANOUT)
-        self.high = np.maximum.reduceat(points[self.order], self.starts, axis=0)
-        self.low_size = np.minimum.reduceat(sizes[self.order], self.starts)
+        # points of a like size and a like projection stand together: near copies share leaves
+        aim = np.random.default_rng(0).integers(-8, 9, points.shape[1])
+        slab, order = FANOUT * FANOUT, np.argsort(sizes, kind="stable")
+        places = points @ aim
+        self.order = np.concatenate([p[np.argsort(places[p], kind="stable")] for p in (order[i : i + slab] for i in range(0, len(order), slab))])
         self.sizes, self.points = sizes, points
+        self.levels: list[tuple[np.ndarray, np.ndarray]] = []
+        high, low = points[self.order], sizes[self.order]
+        while not self.levels or len(high) > 1:
+            starts = np.arange(0, len(high), FANOUT)
+            high, low = np.maximum.reduceat(high, starts, axis=0), np.minimum.reduceat(low, starts)
+            self.levels.append((high, low))
 
     def near(self, k: int, limits: Threshold, open_: np.ndarray) -> np.ndarray:
-        """Open points whose bound allows a link with point ``k``."""
+        """Open points whose bound allows a link with point ``k``, found from the root down."""
         size, centre = self.sizes[k], self.points[k]
-        overlap = np.minimum(self.high, centre).sum(axis=1, dtype=np.int64)
-        leaves = np.flatnonzero(limits.close(overlap, self.low_size, size))
-        if not len(leaves):
-            return leaves
-        at = (self.starts[leaves][:, None] + np.arange(FANOUT)).ravel()
-        at = self.order[at[at < len(self.order)]]
+        nodes = np.zeros(1, np.int64)
+        for level in range(len(self.levels) - 1, -1, -1):
+            high, low = self.levels[level]
+            overlap = np.minimum(high[nodes], centre).sum(axis=1, dtype=np.int64)
+            nodes = nodes[limits.close(overlap, low[nodes], size)]
+            below = len(self.levels[level - 1][1]) if level else len(self.order)
+            nodes = (nodes[:, None] * FANOUT + np.arange(FANOUT)).ravel()
+            nodes = nodes[nodes < below]
+        at = self.order[nodes]
         at = at[open_[at]]
         overlap = np.minimum(self.points[at], centre).sum(axis=1, dtype=np.int64)
         return at[limits.close(overlap, self.sizes[at], size)]
 
 
-class RareKeys:
-    """Sets by their prefix keys, rarest in this group first: linked sets share one."""
-
-    def __init__(self, sets: list[np.ndarray], limits: Threshold):
-        every = np.concatenate(sets)
-        every.sort()
-        starts = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]]))
-        shingles, counts = every[starts], np.diff(starts, append=len(every)).astype(np.int32)
-        del every, starts
-        self.keys = []
-        for own in sets:
-            at = np.searchsorted(shingles, own)
-            first = at[np.argsort(counts[at], kind="stable")[: limits.prefix(len(own))]]
-            self.keys.append(first[counts[first] > 1].astype(np.int32))  # what no other set holds leads nowhere
-        key = np.concatenate(self.keys)
-        order = np.argsort(key, kind="stable")
-        self.sorted, self.owners = key[order], np.repeat(np.arange(len(sets)), [len(k) for k in self.keys])[order]
-
-    def sharing(self, k: int) -> np.ndarray:
-        """Sets, ``k`` among them, that share a key with set ``k``; some more than once."""
-        own = self.keys[k]
-        first, last = np.searchsorted(self.sorted, own), np.searchsorted(self.sorted, own, "right")
-        return np.concatenate([self.owners[a:b] for a, b in zip(first.tolist(), last.tolist(), strict=True)]) if len(own) else own
-
-
 def linked(sets: list[np.ndarray], limits: Threshold) -> np.ndarray:
     """For each set the index of the first set that it reaches over verified links."""
     sizes = np.array([len(s) for s in sets], np.int64)
-    points = np.array([point(s) for s in sets])
-    tree, rare = RTree(sizes, points), RareKeys(sets, limits)
-    open_, root, asked = np.ones(len(sets), bool), np.arange(len(sets)), np.zeros(len(sets), bool)
+    tree = RTree(sizes, np.array([point(s) for s in sets]))
+    open_, root = np.ones(len(sets), bool), np.arange(len(sets))
     for start in range(len(sets)):
         if not open_[start]:
             continue
         open_[start], queue = False, [start]
         while queue:
             k = queue.pop()
-            some = rare.sharing(k)
-            some = some[open_[some]]
-            if not len(some):
-                continue
-            asked[some] = True
-            near = tree.near(k, limits, asked)
-            asked[some] = False
-            for j in near.tolist():
+            for j in tree.near(k, limits, open_).tolist():
                 small, large = (sets[k], sets[j]) if sizes[k] <= sizes[j] else (sets[j], sets[k])
                 at = np.minimum(np.searchsorted(large, small), len(large) - 1)
                 if limits.links(int((large[at] == small).sum()), int(sizes[k]), int(sizes[j])):
@@ -530,19 +562,18 @@ def ngram_join(docs: DataFrame, text: str = "text", width: int = 3, percent: int
     given = docs.select("doc_id", F.coalesce(F.col(text), F.lit("")).alias("text"))
     every = saved(signatures(given, "text", width, limits, frequent_shingles(given, "text", width)))
     full = every.where(F.col("n") > 0)
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash", "rid"))
     rows = full.groupBy("set_hash").agg(first.alias("first"), F.first("n").alias("n"))
-    classes = saved(rows.select(F.monotonically_increasing_id().alias("rid"), "set_hash", "first.doc_id", "first.text_hash", "n"))
-    # the representatives' own rows; a repeated one only repeats its keys
-    own = classes.select("rid", F.col("set_hash").alias("s"), F.col("doc_id").alias("d"), F.col("text_hash").alias("t"))
-    same = (F.col("set_hash") == F.col("s")) & F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("t"))
-    reps = full.join(own, same)
+    classes = saved(rows.select("first.rid", "set_hash", "first.doc_id", "first.text_hash", "n"))
+    reps = full.select("rid", "n", "point", "prefix").join(within_reach(classes.select("rid")), "rid", "left_semi")
     entries = reps.select("rid", F.explode("prefix").alias("key"))
-    several = entries.withColumn("c", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("c > 1").drop("c")
-    paired = several.join(reps.select("rid", "n", "point"), "rid")
-    clusters = components(saved(candidate_edges(paired, limits)))
+    shared = saved(entries.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key"))
+    several = entries.join(within_reach(shared), "key", "left_semi")
+    paired = several.join(full.select("rid", "n", "point"), "rid")
+    clusters = components(candidate_edges(paired, limits))
     members = saved(clusters.join(classes.select("rid", "doc_id", "text_hash", "n"), F.col("v") == F.col("rid")).select("root", "rid", "doc_id", "text_hash", "n"))
-    joined = components(saved(verified_edges(members, given, "text", width, limits, cluster)))
+    forget(shared)
+    joined = components(verified_edges(members, given, "text", width, limits, cluster))
     least = joined.join(classes.select("rid", "doc_id"), F.col("v") == F.col("rid")).groupBy("root").agg(F.min("doc_id").alias("least"))
     known = joined.join(least, "root").select(F.col("v").alias("rid"), "least")
     of_class = classes.join(known, "rid", "left").select("set_hash", F.coalesce("least", "doc_id").alias("component_id"))

@@ -3,9 +3,10 @@ import re
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from nimbostrat.llm.ngram_join import RTree, Threshold, components, linked, ngram_join, packed, point, unpacked
+from nimbostrat.llm.ngram_join import Points, RTree, Threshold, components, linked, ngram_join, packed, point
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -84,10 +85,14 @@ def test_tree_finds_every_close_point():
     sets = [np.unique(s) for s in base] + [np.unique(s[: max(1, int(len(s) * 0.9))]) for s in base]
     sizes, points = np.array([len(s) for s in sets]), np.array([point(s) for s in sets])
     tree, open_ = RTree(sizes, points), np.ones(len(sets), bool)
+    assert len(tree.levels) == 3 and len(tree.levels[-1][1]) == 1
     for k in range(0, len(sets), 17):
         overlap = np.minimum(points, points[k]).sum(axis=1, dtype=np.int64)
         assert sorted(tree.near(k, limits, open_).tolist()) == np.flatnonzero(limits.close(overlap, sizes, sizes[k])).tolist()
-    assert (linked(sets, limits) == linked(sets, limits)).all()
+    root = linked(sets, limits)
+    for k in range(300):
+        real = limits.links(len(np.intersect1d(sets[k], sets[300 + k])), sizes[k], sizes[300 + k])
+        assert (root[k] == root[300 + k]) == real
 
 
 def test_components_of_a_long_path(spark):
@@ -96,13 +101,26 @@ def test_components_of_a_long_path(spark):
     assert out == {**dict.fromkeys(range(41), 0), 100: 100, 101: 100}
 
 
-def test_leaders_hold_every_possible_link(docs, by_id, monkeypatch):
+@pytest.mark.parametrize("run", [2, 4, 30])
+def test_keys_dealt_in_parts_hold_every_possible_link(docs, by_id, monkeypatch, run):
     rows = corpus(77)
-    plain = by_id(ngram_join(docs(rows), percent=80))
-    monkeypatch.setattr("nimbostrat.llm.ngram_join.RUN", 4)
-    assert by_id(ngram_join(docs(rows), percent=80)) == plain == {k: {"doc_id": k, "n_shingles": n, "component_id": c} for k, (n, c) in brute(rows, 3, 80).items()}
+    monkeypatch.setattr("nimbostrat.llm.ngram_join.RUN", run)
+    assert by_id(ngram_join(docs(rows), percent=80)) == {k: {"doc_id": k, "n_shingles": n, "component_id": c} for k, (n, c) in brute(rows, 3, 80).items()}
 
 
 def test_points_of_any_size():
-    rows = [np.arange(256, dtype=np.uint32), np.full(256, 70_000, np.uint32), np.full(256, 300, np.uint32)]
-    assert (unpacked([packed(r) for r in rows]) == np.array(rows)).all() and (unpacked([packed(rows[0])]) == rows[:1]).all()
+    rng = np.random.default_rng(1)
+    rows = [rng.integers(0, high, groups).astype(np.uint32) for high, groups in ((3, 16), (70_000, 64), (300, 64), (9, 64), (5, 16))]
+    points = Points(pa.array([packed(r) for r in rows], pa.binary()))
+    a, b = (np.array(x) for x in zip(*combinations(range(len(rows)), 2), strict=True))
+    fold = lambda r: r.reshape(-1, 16).sum(axis=0)
+    want = [np.minimum(x, y).sum() if len(x) == len(y) else np.minimum(fold(x), fold(y)).sum() for x, y in ((rows[i], rows[j]) for i, j in zip(a, b, strict=True))]
+    assert points.overlap(a, b).tolist() == want
+
+
+def test_very_long_text_and_other_columns(spark, by_id):
+    """Clashing names are ignored, and a text of 300,000 words links with its copy."""
+    words = [f"w{k * k % 99991}" for k in range(300_000)]
+    rows = [(1, " ".join(words), 5, "x"), (2, " ".join([*words[:-50], "end"]), 6, "y"), (3, "w1 w4 w9 w16", 7, "z")]
+    out = by_id(ngram_join(spark.createDataFrame(rows, "doc_id bigint, text string, rid int, component_id string")))
+    assert [out[k]["component_id"] for k in (1, 2, 3)] == [1, 1, 3] and set(out[1]) == {"doc_id", "n_shingles", "component_id"}
