@@ -6,6 +6,11 @@ for either label, its capacity from the source or to the sink.  Neighbouring
 blocks are joined by an edge, and each block to the element that holds it, each
 element to its parent; cutting such an edge costs its capacity.  The blocks on
 the source side of a minimum cut are the article.
+
+A class or id speaks for a side bar, an advert or the like only by whole names:
+``page-with-sidebar`` and ``no-ads`` say what is absent or beside.  It says nothing
+where the element holds the page's article or heading, or most of its prose while
+none stands elsewhere: such an element wraps the content.
 """
 
 from __future__ import annotations
@@ -13,7 +18,7 @@ from __future__ import annotations
 import html as references
 import math
 import re
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -41,9 +46,14 @@ APART_NAMES = frozenset(
     "toolbar topbar warning widget".split()
 )
 MAIN_NAMES = frozenset("article articlebody body content entry main page post story text".split())
+PROSE = frozenset("p h1 h2 h3 blockquote pre".split())
+# Words that make a name speak of its surroundings or its state, not of its role.
+QUALIFIERS = frozenset("no not non without with has have is hide hidden show open opened closed enabled disabled allow allowed layout grid col cols row".split())
+#: Share of the page's prose beyond which a name alone doesn't set an element apart.
+MOST = 0.6
 
 # The classifier's weights, and the capacities of the edges.
-W_APART, W_ARTICLE, W_NAME, W_MAIN, W_LINKS, W_LENGTH, W_TAG, BIAS = -6.0, 4.0, -5.0, 2.0, -4.0, 0.6, 0.7, -1.6
+W_APART, W_ARTICLE, W_NAME, W_MAIN, W_LINKS, W_LENGTH, W_TAG, BIAS = -9.0, 4.0, -8.0, 2.0, -4.0, 0.6, 0.7, -1.6
 NEXT, HOLDS, NESTED = 1.0, 0.5, 0.3
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*+)>""", re.S)
@@ -51,50 +61,102 @@ _NAME = re.compile(r"""\b(class|id|role|style|hidden|aria-hidden)\b(?:\s*=\s*("[
 _WORDS = re.compile(r"[A-Z]?[a-z]+")
 
 
+def named(value: str, prose: bool) -> float:
+    """What class or id names say: the strongest of the names that tell a role.
+
+    prose: the element is a paragraph or heading, where a name like
+    ``social-history`` tells a topic; there all words of a name must agree.
+    """
+    apart = main = False
+    for name in value.split():
+        words = {w.lower() for w in _WORDS.findall(name)}
+        if words & QUALIFIERS:
+            continue
+        apart |= words <= APART_NAMES and bool(words) if prose else bool(words & APART_NAMES)
+        main |= bool(words & MAIN_NAMES) and not words & APART_NAMES
+    return W_NAME if apart else W_MAIN if main else 0.0
+
+
 class Element:
-    __slots__ = ("tag", "parent", "bias", "article", "seen", "link", "number")
+    __slots__ = ("tag", "parent", "own", "name", "article", "seen", "link", "number", "prose", "heads")
 
     def __init__(self, tag: str, parent: Element | None, attributes: str, number: int):
         self.tag, self.parent, self.number = tag, parent, number
-        above = parent or self
-        self.bias = above.bias if parent else 0.0
         self.article = bool(parent and parent.article) or tag in ("article", "main")
         self.link = tag == "a" or bool(parent and parent.link)
         self.seen = not (parent and not parent.seen) and tag not in UNSEEN
-        own = 0.0
+        self.own = self.name = 0.0  # evidence of tag, role and style; of names
+        self.prose = 0  # unlinked characters below
         if tag in APART or tag == "header" and not self.article:
-            own += W_APART
+            self.own += W_APART
         elif tag in ("article", "main"):
-            own += W_ARTICLE
+            self.own += W_ARTICLE
         if attributes and "=" in attributes or "hidden" in attributes:
             for name, value in _NAME.findall(attributes):
                 name, value = name.lower(), value.strip("\"'")
-                words = {w.lower() for w in _WORDS.findall(value)}
                 if name in ("class", "id") and tag not in ("html", "body"):
-                    own += W_NAME if words & APART_NAMES else W_MAIN if words & MAIN_NAMES else 0.0
+                    said = named(value, tag in PROSE)
+                    self.name = min(self.name, said) if self.name < 0 or said < 0 else max(self.name, said)
                 elif name == "role":
-                    own += W_APART if words & APART_ROLES else W_ARTICLE if words & {"main", "article"} else 0.0
+                    words = {w.lower() for w in _WORDS.findall(value)}
+                    self.own += W_APART if words & APART_ROLES else W_ARTICLE if words & {"main", "article"} else 0.0
                 elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
-                    own += W_APART
-        self.bias += own
+                    self.own += W_APART
+        # holds an article, a heading or what is named as content
+        self.heads = tag in ("article", "main", "h1") or self.name > 0 or self.own > 0
 
 
 class Block:
-    __slots__ = ("text", "holder", "score", "depth_change")
+    __slots__ = ("text", "holder", "linked", "score", "depth_change")
 
     def __init__(self, text: str, holder: Element, linked: int, depth_change: int):
-        self.text, self.holder, self.depth_change = text, holder, depth_change
-        share = linked / max(len(text), 1)
-        score = BIAS + holder.bias + W_LINKS * min(share, 1.0) + W_LENGTH * math.log2(1 + len(text) / 8)
-        if holder.tag in ("p", "h1", "h2", "h3", "blockquote", "pre"):
-            score += W_TAG
-        self.score = score
+        self.text, self.holder, self.linked, self.depth_change, self.score = text, holder, min(linked, len(text)), depth_change, 0.0
+
+
+def score(blocks: list[Block], heads: bool) -> None:
+    """Sets each block's score: the evidence around it, its links, its length and its tag.
+
+    heads: whether the page has an article, a first-level heading or an element named as content.
+    """
+    whole = 0
+    for block in blocks:
+        prose = len(block.text) - block.linked
+        whole += prose
+        element = block.holder
+        while element is not None:
+            element.prose += prose
+            element = element.parent
+    bias: dict[int, float] = {}
+
+    def around(element: Element) -> float:
+        chain = []
+        while element is not None and element.number not in bias:
+            chain.append(element)
+            element = element.parent
+        total = bias[element.number] if element is not None else 0.0
+        for e in reversed(chain):
+            wraps = e.heads or not heads and e.prose > MOST * whole
+            total += e.own + (e.name if e.name > 0 or not wraps else 0.0)
+            bias[e.number] = total
+        return total
+
+    for block in blocks:
+        block.score = BIAS + around(block.holder) + W_LINKS * block.linked / max(len(block.text), 1) + W_LENGTH * math.log2(1 + len(block.text) / 8)
+        if block.holder.tag in PROSE:
+            block.score += W_TAG
 
 
 def blocks_of(page: str) -> list[Block]:
     """Text blocks in page order. Unclosed and stray tags are tolerated."""
     root = here = Element("#root", None, "", 0)
     stack, found, parts, linked, holder, moves, number = [root], [], [], 0, root, 0, 0
+    open_: Counter[str] = Counter()  # open elements by tag, so that a stray end tag costs no search
+    heads = False
+
+    def close(upto: int) -> None:
+        for e in stack[upto:]:
+            open_[e.tag] -= 1
+        del stack[upto:]
 
     def flush() -> None:
         nonlocal parts, linked, moves
@@ -127,22 +189,24 @@ def blocks_of(page: str) -> list[Block]:
             flush()
             moves += 1
         if match[1]:
-            if any(e.tag == tag for e in stack[1:]):
-                while stack.pop().tag != tag:
-                    pass
+            if open_[tag]:
+                k = len(stack) - 1
+                while stack[k].tag != tag:
+                    k -= 1
+                close(k)
                 here = stack[-1]
             continue
-        if tag in BLOCK and any(e.tag == "p" for e in stack):
+        if tag in BLOCK and open_["p"]:
             # a block element ends an open paragraph, unless a container lies between
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag == "p":
-                    del stack[k:]
+                    close(k)
                     break
                 if stack[k].tag in SCOPES:
                     break
         for k in range(len(stack) - 1, 0, -1) if tag in CLOSES else ():
             if stack[k].tag in CLOSES[tag]:
-                del stack[k:]
+                close(k)
                 if tag != "tr":
                     break
             elif stack[k].tag in SCOPES:
@@ -155,11 +219,17 @@ def blocks_of(page: str) -> list[Block]:
         number += 1
         here = Element(tag, here, match[3], number)
         stack.append(here)
+        open_[tag] += 1
+        if here.heads:
+            heads, above = True, here.parent
+            while above is not None and not above.heads:
+                above.heads, above = True, above.parent
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}\b", re.I).search(page, at)
             at = end.start() if end else len(page)
     add(page[at:])
     flush()
+    score(found, heads)
     return found
 
 
