@@ -12,7 +12,8 @@ from nimbostrat.operators import contour, resample, stencil
 from nimbostrat.plans.registry import query
 from nimbostrat.sources.proxies import GRID_SQL, HOLED_SQL, grid, holed_grid, table
 
-ROWS, COLS = 500, 64  # of the raster in the SQL of frontogenesis and remapping; the queries count theirs
+# The raster of the SQL is the whole table, too.
+LAST_ROW, LAST_COL = "CAST((SELECT max(vec_id) FROM embeddings) AS DOUBLE)", "CAST((SELECT max(len(embedding)) - 1 FROM embeddings) AS DOUBLE)"
 DIMS_SQL = "n AS (SELECT max(row) + 1 AS rows, max(col) + 1 AS cols FROM grid)"
 
 
@@ -30,7 +31,7 @@ def thinned(spark: SparkSession, sf_dir: str, strict: bool) -> DataFrame:
     return resample.sample(points, cells, rows, cols, strict=strict).select("point", F.round("value", 6).alias("value"))
 
 
-CROP_SQL = HOLED_SQL + f", crop AS (SELECT * FROM grid WHERE row < {ROWS} AND col < {COLS}), hcrop AS (SELECT * FROM holed WHERE row < {ROWS} AND col < {COLS})"
+CROP_SQL = HOLED_SQL + ", crop AS (SELECT * FROM grid), hcrop AS (SELECT * FROM holed)"
 
 
 def _axis(source: str, out: str, part: str, order: str, weights: tuple, value: str = "v") -> str:
@@ -62,13 +63,13 @@ def gaussian_blur(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stencil.gaussian_blur(holed_grid(spark, sf_dir), 1.5, 3).select("row", "col", F.round("blurred", 6).alias("blurred"))
 
 
-LAT = f"degrees(2 * atan(exp(ln(tan(pi() / 4 + radians({CONUS.north}) / 2)) + (ln(tan(pi() / 4 + radians({CONUS.south}) / 2)) - ln(tan(pi() / 4 + radians({CONUS.north}) / 2))) * ({{r}}) / {ROWS - 1})) - pi() / 2)"
+LAT = f"degrees(2 * atan(exp(ln(tan(pi() / 4 + radians({CONUS.north}) / 2)) + (ln(tan(pi() / 4 + radians({CONUS.south}) / 2)) - ln(tan(pi() / 4 + radians({CONUS.north}) / 2))) * ({{r}}) / {LAST_ROW})) - pi() / 2)"
 
 
 @query(
     "frontogenesis",
     f"""WITH {CROP_SQL}, c AS (SELECT row, col, (280 + 20 * v) * pow(1000 / 850.0, 0.2854) AS th, 10 + 30 * v AS u, 5 - 40 * v * v AS w FROM crop),
-    d AS (SELECT *, 2 * 6371000 * cos(radians({LAT.format(r="row")})) * radians({CONUS.east - CONUS.west}) / {COLS - 1} AS dx,
+    d AS (SELECT *, 2 * 6371000 * cos(radians({LAT.format(r="row")})) * radians({CONUS.east - CONUS.west}) / {LAST_COL} AS dx,
             6371000 * abs(radians({LAT.format(r="row - 1")}) - radians({LAT.format(r="row + 1")})) AS dy FROM c),
     g AS (SELECT row, col, (lead(th) OVER a - lag(th) OVER a) / dx AS tx, (lead(u) OVER a - lag(u) OVER a) / dx AS ux, (lead(w) OVER a - lag(w) OVER a) / dx AS vx,
             (lag(th) OVER b - lead(th) OVER b) / dy AS ty, (lag(u) OVER b - lead(u) OVER b) / dy AS uy, (lag(w) OVER b - lead(w) OVER b) / dy AS vy
@@ -101,9 +102,9 @@ def pressure_extrema(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _resample_sql(strict: bool) -> str:
     value = "CASE WHEN count(v * w) = count(*) THEN sum(v * w) END" if strict else "sum(v * w) / nullif(sum(CASE WHEN v IS NOT NULL THEN w END), 0)"
-    return f"""WITH {CROP_SQL}, p AS (SELECT i AS point, (i % 40) * ({COLS - 1} / 39.0::DOUBLE) AS fx, (i // 40) * ({ROWS - 1} / 199.0::DOUBLE) AS fy FROM (SELECT unnest(generate_series(0, 7999)) AS i)),
-    c AS (SELECT *, least(floor(fx), {COLS - 1}) AS x0, least(floor(fy), {ROWS - 1}) AS y0 FROM p),
-    t AS (SELECT point, least(x0 + dx, {COLS - 1}) AS x, least(y0 + dy, {ROWS - 1}) AS y, (CASE dx WHEN 0 THEN 1 - (fx - x0) ELSE fx - x0 END) * (CASE dy WHEN 0 THEN 1 - (fy - y0) ELSE fy - y0 END) AS w
+    return f"""WITH {CROP_SQL}, new AS (SELECT CAST(ceil(({LAST_ROW} + 1) * 2 / 5) AS BIGINT) AS nr, CAST(ceil(({LAST_COL} + 1) * 5 / 8) AS BIGINT) AS nc), p AS (SELECT i AS point, least((i % nc) * ({LAST_COL} / (nc - 1)), {LAST_COL}) AS fx, least((i // nc) * ({LAST_ROW} / (nr - 1)), {LAST_ROW}) AS fy FROM new, range(nr * nc) AS z(i)),
+    c AS (SELECT *, least(floor(fx), {LAST_COL}) AS x0, least(floor(fy), {LAST_ROW}) AS y0 FROM p),
+    t AS (SELECT point, least(x0 + dx, {LAST_COL}) AS x, least(y0 + dy, {LAST_ROW}) AS y, (CASE dx WHEN 0 THEN 1 - (fx - x0) ELSE fx - x0 END) * (CASE dy WHEN 0 THEN 1 - (fy - y0) ELSE fy - y0 END) AS w
         FROM c, (VALUES (0), (1)) a(dx), (VALUES (0), (1)) b(dy)),
     j AS (SELECT point, w, h.v FROM t LEFT JOIN hcrop h ON h.row = t.y AND h.col = t.x WHERE w > 0)
     SELECT point, round({value}, 6) AS value FROM j GROUP BY point"""
@@ -119,13 +120,13 @@ def resample_renormalised(spark: SparkSession, sf_dir: str) -> DataFrame:
     return thinned(spark, sf_dir, strict=False)
 
 
-SOURCE_ROW = f"greatest(0.0, least({ROWS - 1}.0, ({LAT.format(r='r')} - {CONUS.south}) / {CONUS.north - CONUS.south} * {ROWS - 1}))"
+SOURCE_ROW = f"greatest(0.0, least({LAST_ROW}, ({LAT.format(r='r')} - {CONUS.south}) / {CONUS.north - CONUS.south} * {LAST_ROW}))"
 
 
 @query(
     "mercator_remap_bilinear",
-    f"""WITH {CROP_SQL}, t AS (SELECT CAST(r AS INTEGER) AS row, {SOURCE_ROW} AS y FROM (SELECT unnest(generate_series(0, {ROWS - 1})) AS r)),
-    u AS (SELECT row, least(floor(y), {ROWS - 2}) AS lo, y FROM t), p AS (SELECT row, lo + k AS source, CASE k WHEN 0 THEN 1 - (y - lo) ELSE y - lo END AS w FROM u, (VALUES (0), (1)) z(k))
+    f"""WITH {CROP_SQL}, t AS (SELECT CAST(r AS INTEGER) AS row, {SOURCE_ROW} AS y FROM (SELECT DISTINCT row AS r FROM grid)),
+    u AS (SELECT row, least(floor(y), {LAST_ROW} - 1) AS lo, y FROM t), p AS (SELECT row, lo + k AS source, CASE k WHEN 0 THEN 1 - (y - lo) ELSE y - lo END AS w FROM u, (VALUES (0), (1)) z(k))
     SELECT p.row, h.col, round(sum(h.v * w) / nullif(sum(CASE WHEN h.v IS NOT NULL THEN w END), 0), 5) AS value FROM p JOIN hcrop h ON h.row = p.source WHERE w > 0 GROUP BY 1, 2""",
 )
 def mercator_remap_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -135,7 +136,7 @@ def mercator_remap_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "mercator_remap_nearest",
-    f"""WITH {CROP_SQL}, t AS (SELECT CAST(r AS INTEGER) AS row, floor({SOURCE_ROW} + 0.5) AS source FROM (SELECT unnest(generate_series(0, {ROWS - 1})) AS r))
+    f"""WITH {CROP_SQL}, t AS (SELECT CAST(r AS INTEGER) AS row, floor({SOURCE_ROW} + 0.5) AS source FROM (SELECT DISTINCT row AS r FROM grid))
     SELECT t.row, h.col, round(h.v, 6) AS value FROM t JOIN hcrop h ON h.row = t.source""",
 )
 def mercator_remap_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -146,10 +147,10 @@ def mercator_remap_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "hover_point_sample",
     f"""WITH {CROP_SQL}, e AS (SELECT event_id AS point, {CONUS.south} - 2 + (event_id * 37 % 1000) * 0.036 AS lat, {CONUS.west} - 2 + (event_id * 91 % 1000) * 0.07 AS lon FROM events),
-    p AS (SELECT point, (lon - ({CONUS.west})) / {CONUS.east - CONUS.west} * {COLS - 1} AS fx,
-        (ln(tan(pi() / 4 + radians({CONUS.north}) / 2)) - ln(tan(pi() / 4 + radians(lat) / 2))) / (ln(tan(pi() / 4 + radians({CONUS.north}) / 2)) - ln(tan(pi() / 4 + radians({CONUS.south}) / 2))) * {ROWS - 1} AS fy FROM e),
-    c AS (SELECT *, floor(fx) AS x0, floor(fy) AS y0 FROM p WHERE fx BETWEEN 0 AND {COLS - 1} AND fy BETWEEN 0 AND {ROWS - 1}),
-    t AS (SELECT point, least(x0 + dx, {COLS - 1}) AS x, least(y0 + dy, {ROWS - 1}) AS y, (CASE dx WHEN 0 THEN 1 - (fx - x0) ELSE fx - x0 END) * (CASE dy WHEN 0 THEN 1 - (fy - y0) ELSE fy - y0 END) AS w
+    p AS (SELECT point, (lon - ({CONUS.west})) / {CONUS.east - CONUS.west} * {LAST_COL} AS fx,
+        (ln(tan(pi() / 4 + radians({CONUS.north}) / 2)) - ln(tan(pi() / 4 + radians(lat) / 2))) / (ln(tan(pi() / 4 + radians({CONUS.north}) / 2)) - ln(tan(pi() / 4 + radians({CONUS.south}) / 2))) * {LAST_ROW} AS fy FROM e),
+    c AS (SELECT *, floor(fx) AS x0, floor(fy) AS y0 FROM p WHERE fx BETWEEN 0 AND {LAST_COL} AND fy BETWEEN 0 AND {LAST_ROW}),
+    t AS (SELECT point, least(x0 + dx, {LAST_COL}) AS x, least(y0 + dy, {LAST_ROW}) AS y, (CASE dx WHEN 0 THEN 1 - (fx - x0) ELSE fx - x0 END) * (CASE dy WHEN 0 THEN 1 - (fy - y0) ELSE fy - y0 END) AS w
         FROM c, (VALUES (0), (1)) a(dx), (VALUES (0), (1)) b(dy))
     SELECT point, round(sum(h.v * w) / nullif(sum(CASE WHEN h.v IS NOT NULL THEN w END), 0), 4) AS value FROM t LEFT JOIN hcrop h ON h.row = t.y AND h.col = t.x WHERE w > 0 GROUP BY point""",
 )

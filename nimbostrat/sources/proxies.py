@@ -85,7 +85,7 @@ def inventory_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 LINES_SQL = """raw AS (
     SELECT CAST(l_suppkey AS INTEGER) AS hour, l_orderkey, l_linenumber, max(l_partkey) AS part
-    FROM lineitem WHERE l_suppkey <= 24 GROUP BY 1, 2, 3),
+    FROM lineitem GROUP BY 1, 2, 3),
 kinds(kind, param, level) AS (VALUES """ + ", ".join(f"({k}, '{p}', '{x}')" for k, (p, x) in enumerate(RECORD_KINDS)) + """),
 lines AS (
     SELECT hour, l_orderkey * 1000 + l_linenumber * 100 AS ordinal,
