@@ -1,20 +1,24 @@
 """Benchmark decontamination by greedy string tiling.
 
 The words of the test items are given ids, and every run of ``MIN_MATCH`` words
-of an item is a seed with a rolling Karp-Rabin hash.  Each text looks up its own
-runs among the seeds; the joined positions are the seed matches.  Per text and
-item, the longest matches are marked first, again and again, never overlapping
-in either text, down to seed length.  An item leaks into a text where the tiles
-cover at least ``COVERAGE`` of the item, in whatever order they stand.
-
-The items go to the executors in blocks of a bounded number of words, one pass
-over the texts for each block, so the size of the test set sets no limit.
+of an item is a seed, found by a rolling Karp-Rabin hash.  Each text looks up its
+own runs among the seeds and compares the words; neighbouring seeds on one
+diagonal are a maximal match.  Per text and item, the longest matches are marked
+first, again and again, never overlapping in either text, down to seed length.
+An item leaks into a text where the tiles cover at least ``COVERAGE`` of the item,
+in whatever order they stand.
+
+The items go to the executors in blocks of a bounded number of words.  More than
+one block means a pass over the texts for each, one block alive at a time; a pass
+keeps only the texts with a leak.
 """
 
 from __future__ import annotations
 
+import bisect
+import heapq
+import itertools
 import re
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,15 +26,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nimbostrat.llm.common import bound_batches, fresh, mix64, strings
+from nimbostrat.llm.common import bound_batches, fresh, mix64, saved, strings, within_reach
 
 MIN_MATCH = 5
 COVERAGE = 0.8
 #: Words of test items in one block, about 100 bytes each once indexed.
 BLOCK_WORDS = 2_000_000
 
+#: Seed matches expanded at once.
+PAIRS = 1 << 20
+
 _WORD = re.compile(r"\w+")
 _BASE = np.uint64(0x100000001B3)
+_INVERSE = np.uint64(pow(0x100000001B3, -1, 1 << 64))
 
 
 def words_of(text: str) -> list[str]:
@@ -39,82 +47,122 @@ def words_of(text: str) -> list[str]:
 
 
 def run_hashes(ids: np.ndarray, size: int) -> np.ndarray:
-    """Rolling hashes of all runs of ``size`` word ids."""
-    h = np.zeros(max(len(ids) - size + 1, 0), np.uint64)
-    for k in range(size):
-        h = h * _BASE + ids[k : k + len(h)]
-    return mix64(h)
+    """Karp-Rabin hashes of all runs of ``size`` word ids, rolled: the next one drops a word and takes one in."""
+    if len(ids) < size:
+        return np.zeros(0, np.uint64)
+    # h(i) = sum of id(i + k) * B^-(i + k), scaled by B^i: the running sums roll modulo 2^64
+    steps = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(len(ids), _INVERSE)]))
+    back = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(len(ids), _BASE)]))
+    sums = np.concatenate([[np.uint64(0)], np.add.accumulate(ids * steps[:-1])])
+    return mix64((sums[size:] - sums[:-size]) * back[: len(ids) - size + 1])
+
+
+def merged(runs: np.ndarray) -> np.ndarray:
+    """Rows (diagonal, first, last text position of seeds), those that touch joined."""
+    if not len(runs):
+        return runs
+    runs = runs[np.lexsort((runs[:, 1], runs[:, 0]))]
+    new = np.concatenate([[True], (runs[1:, 0] != runs[:-1, 0]) | (runs[1:, 1] > runs[:-1, 2] + 1)])
+    starts = np.flatnonzero(new)
+    return np.stack([runs[starts, 0], runs[starts, 1], np.maximum.reduceat(runs[:, 2], starts)], axis=1)
 
 
-def tiles(text: np.ndarray, item: np.ndarray, seeds: list[tuple[int, int]], least: int) -> list[tuple[int, int, int]]:
+def tiles(runs: np.ndarray, least: int) -> list[tuple[int, int, int]]:
     """Greedy tiles (text position, item position, words), longest first.
 
-    seeds: the position pairs at which runs of ``least`` words agree. Of equally
-    long matches the one that starts first in the item is marked, then the one
-    that starts first in the text.
+    runs: rows of ``merged``; a seed at text position i on diagonal i - j is a
+    match of ``least`` words. Of equally long matches the one that starts first in
+    the item is marked, then the one that starts first in the text. A match that
+    overlaps a tile goes on with the parts that the tiles leave free.
     """
-    found, pairs = [], set(seeds)
-    used_text, used_item = set(), set()
-    while pairs:
-        longest, at = 0, None
-        for i, j in pairs:
-            if (i - 1, j - 1) in pairs:
-                continue  # inside a longer run
-            n = least
-            while (i + n - least + 1, j + n - least + 1) in pairs:
-                n += 1
-            if n > longest or n == longest and (j, i) < (at[1], at[0]):
-                longest, at = n, (i, j)
-        i, j = at
-        found.append((i, j, longest))
-        used_text.update(range(i, i + longest))
-        used_item.update(range(j, j + longest))
-        pairs = {(a, b) for a, b in pairs if used_text.isdisjoint(range(a, a + least)) and used_item.isdisjoint(range(b, b + least))}
+    found: list[tuple[int, int, int]] = []
+    heap = [(-(last - first + least), first - d, first) for d, first, last in runs.tolist()]
+    heapq.heapify(heap)
+    text, item = _Free(), _Free()
+    while heap:
+        n, j, i = heapq.heappop(heap)
+        n = -n
+        free = [(max(a, b), min(c, d)) for a, c in text.gaps(i, i + n) for b, d in ((x + i - j, y + i - j) for x, y in item.gaps(j, j + n)) if min(c, d) - max(a, b) >= least]
+        if free == [(i, i + n)]:
+            found.append((i, j, n))
+            text.mark(i, i + n)
+            item.mark(j, j + n)
+        else:
+            for a, c in free:
+                heapq.heappush(heap, (-(c - a), a - i + j, a))
     return found
 
 
+class _Free:
+    """Marked ranges, apart and in order."""
+
+    def __init__(self):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+
+    def mark(self, a: int, b: int) -> None:
+        k = bisect.bisect(self.starts, a)
+        self.starts.insert(k, a)
+        self.ends.insert(k, b)
+
+    def gaps(self, a: int, b: int) -> list[tuple[int, int]]:
+        """What is not marked between ``a`` and ``b``."""
+        out, k = [], bisect.bisect(self.ends, a)
+        while a < b:
+            if k == len(self.starts) or self.starts[k] >= b:
+                out.append((a, b))
+                break
+            if self.starts[k] > a:
+                out.append((a, self.starts[k]))
+            a = self.ends[k]
+            k += 1
+        return out
+
+
 class ItemIndex:
-    """Word ids and sorted seed hashes of a block of test items, numbered by place, as ids may repeat or be null."""
+    """The words of a block of test items one after the other, and their sorted seed hashes.
+
+    Items are numbered by place, as ids may repeat or be null.
+    """
 
     def __init__(self, items: list[tuple[int | None, str]], least: int):
-        self.least, self.vocabulary, self.words, self.item_ids = least, {}, {}, [item_id for item_id, _ in items]
-        hashes, owners, places = [], [], []
-        for number, (_, text) in enumerate(items):
-            words = words_of(text)
-            ids = np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words], np.uint64)
-            # an item shorter than a seed is matched whole
-            size = min(least, len(ids))
-            if not size:
-                continue
-            self.words[number] = ids
-            h = run_hashes(ids, size)
-            hashes.append(h ^ np.uint64(size))
-            owners += [number] * len(h)
-            places += range(len(h))
-        self.sizes = sorted({min(least, len(ids)) for ids in self.words.values()})
-        keys = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
-        order = np.argsort(keys, kind="stable")
-        self.keys, self.owners, self.places = keys[order], np.array(owners, np.int64)[order], np.array(places, np.int64)[order]
-
-    def seeds(self, ids: np.ndarray, size: int) -> dict[int, list[tuple[int, int]]]:
-        """Matching positions (text, item) by the item's number."""
-        known = ids != 0
-        whole = known[: max(len(ids) - size + 1, 0)].copy()
-        for k in range(1, size):
-            whole &= known[k : k + len(whole)]
+        self.least, self.vocabulary, self.item_ids = least, {}, [item_id for item_id, _ in items]
+        every = [np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words_of(text)], np.uint64) for _, text in items]
+        self.lengths = np.array([len(ids) for ids in every], np.int64)
+        self.starts = np.concatenate([[0], np.cumsum(self.lengths)])
+        self.words = np.concatenate([*every, np.zeros(0, np.uint64)])
+        self.owner = np.repeat(np.arange(len(every)), self.lengths)
+        # an item shorter than a seed is matched whole
+        self.sizes = sorted({min(least, n) for n in self.lengths.tolist() if n})
+        self.seeds: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for size in self.sizes:
+            own = [self.starts[k] + np.arange(n - size + 1) for k, n in enumerate(self.lengths.tolist()) if n and min(least, n) == size]
+            hashes = np.concatenate([run_hashes(every[k], size) for k, n in enumerate(self.lengths.tolist()) if n and min(least, n) == size])
+            order = np.argsort(hashes, kind="stable")
+            self.seeds[size] = hashes[order], np.concatenate(own)[order]
+
+    def _pairs(self, ids: np.ndarray, size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Verified seed matches (positions in the text, in ``words``), some at a time."""
+        keys, places = self.seeds[size]
+        whole = np.convolve(ids != 0, np.ones(size, np.int64), "valid") == size if len(ids) >= size else np.zeros(0, bool)
         at = np.flatnonzero(whole)
-        found: dict[int, list[tuple[int, int]]] = defaultdict(list)
         if not len(at):
-            return found
-        h = run_hashes(ids, size)[at] ^ np.uint64(size)
-        first, last = np.searchsorted(self.keys, h, "left"), np.searchsorted(self.keys, h, "right")
-        for i, a, b in zip(at[last > first].tolist(), first[last > first].tolist(), last[last > first].tolist(), strict=True):
-            for k in range(a, b):
-                owner, place = int(self.owners[k]), int(self.places[k])
-                item = self.words[owner]
-                if min(self.least, len(item)) == size and np.array_equal(ids[i : i + size], item[place : place + size]):
-                    found[owner].append((i, place))
-        return found
+            return
+        h = run_hashes(ids, size)[at]
+        first, last = np.searchsorted(keys, h, "left"), np.searchsorted(keys, h, "right")
+        at, first, count = at[last > first], first[last > first], (last - first)[last > first]
+        ends = np.cumsum(count)
+        k = 0
+        while k < len(at):
+            stop = max(k + 1, int(np.searchsorted(ends, (ends[k - 1] if k else 0) + PAIRS, "right")))
+            i = np.repeat(at[k:stop], count[k:stop])
+            offset = np.arange(len(i)) - np.repeat(np.cumsum(count[k:stop]) - count[k:stop], count[k:stop])
+            g = places[np.repeat(first[k:stop], count[k:stop]) + offset]
+            same = np.ones(len(i), bool)
+            for x in range(size):
+                same &= ids[i + x] == self.words[g + x]
+            yield i[same], g[same]
+            k = stop
 
     def leaks(self, text: str, coverage: float) -> list[tuple[int | None, float, int]]:
         """(item, covered share, tiles) of all items that leak into a text."""
@@ -122,13 +170,26 @@ class ItemIndex:
         ids = np.array([get(w, 0) for w in words_of(text)], np.uint64)
         out = []
         for size in self.sizes:
-            for owner, pairs in self.seeds(ids, size).items():
-                item = self.words[owner]
-                # t tiles over m words have m - t * (size - 1) seeds, at least m / size
-                if len({j for _, j in pairs}) * size < coverage * len(item):
+            matched: list[np.ndarray] = []
+            for i, g in self._pairs(ids, size):
+                own = self.owner[g]
+                rows = np.stack([own, i - g, i], axis=1)
+                rows = rows[np.lexsort((rows[:, 2], rows[:, 1], rows[:, 0]))]
+                if len(rows):
+                    new = np.flatnonzero(np.concatenate([[True], (np.diff(rows[:, :2], axis=0) != 0).any(axis=1) | (np.diff(rows[:, 2]) != 1)]))
+                    matched.append(np.concatenate([rows[new], rows[np.concatenate([new[1:] - 1, [len(rows) - 1]])][:, 2:]], axis=1))
+            every = np.concatenate(matched) if matched else np.zeros((0, 4), np.int64)
+            for owner in np.unique(every[:, 0]).tolist():
+                length, start = int(self.lengths[owner]), int(self.starts[owner])
+                runs = merged(every[every[:, 0] == owner, 1:] + [start, 0, 0])
+                # no tiles can cover more than all matches together
+                reached = np.zeros(length + 1, np.int64)
+                np.add.at(reached, runs[:, 1] - runs[:, 0], 1)
+                np.add.at(reached, runs[:, 2] - runs[:, 0] + size, -1)
+                if (np.cumsum(reached)[:-1] > 0).sum() < coverage * length:
                     continue
-                marked = tiles(ids, item, pairs, size)
-                share = sum(n for _, _, n in marked) / len(item)
+                marked = tiles(runs, size)
+                share = sum(n for _, _, n in marked) / length
                 if share >= coverage:
                     out.append((self.item_ids[owner], share, len(marked)))
         return sorted(out, key=lambda x: (-x[1], x[0] is None, x[0] or 0, x[2]))
@@ -158,32 +219,41 @@ def find_leaks(docs: DataFrame, items: DataFrame, text: str = "text", item_text:
     among equals, null last), null and 0 where none leaks. Null and empty texts
     are clean. Repeated rows are judged one by one.
     """
-    spark = docs.sparkSession
-    bound_batches(spark)
+    bound_batches(docs.sparkSession)
     names = ["n_items", "item_id", "coverage", "n_tiles"]
-    body = fresh("text")
+    body, state = fresh("text"), fresh("leaks")
     kept = [c for c in docs.columns if c not in (*names, "contaminated")]
     out = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").alias(body))
-    states = []
-    for block in _blocks(items, item_text, block_words):
-        state = fresh("leaks")
-        out = _pass(out, body, ItemIndex(block, least), coverage, state)
-        states.append(state)
-    n = sum((F.col(f"{s}.n") for s in states), F.lit(0))
-    best = F.sort_array(F.array(*[F.struct(F.coalesce(-F.col(f"{s}.coverage"), F.lit(1.0)).alias("order"), F.col(f"{s}.item_id").isNull().alias("no_id"), F.col(f"{s}.item_id").alias("item_id"), F.col(f"{s}.coverage").alias("coverage"), F.col(f"{s}.n_tiles").alias("n_tiles")) for s in states]))[0] if len(states) > 1 else F.col(states[0])
-    found = fresh("best")
-    return out.withColumn(found, best).select(
+    blocks = _blocks(items, item_text, block_words)
+    first, second = next(blocks), next(blocks, None)
+    if second is None:
+        out = _pass(out, body, ItemIndex(first, least), coverage, state)
+    else:
+        # one block alive at a time; texts are known again by their digests
+        key, parts = fresh("digest"), []
+        out = out.withColumn(key, F.md5(F.coalesce(body, F.lit("")).cast("binary")))
+        for block in itertools.chain([first, second], blocks):
+            parts.append(saved(_pass(out.select(key, body), body, ItemIndex(block, least), coverage, state, leaks_only=True).select(key, state).distinct()))
+        every = parts[0]
+        for part in parts[1:]:
+            every = every.unionByName(part)
+        order = F.struct(-F.col(f"{state}.coverage"), F.col(f"{state}.item_id").isNull(), F.col(f"{state}.item_id"), F.col(f"{state}.n_tiles"))
+        best = every.groupBy(key).agg(F.sum(f"{state}.n").cast("int").alias("n"), F.min_by(state, order).alias("best"))
+        best = saved(best.select(key, F.struct("n", "best.item_id", "best.coverage", "best.n_tiles").alias(state)))
+        out = out.join(within_reach(best), key, "left")
+    n = F.coalesce(F.col(f"{state}.n"), F.lit(0))
+    return out.select(
         *[F.col(f"`{c}`") for c in kept],
         n.alias("n_items"),
-        F.col(f"{found}.item_id").alias("item_id"),
-        F.coalesce(F.col(f"{found}.coverage"), F.lit(0.0)).alias("coverage"),
-        F.coalesce(F.col(f"{found}.n_tiles"), F.lit(0)).alias("n_tiles"),
+        F.col(f"{state}.item_id").alias("item_id"),
+        F.coalesce(F.col(f"{state}.coverage"), F.lit(0.0)).alias("coverage"),
+        F.coalesce(F.col(f"{state}.n_tiles"), F.lit(0)).alias("n_tiles"),
         (n > 0).alias("contaminated"),
     )
 
 
-def _pass(docs: DataFrame, body: str, index: ItemIndex, coverage: float, state: str) -> DataFrame:
-    """One block of items against all rows; adds a struct column."""
+def _pass(docs: DataFrame, body: str, index: ItemIndex, coverage: float, state: str, leaks_only: bool = False) -> DataFrame:
+    """One block of items against all rows; adds a struct column, or keeps only the rows with a leak."""
     shared = docs.sparkSession.sparkContext.broadcast(index)
     kind = pa.struct([("n", pa.int32()), ("item_id", pa.int64()), ("coverage", pa.float64()), ("n_tiles", pa.int32())])
 
@@ -194,7 +264,8 @@ def _pass(docs: DataFrame, body: str, index: ItemIndex, coverage: float, state:
             for one in strings(batch.column(body)).to_pylist():
                 found = index.leaks(one, coverage)
                 rows.append({"n": len(found), "item_id": found[0][0], "coverage": found[0][1], "n_tiles": found[0][2]} if found else {"n": 0, "item_id": None, "coverage": None, "n_tiles": None})
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows, kind)], names=[*batch.schema.names, state])
+            out = pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows, kind)], names=[*batch.schema.names, state])
+            yield out.filter(pa.array([r["n"] > 0 for r in rows], pa.bool_())) if leaks_only else out
 
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema]
     return docs.mapInArrow(run, ", ".join([*fields, f"`{state}` struct<n:int,item_id:bigint,coverage:double,n_tiles:int>"]))

@@ -1,9 +1,10 @@
 import random
+import time
 
 import numpy as np
 import pytest
 
-from nimbostrat.llm.decontamination import find_leaks, tiles, words_of
+from nimbostrat.llm.decontamination import ItemIndex, find_leaks, merged, run_hashes, tiles, words_of
 
 RNG = random.Random(11)
 VOCABULARY = [f"v{k}" for k in range(3000)]
@@ -35,7 +36,7 @@ def test_tiles_match_brute_force(seed):
     rng = random.Random(seed)
     text, item = [rng.randint(1, 4) for _ in range(60)], [rng.randint(1, 4) for _ in range(25)]
     seeds = [(i, j) for i in range(57) for j in range(22) if text[i : i + 4] == item[j : j + 4]]
-    assert tiles(np.array(text), np.array(item), seeds, 4) == brute_tiles(text, item, 4)
+    assert tiles(merged(np.array([(i - j, i, i) for i, j in seeds]).reshape(-1, 3)), 4) == brute_tiles(text, item, 4)
 
 
 @pytest.fixture(scope="module")
@@ -82,3 +83,43 @@ def test_items_that_share_an_id_or_have_none(spark, docs, by_id, block_words):
 
 def test_words():
     assert words_of("It's A_b 3.") == ["it", "s", "a_b", "3"]
+
+
+def test_rolled_hashes_tell_runs_apart():
+    ids = np.array([1, 2, 3, 1, 2, 3, 2, 1], np.uint64)
+    h = run_hashes(ids, 3).tolist()
+    assert h[0] == h[3] and len(set(h)) == 5 and not len(run_hashes(ids, 9))
+
+
+@pytest.mark.parametrize("block_words", [30, 2_000_000])
+def test_whole_operator_matches_brute_force(spark, docs, by_id, block_words):
+    """Texts of few different words, so that seeds, tiles and partial leaks abound."""
+    rng = random.Random(5)
+    items = [(k, " ".join(rng.choices("abcdefgh", k=rng.randint(1, 14)))) for k in range(25)]
+    rows = []
+    for k in range(80):
+        words = rng.choices("abcdefgh", k=rng.randint(0, 30))
+        for _ in range(rng.randint(0, 2)):
+            part = rng.choice(items)[1].split()
+            cut = rng.randint(0, len(part))
+            words = words[:5] + part[cut:] + words[5:] + part[:cut]
+        rows.append((k, " ".join(words)))
+    out = by_id(find_leaks(docs(rows), spark.createDataFrame(items, "item_id bigint, text string"), block_words=block_words))
+    for k, text in rows:
+        want = []
+        for item_id, item in items:
+            words = item.split()
+            found = brute_tiles(text.split(), words, min(5, len(words)))
+            share = sum(n for _, _, n in found) / len(words)
+            if share >= 0.8:
+                want.append((-share, item_id, len(found)))
+        best = min(want, default=(0.0, None, 0))
+        assert (out[k]["n_items"], out[k]["coverage"], out[k]["item_id"], out[k]["n_tiles"]) == (len(want), -best[0], best[1], best[2]), k
+
+
+def test_repetitive_and_very_long_texts():
+    index = ItemIndex([(1, "la " * 400), (2, "one two three four five six")], 5)
+    began = time.perf_counter()
+    assert index.leaks("la " * 20_000, 0.8) == [(1, 1.0, 1)]
+    assert index.leaks("la " * 300 + "x " * 300_000 + "one two three four five six", 0.8) == [(2, 1.0, 1)]
+    assert time.perf_counter() - began < 30
