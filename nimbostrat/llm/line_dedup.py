@@ -1,13 +1,15 @@
 """Line deduplication with a log-template tree.
 
 Every line is parsed into words; words with a digit become wildcards.  The tree
-has a fixed depth: the number of words, then the leading words.  Within a leaf,
-lines that agree in enough places share a template, whose differing places turn
-into wildcards.  Lines whose template occurs in at least ``min_docs`` documents
-are dropped everywhere.
-
-Only leaves with enough rows to hold such a template are parsed further, and
-equal lines are parsed once.
+has a fixed depth: the number of words, then the leading words, then one run of
+open places.  A line stands in one leaf for each such run, which covers at most a
+share ``1 - SIMILARITY`` of its words, and in the leaf of its words as they are.
+A leaf is a template: lines that differ only in its open places share it.  Lines
+of which a template occurs in at least ``min_docs`` documents are dropped
+everywhere.
+
+A template is a hash, so counting them is an aggregation with partial sums on the
+map side: no task holds the lines of a leaf, however many there are.
 """
 
 from __future__ import annotations
@@ -16,141 +18,159 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nimbostrat.llm.common import bound_batches, fresh, saved, strings, within_reach
+from nimbostrat.llm.common import BROADCAST_ROWS, bound_batches, fresh, mix64, saved, strings, within_reach
+from nimbostrat.llm.ngram_join import word_hashes
 
 DEPTH = 3
 SIMILARITY = 0.7
 MIN_DOCS = 10
-WILDCARD = 0
-
-
-def words_of(line: str) -> list[str]:
-    """The line's words; one with a digit is the wildcard."""
-    words = line.split()
-    return [w if w.isalpha() or not any(c.isdigit() for c in w) else "<*>" for w in words]
+#: Characters of text parsed together.
+CHUNK_CHARS = 1 << 22
 
+_WIDTH, _PLACE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+_WILDCARD = np.uint64(0x2545F4914F6CDD1D)
 
-def _hash(text: str) -> int:
-    return xxhash.xxh3_64_intdigest(text) - (1 << 63)
 
+def open_runs(n: int, depth: int, similarity: float) -> tuple[int, list[int]]:
+    """Length and starts of the open runs of a line of ``n`` words.
 
-def parse_lines(docs: DataFrame, key: str, text: str, depth: int = DEPTH) -> DataFrame:
-    """key, place (from 0), leaf and line (hashes), of each line with words."""
+    The runs lie behind the leading words and overlap by half, so that any
+    differing places up to half a run apart lie in one of them.
+    """
+    width = min(int((1 - similarity) * n + 1e-9), n - depth)
+    if width <= 0:
+        return 0, []
+    last = n - width
+    return width, [*range(depth, last, -(-width // 2)), last]
+
+
+class Lines:
+    """The lines of some texts with the hashes of their templates."""
+
+    def __init__(self, texts: pa.Array, depth: int, similarity: float):
+        split = pc.split_pattern(texts, "\n")
+        self.row = pc.list_parent_indices(split).to_numpy()
+        counts = pc.list_value_length(split).to_numpy()
+        self.place = np.arange(len(self.row)) - np.repeat(np.cumsum(counts) - counts, counts)
+        words = pc.utf8_split_whitespace(pc.list_flatten(split))
+        owner, flat = pc.list_parent_indices(words), pc.list_flatten(words)
+        real = pc.greater(pc.binary_length(flat), 0)
+        owner, flat = owner.filter(real).to_numpy(), flat.filter(real)
+        coded = flat.dictionary_encode()
+        digits = np.array([any(c.isdigit() for c in w) for w in coded.dictionary.to_pylist()], bool)
+        hashes = word_hashes(flat)
+        if len(hashes):
+            hashes[digits[coded.indices.to_numpy(zero_copy_only=False)]] = _WILDCARD
+        self.n = np.bincount(owner, minlength=len(self.row)).astype(np.int64)
+        ends = np.cumsum(self.n)
+        at = np.arange(len(hashes)) - np.repeat(ends - self.n, self.n)
+        # sums of words times a multiplier of their place: a run is left out by subtraction
+        sums = np.concatenate([[np.uint64(0)], np.add.accumulate(hashes * (mix64(at.astype(np.uint64) + _PLACE) | np.uint64(1)))])
+        whole = sums[ends] - sums[ends - self.n]
+        kinds = {n: open_runs(n, depth, similarity) for n in np.unique(self.n).tolist()}
+        line, start, width = [np.flatnonzero(self.n)], [np.zeros(len(np.flatnonzero(self.n)), np.int64)], [np.zeros(len(np.flatnonzero(self.n)), np.int64)]
+        for n, (w, starts) in kinds.items():
+            some = np.flatnonzero(self.n == n)
+            for s in starts:
+                line.append(some)
+                start.append(np.full(len(some), s))
+                width.append(np.full(len(some), w))
+        self.line, start, width = np.concatenate(line), np.concatenate(start), np.concatenate(width)
+        first = (ends - self.n)[self.line] + start
+        left = whole[self.line] - (sums[first + width] - sums[first])
+        self.template = mix64(left + self.n[self.line].astype(np.uint64) * _WIDTH + mix64(start.astype(np.uint64) * _PLACE + width.astype(np.uint64))).view(np.int64)
+
+
+def _chunks(texts: pa.Array) -> Iterator[tuple[int, pa.Array]]:
+    """Neighbouring texts of about ``CHUNK_CHARS`` bytes, and the place of the first."""
+    sizes = pc.binary_length(texts).to_numpy(zero_copy_only=False)
+    start = 0
+    while start < len(texts):
+        end, total = start + 1, sizes[start]
+        while end < len(texts) and total + sizes[end] <= CHUNK_CHARS:
+            total += sizes[end]
+            end += 1
+        yield start, texts.slice(start, end - start)
+        start = end
+
+
+def line_templates(docs: DataFrame, key: str, text: str, depth: int, similarity: float, places: bool = False) -> DataFrame:
+    """key, template of each document, each once; with ``places`` of each line."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, places, leaves, lines = [], [], [], []
-            for k, one in enumerate(strings(batch.column(1)).to_pylist()):
-                for place, line in enumerate(one.split("\n")):
-                    if words := words_of(line):
-                        rows.append(k)
-                        places.append(place)
-                        leaves.append(_hash(f"{len(words)} {' '.join(words[:depth])}"))
-                        lines.append(_hash(" ".join(words)))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(rows, pa.int64())), pa.array(places, pa.int32()), pa.array(leaves, pa.int64()), pa.array(lines, pa.int64())],
-                names=[key, "place", "leaf", "line"],
-            )
+            for start, texts in _chunks(strings(batch.column(1))):
+                lines = Lines(texts, depth, similarity)
+                rows = np.stack([lines.row[lines.line], lines.template, lines.place[lines.line] if places else np.zeros(len(lines.line), np.int64)], axis=1)
+                rows = np.unique(rows, axis=0) if not places else rows
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows[:, 0] + start)), pa.array(rows[:, 1]), pa.array(rows[:, 2].astype(np.int32))], names=[key, "template", "place"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, place int, leaf bigint, line bigint")
-
-
-class Templates:
-    """The templates of one leaf so far: 8 bytes a word of each, no lines."""
-
-    def __init__(self, width: int, similarity: float):
-        self.similarity, self.n = similarity, 0
-        self.known, self.wild = np.zeros((16, width), np.int64), np.zeros(16, np.int64)
-
-    def place(self, line: np.ndarray) -> int:
-        """The number of the line's template, in order of first use.
-
-        A line joins the first template with the most equal words, if these are
-        at least ``similarity`` of all; the places that differ become wildcards.
-        """
-        if self.n:
-            agree = ((self.known[: self.n] == line) & (line != WILDCARD)).sum(axis=1) + self.wild[: self.n] * 0.5
-            best = int(agree.argmax())
-            if agree[best] >= self.similarity * len(line):
-                one = self.known[best]
-                one[one != line] = WILDCARD
-                self.wild[best] = (one == WILDCARD).sum()
-                return best
-        if self.n == len(self.known):
-            self.known, self.wild = np.concatenate([self.known, np.zeros_like(self.known)]), np.concatenate([self.wild, np.zeros_like(self.wild)])
-        self.known[self.n], self.wild[self.n] = line, (line == WILDCARD).sum()
-        self.n += 1
-        return self.n - 1
-
-
-def templates(lines: np.ndarray, similarity: float) -> np.ndarray:
-    """For each row of word hashes the number of its template."""
-    known = Templates(lines.shape[1], similarity)
-    return np.array([known.place(line) for line in lines], np.int64)
-
-
-def place_lines(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
-    """leaf, line, template of each batch of leaf, line, words, where the rows of a leaf follow each other."""
-    leaf, known = None, None
-    for batch in batches:
-        leaves, lines, found = [], [], []
-        for at, line, row in zip(*[batch.column(c).to_pylist() for c in range(3)], strict=True):
-            if at != leaf:
-                leaf, known = at, Templates(len(row), similarity)
-            if len(row) != known.known.shape[1]:
-                continue  # two leaves of one hash; never seen
-            leaves.append(leaf)
-            lines.append(line)
-            found.append(known.place(np.array(row, np.int64)))
-        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (leaves, lines, found)], names=["leaf", "line", "template"])
-
-
-def assign_templates(distinct: DataFrame, similarity: float) -> DataFrame:
-    """leaf, line, template of distinct lines; distinct: leaf, line, words (an array of hashes)."""
-    ordered = distinct.select("leaf", "line", "words").repartition("leaf").sortWithinPartitions("leaf", "line")
-    return ordered.mapInArrow(lambda batches: place_lines(batches, similarity), "leaf bigint, line bigint, template bigint")
-
-
-def drop_recurring_lines(docs: DataFrame, text: str = "text", min_docs: int = MIN_DOCS, depth: int = DEPTH, similarity: float = SIMILARITY) -> DataFrame:
+    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, template bigint, place int")
+
+
+def recurring(docs: DataFrame, key: str, text: str, min_docs: int, depth: int, similarity: float) -> DataFrame:
+    """template: those that at least ``min_docs`` different documents hold."""
+    rows = line_templates(docs, key, text, depth, similarity)
+    repeated = docs.groupBy(key).agg(F.count(F.lit(1)).alias("c")).where("c > 1").isEmpty()
+    # a document gives each template once; only repeated rows need a distinct count
+    n = F.count(F.lit(1)) if repeated else F.count_distinct(key)
+    return saved(rows.groupBy("template").agg(n.alias("d")).where(F.col("d") >= min_docs).select("template"))
+
+
+def drop_recurring_lines(docs: DataFrame, text: str = "text", min_docs: int = MIN_DOCS, depth: int = DEPTH, similarity: float = SIMILARITY, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_lines, n_dropped, text.
 
     docs: doc_id and a string column named by ``text``; other columns are
     ignored. Lines end at a line feed. Lines without words are kept. A null text
     counts as empty, one empty line. Documents are told apart by doc_id and
     text: a repeated row is the same document again and gets the same result.
+    There are no ties: a line goes if any of its templates recurs. Up to
+    ``broadcast_rows`` recurring templates go to all tasks; more of them are
+    joined with the lines.
     """
     bound_batches(docs.sparkSession)
-    key, body = fresh("key"), fresh("text")
+    key, body, dropped = fresh("key"), fresh("text"), fresh("dropped")
     given = docs.select("doc_id", F.coalesce(F.col(text), F.lit("")).alias(body))
-    given = given.withColumn(key, F.xxhash64(F.coalesce("doc_id", F.lit(-1)), F.col("doc_id").isNull(), body))
-    rows = saved(parse_lines(given, key, body, depth))
-    leaves = rows.groupBy("leaf").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= min_docs).select("leaf")
-    live = saved(rows.join(within_reach(saved(leaves)), "leaf", "left_semi"))
-    # one document that holds each distinct line gives its words
-    holders = live.groupBy("leaf", "line").agg(F.min(F.struct(key, "place")).alias("at")).select("leaf", "line", F.col(f"at.{key}").alias(key), "at.place")
-    wanted = holders.groupBy(key).agg(F.collect_list(F.struct("place", "leaf", "line")).alias("lines"))
-
-    def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    given = given.withColumn(key, F.struct("doc_id", F.md5(F.col(body).cast("binary")).alias("digest")))
+    ids = given.withColumn(key, F.xxhash64(key))  # only counted, never joined
+    often = recurring(ids, key, body, min_docs, depth, similarity)
+    known = [r["template"] for r in often.limit(broadcast_rows + 1).collect()]
+    if len(known) <= broadcast_rows:
+        return _without(given.select("doc_id", body), body, np.sort(np.array(known, np.int64)), depth, similarity)
+    lines = line_templates(given, key, body, depth, similarity, places=True).join(within_reach(often), "template", "left_semi")
+    gone = lines.groupBy(F.col(key).alias(dropped)).agg(F.collect_set("place").alias("places"))
+    out = given.join(gone, F.col(key).eqNullSafe(F.col(dropped)), "left").withColumn("places", F.coalesce("places", F.array().cast("array<int>")))
+    every = F.split(F.col(body), "\n", -1)
+    kept = F.filter(every, lambda x, i: ~F.array_contains("places", i))
+    return out.select("doc_id", F.size(every).cast("long").alias("n_lines"), F.size("places").cast("long").alias("n_dropped"), F.array_join(kept, "\n").alias("text"))
+
+
+def _without(docs: DataFrame, body: str, known: np.ndarray, depth: int, similarity: float) -> DataFrame:
+    """The texts without the lines of which a template is among ``known``, sorted and of bounded size."""
+    shared = docs.sparkSession.sparkContext.broadcast(known)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value
         for batch in batches:
-            leaf, line, words = [], [], []
-            for one, asked in zip(strings(batch.column(0)).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                every = one.split("\n")
-                for want in asked:
-                    leaf.append(want["leaf"])
-                    line.append(want["line"])
-                    words.append([WILDCARD if w == "<*>" else _hash(w) for w in words_of(every[want["place"]])])
-            yield pa.RecordBatch.from_arrays([pa.array(leaf, pa.int64()), pa.array(line, pa.int64()), pa.array(words, pa.list_(pa.int64()))], names=["leaf", "line", "words"])
-
-    distinct = given.join(wanted, key).select(body, "lines").mapInArrow(fetch, "leaf bigint, line bigint, words array<bigint>").dropDuplicates(["leaf", "line"])
-    placed = saved(live.join(assign_templates(distinct, similarity), ["leaf", "line"]).select(key, "place", "leaf", "template"))
-    often = placed.groupBy("leaf", "template").agg(F.count_distinct(key).alias("d")).where(F.col("d") >= min_docs).select("leaf", "template")
-    dropped = placed.join(within_reach(saved(often)), ["leaf", "template"], "left_semi").groupBy(key).agg(F.collect_set("place").alias("places"))
-    lines = F.split(F.col(body), "\n", -1)
-    kept = F.filter(lines, lambda x, i: ~F.array_contains("places", i))
-    out = given.join(dropped, key, "left").withColumn("places", F.coalesce("places", F.array().cast("array<int>")))
-    return out.select("doc_id", F.size(lines).cast("long").alias("n_lines"), F.size("places").cast("long").alias("n_dropped"), F.array_join(kept, "\n").alias("text"))
+            n, gone, texts = [], [], []
+            for _, part in _chunks(strings(batch.column(1))):
+                lines = Lines(part, depth, similarity)
+                hit = np.zeros(len(lines.row), bool)
+                if len(known):
+                    at = np.minimum(np.searchsorted(known, lines.template), len(known) - 1)
+                    hit[lines.line[known[at] == lines.template]] = True
+                count = np.bincount(lines.row, minlength=len(part))
+                lost = np.bincount(lines.row[hit], minlength=len(part))
+                n += count.tolist()
+                gone += lost.tolist()
+                ends = np.cumsum(count)
+                for k, one in enumerate(part.to_pylist()):
+                    texts.append(one if not lost[k] else "\n".join([x for x, h in zip(one.split("\n"), hit[ends[k] - count[k] : ends[k]].tolist(), strict=True) if not h]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(texts, pa.string())], names=["doc_id", "n_lines", "n_dropped", "text"])
+
+    return docs.select("doc_id", body).mapInArrow(run, "doc_id bigint, n_lines bigint, n_dropped bigint, text string")

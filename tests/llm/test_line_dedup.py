@@ -1,7 +1,8 @@
-import numpy as np
-import pyarrow as pa
+import random
 
-from nimbostrat.llm.line_dedup import WILDCARD, drop_recurring_lines, place_lines, templates
+import pytest
+
+from nimbostrat.llm.line_dedup import drop_recurring_lines, open_runs
 
 
 def test_recurring_templates_go_everywhere(docs, by_id):
@@ -25,40 +26,53 @@ def test_odd_tables(docs):
     assert sorted((r["doc_id"] or 0, r["text"]) for r in twice) == [(0, "\nx"), (1, ""), (1, ""), (2, "")]
 
 
-def test_templates_generalise_differing_places():
-    lines = np.array([[1, 2, 3, 4, 5], [1, 2, 9, 4, 5], [1, 2, 8, 4, 5], [7, 7, 7, 7, 7]])
-    assert templates(lines, 0.7).tolist() == [0, 0, 0, 1]
-
-
-def plain_templates(lines, similarity):
-    """Each line against every template, written out."""
-    known, out = [], []
-    for line in lines:
-        agree = [sum(0.5 if a == WILDCARD else float(a == b) for a, b in zip(t, line, strict=True)) for t in known]
-        best = agree.index(max(agree)) if known else -1
-        if known and agree[best] >= similarity * len(line):
-            known[best] = [a if a == b else WILDCARD for a, b in zip(known[best], line, strict=True)]
-        else:
-            best = len(known)
-            known.append(list(line))
-        out.append(best)
-    return out
-
-
-def test_a_leaf_of_thousands_of_lines_is_placed_batch_by_batch():
-    rng = np.random.default_rng(2)
-    lines = np.concatenate([np.full((8000, 3), 1), rng.integers(0, 30, (8000, 7))], axis=1)
-    taken = []
-
-    def batches():
-        for k in range(0, len(lines), 500):
-            taken.append(k)
-            part = lines[k : k + 500]
-            yield pa.RecordBatch.from_arrays([pa.array([7] * len(part), pa.int64()), pa.array(range(k, k + len(part)), pa.int64()), pa.array(part.tolist(), pa.list_(pa.int64()))], names=["leaf", "line", "words"])
-
-    got = place_lines(batches(), 0.7)
-    first = next(got)
-    assert len(taken) == 1 and first.column(2).to_pylist() == plain_templates(lines[:500].tolist(), 0.7)
-    rest = [x for b in got for x in b.column(2).to_pylist()]
-    assert len(rest) == 7500 and first.column(2).to_pylist() + rest == templates(lines, 0.7).tolist()
-    assert templates(lines[:1200], 0.7).tolist() == plain_templates(lines[:1200].tolist(), 0.7)
+def plain_templates(line, depth, similarity):
+    """The line's words, and the words with one run of places open, written out."""
+    words = tuple("<*>" if any(c.isdigit() for c in w) else w for w in line.split())
+    if not words:
+        return set()
+    width, starts = open_runs(len(words), depth, similarity)
+    return {words} | {(*words[:s], *["open"] * width, *words[s + width :], s) for s in starts}
+
+
+def brute(rows, min_docs, depth, similarity):
+    holders = {}
+    for row in set(rows):
+        for line in (row[1] or "").split("\n"):
+            for t in plain_templates(line, depth, similarity):
+                holders.setdefault(t, set()).add(row)
+    out = []
+    for doc_id, text in rows:
+        lines = (text or "").split("\n")
+        kept = [x for x in lines if not any(len(holders[t]) >= min_docs for t in plain_templates(x, depth, similarity))]
+        out.append((doc_id, len(lines), len(lines) - len(kept), "\n".join(kept)))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("broadcast_rows", [0, 1000])
+@pytest.mark.parametrize(("depth", "similarity"), [(3, 0.7), (1, 0.5)])
+def test_whole_operator_matches_brute_force(docs, depth, similarity, broadcast_rows):
+    rng = random.Random(depth)
+    line = lambda: " ".join(rng.choice(["a b c", "d e f", "a"]).split() + rng.choices("xyz12", k=rng.randint(0, 9)))
+    rows = [(k % 55, rng.choice(["\n", "", "\n\n "]).join(line() for _ in range(rng.randint(0, 6)))) for k in range(60)]
+    rows += [rows[3], (None, rows[4][1]), (None, None), (99, "Ünï\u00a0code \t tabs\r\nx")]
+    got = drop_recurring_lines(docs(rows), min_docs=4, depth=depth, similarity=similarity, broadcast_rows=broadcast_rows)
+    assert sorted(map(tuple, got.collect()), key=str) == brute(rows, 4, depth, similarity)
+
+
+def test_a_hot_leaf_long_text_and_other_columns(spark):
+    """Thousands of different lines of one count and opening; a text of 400,000 words; clashing names are ignored."""
+    lines = [f"the hot leaf {' '.join(random.Random(k).choices('abcdefghijklmnopqrst', k=7))}" for k in range(6000)]
+    rows = [(k, "\n".join(lines[k::40]) + "\nthe hot leaf has one more line that all share", "x", k) for k in range(40)]
+    rows.append((100, "word " * 400_000, "y", 0))
+    out = {r["doc_id"]: r for r in drop_recurring_lines(spark.createDataFrame(rows, "doc_id bigint, text string, template string, n_lines int")).collect()}
+    assert out[100]["text"] == rows[-1][1] and out[100]["n_lines"] == 1
+    assert all("all share" not in out[k]["text"] and out[k]["n_lines"] == 151 for k in range(40))
+
+
+def test_open_runs_cover_differing_places():
+    for n in range(1, 60):
+        width, starts = open_runs(n, 3, 0.7)
+        assert width <= 0.3 * n + 1e-9 and all(3 <= s and s + width <= n for s in starts)
+        for near in range(3, n - width // 2):
+            assert not width or any(s <= near and near + -(-width // 2) <= s + width for s in starts)
