@@ -65,7 +65,7 @@ def forget(table: DataFrame) -> None:
 
 
 #: Rows of ids that are broadcast at most, about 32 bytes each.
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS = 200_000
 
 
 def within_reach(ids: DataFrame) -> DataFrame:

@@ -27,8 +27,8 @@ from nimbostrat.llm.common import bound_batches, fresh, mix64, saved, strings
 
 ORDER = 5
 #: Most characters of one language, and of all languages, in the fitting sample.
-TRAIN_CHARS = 8_000_000
-TRAIN_CHARS_ALL = 96_000_000
+TRAIN_CHARS = 6_000_000
+TRAIN_CHARS_ALL = 24_000_000
 #: Word scores remembered by one worker; the memory starts afresh beyond it.
 REMEMBERED = 300_000
 #: A text's excess over its language's median entropy counts in units of
@@ -253,8 +253,9 @@ def predict(docs: DataFrame, models: LanguageModels, text: str = "text") -> Data
     Only the text decides. Columns of ``docs`` with these names are replaced, all
     others pass through. lang_pred is ``und``, score 0 and rejected true where
     the text is null, empty or without letters, or where no language was
-    learned. score is the share of the chosen language in the likelihoods of
-    the whole text. Of equal entropies the first language by name is chosen.
+    learned. score is the share of the chosen language in the likelihoods of a
+    character, the geometric mean over the text: 1 / languages where they don't
+    differ, towards 1 where the others fit badly. Of equal entropies the first language by name is chosen.
     """
     spark = docs.sparkSession
     bound_batches(spark)
@@ -276,7 +277,8 @@ def predict(docs: DataFrame, models: LanguageModels, text: str = "text") -> Data
             rows = np.arange(len(texts))
             least = bits[rows, best] if models.languages else np.zeros(len(texts))
             entropy = np.where(known, least / np.maximum(sizes, 1), 0.0)
-            score = np.where(known, 1 / np.exp2(np.maximum(least[:, None] - bits, -1000)).sum(axis=1) if models.languages else 0.0, 0.0)
+            apart = (least[:, None] - bits) / np.maximum(sizes, 1)[:, None]
+            score = np.where(known, 1 / np.exp2(apart).sum(axis=1) if models.languages else 0.0, 0.0)
             rejected = ~known
             if models.languages:
                 rejected |= known & ((entropy - models.typical[best]) / np.sqrt(1 / np.maximum(sizes, 1) + 1 / BETWEEN) > models.limit[best])

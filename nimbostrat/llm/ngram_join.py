@@ -546,9 +546,12 @@ def verified_edges(members: DataFrame, docs: DataFrame, text: str, width: int, l
     return edges if pairs.isEmpty() else edges.unionByName(_verify(pairs, docs, text, width, limits))
 
 
-def ngram_join(docs: DataFrame, text: str = "text", width: int = 3, percent: int = 90, cluster: int = CLUSTER) -> DataFrame:
+def ngram_join(docs: DataFrame, text: str = "text", width: int = 3, percent: int = 90, cluster: int = CLUSTER, keys: bool = False) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id.
 
+    With ``keys`` also text_hash and kept: of each component the rows of one
+    doc_id and text are kept, the smallest doc_id, then the smallest hash.
+
     docs: doc_id and a string column named by ``text``; other columns are
     ignored. Two rows link when 100 * intersection >= percent * union of their
     sets of distinct ``width``-word shingles. component_id is the smallest doc_id
@@ -574,8 +577,12 @@ def ngram_join(docs: DataFrame, text: str = "text", width: int = 3, percent: int
     members = saved(clusters.join(classes.select("rid", "doc_id", "text_hash", "n"), F.col("v") == F.col("rid")).select("root", "rid", "doc_id", "text_hash", "n"))
     forget(shared)
     joined = components(verified_edges(members, given, "text", width, limits, cluster))
-    least = joined.join(classes.select("rid", "doc_id"), F.col("v") == F.col("rid")).groupBy("root").agg(F.min("doc_id").alias("least"))
+    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash")
+    least = joined.join(classes.select("rid", place.alias("own")), F.col("v") == F.col("rid")).groupBy("root").agg(F.min("own").alias("least"))
     known = joined.join(least, "root").select(F.col("v").alias("rid"), "least")
-    of_class = classes.join(known, "rid", "left").select("set_hash", F.coalesce("least", "doc_id").alias("component_id"))
-    out = full.select("doc_id", "n", "set_hash").join(of_class, "set_hash").select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
-    return out.unionByName(every.where(F.col("n") == 0).select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+    of_class = classes.join(known, "rid", "left").select("set_hash", F.coalesce("least", place).alias("least"))
+    found = full.select("doc_id", "text_hash", "n", "set_hash").join(of_class, "set_hash")
+    empty = every.where(F.col("n") == 0).select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"), "text_hash", F.lit(True).alias("kept"))
+    kept = F.col("doc_id").eqNullSafe(F.col("least.doc_id")) & (F.col("text_hash") == F.col("least.text_hash"))
+    out = found.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.col("least.doc_id").alias("component_id"), "text_hash", kept.alias("kept")).unionByName(empty)
+    return out if keys else out.drop("text_hash", "kept")

@@ -1,4 +1,8 @@
-"""The corpus operators bound to the project's tables, and their SQL."""
+"""The corpus operators bound to the project's tables, and their SQL.
+
+Null and empty texts, repeated rows, ties and empty tables are treated as each
+operator's own docstring says; a query adds nothing to that.
+"""
 
 from __future__ import annotations
 
@@ -29,26 +33,32 @@ def vocabulary(name: str = "byte_bpe_50k.json") -> str:
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from labelled rows outside the held-out fold."""
     return languages(table(spark, sf_dir, "documents"))
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines whose template ten documents hold."""
     return drop_recurring_lines(table(spark, sf_dir, "documents"))
 
 
 def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
     return extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
 
 def op4_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's ids, read back from the shards: place, number and checksum."""
     return token_output(table(spark, sf_dir, "documents"), vocabulary())
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the one of its equals that stays."""
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the benchmark item that covers it most."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return find_leaks(docs, table(spark, sf_dir, "benchmark")).drop("text")
 
@@ -61,14 +71,17 @@ def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its class: three-word shingles, similarity 0.9."""
     return ngram_join(table(spark, sf_dir, "documents"))
 
 
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The secrets of every document, with linked weak ones."""
     return secret_scan(table(spark, sf_dir, "documents"))
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The number of tokens of every document."""
     return token_counts(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary())
 
 

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from nimbostrat.llm.common import bound_batches, strings
+from nimbostrat.llm.common import bound_batches, shared_folder, strings
 from nimbostrat.llm.tokens import encode_texts, encoder
 
 SHARD_TOKENS = 1 << 21
@@ -135,8 +135,7 @@ class WaveletMatrix:
 
 def folder(spark: SparkSession) -> str:
     """A new folder below the one that the cluster shares."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints"
-    return f"{shared}/tokens-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/tokens-{uuid.uuid4().hex}"
 
 
 def id_bits(vocabulary: str, end_id: int) -> tuple[int, str]:

@@ -24,8 +24,8 @@ from nimbostrat.llm.common import bound_batches, fresh, strings
 
 #: Pieces remembered by one worker, 150 bytes each; its memory starts afresh beyond.
 REMEMBERED = 1_500_000
-#: Characters of text that are cut and looked up together.
-CHUNK_CHARS = 1 << 20
+#: Bytes of text that are cut and looked up together.
+CHUNK_BYTES = 1 << 20
 
 _ALNUM = "A-Za-z0-9À-ÖØ-öø-ÿ"
 _PUNCT = r"!-/:-@\[-`{-~"
@@ -97,22 +97,22 @@ def encoder(path: str, purpose: str, keep, join) -> PieceEncoder:
     return _ENCODERS[path, purpose]
 
 
-def by_size(texts: list[str], limit: int = CHUNK_CHARS) -> Iterator[tuple[int, int]]:
-    """Ranges of ``texts`` of about ``limit`` characters; a longer text stands alone."""
-    start = size = 0
-    for i, text in enumerate(texts):
-        if size and size + len(text) > limit:
+def by_size(sizes: list[int], limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about ``limit`` bytes; a longer text stands alone."""
+    start = total = 0
+    for i, size in enumerate(sizes):
+        if total and total + size > limit:
             yield start, i
-            start, size = i, 0
-        size += len(text)
-    if start < len(texts):
-        yield start, len(texts)
+            start, total = i, 0
+        total += size
+    if start < len(sizes):
+        yield start, len(sizes)
 
 
-def encode_texts(texts: list[str], enc: PieceEncoder) -> list:
-    """What ``enc`` keeps of each text, joined."""
+def encode_texts(texts: list[str], enc: PieceEncoder, sizes: list[int] | None = None) -> list:
+    """What ``enc`` keeps of each text, joined; sizes: their bytes, if known."""
     out = []
-    for a, b in by_size(texts):
+    for a, b in by_size(sizes or [len(t.encode()) for t in texts]):
         cuts = [enc.cut(t) for t in texts[a:b]]
         try:
             out += [enc.join([enc.memory[x] for x in parts]) for parts in cuts]
@@ -123,9 +123,9 @@ def encode_texts(texts: list[str], enc: PieceEncoder) -> list:
     return out
 
 
-def count_batch(texts: list[str], path: str) -> np.ndarray:
+def count_batch(texts: pa.Array, path: str) -> np.ndarray:
     """Tokens of each text."""
-    return np.array(encode_texts(texts, encoder(path, "lengths", len, sum)), np.int64)
+    return np.array(encode_texts(texts.to_pylist(), encoder(path, "lengths", len, sum), pc.binary_length(texts).to_pylist()), np.int64)
 
 
 def token_counts(docs: DataFrame, path: str, text: str = "text", limit: int = 512) -> DataFrame:
@@ -146,7 +146,7 @@ def token_counts(docs: DataFrame, path: str, text: str = "text", limit: int = 51
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = strings(batch.column(body))
-            counts = count_batch(texts.to_pylist(), path)
+            counts = count_batch(texts, path)
             columns = [batch.column(c) for c in kept]
             columns += [pc.binary_length(texts).cast(pa.int64()), pa.array(counts), pa.array(counts > limit)]
             yield pa.RecordBatch.from_arrays(columns, names=[*kept, *results])

@@ -63,8 +63,47 @@ def test_probabilities_sum_to_one_over_seen_characters():
 
 def test_words_and_bounds(docs):
     assert words_of("It's 3 ²") == ["it", "s", "²"] and words_of("² 3") == []
-    models = fit(docs(corpus()), train_chars=200)
-    assert len(models.languages) >= 1
+    whole, small = fit(docs(corpus())), fit(docs(corpus()), train_chars=300)
+    assert whole.languages == sorted(STEMS) and set(small.languages) <= set(STEMS)
+    assert 0 < len(small.grams[-1][0]) < len(whole.grams[-1][0])
+
+
+def plain_entropy(words, probabilities, weights):
+    """Bits a character by looking up every n-gram as a string, longest first."""
+    bits = n = 0
+    for word in words:
+        padded = "    " + word + " "
+        for end in range(5, len(padded) + 1):
+            weight = 0.0
+            for k in range(5, 0, -1):
+                gram = padded[end - k : end]
+                if gram in probabilities[k - 1]:
+                    weight += probabilities[k - 1][gram]
+                    break
+                weight += weights[k - 1].get(gram[:-1], 0.0)
+            else:
+                weight += -20.0
+            bits, n = bits - weight, n + 1
+    return bits / n
+
+
+def test_predictions_match_plain_models(docs, by_id):
+    rows = corpus(120) + [(2000, "Ünlike any of them, lorven", None, None), (2001, "xi " * 60_000, None, None)]
+    fitted = {}
+    for k, text, lang, _ in rows:
+        if lang and zlib.crc32(str(k).encode()) % 5 > 1:
+            counts = fitted.setdefault(lang, {})
+            for word in words_of(text):
+                padded = "    " + word + " "
+                for i in range(len(word) + 1):
+                    counts[padded[i : i + 5]] = counts.get(padded[i : i + 5], 0) + 1
+    models = {lang: kneser_ney(counts) for lang, counts in fitted.items()}
+    out = by_id(languages(docs(rows)))
+    for k, text, _, _ in rows:
+        entropies = {lang: plain_entropy(words_of(text)[:2000], *m) for lang, m in models.items()}
+        best = min(sorted(entropies), key=entropies.get)
+        assert out[k]["lang_pred"] == best and out[k]["cross_entropy"] == pytest.approx(entropies[best])
+        assert out[k]["score"] == pytest.approx(1 / sum(2 ** (entropies[best] - e) for e in entropies.values()))
 
 
 #: Made of the same letters; "cc" shares three stems with "aa".

@@ -53,3 +53,12 @@ def test_odd_tables(docs):
     rows = [(1, None, None, None), (2, "a b", "en", None), (2, "a b", "en", None), (None, "c d e", "xx", "s5"), (4, "", "de", "s3")]
     out = mix(docs(rows).withColumnRenamed("n_chars", "n_copies"), {}, 1.0).collect()
     assert len(out) == 5 and all(r["n_copies"] in (0, 1) for r in out) and {r["domain"] for r in out} == {"web", "curated"}
+
+
+def test_very_long_texts_and_ties_of_the_order(docs, by_id):
+    """Rows of one doc_id share a place in the order; a text of 300,000 words takes its whole length."""
+    rows = [(1, "w " * 300_000, "en", "s1"), (2, "w " * 10, "en", "s1"), (3, "w " * 10, "en", "s1")]
+    out = by_id(mix(docs(rows), {}, 20.0))
+    assert (out[1]["n_copies"], out[2]["n_copies"] + out[3]["n_copies"]) in {(0, 0), (0, 1), (0, 2)}
+    twice = mix(docs([(1, "a b", "en", "s1"), (1, "a b", "en", "s1")]), {}, 1.0).collect()
+    assert [r["n_copies"] for r in twice] == [1, 1]

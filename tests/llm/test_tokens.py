@@ -81,3 +81,11 @@ def test_odd_tables(spark, docs):
     assert token_output(docs([]), PATH).count() == 0
     rows = token_output(docs([(1, "b"), (1, "a"), (None, "c"), (1, "a")]), PATH).orderBy("start").collect()
     assert [(r["doc_id"], r["start"]) for r in rows] == [(None, 0), (1, 2), (1, 4), (1, 6)]
+
+
+def test_repeated_rows_and_clashing_columns(docs):
+    rows = [(1, "Some words"), (1, "Some words"), (2, "x" * 5)]
+    clash = docs(rows).withColumnRenamed("lang", "start").withColumnRenamed("source", "part").withColumnRenamed("n_chars", "n_tokens")
+    assert sorted((r["doc_id"], r["n_tokens"]) for r in token_counts(clash, PATH).collect()) == sorted((k, len(whole([t])[0])) for k, t in rows)
+    found = token_output(clash, PATH).orderBy("start").collect()
+    assert [(r["doc_id"], r["n_tokens"]) for r in found] == [(k, len(whole([t])[0]) + 1) for k, t in rows]
