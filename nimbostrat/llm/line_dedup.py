@@ -1,6 +1,6 @@
 """Line deduplication with a log-template tree.
 
-Every line is parsed into words; words with a digit become wildcards.  The tree
+Every line is parsed into words; words with a decimal digit become wildcards.  The tree
 has a fixed depth: the number of words, then the leading words, then one run of
 open places.  A line stands in one leaf for each such run, which covers at most a
 share ``1 - SIMILARITY`` of its words, and in the leaf of its words as they are.
@@ -61,8 +61,8 @@ class Lines:
         real = pc.greater(pc.binary_length(flat), 0)
         owner, flat = owner.filter(real).to_numpy(), flat.filter(real)
         coded = flat.dictionary_encode()
-        digits = np.array([any(c.isdigit() for c in w) for w in coded.dictionary.to_pylist()], bool)
-        hashes = word_hashes(flat)
+        digits = pc.match_substring_regex(coded.dictionary, r"\p{Nd}").to_numpy(zero_copy_only=False)
+        hashes = word_hashes(coded)
         if len(hashes):
             hashes[digits[coded.indices.to_numpy(zero_copy_only=False)]] = _WILDCARD
         self.n = np.bincount(owner, minlength=len(self.row)).astype(np.int64)
@@ -105,9 +105,14 @@ def line_templates(docs: DataFrame, key: str, text: str, depth: int, similarity:
         for batch in batches:
             for start, texts in _chunks(strings(batch.column(1))):
                 lines = Lines(texts, depth, similarity)
-                rows = np.stack([lines.row[lines.line], lines.template, lines.place[lines.line] if places else np.zeros(len(lines.line), np.int64)], axis=1)
-                rows = np.unique(rows, axis=0) if not places else rows
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows[:, 0] + start)), pa.array(rows[:, 1]), pa.array(rows[:, 2].astype(np.int32))], names=[key, "template", "place"])
+                row = lines.row[lines.line]
+                if places:
+                    first = np.arange(len(row))
+                else:
+                    order = np.lexsort((lines.template, row))
+                    first = order[np.concatenate([[True], (np.diff(row[order]) != 0) | (np.diff(lines.template[order]) != 0)])[: len(order)]]
+                at = batch.column(0).take(pa.array(row[first] + start))
+                yield pa.RecordBatch.from_arrays([at, pa.array(lines.template[first]), pa.array(lines.place[lines.line[first]].astype(np.int32))], names=[key, "template", "place"])
 
     kind = docs.schema[key].dataType.simpleString()
     return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, template bigint, place int")

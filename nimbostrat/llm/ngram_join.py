@@ -53,8 +53,8 @@ _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 def word_hashes(words: pa.Array) -> np.ndarray:
-    """64-bit hashes of non-empty words: a polynomial over their bytes."""
-    coded = words.dictionary_encode()
+    """64-bit hashes of non-empty words, encoded or not: a polynomial over their bytes."""
+    coded = words if pa.types.is_dictionary(words.type) else words.dictionary_encode()
     values = coded.dictionary.cast(pa.large_binary())
     offsets = np.frombuffer(values.buffers()[1], np.int64)[values.offset : values.offset + len(values) + 1]
     raw = np.frombuffer(values.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].astype(np.uint64) + np.uint64(1)
