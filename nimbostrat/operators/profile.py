@@ -56,15 +56,6 @@ def precipitable_water(profiles: DataFrame) -> DataFrame:
     return rows.groupBy("cell").agg(F.sum(water).alias("pwat_mm"))
 
 
-def mean_wind(profiles: DataFrame, top: float) -> DataFrame:
-    """Thickness-weighted mean wind from the lowest level to a height above it."""
-    rows = layers(profiles.withColumn("agl", F.col("z") - F.first("z").over(upwards())), ("agl", "u", "v")).where((F.col("agl") < top) & F.col("agl_up").isNotNull())
-    share = F.least(F.lit(1.0), (top - F.col("agl")) / (F.col("agl_up") - F.col("agl")))
-    depth = share * (F.col("agl_up") - F.col("agl"))
-    mean = lambda c: F.try_divide(F.sum((F.col(c) + share * (F.col(f"{c}_up") - F.col(c)) / 2) * depth), F.sum(depth))
-    return rows.groupBy("cell").agg(mean("u").alias("u"), mean("v").alias("v"))
-
-
 def bulk_shear(profiles: DataFrame, top: float) -> DataFrame:
     """Knots of wind difference between the lowest level and a height above it."""
     low = profiles.groupBy("cell").agg(F.min_by(F.struct("u", "v"), "z").alias("low"))
@@ -73,29 +64,15 @@ def bulk_shear(profiles: DataFrame, top: float) -> DataFrame:
     return high.join(low, "cell").select("cell", (F.sqrt(du * du + dv * dv) * MPS_TO_KT).alias("shear_kt"))
 
 
-def bunkers_motion(profiles: DataFrame, top: float = 6000.0, deviation: float = 7.5) -> DataFrame:
-    """Right- and left-moving storm motion: the mean wind and a part across the shear."""
-    low = profiles.groupBy("cell").agg(F.min_by(F.struct("u", "v"), "z").alias("low"))
-    high = at_height(profiles, top, ("u", "v")).select("cell", F.col("u").alias("hu"), F.col("v").alias("hv"))
-    rows = mean_wind(profiles, top).join(low, "cell").join(high, "cell")
-    su, sv = F.col("hu") - F.col("low.u"), F.col("hv") - F.col("low.v")
-    size = F.sqrt(su * su + sv * sv)
-    across_u, across_v = F.try_divide(deviation * sv, size), F.try_divide(-deviation * su, size)
-    return rows.select("cell", (F.col("u") + across_u).alias("right_u"), (F.col("v") + across_v).alias("right_v"), (F.col("u") - across_u).alias("left_u"), (F.col("v") - across_v).alias("left_v"))
-
-
-def storm_relative_helicity(profiles: DataFrame, motion: DataFrame, top: float) -> DataFrame:
-    """m2/s2 from the lowest level to a height above it; motion: cell, c_u, c_v."""
-    rows = layers(profiles.withColumn("agl", F.col("z") - F.first("z").over(upwards())), ("agl", "u", "v")).where((F.col("agl") < top) & F.col("agl_up").isNotNull())
-    share = F.least(F.lit(1.0), (top - F.col("agl")) / (F.col("agl_up") - F.col("agl")))
-    u2, v2 = F.col("u") + share * (F.col("u_up") - F.col("u")), F.col("v") + share * (F.col("v_up") - F.col("v"))
-    turn = (u2 - F.col("c_u")) * (F.col("v") - F.col("c_v")) - (F.col("u") - F.col("c_u")) * (v2 - F.col("c_v"))
-    return rows.join(motion, "cell").groupBy("cell").agg(F.sum(turn).alias("srh"))
-
-
-def warmest_level(profiles: DataFrame, least_pressure: float = 500.0) -> DataFrame:
-    """Highest temperature in C at or below a pressure level, and its Kuchera ratio."""
-    warm = profiles.where(F.col("p") >= least_pressure).groupBy("cell").agg((F.max("t") - thermo.ZERO_C).alias("warmest_c"))
+def warmest_level(profiles: DataFrame, ground: DataFrame, least_pressure: float = 500.0) -> DataFrame:
+    """Highest temperature in C at or below a pressure level, and its Kuchera ratio.
+
+    ground: cell, surface_z, surface_t (either may be missing). Levels at or below
+    the ground don't count, its own temperature does.
+    """
+    above = profiles.where(F.col("p") >= least_pressure).join(ground, "cell", "right")
+    level = F.when(F.coalesce(F.col("z") > F.col("surface_z"), F.col("z").isNotNull()), F.col("t"))
+    warm = above.groupBy("cell").agg((F.greatest(F.max(level), F.max("surface_t")) - thermo.ZERO_C).alias("warmest_c"))
     return warm.withColumn("ratio", winter.kuchera_ratio(F.col("warmest_c")))
 
 

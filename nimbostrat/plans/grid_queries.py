@@ -14,7 +14,6 @@ from nimbostrat.sources.proxies import GRID_SQL, HOLED_SQL, grid, holed_grid, ta
 
 # The raster of the SQL is the whole table, too.
 LAST_ROW, LAST_COL = "CAST((SELECT max(vec_id) FROM embeddings) AS DOUBLE)", "CAST((SELECT max(len(embedding)) - 1 FROM embeddings) AS DOUBLE)"
-DIMS_SQL = "n AS (SELECT max(row) + 1 AS rows, max(col) + 1 AS cols FROM grid)"
 
 
 def raster(spark: SparkSession, sf_dir: str, holes: bool = False) -> tuple[DataFrame, int, int]:

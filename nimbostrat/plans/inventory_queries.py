@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from nimbostrat.operators import intervals
+from nimbostrat.operators import accumulate, intervals
 from nimbostrat.plans.availability import availability, missing_required
 from nimbostrat.plans.registry import query
 from nimbostrat.sources.inventory import byte_ranges, dotted, first_match, parse_lines, range_header, with_windows
-from nimbostrat.sources.proxies import FRAMES_SQL, LINES_SQL, frames, inventory_lines
+from nimbostrat.sources.proxies import FRAMES_SQL, LINES_SQL, frames, inventory_lines, series
 
 RECORDS_SQL = LINES_SQL + """, records AS (
     SELECT hour, ordinal, line, split_part(line, ':', 1) AS record, CAST(split_part(line, ':', 2) AS BIGINT) AS "offset",
@@ -143,17 +143,116 @@ def interval_path_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
     return intervals.ranked_path(spans(spark, sf_dir), 0, 24)
 
 
+def _plans_sql(hours: int, totals: bool) -> str:
+    """Terms of the last hours, written as recursion: chains of the earliest intervals, and greedy tiles where a chain breaks."""
+    more = " UNION SELECT model, 0, hour FROM frames WHERE hour > 0" if totals else ""
+    return f"""{SPANS_SQL}, h AS (SELECT * FROM frames WHERE hour >= 0), iv AS (SELECT DISTINCT model, start_hour AS a, end_hour AS b FROM (SELECT model, start_hour, end_hour FROM spans{more}) WHERE (model, end_hour) IN (SELECT model, hour FROM h)),
+    first AS (SELECT model, b, min(a) AS a FROM iv GROUP BY 1, 2),
+    chain AS (SELECT model, hour, hour AS pos, CAST(NULL AS BIGINT) AS upto FROM h WHERE hour > 0 UNION ALL SELECT c.model, c.hour, f.a, c.pos FROM chain c JOIN first f ON f.model = c.model AND f.b = c.pos WHERE c.pos > 0 AND (c.model, c.pos) IN (SELECT model, hour FROM h)),
+    tile AS (SELECT model, hour, CAST(0 AS BIGINT) AS a, CAST(0 AS BIGINT) AS b FROM h WHERE hour > 0 UNION ALL SELECT t.model, t.hour, t.b, (SELECT max(i.b) FROM iv i WHERE i.model = t.model AND i.a = t.b AND i.b <= t.hour) FROM tile t WHERE t.b < t.hour),
+    tiled AS (SELECT model, hour FROM tile GROUP BY 1, 2 HAVING max(b) = hour AND count(*) = count(b)),
+    base AS (SELECT model, hour, CASE WHEN min(pos) = 0 THEN 0 ELSE min(CASE WHEN (model, pos) IN (SELECT model, hour FROM tiled) THEN pos END) END AS base FROM chain GROUP BY 1, 2),
+    cum AS (SELECT c.model, c.hour, c.pos AS a, c.upto AS b FROM chain c JOIN base USING (model, hour) WHERE c.pos >= base AND c.upto IS NOT NULL AND base IS NOT NULL
+        UNION ALL SELECT b.model, b.hour, t.a, t.b FROM base b JOIN tile t ON t.model = b.model AND t.hour = b.base WHERE t.b > 0),
+    aim AS (SELECT model, hour, greatest(hour - {hours}, 0) AS start FROM h WHERE hour > 0),
+    d AS (SELECT aim.model, aim.hour, a, b, CAST(1 AS DOUBLE) AS w FROM aim JOIN iv ON iv.model = aim.model AND iv.a = start AND iv.b = hour),
+    rest AS (SELECT * FROM aim WHERE (model, hour) NOT IN (SELECT model, hour FROM d)),
+    t AS (SELECT * FROM rest WHERE (model, hour) IN (SELECT model, hour FROM cum) AND (start = 0 OR (model, start) IN (SELECT model, hour FROM cum))),
+    diff AS (SELECT model, hour, a, b, sum(w) AS w FROM (SELECT t.model, t.hour, a, b, 1.0 AS w FROM t JOIN cum ON cum.model = t.model AND cum.hour = t.hour UNION ALL SELECT t.model, t.hour, a, b, -1.0 FROM t JOIN cum ON cum.model = t.model AND cum.hour = t.start) GROUP BY 1, 2, 3, 4 HAVING abs(sum(w)) > 1e-9),
+    s AS (SELECT * FROM rest WHERE (model, hour) NOT IN (SELECT model, hour FROM t)),
+    walk AS (SELECT model, hour, start AS a, start AS b, 0 AS step FROM s UNION ALL SELECT w.model, w.hour, w.b, (SELECT max(i.b) FROM iv i WHERE i.model = w.model AND i.a = w.b AND i.b <= w.hour), step + 1 FROM walk w WHERE w.b < w.hour),
+    fill AS (SELECT model, hour, a, b, 1.0 AS w FROM walk WHERE step > 0 AND (model, hour) IN (SELECT model, hour FROM walk GROUP BY 1, 2 HAVING max(b) = hour AND count(*) = count(b))),
+    terms AS (SELECT model, hour, a AS start_hour, b AS end_hour, CAST(w AS DOUBLE) AS weight FROM (SELECT * FROM d UNION ALL SELECT * FROM diff UNION ALL SELECT * FROM fill))"""
+
+
+def published(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return frames(spark, sf_dir).where("hour >= 0")
+
+
+def totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Intervals of 1, 3 and 6 hours, and totals since hour 0."""
+    since = published(spark, sf_dir).where("hour > 0").select("model", F.lit(0).cast("bigint").alias("start_hour"), F.col("hour").alias("end_hour"))
+    return spans(spark, sf_dir).select("model", "start_hour", "end_hour").unionByName(since)
+
+
+@query("precip_window_terms", f"WITH RECURSIVE {_plans_sql(6, True)} SELECT * FROM terms")
+def precip_window_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return intervals.window_terms(totals(spark, sf_dir), 6, published(spark, sf_dir))
+
+
+@query("precip_cumulative_plan", f"WITH RECURSIVE {_plans_sql(24, False)} SELECT * FROM terms")
+def precip_cumulative_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A day's terms where no totals are published, so that they are chained or tiled."""
+    return intervals.window_terms(spans(spark, sf_dir).select("model", "start_hour", "end_hour"), 24, published(spark, sf_dir))
+
+
 @query(
-    "precip_window_terms",
-    f"""WITH {SPANS_SQL}, s AS (SELECT DISTINCT model, start_hour, end_hour FROM spans UNION SELECT model, 0, hour FROM frames WHERE hour > 0),
-    a AS (SELECT model, hour, greatest(hour - 6, 0) AS from_hour FROM frames WHERE hour > 0),
-    e AS (SELECT a.model, a.hour, s.start_hour, s.end_hour, CAST(1 AS DOUBLE) AS weight FROM a JOIN s ON s.model = a.model AND s.end_hour = a.hour AND s.start_hour = a.from_hour),
-    d AS (SELECT a.* FROM a WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.model = a.model AND e.hour = a.hour)
-        AND EXISTS (SELECT 1 FROM s WHERE s.model = a.model AND s.start_hour = 0 AND s.end_hour = a.hour)
-        AND EXISTS (SELECT 1 FROM s WHERE s.model = a.model AND s.start_hour = 0 AND s.end_hour = a.from_hour))
-    SELECT * FROM e UNION ALL SELECT model, hour, 0, hour, 1.0 FROM d UNION ALL SELECT model, hour, 0, from_hour, -1.0 FROM d""",
+    "precip_window_fields",
+    f"""WITH RECURSIVE {_plans_sql(6, True)}, f AS (SELECT model, cell, hour AS end_hour, value FROM series)
+    SELECT x.model, x.cell, x.hour, round(CASE WHEN count(f.value) = count(*) THEN greatest(0, sum(weight * f.value * (terms.end_hour - terms.start_hour))) END, 4) AS total
+    FROM series x JOIN terms ON terms.model = x.model AND terms.hour = x.hour LEFT JOIN f ON f.model = x.model AND f.cell = x.cell AND f.end_hour = terms.end_hour GROUP BY 1, 2, 3""",
 )
-def precip_window_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+def precip_window_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The plan joined to its fields; an interval's amount is its last hour's value times its length."""
+    rows = series(spark, sf_dir)
+    terms = intervals.window_terms(totals(spark, sf_dir), 6, published(spark, sf_dir))
+    wanted = rows.select("model", "cell", "hour").join(F.broadcast(terms), ["model", "hour"])
+    held = rows.select("model", "cell", F.col("hour").alias("end_hour"), "value")
+    amounts = wanted.join(held, ["model", "cell", "end_hour"], "left").withColumn("value", F.col("value") * (F.col("end_hour") - F.col("start_hour")))
+    return accumulate.weighted_sum(amounts, ("model", "cell", "hour")).select("model", "cell", "hour", F.round("total", 4).alias("total"))
+
+
+LIQUID_SQL = SPANS_SQL + """, liq AS (SELECT DISTINCT model, kind, start_hour, end_hour FROM (
+        SELECT model, 'direct' AS kind, start_hour, end_hour FROM spans WHERE end_hour % 5 <> 0 AND end_hour - start_hour <> 3
+        UNION ALL SELECT model, 'direct', 0, hour FROM frames WHERE hour > 0 AND hour % 4 = 0 UNION ALL SELECT model, 'masked', start_hour, end_hour FROM spans WHERE end_hour - start_hour <= 3)),
+    tot AS (SELECT model, end_hour AS hour FROM liq WHERE kind = 'direct' AND start_hour = 0 AND end_hour <= {end}),
+    del AS (SELECT model, lag(hour) OVER (PARTITION BY model ORDER BY hour) AS a, hour AS b FROM (SELECT * FROM tot UNION SELECT DISTINCT model, 0 FROM tot)),
+    ch AS (SELECT model, 'delta' AS kind, 0 AS kr, a, b FROM del WHERE a IS NOT NULL UNION SELECT model, kind, CASE kind WHEN 'direct' THEN 1 ELSE 2 END, start_hour, end_hour FROM liq WHERE end_hour <= {end}),
+    back AS (SELECT DISTINCT model, CAST({end} AS BIGINT) AS hour FROM ch UNION SELECT c.model, c.a FROM back k JOIN ch c ON c.model = k.model AND c.b = k.hour),
+    best AS (SELECT *, row_number() OVER (PARTITION BY model, a ORDER BY kr, b - a, b) AS k FROM ch WHERE (model, b) IN (SELECT model, hour FROM back)),
+    path AS (SELECT model, 1 AS step, kind, a, b FROM best WHERE k = 1 AND a = 0 UNION ALL SELECT p.model, p.step + 1, e.kind, e.a, e.b FROM path p JOIN best e ON e.k = 1 AND e.model = p.model AND e.a = p.b WHERE p.b < {end})"""
+
+
+def liquid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Direct intervals and totals with gaps, and masked precipitation."""
+    rows, held = spans(spark, sf_dir), published(spark, sf_dir)
+    long = F.col("end_hour") - F.col("start_hour")
+    direct = rows.where((F.col("end_hour") % 5 != 0) & (long != 3)).select("model", F.lit("direct").alias("kind"), "start_hour", "end_hour")
+    since = held.where("hour > 0 AND hour % 4 = 0").select("model", F.lit("direct").alias("kind"), F.lit(0).cast("bigint").alias("start_hour"), F.col("hour").alias("end_hour"))
+    return direct.unionByName(since).unionByName(rows.where(long <= 3).select("model", F.lit("masked").alias("kind"), "start_hour", "end_hour"))
+
+
+@query(
+    "liquid_chunk_terms",
+    f"""WITH RECURSIVE {LIQUID_SQL.format(end=30)} SELECT model, CAST(step AS INTEGER) AS step, kind, a AS start_hour, b AS end_hour, CASE WHEN kind = 'delta' AND a > 0 THEN 'direct:0-' || b || ':1,direct:0-' || a || ':-1'
+        WHEN kind = 'delta' THEN 'direct:0-' || b || ':1' ELSE kind || ':' || a || '-' || b || ':1' END AS terms FROM path""",
+)
+def liquid_chunk_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Snow or freezing-rain liquid of the first 30 hours: differences of totals, direct records, masked precipitation."""
+    chunks = intervals.liquid_chunks(liquid(spark, sf_dir), 0, 30)
+    text = F.transform("terms", lambda x: F.concat_ws("", x["kind"], F.lit(":"), x["start_hour"], F.lit("-"), x["end_hour"], F.lit(":"), x["weight"].cast("int")))
+    return chunks.select("model", F.col("step").cast("int").alias("step"), "kind", "start_hour", "end_hour", F.array_join(text, ",").alias("terms"))
+
+
+@query(
+    "accumulation_resume_step",
+    f"""WITH RECURSIVE {SPANS_SQL}, s AS (SELECT DISTINCT model, start_hour AS a, end_hour AS b FROM spans WHERE end_hour <= 96),
+    r AS (SELECT DISTINCT model, CAST(0 AS BIGINT) AS hour FROM s UNION SELECT s.model, s.b FROM r JOIN s ON s.model = r.model AND s.a = r.hour)
+    SELECT model, b AS hour, max(a) AS start_hour FROM s WHERE (model, a) IN (SELECT model, hour FROM r) GROUP BY 1, 2""",
+)
+def accumulation_resume_step(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return intervals.resume_steps(spans(spark, sf_dir), 96)
+
+
+@query(
+    "forecast_source_hours",
+    f"""WITH {FRAMES_SQL}, t AS (SELECT model, max(hour) AS target FROM frames GROUP BY model), h AS (
+        SELECT model, unnest(generate_series(0, least(target, 120))) AS hour FROM t WHERE target >= 0 UNION SELECT model, unnest(generate_series(123, target, 3)) FROM t WHERE target >= 123
+        UNION SELECT model, hour FROM frames WHERE hour >= 0 UNION SELECT model, 0 FROM t)
+    SELECT model, hour FROM h""",
+)
+def forecast_source_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hourly to 120 and every third hour after, with the published hours."""
     held = frames(spark, sf_dir)
-    totals = held.where("hour > 0").select("model", F.lit(0).cast("bigint").alias("start_hour"), F.col("hour").alias("end_hour"))
-    return intervals.window_terms(spans(spark, sf_dir).select("model", "start_hour", "end_hour").unionByName(totals), 6, held)
+    targets = held.groupBy("model").agg(F.max("hour").alias("target"))
+    return intervals.source_hours(held, targets, 120, 3)

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nimbostrat.functions import severe, thermo, units, winter
-from nimbostrat.operators import forest, parcel, profile
+from nimbostrat.operators import column, forest, parcel, profile
 from nimbostrat.plans.registry import query
 from nimbostrat.sources.proxies import SOUNDINGS_SQL, soundings, table
 
@@ -236,13 +236,63 @@ def pwat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.precipitable_water(soundings(spark, sf_dir)).select("cell", F.round("pwat_mm", 5).alias("pwat_mm"))
 
 
+# a mean over height counts only where the profile reaches the top
 MEAN_SQL = """SELECT cell, sum((u + s * (u2 - u) / 2) * s * (agl2 - agl)) / sum(s * (agl2 - agl)) AS u, sum((v + s * (v2 - v) / 2) * s * (agl2 - agl)) / sum(s * (agl2 - agl)) AS v
-    FROM (SELECT *, least(1.0, (6000 - agl) / (agl2 - agl)) AS s FROM ly WHERE agl < 6000 AND agl2 IS NOT NULL) GROUP BY cell"""
+    FROM (SELECT *, least(1.0, (6000 - agl) / (agl2 - agl)) AS s FROM ly WHERE agl < 6000 AND agl2 IS NOT NULL) GROUP BY cell HAVING max(agl2) >= 6000"""
+# p, u and v at a height; then a mean over pressure of the samples of a CTE, by Simpson's rule
+TOP_SQL = """SELECT cell, CASE WHEN agl = {h} THEN p ELSE exp(ln(p) + (ln(p2) - ln(p)) * ({h} - agl) / (agl2 - agl)) END AS p,
+    CASE WHEN agl = {h} THEN u ELSE u + ({h} - agl) / (agl2 - agl) * (u2 - u) END AS u, CASE WHEN agl = {h} THEN v ELSE v + ({h} - agl) / (agl2 - agl) * (v2 - v) END AS v FROM ly WHERE agl <= {h} AND (agl2 > {h} OR agl = {h})"""
 
 
-@query("mean_wind_height", f"WITH {LAYERS_SQL}, m AS ({MEAN_SQL}) SELECT cell, round(u, 5) AS u, round(v, 5) AS v FROM m")
+def _mean_over_pressure(samples: str) -> str:
+    part = lambda c: f"sum(({c} + 4 * ({c} + ({c}2 - {c}) * s) + {c}2) / 6 * (p - p2)) / sum(p - p2) AS {c}"
+    return f"""SELECT cell, {part("u")}, {part("v")} FROM (SELECT *, (ln((p + p2) / 2) - ln(p)) / (ln(p2) - ln(p)) AS s FROM (
+        SELECT *, lead(p) OVER w AS p2, lead(u) OVER w AS u2, lead(v) OVER w AS v2 FROM {samples} WINDOW w AS (PARTITION BY cell ORDER BY p DESC)) WHERE p2 < p) GROUP BY cell"""
+
+
+DEEP_SQL = LAYERS_SQL + f", top AS ({TOP_SQL.format(h=6000)}), smp AS (SELECT cell, p, u, v FROM pr WHERE agl < 6000 AND cell IN (SELECT cell FROM top) UNION ALL SELECT cell, p, u, v FROM top), pm AS ({_mean_over_pressure('smp')})"
+
+
+@query("mean_wind_height", f"WITH {LAYERS_SQL}, m AS ({MEAN_SQL}) SELECT cell, round(u, 5) AS u, round(v, 5) AS v FROM (SELECT DISTINCT cell FROM pr) LEFT JOIN m USING (cell)")
 def mean_wind_height(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return profile.mean_wind(soundings(spark, sf_dir), 6000.0).select("cell", F.round("u", 5).alias("u"), F.round("v", 5).alias("v"))
+    return column.mean_winds(soundings(spark, sf_dir), 6000.0).select("cell", F.round("u", 5).alias("u"), F.round("v", 5).alias("v"))
+
+
+@query("mean_wind_pressure", f"WITH {DEEP_SQL} SELECT cell, round(u, 5) AS u, round(v, 5) AS v FROM (SELECT DISTINCT cell FROM pr) LEFT JOIN pm USING (cell)")
+def mean_wind_pressure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return column.mean_winds(soundings(spark, sf_dir), 6000.0).select("cell", F.round("pu", 5).alias("u"), F.round("pv", 5).alias("v"))
+
+
+@query(
+    "pressure_shear",
+    f"""WITH {LAYERS_SQL}, a AS (SELECT cell, CASE WHEN p = 600 THEN u ELSE u + (ln(p) - ln(600)) / (ln(p) - ln(p2)) * (u2 - u) END AS u, CASE WHEN p = 600 THEN v ELSE v + (ln(p) - ln(600)) / (ln(p) - ln(p2)) * (v2 - v) END AS v
+        FROM ly WHERE p >= 600 AND (p2 < 600 OR p = 600)), b AS (SELECT cell, u AS u0, v AS v0 FROM pr WHERE k = 1)
+    SELECT cell, round(sqrt((u - u0) * (u - u0) + (v - v0) * (v - v0)) * 1.943844, 5) AS shear_kt FROM b LEFT JOIN a USING (cell)""",
+)
+def pressure_shear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Missing where the profile doesn't span 600 hPa."""
+    return column.pressure_shear(soundings(spark, sf_dir), 600.0).select("cell", F.round("shear_kt", 5).alias("shear_kt"))
+
+
+CORFIDI_SQL = LAYERS_SQL + f""", n AS (SELECT cell, max(p) AS p0, least(850, max(p)) AS pb FROM pr GROUP BY cell HAVING count(*) >= 3),
+    ends AS (SELECT cell, pb AS p FROM n UNION ALL SELECT cell, 300 FROM n),
+    at_p AS (SELECT cell, e.p, CASE WHEN l.p = e.p THEN u ELSE u + (ln(e.p) - ln(l.p)) / (ln(p2) - ln(l.p)) * (u2 - u) END AS u, CASE WHEN l.p = e.p THEN v ELSE v + (ln(e.p) - ln(l.p)) / (ln(p2) - ln(l.p)) * (v2 - v) END AS v
+        FROM ly l JOIN ends e USING (cell) WHERE l.p >= e.p AND (p2 < e.p OR l.p = e.p)),
+    whole AS (SELECT cell FROM at_p GROUP BY cell HAVING count(*) = 2),
+    deep_s AS (SELECT * FROM at_p WHERE cell IN (SELECT cell FROM whole) UNION ALL SELECT cell, p, u, v FROM pr JOIN n USING (cell) WHERE p < pb AND p > 300 AND cell IN (SELECT cell FROM whole)),
+    top AS ({TOP_SQL.format(h=1500)}), low_s AS (SELECT cell, p, u, v FROM pr WHERE agl < 1500 AND cell IN (SELECT cell FROM top) UNION ALL SELECT cell, p, u, v FROM top),
+    deep AS ({_mean_over_pressure('deep_s')}), low AS ({_mean_over_pressure('low_s')})"""
+
+
+@query(
+    "corfidi_motion",
+    f"""WITH {CORFIDI_SQL} SELECT n.cell, round(d.u - l.u, 4) + 0.0 AS upshear_u, round(d.v - l.v, 4) + 0.0 AS upshear_v, round(d.u + (d.u - l.u), 4) + 0.0 AS downshear_u, round(d.v + (d.v - l.v), 4) + 0.0 AS downshear_v
+    FROM n LEFT JOIN deep d ON d.cell = n.cell LEFT JOIN low l ON l.cell = n.cell""",
+)
+def corfidi_motion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Missing where the profile doesn't span the layers."""
+    out = column.corfidi(soundings(spark, sf_dir))
+    return out.select("cell", *[(F.round(c, 4) + 0.0).alias(c) for c in ("upshear_u", "upshear_v", "downshear_u", "downshear_v")])
 
 
 @query(
@@ -254,35 +304,74 @@ def bulk_shear(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.bulk_shear(soundings(spark, sf_dir), 6000.0).select("cell", F.round("shear_kt", 5).alias("shear_kt"))
 
 
-BUNKERS_SQL = LAYERS_SQL + f""", m AS ({MEAN_SQL}), a AS ({AT_SQL.format(h=6000)}), b AS (SELECT cell, u AS u0, v AS v0 FROM pr WHERE k = 1),
-    s AS (SELECT cell, m.u AS mu, m.v AS mv, a.u - u0 AS su, a.v - v0 AS sv FROM m JOIN a USING (cell) JOIN b USING (cell)),
-    bk AS (SELECT cell, mu + 7.5 * sv / nullif(sqrt(su * su + sv * sv), 0) AS ru, mv - 7.5 * su / nullif(sqrt(su * su + sv * sv), 0) AS rv, mu - 7.5 * sv / nullif(sqrt(su * su + sv * sv), 0) AS lu, mv + 7.5 * su / nullif(sqrt(su * su + sv * sv), 0) AS lv FROM s)"""
+BUNKERS_SQL = DEEP_SQL + """, b AS (SELECT cell, u AS u0, v AS v0 FROM pr WHERE k = 1),
+    s AS (SELECT cell, pm.u AS mu, pm.v AS mv, top.u - u0 AS su, top.v - v0 AS sv FROM pm JOIN top USING (cell) JOIN b USING (cell)),
+    bk AS (SELECT cell, mu + 7.5 * sv / sqrt(su * su + sv * sv) AS ru, mv - 7.5 * su / sqrt(su * su + sv * sv) AS rv, mu - 7.5 * sv / sqrt(su * su + sv * sv) AS lu, mv + 7.5 * su / sqrt(su * su + sv * sv) AS lv FROM s WHERE sqrt(su * su + sv * sv) >= 1e-6)"""
 
 
-@query("bunkers", f"WITH {BUNKERS_SQL} SELECT cell, round(ru, 4) AS right_u, round(rv, 4) AS right_v, round(lu, 4) AS left_u, round(lv, 4) AS left_v FROM bk")
+@query("bunkers", f"WITH {BUNKERS_SQL} SELECT cell, round(ru, 4) AS right_u, round(rv, 4) AS right_v, round(lu, 4) AS left_u, round(lv, 4) AS left_v FROM (SELECT DISTINCT cell FROM pr) LEFT JOIN bk USING (cell)")
 def bunkers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = profile.bunkers_motion(soundings(spark, sf_dir))
+    out = column.storm_motions(soundings(spark, sf_dir))
     return out.select("cell", *[F.round(c, 4).alias(c) for c in ("right_u", "right_v", "left_u", "left_v")])
 
 
 @query(
     "srh",
     f"""WITH {BUNKERS_SQL}, l AS (SELECT *, least(1.0, (3000 - agl) / (agl2 - agl)) AS s FROM ly WHERE agl < 3000 AND agl2 IS NOT NULL)
-    SELECT cell, round(sum((u + s * (u2 - u) - ru) * (v - rv) - (u - ru) * (v + s * (v2 - v) - rv)), 3) AS srh FROM l JOIN bk USING (cell) GROUP BY cell""",
+    SELECT cell, round(sum((u + s * (u2 - u) - ru) * (v - rv) - (u - ru) * (v + s * (v2 - v) - rv)), 3) AS srh FROM (SELECT DISTINCT cell FROM pr) LEFT JOIN l USING (cell) LEFT JOIN bk USING (cell) GROUP BY cell""",
 )
 def srh(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = soundings(spark, sf_dir)
-    motion = profile.bunkers_motion(rows).select("cell", F.col("right_u").alias("c_u"), F.col("right_v").alias("c_v"))
-    return profile.storm_relative_helicity(rows, motion, 3000.0).select("cell", F.round("srh", 3).alias("srh"))
+    return column.storm_motions(soundings(spark, sf_dir)).select("cell", F.round("srh", 3).alias("srh"))
+
+
+MOIST_SQL = SOUNDINGS_SQL + """, g0 AS (SELECT *, ln(least(100, greatest(1, rh)) / 100) + 17.625 * (t - 273.15) / (t - 273.15 + 243.04) AS gg FROM soundings WHERE rh > 0),
+    mo AS (SELECT cell, p, z, t, least(t, 243.04 * gg / (17.625 - gg) + 273.15) AS td, row_number() OVER (PARTITION BY cell ORDER BY z) AS k, max(p) OVER (PARTITION BY cell) AS p0, min(p) OVER (PARTITION BY cell) AS p9, min(z) OVER (PARTITION BY cell) AS z0, count(*) OVER (PARTITION BY cell) AS n FROM g0),
+    ml AS (SELECT *, lead(p) OVER w AS p2, lead(t) OVER w AS t2, lead(td) OVER w AS td2, lead(z) OVER w AS z2 FROM mo WINDOW w AS (PARTITION BY cell ORDER BY z))"""
+W_SQL = "(0.622 * 6.112 * exp(17.67 * ({td} - 273.15) / ({td} - 273.15 + 243.5)) / ({p} - 6.112 * exp(17.67 * ({td} - 273.15) / ({td} - 273.15 + 243.5))))"
+
+
+@query(
+    "mixed_layer_parcel",
+    f"""WITH {MOIST_SQL}, c AS (SELECT * FROM ml WHERE n >= 2 AND p0 > 200), e AS (SELECT cell, p0 - 100 AS p, CASE WHEN p = p0 - 100 THEN t ELSE t + (ln(p0 - 100) - ln(p)) / (ln(p2) - ln(p)) * (t2 - t) END AS t,
+        CASE WHEN p = p0 - 100 THEN td ELSE td + (ln(p0 - 100) - ln(p)) / (ln(p2) - ln(p)) * (td2 - td) END AS td FROM c WHERE p >= p0 - 100 AND (p2 < p0 - 100 OR p = p0 - 100)),
+    s AS (SELECT cell, p, t, td FROM e UNION ALL SELECT cell, p, t, td FROM c WHERE p > p0 - 100 AND cell IN (SELECT cell FROM e)),
+    g AS (SELECT *, lead(p) OVER w AS p2, lead(t) OVER w AS t2, lead(td) OVER w AS td2 FROM s WINDOW w AS (PARTITION BY cell ORDER BY p DESC)),
+    h AS (SELECT *, (p + p2) / 2 AS pm, (ln((p + p2) / 2) - ln(p)) / (ln(p2) - ln(p)) AS x FROM g WHERE p2 < p), m AS (SELECT *, t + (t2 - t) * x AS tm, td + (td2 - td) * x AS tdm FROM h),
+    a AS (SELECT cell, max(p) AS p0, sum((t * pow(1000 / p, 0.2854) + 4 * tm * pow(1000 / pm, 0.2854) + t2 * pow(1000 / p2, 0.2854)) / 6 * (p - p2)) / sum(p - p2) AS theta,
+        sum(({W_SQL.format(td="td", p="p")} + 4 * {W_SQL.format(td="tdm", p="pm")} + {W_SQL.format(td="td2", p="p2")}) / 6 * (p - p2)) / sum(p - p2) AS w FROM m GROUP BY cell),
+    o AS (SELECT cell, p0, theta * pow(p0 / 1000, 0.2854) AS t, ln(w * p0 / (0.622 + w) / 6.112) AS x FROM a)
+    SELECT b.cell, round(p0, 3) AS p, round(t, 4) AS t, round(243.5 * x / (17.67 - x) + 273.15, 4) AS td FROM (SELECT DISTINCT cell FROM c) b LEFT JOIN o USING (cell)""",
+)
+def mixed_layer_parcel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Missing where the profile is less than 100 hPa deep."""
+    return column.mixed_layer(soundings(spark, sf_dir)).select("cell", F.round("p", 3).alias("p"), F.round("t", 4).alias("t"), F.round("td", 4).alias("td"))
+
+
+@query(
+    "most_unstable_source",
+    f"""WITH {MOIST_SQL}, k AS (SELECT cell, z0, unnest(generate_series(0, CAST(floor((p0 - greatest(p9, p0 - 300)) / 10) AS INTEGER))) AS i, p0 FROM mo WHERE k = 1 AND n >= 2), q AS (SELECT cell, z0, i, p0 - 10 * i AS q FROM k),
+    x AS (SELECT cell, z0, i, q, CASE WHEN p = q THEN 0 ELSE (ln(q) - ln(p)) / (ln(p2) - ln(p)) END AS s, l.* EXCLUDE (cell, z0) FROM q JOIN ml l USING (cell, z0) WHERE p >= q AND (p2 < q OR p = q)),
+    y AS (SELECT cell, i, q, z + s * coalesce(z2 - z, 0) - z0 AS agl, t + s * coalesce(t2 - t, 0) AS t, td + s * coalesce(td2 - td, 0) AS td FROM x),
+    v AS (SELECT *, 6.112 * exp(17.67 * (td - 273.15) / (td - 273.15 + 243.5)) AS e, 56 + 1 / (1 / (td - 56) + ln(t / td) / 800) AS tl FROM y WHERE agl <= 4000), w AS (SELECT *, 0.622 * e / (q - e) AS w FROM v),
+    f AS (SELECT *, t * pow(1000 / (q - e), 0.2854 * (1 - 0.28 * w)) * exp((3376 / tl - 2.54) * w * (1 + 0.81 * w)) AS th FROM w)
+    SELECT cell, round(max(th), 4) AS theta_e FROM f GROUP BY cell""",
+)
+def most_unstable_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every 10 hPa."""
+    return column.most_unstable(soundings(spark, sf_dir), step=10.0).select("cell", F.round("theta_e", 4).alias("theta_e"))
 
 
 @query(
     "warmest_layer",
-    f"""WITH {SOUNDINGS_SQL}, w AS (SELECT cell, max(t) - 273.15 AS c FROM soundings WHERE p >= 500 GROUP BY cell)
+    f"""WITH {SOUNDINGS_SQL}, b AS (SELECT *, min(z) OVER (PARTITION BY cell) + 100 AS ground FROM soundings),
+    w AS (SELECT cell, max(CASE WHEN z > ground THEN t WHEN k0 THEN t - 2 END) - 273.15 AS c FROM (SELECT *, z = ground - 100 AS k0 FROM b) WHERE p >= 500 GROUP BY cell HAVING c IS NOT NULL)
     SELECT cell, round(c, 5) AS warmest_c, round(greatest(3, least(50, CASE WHEN c > -2 THEN 12 + 2 * (-2 - c) ELSE 12 + (-2 - c) END)), 5) AS ratio FROM w""",
 )
 def warmest_layer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return profile.warmest_level(soundings(spark, sf_dir)).select("cell", F.round("warmest_c", 5).alias("warmest_c"), F.round("ratio", 5).alias("ratio"))
+    """The ground lies 100 m above the lowest level and is 2 K colder."""
+    rows = soundings(spark, sf_dir)
+    ground = rows.groupBy("cell").agg((F.min("z") + 100).alias("surface_z"), (F.min_by("t", "z") - 2).alias("surface_t"), F.max("p").alias("p0")).where("p0 >= 500").drop("p0")
+    return profile.warmest_level(rows, ground).select("cell", F.round("warmest_c", 5).alias("warmest_c"), F.round("ratio", 5).alias("ratio"))
 
 
 @query(
