@@ -39,11 +39,10 @@ def merge_terms(terms: DataFrame, keys: tuple[str, ...]) -> DataFrame:
 
 def rolling_difference(totals: DataFrame, hours: int, keys: tuple[str, ...] = CELL, value: str = "total") -> DataFrame:
     """total(h) - total(h - hours), at least 0; at or before the window's length the total itself."""
-    before = totals.select(*[F.col(k).alias(f"b_{k}") for k in keys], (F.col("hour") + hours).alias("b_hour"), F.col(value).alias("b_total"), F.lit(True).alias("b_there"))
-    on = [F.col(k) == F.col(f"b_{k}") for k in keys] + [F.col("hour") == F.col("b_hour")]
-    joined = totals.join(before, on, "left")
-    amount = F.when(F.col("hour") <= hours, F.col(value)).when(F.col("b_there"), F.col(value) - F.col("b_total"))
-    return joined.select(*totals.columns, floor_at(amount, 0.0).alias("rolling"))
+    then = Window.partitionBy(*keys).orderBy("hour").rangeBetween(-hours, -hours)
+    before = F.when(F.count(F.lit(1)).over(then) > 0, F.max(value).over(then))
+    amount = F.when(F.col("hour") <= hours, F.col(value)).otherwise(F.col(value) - before)
+    return totals.withColumn("rolling", floor_at(amount, 0.0))
 
 
 def phase_fraction(masks: list[Column], phase: Column) -> Column:
@@ -56,3 +55,35 @@ def sampled_phase_fraction(samples: DataFrame, keys: tuple[str, ...], masks: lis
     """Mean share over the complete samples; missing if none is (renormalise)."""
     share = phase_fraction([F.col(m) for m in masks], F.col(phase))
     return samples.groupBy(*keys).agg(F.avg(share).alias("fraction"))
+
+
+def previous_source_hour(hours: DataFrame, keys: tuple[str, ...] = ("model",)) -> DataFrame:
+    """``hours`` with previous_hour: the greatest earlier hour above 0 that a run maximum goes on from."""
+    order = Window.partitionBy(*keys).orderBy("hour").rowsBetween(Window.unboundedPreceding, -1)
+    return hours.withColumn("previous_hour", F.max(F.when(F.col("hour") > 0, F.col("hour"))).over(order))
+
+
+def delta_accumulation(deltas: DataFrame, steps: DataFrame, keys: tuple[str, ...] = CELL) -> DataFrame:
+    """keys, hour, total: amounts of steps added up along the chain of the hours they go on from.
+
+    deltas: keys, hour, value (the amount since the step's start, missing where
+    unresolved); steps: model, hour, start_hour, whose chains begin at hour 0. Along
+    one chain hours ascend, so its sum is a window; an unknown amount makes all
+    later totals unknown.
+    """
+    chained = deltas.join(F.broadcast(steps.select("model", "hour", "start_hour")), ["model", "hour"])
+    order = Window.partitionBy(*keys).orderBy("hour")
+    upto = order.rowsBetween(Window.unboundedPreceding, 0)
+    linked = (F.lag("hour", 1, 0).over(order) == F.col("start_hour")) & F.col("value").isNotNull()
+    rows = chained.withColumn("whole", linked).withColumn("known", F.min(F.col("whole").cast("int")).over(upto))
+    return rows.withColumn("total", F.when(F.col("known") == 1, F.sum("value").over(upto))).select(*keys, "hour", "total")
+
+
+def visible(fields: DataFrame, threshold: float, keys: tuple[str, ...], value: str = "value") -> DataFrame:
+    """keys, any_finite, above: whether a grid has values, and any beyond the threshold it is shown for."""
+    return fields.groupBy(*keys).agg(F.coalesce(F.bool_or(F.col(value).isNotNull()), F.lit(False)).alias("any_finite"), F.coalesce(F.bool_or(F.col(value) > threshold), F.lit(False)).alias("above"))
+
+
+def zero_where_known(value: Column) -> Column:
+    """0 where there is a value, else missing."""
+    return F.when(value.isNotNull(), 0.0)

@@ -12,31 +12,34 @@ def axis_intersection(frames: DataFrame, models: list[str]) -> DataFrame:
 
     Models without any frame are left out of the comparison.
     """
-    chosen = frames.where(F.col("model").isin(models)).select("model", "hour").distinct()
-    n = chosen.agg(F.count_distinct("model").alias("n"))
-    shared = chosen.groupBy("hour").agg(F.count(F.lit(1)).alias("c")).crossJoin(F.broadcast(n)).where("c = n").select("hour")
-    first = chosen.where(F.col("model") == models[0]).select("hour").join(F.broadcast(shared.agg(F.count(F.lit(1)).alias("c"))).where("c = 0"), how="cross").select("hour")
-    return shared.unionByName(first)
+    held = frames.where(F.col("model").isin(models)).groupBy("hour").agg(F.collect_set("model").alias("have"))
+    whole = held.agg(F.max(F.size("have")).alias("most"), F.size(F.array_distinct(F.flatten(F.collect_set("have")))).alias("n"))
+    shared, first = F.size("have") == F.col("n"), F.array_contains("have", models[0])
+    return held.join(F.broadcast(whole), F.when(F.col("most") == F.col("n"), shared).otherwise(first)).select("hour")
 
 
 def axis_union(frames: DataFrame, models: list[str]) -> DataFrame:
     return frames.where(F.col("model").isin(models)).select("hour").distinct()
 
 
-def nearest_frame(targets: DataFrame, frames: DataFrame, reach: int) -> DataFrame:
-    """For each target (target_id, hour) and model, the nearest frame within ``reach`` hours.
+def nearest_frame(targets: DataFrame, frames: DataFrame) -> DataFrame:
+    """For each target (target_id, hour) and model, the nearest frame, however far.
 
-    Of two equally near frames the earlier is taken. Buckets of ``reach`` hours
-    make it an equi-join: a target meets its own bucket and the two beside it.
+    Of two equally near frames the earlier is taken. The frame of each distinct
+    hour is found by two windows over a model's axis and joined back to the targets.
     """
-    near = targets.select("target_id", F.col("hour").alias("target_hour"), F.explode(F.array(*[F.floor(F.col("hour") / reach) + k for k in (-1, 0, 1)])).alias("bucket"))
-    held = frames.select("model", F.col("hour").alias("frame_hour"), F.floor(F.col("hour") / reach).alias("bucket"))
-    apart = F.abs(F.col("frame_hour") - F.col("target_hour"))
-    return (
-        near.join(held, "bucket").where(apart <= reach).groupBy("target_id", "target_hour", "model")
-        .agg(F.min(F.struct(apart.alias("d"), "frame_hour")).alias("best"))
-        .select("target_id", "model", "target_hour", "best.frame_hour", (F.col("best.d") * 60).alias("delta_minutes"))
-    )
+    hours = targets.select(F.col("hour").alias("target_hour")).distinct()
+    models = frames.agg(F.collect_set("model").alias("models"))
+    wanted = hours.crossJoin(F.broadcast(models)).select(F.explode("models").alias("model"), F.col("target_hour").alias("hour"), F.lit(None).cast("bigint").alias("frame_hour"), F.lit(True).alias("asked"))
+    held = frames.select("model", F.col("hour").cast("bigint").alias("hour"), F.col("hour").cast("bigint").alias("frame_hour"), F.lit(False).alias("asked"))
+    axis = Window.partitionBy("model").orderBy("hour")
+    before = F.last("frame_hour", ignorenulls=True).over(axis.rangeBetween(Window.unboundedPreceding, 0))
+    after = F.first("frame_hour", ignorenulls=True).over(axis.rangeBetween(0, Window.unboundedFollowing))
+    placed = wanted.unionByName(held).withColumns({"before": before, "after": after}).where("asked")
+    best = F.when(F.col("before").isNull() | (F.col("after") - F.col("hour") < F.col("hour") - F.col("before")), F.col("after")).otherwise(F.col("before"))
+    found = placed.select(F.col("hour").alias("target_hour"), "model", best.alias("frame_hour"))
+    rows = targets.select("target_id", F.col("hour").alias("target_hour")).join(found, "target_hour")
+    return rows.select("target_id", "model", "target_hour", "frame_hour", (F.abs(F.col("frame_hour") - F.col("target_hour")) * 60).alias("delta_minutes"))
 
 
 def forward_probe(frames: DataFrame, anchors: list[int]) -> DataFrame:
@@ -81,3 +84,15 @@ def fetch_order(frames: DataFrame, selected: int) -> DataFrame:
     tier = F.when(F.col("hour") == selected, 0).when(F.col("hour") > selected, 1).otherwise(2)
     order = Window.partitionBy("model").orderBy("tier", F.abs(F.col("hour") - selected), "hour")
     return frames.withColumn("tier", tier).withColumn("place", F.row_number().over(order))
+
+
+def hour_status(planned: DataFrame, expected: DataFrame, last: DataFrame) -> DataFrame:
+    """model, hour, status: what a frame list shows for each hour.
+
+    planned: model, hour of the run's plan; expected: model, hour, status of frames
+    already seen; last: model, last_hour of the newest manifest. An hour of the
+    manifest's span without a status of its own is ``ready`` up to its last hour
+    and ``pending`` after it.
+    """
+    rows = planned.select("model", "hour").distinct().join(expected.select("model", "hour", "status"), ["model", "hour"], "left").join(last, "model", "left")
+    return rows.select("model", "hour", F.coalesce("status", F.when(F.col("hour") <= F.col("last_hour"), "ready").otherwise("pending")).alias("status"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nimbostrat.sources.inventory import first_match
+from nimbostrat.sources.inventory import first_match, matches
 
 
 def availability(records: DataFrame, selectors: DataFrame, keys: tuple[str, ...] = ("hour",)) -> DataFrame:
@@ -14,19 +14,26 @@ def availability(records: DataFrame, selectors: DataFrame, keys: tuple[str, ...]
     selectors: entry, selector, param, level, level_regex, required, any_group
     (null outside groups). Entries without any match are listed, too.
     """
-    matched = first_match(records, selectors, keys).select(*keys, "selector", F.lit(True).alias("hit"))
-    wanted = records.select(*keys).distinct().crossJoin(F.broadcast(selectors.select("entry", "selector", "required", "any_group")))
-    flags = wanted.join(matched, [*keys, "selector"], "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
-    groups = flags.groupBy(*keys, "entry", "any_group").agg(
-        F.when(F.col("any_group").isNull(), F.bool_and(~F.col("required") | F.col("hit"))).otherwise(F.bool_or("hit")).alias("ok")
-    )
-    return groups.groupBy(*keys, "entry").agg(F.bool_and("ok").alias("available"))
+    hits = _hits(records, selectors, keys)
+    groups = selectors.groupBy("entry", "any_group").agg(F.collect_list(F.when(F.col("any_group").isNotNull() | F.col("required"), F.col("selector"))).alias("of"))
+    entries = groups.groupBy("entry").agg(F.flatten(F.collect_list(F.when(F.col("any_group").isNull(), F.col("of")))).alias("need"), F.collect_list(F.when(F.col("any_group").isNotNull(), F.col("of"))).alias("groups"))
+    rows = hits.crossJoin(F.broadcast(entries))
+    ok = (F.size(F.array_except("need", "hits")) == 0) & F.forall("groups", lambda g: F.arrays_overlap(g, F.col("hits")))
+    return rows.select(*keys, "entry", ok.alias("available"))
+
+
+def _hits(records: DataFrame, selectors: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """keys, hits: the selectors that any record of a file matches; one pass, sets bounded by the catalogue."""
+    chosen = selectors.select("selector", F.col("param").alias("s_param"), F.col("level").alias("s_level"), "level_regex")
+    fits = matches()
+    return records.join(F.broadcast(chosen), fits, "left").groupBy(*keys).agg(F.collect_set("selector").alias("hits"))
 
 
 def missing_required(records: DataFrame, selectors: DataFrame, keys: tuple[str, ...] = ("hour",)) -> DataFrame:
     """keys, selector: required selectors without a record."""
-    wanted = records.select(*keys).distinct().crossJoin(F.broadcast(selectors.where("required").select("selector")))
-    return wanted.join(first_match(records, selectors, keys).select(*keys, "selector"), [*keys, "selector"], "left_anti")
+    required = selectors.where("required").agg(F.collect_set("selector").alias("required"))
+    missing = _hits(records, selectors, keys).crossJoin(F.broadcast(required)).select(*keys, F.explode(F.array_except("required", "hits")).alias("selector"))
+    return missing
 
 
 def parameters_of_run(available: DataFrame, required: list[str]) -> DataFrame:

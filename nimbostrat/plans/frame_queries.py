@@ -9,8 +9,10 @@ from nimbostrat.functions.mercator import CONUS
 from nimbostrat.functions.winter import TRACE_IN
 from nimbostrat.operators import contour, polyline, snow, stencil
 from nimbostrat.operators import frames as frame_ops
-from nimbostrat.plans.catalog import catalog, for_model, to_display
+from nimbostrat.plans.catalog import _rows as catalog_rows
+from nimbostrat.plans.catalog import catalog, for_model, products, requirements, to_display
 from nimbostrat.plans.registry import query
+from nimbostrat.sources import inventory
 from nimbostrat.sources.payload import decode_frames, encode_frames
 from nimbostrat.sources.proxies import EPOCH_US, FRAMES_SQL, HOLED_SQL, SERIES_SQL, frames, holed_grid, series, table
 
@@ -178,12 +180,89 @@ def points_inside_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", within.alias("inside"))
 
 
-@query("catalog_entries")
+def _sql_list(items: list) -> str:
+    return "[" + ", ".join(_sql_list(x) if isinstance(x, list) else f"'{x}'" for x in items) + "]"
+
+
+CATALOG_SQL = "cat(entry, kind, unit, model, selector) AS (VALUES " + ", ".join(f"('{r[0]}', '{r[1]}', '{r[2]}', {_sql_list(r[4])}::VARCHAR[], '{r[5]}')" for r in catalog_rows()) + ")"
+
+
+@query("catalog_entries", f"WITH {CATALOG_SQL} SELECT entry, kind, unit, count(*) AS selectors FROM cat WHERE len(model) = 0 OR list_contains(model, 'hrrr') GROUP BY 1, 2, 3")
 def catalog_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The catalogue for one model, with the number of selectors of each entry."""
     return for_model(catalog(spark), "hrrr").groupBy("entry", "kind", "unit").agg(F.count(F.lit(1)).alias("selectors"))
 
 
+# Every record that the catalogue asks for; a supplier's file lacks some of them.
+UNIVERSE = sorted({n.replace(":~", ":entire atmosphere (considered as a single layer)") for r in requirements() for n in [*r["need"], *[x for g in r["groups"] for x in g], r["direct"]] if n} | {"WEASD:surface", "FRZR:surface", "APCP:surface", "CRAIN:surface", "CSNOW:surface", "CFRZR:surface", "CICEP:surface"})
+ACCUMULATED = ("APCP", "WEASD", "FRZR")
+FILES_SQL = f"""files AS (SELECT DISTINCT CAST(l_suppkey AS INTEGER) AS hour FROM lineitem), uni AS (SELECT unnest({_sql_list(UNIVERSE)}) AS name, unnest(generate_series(1, {len(UNIVERSE)})) AS i),
+    rec AS (SELECT hour, i AS ordinal, split_part(name, ':', 1) AS param, split_part(name, ':', 2) AS level, name FROM files, uni WHERE (hour * 31 + i * 17) % (3 + hour % 60 * 8) <> 0),
+    win AS (SELECT *, CASE WHEN param IN ('APCP', 'WEASD', 'FRZR') THEN hour % 3 END AS a, CASE WHEN param IN ('APCP', 'WEASD', 'FRZR') THEN hour - CASE WHEN param = 'FRZR' AND hour % 5 = 0 THEN 1 ELSE 0 END END AS b FROM rec)"""
+
+
+def catalogue_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """hour, ordinal, record, param, level, forecast: a file for each supplier with most of the catalogue's records."""
+    files = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").cast("int").alias("hour")).distinct()
+    rows = files.select("hour", F.posexplode(F.array(*[F.lit(x) for x in UNIVERSE])).alias("i", "name")).withColumn("i", F.col("i") + 1)
+    rows = rows.where((F.col("hour") * 31 + F.col("i") * 17) % (3 + F.col("hour") % 60 * 8) != 0)
+    part, end = F.split("name", ":"), F.when((F.split("name", ":")[0] == "FRZR") & (F.col("hour") % 5 == 0), F.col("hour") - 1).otherwise(F.col("hour"))
+    window = F.when(part[0].isin(*ACCUMULATED), F.concat_ws("", F.col("hour") % 3, F.lit("-"), end, F.lit(" hour acc fcst"))).otherwise(F.concat_ws("", "hour", F.lit(" hour fcst")))
+    return rows.select("hour", F.col("i").alias("ordinal"), F.col("i").cast("string").alias("record"), part[0].alias("param"), part[1].alias("level"), window.alias("forecast"))
+
+
+REQUIRE_SQL = "req(entry, need, groups, direct, liquid, model) AS (VALUES " + ", ".join(
+    f"('{r['entry']}', {_sql_list(r['need'])}::VARCHAR[], {_sql_list(r['groups'])}::VARCHAR[][], {repr(r['direct']) if r['direct'] else 'NULL'}, {repr(r['liquid']) if r['liquid'] else 'NULL'}, {_sql_list(r['models'])}::VARCHAR[])" for r in requirements()
+) + ")"
+
+
+@query(
+    "catalog_products",
+    f"""WITH {FILES_SQL}, {REQUIRE_SQL}, held AS (SELECT hour, list(CASE WHEN level ILIKE '%entire atmosphere%' THEN param || ':~' ELSE name END) AS held,
+        coalesce(bool_or(param = 'WEASD' AND b > a), false) AS weasd, coalesce(bool_or(param = 'FRZR' AND b > a AND b = hour), false) AS frzr, bool_or(param = 'APCP' AND b > a) AND count(*) FILTER (param IN ('CSNOW', 'CRAIN', 'CFRZR', 'CICEP') AND level = 'surface') = 4 AS masked FROM win GROUP BY hour),
+    x AS (SELECT hour, entry, liquid, coalesce(list_contains(held, direct), false) AS straight, list_has_all(held, need) AND len(list_filter(groups, lambda g: NOT list_has_any(g, held))) = 0 AS complete, coalesce(masked, false) AS masked, weasd, frzr
+        FROM held, req WHERE len(model) = 0 OR list_contains(model, 'hrrr'))
+    SELECT hour, entry, straight OR complete AND (liquid IS NULL OR hour > 0 AND (masked OR CASE WHEN liquid = 'snow' THEN weasd ELSE frzr END)) AS available FROM x""",
+)
+def catalog_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The products that each file can make: records, groups, profiles and liquid."""
+    return products(catalogue_records(spark, sf_dir), spark, "hrrr")
+
+
+@query(
+    "liquid_candidates",
+    f"""WITH {FILES_SQL}, f AS (SELECT hour, a AS start_hour, b AS end_hour FROM win WHERE param = 'FRZR' AND b > a AND b = hour)
+    SELECT w.hour, w.a AS start_hour, w.b AS end_hour, f.start_hour AS ice_start FROM win w LEFT JOIN f ON f.hour = w.hour WHERE w.param = 'APCP' AND w.b > w.a
+        AND (SELECT count(*) FROM win m WHERE m.hour = w.hour AND m.param IN ('CSNOW', 'CRAIN', 'CFRZR', 'CICEP') AND m.level = 'surface') = 4""",
+)
+def liquid_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Precipitation whose phases are known, and the freezing-rain record that ends at the hour."""
+    rows = inventory.with_windows(catalogue_records(spark, sf_dir))
+    ice = inventory.longest_ending(rows, "FRZR").select("hour", F.col("start_hour").alias("ice_start"))
+    return inventory.masked_candidates(rows).join(ice, "hour", "left").select("hour", "start_hour", "end_hour", "ice_start")
+
+
+@query(
+    "profile_availability",
+    f"""WITH {FILES_SQL}, c AS (SELECT hour, param, count(*) AS n FROM rec WHERE param IN ('TMP', 'HGT') AND level IN ('1000 mb', '925 mb', '850 mb', '700 mb', '500 mb', '300 mb') GROUP BY 1, 2)
+    SELECT f.hour, coalesce(bool_and(n = 6) AND count(n) = 2, false) AS complete, coalesce(count(n) = 2, false) AS some FROM files f LEFT JOIN c ON c.hour = f.hour GROUP BY 1""",
+)
+def profile_availability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = catalogue_records(spark, sf_dir)
+    both = [inventory.profile_complete(rows, ["TMP", "HGT"], [1000, 925, 850, 700, 500, 300], whole).withColumnRenamed("ok", name) for whole, name in ((True, "complete"), (False, "some"))]
+    return both[0].join(both[1], "hour")
+
+
+@query(
+    "merged_selections",
+    f"""WITH {FILES_SQL}, p AS (SELECT hour, ordinal, 0 AS turn FROM rec WHERE ordinal % 3 = 0 UNION ALL SELECT hour, ordinal, 1 FROM rec WHERE ordinal % 2 = 0)
+    SELECT hour, ordinal, min(turn) AS turn FROM p GROUP BY 1, 2""",
+)
+def merged_selections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = catalogue_records(spark, sf_dir).withColumn("offset", F.col("ordinal") * 100)
+    return inventory.merged_records(rows.where("ordinal % 3 = 0"), rows.where("ordinal % 2 = 0")).select("hour", "ordinal", "turn")
+
+
 @query(
     "catalog_display",
     """SELECT l_orderkey, l_linenumber, l_quantity AS value, e.entry, round(CASE e.entry WHEN 'temperature' THEN l_quantity * 1.8 - 459.67 WHEN 'visibility' THEN l_quantity / 1609.344 WHEN 'height500' THEN l_quantity * 0.1 ELSE l_quantity END, 5) AS display

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from nimbostrat.functions import winter
-from nimbostrat.operators import accumulate, timeaxis
+from nimbostrat.operators import accumulate, runs, timeaxis
 from nimbostrat.plans.registry import query
 from nimbostrat.sources.proxies import FRAMES_SQL, SERIES_SQL, frames, series, table
 
@@ -144,16 +144,18 @@ def valid_time_primary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "nearest_frame",
-    f"""WITH {FRAMES_SQL}, t AS (SELECT event_id AS target_id, CAST((epoch_us(ts) - 1704067200000000) // 3600000000 AS BIGINT) + 1 AS hour FROM events),
-    c AS (SELECT target_id, model, t.hour AS target_hour, frames.hour AS frame_hour, abs(frames.hour - t.hour) AS d,
-        row_number() OVER (PARTITION BY target_id, model ORDER BY abs(frames.hour - t.hour), frames.hour) AS k
-        FROM t JOIN frames ON abs(frames.hour - t.hour) <= 3)
-    SELECT target_id, model, target_hour, frame_hour, d * 60 AS delta_minutes FROM c WHERE k = 1""",
+    f"""WITH {FRAMES_SQL}, t AS (SELECT event_id AS target_id, CAST((epoch_us(ts) - 1704067200000000) // 3600000000 AS BIGINT) * 2 AS hour FROM events),
+    m AS (SELECT t.target_id, t.hour, x.model FROM t, (SELECT DISTINCT model FROM frames) x),
+    b AS (SELECT m.*, f.hour AS before FROM m ASOF LEFT JOIN frames f ON m.model = f.model AND m.hour >= f.hour),
+    a AS (SELECT b.*, f.hour AS after FROM b ASOF LEFT JOIN frames f ON b.model = f.model AND b.hour <= f.hour),
+    r AS (SELECT *, CASE WHEN before IS NULL OR after - hour < hour - before THEN after ELSE before END AS frame_hour FROM a)
+    SELECT target_id, model, hour AS target_hour, frame_hour, abs(frame_hour - hour) * 60 AS delta_minutes FROM r""",
 )
 def nearest_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Targets at twice the events' hours, many far beyond the last frame."""
     hour = F.floor((F.unix_micros(F.col("ts").cast("timestamp")) - 1704067200000000) / 3600000000).cast("bigint")
-    targets = table(spark, sf_dir, "events").select(F.col("event_id").alias("target_id"), (hour + 1).alias("hour"))
-    return timeaxis.nearest_frame(targets, frames(spark, sf_dir), 3)
+    targets = table(spark, sf_dir, "events").select(F.col("event_id").alias("target_id"), (hour * 2).alias("hour"))
+    return timeaxis.nearest_frame(targets, frames(spark, sf_dir))
 
 
 ANCHORS = [0, 1, 3, 6, 12, 24, 36, 48]
@@ -240,3 +242,93 @@ def cycle_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = F.expr("timestamp_ntz'2024-01-03 14:00:00'") - F.make_dt_interval(hours=F.col("h"))
     rows = spark.range(0, 73).select(F.col("id").cast("int").alias("h")).withColumn("at", at).where(F.hour("at").isin(0, 6, 12, 18))
     return rows.select(F.date_format("at", "yyyyMMdd-HH'00Z'").alias("run_id"), F.row_number().over(Window.orderBy("h")).alias("place"))
+
+
+@query(
+    "run_max_previous_hour",
+    f"WITH {FRAMES_SQL} SELECT model, hour, max(CASE WHEN hour > 0 THEN hour END) OVER (PARTITION BY model ORDER BY hour ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS previous_hour FROM frames",
+)
+def run_max_previous_hour(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return accumulate.previous_source_hour(frames(spark, sf_dir))
+
+
+STEPS_SQL = FRAMES_SQL + ", steps AS (SELECT model, hour, coalesce(lag(hour) OVER (PARTITION BY model ORDER BY hour), 0) AS start_hour FROM frames WHERE hour > 0)"
+
+
+@query(
+    "snowfall_delta_chain",
+    f"""WITH {STEPS_SQL}, d AS (SELECT model, hour, CASE WHEN count(value) = count(*) THEN sum(value) END AS value FROM (SELECT model, hour, CASE WHEN cell % 50 <> 7 OR hour < 400 THEN value END AS value FROM series WHERE hour > 0) GROUP BY 1, 2)
+    SELECT model, hour, round(CASE WHEN count(value) OVER w = count(*) OVER w THEN sum(value) OVER w END, 3) AS total FROM d JOIN steps USING (model, hour) WINDOW w AS (PARTITION BY model ORDER BY hour ROWS UNBOUNDED PRECEDING)""",
+)
+def snowfall_delta_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Amounts of the steps between published hours, added up; unknown from the first unresolved step on."""
+    rows = series(spark, sf_dir).where("hour > 0").withColumn("value", F.when((F.col("cell") % 50 != 7) | (F.col("hour") < 400), F.col("value")))
+    deltas = rows.groupBy("model", "hour").agg(F.when(F.count("value") == F.count(F.lit(1)), F.sum("value")).alias("value"))
+    before = F.coalesce(F.lag("hour").over(Window.partitionBy("model").orderBy("hour")), F.lit(0))
+    steps = frames(spark, sf_dir).where("hour > 0").withColumn("start_hour", before)
+    return accumulate.delta_accumulation(deltas, steps, ("model",)).select("model", "hour", F.round("total", 3).alias("total"))
+
+
+@query(
+    "grid_visibility",
+    f"WITH {HOLED_SERIES_SQL} SELECT model, hour, coalesce(bool_or(value IS NOT NULL), false) AS any_finite, coalesce(bool_or(value > 450), false) AS above FROM holed GROUP BY 1, 2",
+)
+def grid_visibility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return accumulate.visible(_holed(spark, sf_dir), 450.0, ("model", "hour"))
+
+
+# Steps, last hours and cycles of the models.
+MODEL_STEPS = [("gfs", 384, 3), ("nam", 84, 3), ("nam3km", 60, 1), ("hrrr", 48, 1)]
+
+
+@query(
+    "model_hours",
+    "WITH m(model, last, step) AS (VALUES " + ", ".join(f"('{m}', {n}, {k})" for m, n, k in MODEL_STEPS) + ") SELECT model, unnest(generate_series(0, last, step)) AS hour FROM m",
+)
+def model_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.full_hours(spark.createDataFrame(MODEL_STEPS, runs.MODEL_SCHEMA))
+
+
+@query(
+    "parse_hour_lists",
+    """WITH l AS (SELECT o_orderkey AS request, o_custkey || ', ' || (o_orderkey % 7) || '.5,x,-3, ,' || (o_custkey % 90) AS hours FROM orders),
+    x AS (SELECT request, try_cast(trim(unnest(string_split(hours, ','))) AS DOUBLE) AS hour FROM l)
+    SELECT DISTINCT request, CAST(floor(hour + 0.5) AS BIGINT) AS hour, floor(hour + 0.5) <= 84 AS valid FROM x WHERE hour >= 0 UNION SELECT request, 0, true FROM l""",
+)
+def parse_hour_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lists with blanks, halves, signs and words; a blank counts as 0. valid: within the model's last hour."""
+    text = F.concat_ws("", "o_custkey", F.lit(", "), F.col("o_orderkey") % 7, F.lit(".5,x,-3, ,"), F.col("o_custkey") % 90)
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("request"), text.alias("hours"))
+    return runs.parse_hours(rows, "hours").select("request", "hour", (F.col("hour") <= 84).alias("valid"))
+
+
+@query(
+    "run_valid_times",
+    """WITH r AS (SELECT o_orderkey AS run, strftime(o_orderdate, '%Y%m%d') AS day, o_custkey % 24 AS cycle, o_orderkey % 120 AS hour FROM orders)
+    SELECT run, day || '-' || lpad(CAST(cycle AS VARCHAR), 2, '0') || '00Z' AS run_id, strftime(strptime(day, '%Y%m%d') + to_hours(CAST(cycle + hour AS INTEGER)), '%Y-%m-%dT%H:%M:%SZ') AS valid_time FROM r""",
+)
+def run_valid_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("run"), F.date_format("o_orderdate", "yyyyMMdd").alias("day"), (F.col("o_custkey") % 24).alias("cycle"), (F.col("o_orderkey") % 120).alias("hour"))
+    return rows.select("run", runs.run_id(F.col("day"), F.col("cycle")).alias("run_id"), runs.valid_time(F.col("day"), F.col("cycle"), F.col("hour")).alias("valid_time"))
+
+
+@query(
+    "model_keys_normalised",
+    "SELECT c_custkey, CASE WHEN lower(trim(k)) IN ('gfs', 'nam', 'nam3km', 'hrrr') THEN lower(trim(k)) END AS model FROM (SELECT c_custkey, (['GFS ', ' nam', 'Nam3km', 'hrrr', 'ecmwf', ''])[CAST(c_custkey % 6 + 1 AS INTEGER)] AS k FROM customer)",
+)
+def model_keys_normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = F.array(*[F.lit(x) for x in ("GFS ", " nam", "Nam3km", "hrrr", "ecmwf", "")])
+    return table(spark, sf_dir, "customer").select("c_custkey", runs.model_key(F.element_at(names, (F.col("c_custkey") % 6 + 1).cast("int"))).alias("model"))
+
+
+@query(
+    "planned_hour_status",
+    f"""WITH {FRAMES_SQL}, p AS (SELECT DISTINCT model, unnest(generate_series(0, 96)) AS hour FROM frames), l AS (SELECT model, max(hour) FILTER (hour <= 60) AS last_hour FROM frames GROUP BY model),
+    e AS (SELECT model, hour, 'failed' AS status FROM frames WHERE hour % 7 = 0)
+    SELECT p.model, p.hour, coalesce(status, CASE WHEN p.hour <= last_hour THEN 'ready' ELSE 'pending' END) AS status FROM p LEFT JOIN e USING (model, hour) LEFT JOIN l USING (model)""",
+)
+def planned_hour_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = frames(spark, sf_dir)
+    planned = held.select("model").distinct().select("model", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(96).cast("bigint"))).alias("hour"))
+    last = held.groupBy("model").agg(F.max(F.when(F.col("hour") <= 60, F.col("hour"))).alias("last_hour"))
+    return timeaxis.hour_status(planned, held.where("hour % 7 = 0").select("model", "hour", F.lit("failed").alias("status")), last)

@@ -63,6 +63,15 @@ def dotted(record: Column) -> Column:
     return F.transform(F.split(record, r"\."), lambda x: x.cast("bigint"))
 
 
+def matches() -> Column:
+    """Whether a record (param, level) fits a selector (s_param, s_level, level_regex)."""
+    return (
+        (F.col("param") == F.col("s_param"))
+        & (F.col("s_level").isNull() | (F.col("level") == F.col("s_level")))
+        & (F.col("level_regex").isNull() | F.expr("level rlike level_regex"))
+    )
+
+
 def first_match(records: DataFrame, selectors: DataFrame, keys: tuple[str, ...] = ("hour",)) -> DataFrame:
     """For each file and selector the first matching record, by ordinal.
 
@@ -71,19 +80,85 @@ def first_match(records: DataFrame, selectors: DataFrame, keys: tuple[str, ...]
     prefers certain layers. The selectors, a catalogue, join by parameter.
     """
     chosen = selectors.select("selector", F.col("param").alias("s_param"), F.col("level").alias("s_level"), "level_regex")
-    fits = (
-        (F.col("param") == F.col("s_param"))
-        & (F.col("s_level").isNull() | (F.col("level") == F.col("s_level")))
-        & (F.col("level_regex").isNull() | F.expr("level rlike level_regex"))
-    )
+    fits = matches()
     plain = (F.col("param") == "CAPE") & F.col("s_level").isNull() & F.col("level_regex").isNull()
     rank = F.when(plain & ~F.col("level").rlike(CAPE_LEVELS), 1).otherwise(0)
-    found = records.join(chosen, fits).withColumn("rank", rank)
-    best = F.row_number().over(Window.partitionBy(*keys, "selector").orderBy("rank", "ordinal", "record"))
-    return found.withColumn("k", best).where("k = 1").drop("k", "rank", "s_param", "s_level", "level_regex")
+    found = records.join(F.broadcast(chosen), fits)
+    # a minimum of structs is taken on the map side already; no group is sorted
+    best = found.groupBy(*keys, "selector").agg(F.min_by(F.struct(*[F.col(c) for c in records.columns if c not in keys]), F.struct(rank, "ordinal", "record")).alias("best"))
+    return best.select(*keys, "selector", "best.*")
 
 
-def unique_records(records: DataFrame, keys: tuple[str, ...] = ("hour", "record")) -> DataFrame:
+def unique_records(records: DataFrame, keys: tuple[str, ...] = ("hour", "record"), order: tuple[str, ...] = ("ordinal",)) -> DataFrame:
     """The first of records that share a number."""
-    first = F.row_number().over(Window.partitionBy(*keys).orderBy("ordinal"))
-    return records.withColumn("k", first).where("k = 1").drop("k")
+    rest = [c for c in records.columns if c not in keys]
+    return records.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("first")).select(*keys, "first.*").select(*records.columns)
+
+
+def merged_records(primary: DataFrame, supplement: DataFrame, keys: tuple[str, ...] = ("hour",)) -> DataFrame:
+    """Two selections in order, the first of records that agree in number, offset, parameter, level and forecast."""
+    same = (*keys, "record", "offset", "param", "level", "forecast")
+    both = primary.withColumn("turn", F.lit(0)).unionByName(supplement.withColumn("turn", F.lit(1)))
+    return unique_records(both, same, ("turn", "ordinal"))
+
+
+def same_record(left: str, right: str) -> Column:
+    """Whether two aliased records agree in number, parameter, level and forecast, missing parts included."""
+    parts = [F.col(f"{left}.{c}").eqNullSafe(F.col(f"{right}.{c}")) for c in ("record", "param", "level", "forecast")]
+    return parts[0] & parts[1] & parts[2] & parts[3]
+
+
+def average_bounds(text: Column) -> tuple[Column, Column]:
+    """(start, end) in hours of the averaging window that the text names, else null."""
+    return window_bounds(text, AVE_HOURS, AVE_DAYS)
+
+
+def is_surface(param: str) -> Column:
+    """A record of the parameter at the surface."""
+    return (F.col("param") == param) & (F.col("level") == "surface")
+
+
+def is_accumulation(param: str) -> Column:
+    """A surface record of the parameter over a window of some length; needs ``with_windows``."""
+    return F.coalesce(is_surface(param) & (F.col("end_hour") > F.col("start_hour")), F.lit(False))
+
+
+#: Records of the precipitation's phases.
+PHASE_MASKS = ("CSNOW", "CRAIN", "CFRZR", "CICEP")
+
+
+def longest_ending(records: DataFrame, param: str, keys: tuple[str, ...] = ("hour",), target: str = "hour") -> DataFrame:
+    """keys with the accumulation of ``param`` that ends at the target hour and lasts longest; of equals the first."""
+    rows = records.where(is_accumulation(param) & (F.col("end_hour") == F.col(target)))
+    rest = [c for c in records.columns if c not in keys]
+    order = F.struct((F.col("start_hour") - F.col("end_hour")).alias("d"), "ordinal")
+    return rows.groupBy(*keys).agg(F.min_by(F.struct(*rest), order).alias("best")).select(*keys, "best.*")
+
+
+def exact_masks(records: DataFrame, keys: tuple[str, ...] = ("hour",)) -> DataFrame:
+    """keys, start_hour, end_hour of the windows over which all four phases are averaged."""
+    start, end = average_bounds(F.col("forecast"))
+    rows = records.where(F.col("param").isin(*PHASE_MASKS) & (F.col("level") == "surface")).select(*keys, "param", start.alias("start_hour"), end.alias("end_hour"))
+    return rows.where("end_hour > start_hour").groupBy(*keys, "start_hour", "end_hour").agg(F.count_distinct("param").alias("n")).where(F.col("n") == len(PHASE_MASKS)).drop("n")
+
+
+def masked_candidates(records: DataFrame, keys: tuple[str, ...] = ("hour",)) -> DataFrame:
+    """keys, start_hour, end_hour, exact: precipitation windows whose phase is known.
+
+    Known from averages over the same window (exact), or else from one record of
+    each of the four phases. records: with windows.
+    """
+    windows = records.where(is_accumulation("APCP")).select(*keys, "start_hour", "end_hour").distinct()
+    exact = exact_masks(records, keys).withColumn("exact", F.lit(True))
+    now = records.where(F.col("param").isin(*PHASE_MASKS) & (F.col("level") == "surface")).groupBy(*keys).agg((F.count_distinct("param") == len(PHASE_MASKS)).alias("now"))
+    rows = windows.join(exact, [*keys, "start_hour", "end_hour"], "left").join(now, list(keys), "left")
+    return rows.withColumn("exact", F.coalesce("exact", F.lit(False))).where("exact OR now").drop("now")
+
+
+def profile_complete(records: DataFrame, variables: list[str], levels: list[int], complete: bool, keys: tuple[str, ...] = ("hour",)) -> DataFrame:
+    """keys, ok: whether a file has the variables at pressure levels: at all of them, or each at one at least."""
+    names = [f"{x} mb" for x in levels]
+    held = records.where(F.col("param").isin(variables) & F.col("level").isin(names)).groupBy(*keys, "param").agg(F.count_distinct("level").alias("n"))
+    least = len(levels) if complete else 1
+    ok = held.groupBy(*keys).agg((F.count_if(F.col("n") >= least) == len(variables)).alias("ok"))
+    return records.select(*keys).distinct().join(ok, list(keys), "left").withColumn("ok", F.coalesce("ok", F.lit(False)))

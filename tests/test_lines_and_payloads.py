@@ -59,11 +59,35 @@ def test_payload_header():
     assert (rows, cols) == (3, 4) and planes["a"][:3] == (0.5, 0, -32768) and planes["a"][3].tolist() == list(range(12))
 
 
+RECORDS = "hour int, ordinal int, record string, param string, level string, forecast string"
+
+
 def test_catalog(spark):
     assert catalog(spark).select("entry").distinct().count() == 79
-    records = spark.createDataFrame([(1, 0, "1", "TMP", "2 m above ground"), (1, 1, "2", "RH", "2 m above ground"), (1, 2, "3", "REFC", "entire atmosphere")], "hour int, ordinal int, record string, param string, level string")
+    records = spark.createDataFrame([(1, 0, "1", "TMP", "2 m above ground", ""), (1, 1, "2", "RH", "2 m above ground", ""), (1, 2, "3", "REFC", "entire atmosphere", "")], RECORDS)
     have = {r["entry"] for r in products(records, spark, "gfs").where("available").collect()}
-    assert {"temperature", "humidity2m", "surfaceBasedLclHeight", "reflectivityComposite"} <= have and not {"wind", "dewpoint2m", "precip"} & have
+    assert {"temperature", "humidity2m", "surfaceBasedLclHeight", "reflectivityComposite"} <= have and not {"wind", "dewpoint2m", "precip", "dcape"} & have
+
+
+def test_products_need_profiles_and_liquid(spark):
+    """Snow needs its liquid, an hour above 0 and every level of its profile; dcape one level of each variable."""
+    levels = [x for x in range(1000, 499, -25)]
+    base = [("TMP", "2 m above ground", ""), ("DPT", "2 m above ground", ""), ("WEASD", "surface", "0-6 hour acc fcst")]
+    profile = [(v, f"{x} mb", "") for v in ("TMP", "HGT") for x in levels]
+
+    def have(hour, rows, model="gfs"):
+        table = spark.createDataFrame([(hour, k, str(k), *r) for k, r in enumerate(rows)], RECORDS)
+        return {r["entry"] for r in products(table, spark, model).where("available").collect()}
+
+    whole = have(6, base + profile)
+    assert {"snow10to1", "snowKuchera"} <= whole and not {"snowCobb", "dcape", "framFlatIce", "snowWesternLinear"} & whole
+    assert "snowKuchera" not in have(6, base + profile[1:]) and "snow10to1" in have(6, base)
+    assert not {"snow10to1", "snowKuchera"} & (have(0, base + profile) | have(6, base[:2] + profile))
+    assert "dcape" in have(6, base + [("TMP", "850 mb", ""), ("HGT", "700 mb", ""), ("RH", "300 mb", "")])
+    masks = [("APCP", "surface", "0-6 hour acc fcst"), *[(m, "surface", "6 hour fcst") for m in ("CSNOW", "CRAIN", "CFRZR", "CICEP")]]
+    assert "snow10to1" in have(6, masks) and "freezingRainLiquidTotal" in have(6, masks) and "snow10to1" not in have(6, masks[:-1])
+    assert "freezingRainLiquidTotal" in have(6, [("FRZR", "surface", "3-6 hour acc fcst")]) and "freezingRainLiquidTotal" not in have(7, [("FRZR", "surface", "3-6 hour acc fcst")])
+    assert "precipRateAndType" not in have(6, [("PRATE", "surface", ""), *masks], "nam") and "precipRateAndType" in have(6, [("PRATE", "surface", ""), *masks], "hrrr")
 
 
 def test_streamed_run_max(spark, tmp_path):
