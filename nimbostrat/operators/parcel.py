@@ -66,15 +66,18 @@ def _matrix(column: pd.Series, width: int) -> np.ndarray:
     return out
 
 
-def cape_cin(p: np.ndarray, z: np.ndarray, t: np.ndarray, td: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def cape_cin(p: np.ndarray, z: np.ndarray, t: np.ndarray, td: np.ndarray, source: tuple | None = None) -> tuple[np.ndarray, np.ndarray]:
     """CAPE and CIN (J/kg, CIN at most 0) of the lowest level's parcel, one segment per level pair.
 
+    source: another parcel's p, z, t and td; levels below it don't count.
+
     A segment is judged at its mean pressure and temperature: dry ascent below
     the condensation level, saturated steps above. Negative segments count as
     CIN until the first positive one at or above condensation; after it only
     positive ones count, until buoyancy turns negative for the last time.
     """
-    source_t, source_td, source_p, source_z = t[:, 0], np.minimum(td[:, 0], t[:, 0]), p[:, 0], z[:, 0]
+    source_p, source_z, source_t, source_td = source or (p[:, 0], z[:, 0], t[:, 0], td[:, 0])
+    source_td = np.minimum(source_td, source_t)
     lcl_t = lcl_temperature(source_t, source_td)
     lcl_p = source_p * (lcl_t / source_t) ** (1 / KAPPA)
     lcl_z = source_z + (source_t - lcl_t) / DRY_LAPSE
@@ -91,7 +94,7 @@ def cape_cin(p: np.ndarray, z: np.ndarray, t: np.ndarray, td: np.ndarray) -> tup
         dry_tv = virtual(source_t * (p_mid / source_p) ** KAPPA, w0)
         tv = np.where(dry, dry_tv, virtual(moist, mixing_ratio(vapour_pressure(moist), p_mid)))
         work = GRAVITY * (tv - ambient) / np.maximum(180.0, ambient) * dz
-        valid = np.isfinite(work) & (dz > 0)
+        valid = np.isfinite(work) & (dz > 0) & (p_mid <= source_p)
         up = valid & (work > 0) & ~dry
         cape += np.where(up, work, 0.0)
         cin += np.where(valid & (work < 0) & ~positive, work, 0.0)
@@ -100,29 +103,128 @@ def cape_cin(p: np.ndarray, z: np.ndarray, t: np.ndarray, td: np.ndarray) -> tup
     return cape, np.where(cape > 0, cin, 0.0)
 
 
-def downdraft_cape(p: np.ndarray, z: np.ndarray, t: np.ndarray, td: np.ndarray, depth: float = 400.0) -> np.ndarray:
-    """DCAPE within 0..4000 J/kg: saturated descent from the level of least theta-e within ``depth`` hPa.
+def thermo_at(p: np.ndarray, z: np.ndarray, t: np.ndarray, td: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """z, t and td of each row's levels at pressures (rows, n), linear in their logarithm; missing outside the profile."""
+    out = [np.full(target.shape, np.nan) for _ in range(3)]
+    open_ = np.ones(target.shape, bool)
+    for k in range(p.shape[1] - 1):
+        low, high = p[:, k : k + 1], p[:, k + 1 : k + 2]
+        inside = open_ & (low >= target) & (high <= target)
+        share = np.clip((np.log(target) - np.log(low)) / (np.log(high) - np.log(low)), 0, 1)
+        for values, found in zip((z, t, td), out, strict=True):
+            a, b = values[:, k : k + 1], values[:, k + 1 : k + 2]
+            found[inside] = (a + (b - a) * share)[inside]
+        open_ &= ~inside
+    return out[0], out[1], out[2]
+
+
+def equivalent(t: np.ndarray, td: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """Bolton's equivalent potential temperature."""
+    e = vapour_pressure(td)
+    w = mixing_ratio(e, p)
+    lcl = lcl_temperature(t, td)
+    return t * (1000.0 / (p - e)) ** (KAPPA * (1 - 0.28 * w)) * np.exp((3376.0 / lcl - 2.54) * w * (1 + 0.81 * w))
+
+
+def downdraft_cape(p: np.ndarray, z: np.ndarray, t: np.ndarray, td: np.ndarray, depth: float = 400.0, layer: int = 100) -> np.ndarray:
+    """DCAPE within 0..4000 J/kg.
 
-    The parcel starts at its level's wet-bulb temperature, taken as the
-    saturated descent from the condensation level.
+    Each level within ``depth`` hPa of the lowest one is scored by the mean theta-e
+    of the ``layer`` hPa above it, every hPa. The parcel starts in the middle of the
+    layer of least mean, at its wet bulb, and descends saturated to the lowest level;
+    negative buoyancy is added up by trapezoids. Missing without such a layer.
     """
-    e = vapour_pressure(np.minimum(td, t))
-    w = mixing_ratio(e, p)
-    lcl = lcl_temperature(t, np.minimum(td, t))
-    theta_e = t * (1000.0 / (p - e)) ** (KAPPA * (1 - 0.28 * w)) * np.exp((3376.0 / lcl - 2.54) * w * (1 + 0.81 * w))
-    allowed = (p >= p[:, :1] - depth) & np.isfinite(theta_e)
-    source = np.where(allowed, theta_e, np.inf).argmin(axis=1)
     rows = np.arange(len(p))
-    lcl_z = z[rows, source] + (t[rows, source] - lcl[rows, source]) / DRY_LAPSE
-    parcel, total = moist_move(lcl[rows, source], lcl_z, z[rows, source], p[rows, source]), np.zeros(len(p))
-    for k in range(p.shape[1] - 2, -1, -1):
-        live = k < source
-        p_mid = np.exp((np.log(p[:, k]) + np.log(p[:, k + 1])) / 2)
-        below = moist_move(parcel, z[:, k + 1], z[:, k], p_mid)
-        work = GRAVITY * ((t[:, k] - below) / np.maximum(180.0, t[:, k]) + (t[:, k + 1] - parcel) / np.maximum(180.0, t[:, k + 1])) / 2 * (z[:, k + 1] - z[:, k])
-        total += np.where(live & np.isfinite(work), work, 0.0)
-        parcel = np.where(live, below, parcel)
-    return np.clip(total, 0.0, 4000.0)
+    least, source_p = np.full(len(p), np.inf), np.full(len(p), np.nan)
+    for k in range(p.shape[1]):
+        steps = p[:, k : k + 1] - np.arange(layer + 1)
+        _, at, dew = thermo_at(p, z, t, td, steps)
+        mean = equivalent(at, dew, steps).mean(axis=1)
+        better = np.isfinite(mean) & (p[:, k] >= p[:, 0] - depth) & (mean < least)
+        least, source_p = np.where(better, mean, least), np.where(better, p[:, k] - layer / 2, source_p)
+    height, warm, dew = (x[:, 0] for x in thermo_at(p, z, t, td, source_p[:, None]))
+    parcel, at_p, env, total = wet_bulb(warm, np.minimum(dew, warm), source_p), source_p.copy(), warm, np.zeros(len(p))
+    for k in range(p.shape[1] - 1, -1, -1):
+        below = np.isfinite(p[:, k]) & (p[:, k] > source_p)
+        if not below.any():
+            continue
+        lower = np.full(len(p), np.nan)
+        some = rows[below & np.isfinite(parcel)]
+        lower[some] = moist_lift(at_p[some], parcel[some], p[some, k])
+        go = below & np.isfinite(lower)
+        work = GRAVITY * ((parcel - env) / env + (lower - t[:, k]) / t[:, k]) / 2 * (z[:, k] - height)
+        total += np.where(go & np.isfinite(work), work, 0.0)
+        parcel, at_p = np.where(go, lower, parcel), np.where(go, p[:, k], at_p)
+        env, height = np.where(go, t[:, k], env), np.where(go, z[:, k], height)
+    return np.where(np.isfinite(parcel), np.clip(total, 0.0, 4000.0), np.nan)
+
+
+def lifted(p: np.ndarray, t: np.ndarray, td: np.ndarray, target: float) -> tuple[np.ndarray, np.ndarray]:
+    """Temperature and virtual temperature of parcels (p, t, td) lifted to a pressure: dry, then saturated."""
+    dew = np.minimum(td, t)
+    lcl = lcl_temperature(t, dew)
+    lcl_p = p * (lcl / t) ** (1 / KAPPA)
+    dry = target >= lcl_p
+    temperature = np.where(dry, t * (target / p) ** KAPPA, moist_lift(np.where(dry, target, lcl_p), lcl, np.full(len(p), target)))
+    w = np.where(dry, mixing_ratio(vapour_pressure(dew), p), mixing_ratio(vapour_pressure(temperature), np.full(len(p), target)))
+    good = target <= p + 1
+    return np.where(good, temperature, np.nan), np.where(good, virtual(temperature, w), np.nan)
+
+
+def stability(p: np.ndarray, z: np.ndarray, t: np.ndarray, td: np.ndarray) -> dict[str, np.ndarray]:
+    """Lifted index (virtual temperatures at 500 hPa), Showalter index, wet-bulb zero height, mixed-layer and most unstable CAPE and CIN."""
+    n = len(p)
+    at = lambda x: [v[:, 0] for v in thermo_at(p, z, t, td, np.full((n, 1), x))]
+    (_, t5, d5), (_, t8, d8) = at(500.0), at(850.0)
+    env = virtual(t5, mixing_ratio(vapour_pressure(np.minimum(d5, t5)), np.full(n, 500.0)))
+    out = {"lifted_index": env - lifted(p[:, 0], t[:, 0], td[:, 0], 500.0)[1], "showalter": t5 - lifted(np.full(n, 850.0), t8, d8, 500.0)[0]}
+    wet = np.stack([wet_bulb(t[:, k], np.minimum(td[:, k], t[:, k]), p[:, k]) for k in range(p.shape[1])], axis=1) - 273.15
+    zero = np.full(n, np.nan)
+    for k in range(p.shape[1] - 1):
+        a, b = wet[:, k], wet[:, k + 1]
+        cross = np.isnan(zero) & ((a >= 0) & (b <= 0) | (a <= 0) & (b >= 0))
+        share = np.where(np.abs(b - a) < 1e-9, 0.0, np.clip(-a / np.where(b == a, 1.0, b - a), 0, 1))
+        zero = np.where(cross, z[:, k] + (z[:, k + 1] - z[:, k]) * share, zero)
+    out["wet_bulb_zero"] = zero
+    steps = p[:, :1] - np.arange(0, 301)
+    height, warm, dew = thermo_at(p, z, t, td, steps)
+    theta = np.where(height - z[:, :1] <= 4000, equivalent(warm, dew, steps), np.nan)
+    best = np.where(np.isfinite(theta), theta, -np.inf).argmax(axis=1)
+    rows = np.arange(n)
+    out["mu_cape"], out["mu_cin"] = cape_cin(p, z, t, td, (steps[rows, best], height[rows, best], warm[rows, best], dew[rows, best]))
+    return out
+
+
+def stability_indices(profiles: DataFrame, mixed: DataFrame | None = None) -> DataFrame:
+    """cell, lifted_index, showalter, wet_bulb_zero, mu_cape, mu_cin, ml_cape, ml_cin of profiles.
+
+    mixed: cell, p, t, td of mixed-layer parcels (``column.mixed_layer``); without it
+    the last two are missing. Cells of fewer than three complete levels are missing.
+    """
+    names = ["lifted_index", "showalter", "wet_bulb_zero", "mu_cape", "mu_cin", "ml_cape", "ml_cin"]
+    rows = arrays(profiles)
+    if mixed is not None:
+        rows = rows.join(mixed.select("cell", F.struct("p", "t", "td").alias("mixed")), "cell", "left")
+    else:
+        rows = rows.withColumn("mixed", F.lit(None).cast("struct<p:double,t:double,td:double>"))
+    rows = rows.select("cell", "p", "z", "t", "td", *[F.col(f"mixed.{c}").alias(f"m_{c}") for c in ("p", "t", "td")])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for start in range(0, len(batch), 2048):
+                part = batch.iloc[start : start + 2048]
+                width = max(part["p"].map(len).max(), 2)
+                p, z, t, td = (_matrix(part[c], width) for c in ("p", "z", "t", "td"))
+                with np.errstate(all="ignore"):
+                    found = stability(p, z, t, td)
+                    own = tuple(part[f"m_{c}"].to_numpy(float) for c in ("p", "t", "td"))
+                    found["ml_cape"], found["ml_cin"] = cape_cin(p, z, t, td, (own[0], z[:, 0], own[1], own[2]))
+                enough = np.isfinite(p).sum(axis=1) >= 3
+                known = np.isfinite(own[0])
+                yield pd.DataFrame({"cell": part["cell"].to_numpy(), **{k: np.where(enough & (known | (not k.startswith("ml_"))), found[k], np.nan) for k in names}})
+
+    out = rows.mapInPandas(run, "cell bigint, " + ", ".join(f"{k} double" for k in names))
+    return out.select("cell", *[F.when(~F.isnan(c), F.col(c)).alias(c) for c in names])
 
 
 def parcel_indices(profiles: DataFrame) -> DataFrame:

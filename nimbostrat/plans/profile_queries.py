@@ -406,6 +406,13 @@ def parcel_indices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parcel.parcel_indices(soundings(spark, sf_dir))
 
 
+@query("stability_indices")
+def stability_indices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lifted, Showalter, wet-bulb zero, mixed-layer and most unstable parcels: iterative, tested by published properties."""
+    rows = soundings(spark, sf_dir)
+    return parcel.stability_indices(rows, column.mixed_layer(rows))
+
+
 @query("effective_layer")
 def effective_layer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parcel.effective_layers(soundings(spark, sf_dir))
