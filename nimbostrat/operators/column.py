@@ -208,3 +208,29 @@ def most_unstable(profiles: DataFrame, depth: float = 300.0, highest: float = 40
     e = thermo.theta_e(F.col("x.t"), F.col("x.td"), F.col("x.p"))
     best = F.max(F.when((F.col("agl") <= highest) & e.isNotNull(), F.struct(e.alias("theta_e"), (-F.col("k")).alias("order"), F.col("x.p").alias("p"), "agl")))
     return rows.groupBy("cell").agg(best.alias("best")).select("cell", "best.p", "best.agl", "best.theta_e")
+
+
+def without_doubles(levels: DataFrame, keys: tuple[str, ...] = ("cell",), order: str = "ordinal") -> DataFrame:
+    """The first level of each tenth of a hectopascal, by ``order``."""
+    tenth = F.floor(F.col("p") * 10 + 0.5)
+    rest = [c for c in levels.columns if c not in keys]
+    return levels.groupBy(*keys, tenth.alias("tenth")).agg(F.min_by(F.struct(*rest), order).alias("x")).select(*keys, "x.*")
+
+
+def agl_values(profiles: DataFrame, heights: list[float], names: tuple[str, ...] = ("spd", "t", "rh")) -> DataFrame:
+    """cell, agl and ``names`` at each of several heights above the lowest level; missing above the profile.
+
+    spd is the speed of u and v. These are the inputs of fitted snow ratios.
+    """
+    rows = columns(profiles.withColumn("spd", F.sqrt(F.col("u") * F.col("u") + F.col("v") * F.col("v"))), names)
+    rows = rows.select("cell", "levels", F.explode(F.array(*[F.lit(float(h)) for h in heights])).alias("agl"))
+    return at_height(rows, "x", F.col("agl"), names).select("cell", "agl", *[F.col(f"x.{c}").alias(c) for c in names])
+
+
+def agl_features(profiles: DataFrame, heights: list[float], names: tuple[str, ...] = ("spd", "t", "rh")) -> DataFrame:
+    """cell and an array: all heights' values of each name in turn; missing unless all are known."""
+    rows = agl_values(profiles, heights, names)
+    by_height = F.sort_array(F.collect_list(F.struct("agl", *names)))
+    whole = rows.groupBy("cell").agg(by_height.alias("x"))
+    features = F.concat(*[F.transform("x", lambda r, c=c: r[c]) for c in names])
+    return whole.select("cell", F.when(~F.exists(features, lambda v: v.isNull()), features).alias("features"))

@@ -78,3 +78,50 @@ def inside(latitude: Column, longitude: Column, bounds) -> Column:
     """Within the bounds, longitudes taken modulo 360."""
     wrapped = F.pmod(longitude + 180.0, F.lit(360.0)) - 180.0
     return latitude.between(bounds.south, bounds.north) & wrapped.between(bounds.west, bounds.east)
+
+
+def asset_keys(frames: DataFrame, layers: DataFrame, gates: list[int]) -> DataFrame:
+    """frames (base) with one row for each artifact: layer, variant, key.
+
+    layers: layer, kind. An image has one key, a height contour an image and its
+    lines, a vector layer lines alone, a reflectivity layer an image for each gate.
+    """
+    image = F.struct(F.lit("").alias("variant"), F.concat("base", F.lit("/"), "layer", F.lit(".png")).alias("key"))
+    lines = lambda end: F.struct(F.lit("lines").alias("variant"), F.concat("base", F.lit("/"), "layer", F.lit(end)).alias("key"))
+    gated = F.array(*[F.struct(F.lit(f"dbz{g}").alias("variant"), F.concat("base", F.lit("/"), "layer", F.lit(f"-g{g}.png")).alias("key")) for g in gates])
+    refs = F.when(F.col("kind") == "vector", F.array(lines("-vectors.json"))).when(F.col("kind") == "contour", F.array(image, lines("-contours.json"))).when(F.col("kind") == "reflectivity", gated).otherwise(F.array(image))
+    rows = frames.crossJoin(F.broadcast(layers)).withColumn("ref", F.explode(refs))
+    return rows.select(*frames.columns, "layer", "ref.variant", "ref.key")
+
+
+def collected_keys(refs: DataFrame, keys: tuple[str, ...] = ("frame",)) -> DataFrame:
+    """keys, key: the artifacts of each frame, once; an optional one only where it has bytes."""
+    wanted = F.col("key").isNotNull() & (F.col("key") != "") & (~F.col("optional") | (F.coalesce("bytes", F.lit(0)) > 0))
+    return refs.where(wanted).select(*keys, "key").distinct()
+
+
+def applied(refs: DataFrame, rendered: DataFrame, keys: tuple[str, ...] = ("frame", "layer")) -> DataFrame:
+    """refs (keys, bytes) with the sizes of what was rendered: the bytes given, else the body's length; others stay."""
+    new = rendered.select(*keys, F.coalesce(F.nullif(F.col("bytes"), F.lit(0)), F.col("length")).alias("new_bytes"), F.lit(True).alias("there"))
+    return refs.join(new, list(keys), "left").withColumn("bytes", F.when(F.col("there"), F.col("new_bytes")).otherwise(F.col("bytes"))).drop("new_bytes", "there")
+
+
+def template(frames: DataFrame, model: Column, run: Column, view: Column) -> DataFrame:
+    """Planned frames (hour) with their base key and the state of one not yet rendered."""
+    base = F.concat_ws("/", F.lit("artifacts"), model, run, view, F.lpad(F.col("hour").cast("string"), 3, "0"))
+    return frames.withColumns({"base": base, "state": F.lit("pending")})
+
+
+def parameter_order(ordered: Column, known: Column, hidden: list[str], fallback: list[str]) -> Column:
+    """The parameters to offer: the given order as far as it is known, then what else is known, each once.
+
+    Without any known parameter the whole order is taken; fallback parameters are
+    always known, hidden ones never shown.
+    """
+    names = F.filter(F.transform(ordered, lambda x: F.trim(x)), lambda x: (F.size(known) == 0) | F.array_contains(known, x) | x.isin(*fallback))
+    return F.filter(F.array_distinct(F.concat(names, known)), lambda x: ~x.isin(*hidden) & (x != ""))
+
+
+def tasks_by_hour(tasks: DataFrame, keys: tuple[str, ...] = ("model", "hour")) -> DataFrame:
+    """keys, tasks: how many tasks of each hour count for its status; hours with none are left out."""
+    return tasks.where("affects_status").groupBy(*keys).agg(F.count(F.lit(1)).alias("tasks"))

@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from nimbostrat.functions import winter
+from nimbostrat.functions import thermo, winter
 from nimbostrat.functions.missing import clamp, floor_at, poison_sum
+from nimbostrat.functions.units import MPS_TO_KT
 
 PHASES = ("snow", "rain", "freezing", "sleet")
 
@@ -55,3 +56,25 @@ def active_cells(fields: DataFrame, threshold: float, keys: tuple[str, ...], den
     """Per group: cells above the threshold, missing ones, and whether they are too many for a sparse list."""
     positive, missing, n = F.count_if(F.col("value") > threshold), F.count_if(F.col("value").isNull()), F.count(F.lit(1))
     return fields.groupBy(*keys).agg(positive.alias("positive"), missing.alias("missing"), ((positive + missing) > n * dense).alias("dense"))
+
+
+def ice_environment(levels: DataFrame) -> DataFrame:
+    """``levels`` (t, td, rh, u, v near the ground) with wet_bulb_c and wind_kt; the dewpoint is taken from rh where td is missing."""
+    dew = F.coalesce("td", thermo.dewpoint_from_rh(F.col("t"), F.col("rh")))
+    wind = F.sqrt(F.col("u") * F.col("u") + F.col("v") * F.col("v")) * MPS_TO_KT
+    return levels.withColumns({"wet_bulb_c": thermo.wet_bulb_c(F.col("t"), dew), "wind_kt": wind})
+
+
+def environment_segments(chunks: DataFrame, hours: DataFrame, keys: tuple[str, ...] = ("model",)) -> DataFrame:
+    """keys, start_hour, end_hour, hour, weight: the sampled hours of each chunk and the share of it each stands for.
+
+    An hour stands for the time since the sample before it, or since the start. A
+    chunk without samples takes its end hour whole.
+    """
+    inside = chunks.select(*keys, "start_hour", "end_hour", F.explode(F.sequence(F.col("start_hour") + 1, F.col("end_hour"))).alias("hour"))
+    sampled = inside.join(hours.select(*keys, "hour").distinct(), [*keys, "hour"])
+    order = Window.partitionBy(*keys, "start_hour", "end_hour").orderBy("hour")
+    weight = (F.col("hour") - F.coalesce(F.lag("hour").over(order), F.col("start_hour"))) / (F.col("end_hour") - F.col("start_hour"))
+    found = sampled.withColumn("weight", weight).select(*keys, "start_hour", "end_hour", "hour", "weight")
+    none = chunks.select(*keys, "start_hour", "end_hour").distinct().join(found.select(*keys, "start_hour", "end_hour").distinct(), [*keys, "start_hour", "end_hour"], "left_anti")
+    return found.unionByName(none.select(*keys, "start_hour", "end_hour", F.col("end_hour").alias("hour"), F.lit(1.0).alias("weight")))

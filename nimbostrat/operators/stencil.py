@@ -103,3 +103,8 @@ def extrema(grid: DataFrame, reach: int = 4, value: str = "v", keys: tuple[str,
     v = F.col(value)
     kind = F.when((v >= F.col("hi") - slack) & (v - F.col("lo") > least), "high").when((v <= F.col("lo") + slack) & (F.col("hi") - v > least), "low")
     return full.where(F.col("n") == side * side).withColumn("kind", kind).where("kind IS NOT NULL").drop("n1", "hi1", "lo1", "n", "hi", "lo")
+
+
+def presentation(grid: DataFrame, passes: int = 1, value: str = "v", keys: tuple[str, ...] = ()) -> DataFrame:
+    """``smooth`` of the positive part: negative values count as 0, missing ones stay missing."""
+    return smooth(grid.withColumn(value, floor_at(F.col(value), 0.0)), passes, value, keys)

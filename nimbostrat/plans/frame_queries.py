@@ -12,7 +12,7 @@ from nimbostrat.operators import frames as frame_ops
 from nimbostrat.plans.catalog import _rows as catalog_rows
 from nimbostrat.plans.catalog import catalog, for_model, products, requirements, to_display
 from nimbostrat.plans.registry import query
-from nimbostrat.sources import inventory
+from nimbostrat.sources import inventory, planes
 from nimbostrat.sources.payload import decode_frames, encode_frames
 from nimbostrat.sources.proxies import EPOCH_US, FRAMES_SQL, HOLED_SQL, SERIES_SQL, frames, holed_grid, series, table
 
@@ -307,3 +307,99 @@ def centre_declutter(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = stencil.extrema(holed_grid(spark, sf_dir).withColumn("v", F.coalesce("v", F.lit(0.0))))
     marks = found.select(F.floor(F.col("row") / 100).alias("frame"), "kind", F.col("col").cast("double").alias("x"), F.col("row").cast("double").alias("y"), F.abs("v").alias("score"))
     return polyline.spaced(marks, ("frame", "kind"), 6.0, 18)
+
+
+LAYERS = [("temperature", "image"), ("height500", "contour"), ("pressureVectors", "vector"), ("reflectivity", "reflectivity")]
+GATES = [5, 15]
+
+
+@query(
+    "frame_asset_keys",
+    f"""WITH {FRAMES_SQL}, f AS (SELECT model, hour, 'artifacts/' || model || '/20240101-0000Z/conus/' || CASE WHEN hour < 1000 THEN lpad(CAST(hour AS VARCHAR), 3, '0') ELSE left(CAST(hour AS VARCHAR), 3) END AS base FROM frames WHERE hour >= 0)
+    SELECT model, hour, 'temperature' AS layer, '' AS variant, base || '/temperature.png' AS key FROM f UNION ALL SELECT model, hour, 'height500', '', base || '/height500.png' FROM f UNION ALL SELECT model, hour, 'height500', 'lines', base || '/height500-contours.json' FROM f
+    UNION ALL SELECT model, hour, 'pressureVectors', 'lines', base || '/pressureVectors-vectors.json' FROM f UNION ALL SELECT model, hour, 'reflectivity', 'dbz' || g, base || '/reflectivity-g' || g || '.png' FROM f, (VALUES (5), (15)) t(g)""",
+)
+def frame_asset_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    planned = frame_ops.template(frames(spark, sf_dir).where("hour >= 0"), F.col("model"), F.lit("20240101-0000Z"), F.lit("conus"))
+    return frame_ops.asset_keys(planned.drop("state"), spark.createDataFrame(LAYERS, "layer string, kind string"), GATES).select("model", "hour", "layer", "variant", "key")
+
+
+REFS_SQL = """refs AS (SELECT l_orderkey AS frame, l_linenumber AS layer, 'k' || (l_partkey % 50) AS key, l_linenumber > 3 AS optional, CASE WHEN l_suppkey % 3 <> 0 THEN CAST(l_quantity AS BIGINT) END AS bytes FROM lineitem)"""
+
+
+def _refs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    size = F.when(F.col("l_suppkey") % 3 != 0, F.col("l_quantity").cast("bigint"))
+    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("frame"), F.col("l_linenumber").alias("layer"), F.concat(F.lit("k"), F.col("l_partkey") % 50).alias("key"), (F.col("l_linenumber") > 3).alias("optional"), size.alias("bytes"))
+
+
+@query("frame_artifact_keys", f"WITH {REFS_SQL} SELECT DISTINCT frame, key FROM refs WHERE NOT optional OR coalesce(bytes, 0) > 0")
+def frame_artifact_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return frame_ops.collected_keys(_refs(spark, sf_dir))
+
+
+@query(
+    "rendered_frame_sizes",
+    """WITH r AS (SELECT DISTINCT l_orderkey AS frame, l_linenumber AS layer FROM lineitem), n AS (SELECT l_orderkey AS frame, l_linenumber AS layer, CASE WHEN max(l_partkey) % 4 = 0 THEN 0 ELSE max(l_partkey) END AS bytes, max(l_suppkey) AS length FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1, 2)
+    SELECT r.frame, r.layer, CASE WHEN n.frame IS NULL THEN 7 ELSE coalesce(nullif(bytes, 0), length) END AS bytes FROM r LEFT JOIN n USING (frame, layer)""",
+)
+def rendered_frame_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("frame"), F.col("l_linenumber").alias("layer"), "l_partkey", "l_suppkey", "l_returnflag")
+    most = F.max("l_partkey")
+    new = rows.where("l_returnflag = 'R'").groupBy("frame", "layer").agg(F.when(most % 4 == 0, 0).otherwise(most).cast("bigint").alias("bytes"), F.max("l_suppkey").cast("bigint").alias("length"))
+    return frame_ops.applied(rows.select("frame", "layer", F.lit(7).cast("bigint").alias("bytes")).distinct(), new)
+
+
+@query(
+    "manifest_parameter_order",
+    """WITH p AS (SELECT c_custkey, ['precip', ' temperature', 'wind', 'precip', '', 'p' || (c_custkey % 3)] AS o, CASE WHEN c_custkey % 4 = 0 THEN [] ELSE ['p' || (c_custkey % 5), 'secret', 'wind'] END::VARCHAR[] AS k FROM customer),
+    n AS (SELECT c_custkey, list_concat(list_filter(list_transform(o, lambda x: trim(x)), lambda x: len(k) = 0 OR list_contains(k, x) OR x = 'temperature'), k) AS a FROM p),
+    u AS (SELECT c_custkey, unnest(a) AS key, generate_subscripts(a, 1) AS i FROM n) SELECT c_custkey, string_agg(key, ',' ORDER BY i) AS keys FROM (SELECT c_custkey, key, min(i) AS i FROM u WHERE key NOT IN ('secret', '') GROUP BY 1, 2) GROUP BY 1""",
+)
+def manifest_parameter_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("c_custkey")
+    ordered = F.array(F.lit("precip"), F.lit(" temperature"), F.lit("wind"), F.lit("precip"), F.lit(""), F.concat(F.lit("p"), k % 3))
+    known = F.when(k % 4 == 0, F.array().cast("array<string>")).otherwise(F.array(F.concat(F.lit("p"), k % 5), F.lit("secret"), F.lit("wind")))
+    rows = table(spark, sf_dir, "customer").select("c_custkey", F.array_join(frame_ops.parameter_order(ordered, known, ["secret"], ["temperature"]), ",").alias("keys"))
+    return rows.where("keys <> ''")
+
+
+@query("hour_task_counts", f"WITH {SERIES_SQL} SELECT model, hour, count(*) FILTER (cell % 3 <> 0) AS tasks FROM series GROUP BY 1, 2 HAVING count(*) FILTER (cell % 3 <> 0) > 0")
+def hour_task_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return frame_ops.tasks_by_hour(series(spark, sf_dir).withColumn("affects_status", F.col("cell") % 3 != 0))
+
+
+@query(
+    "ice_environment_segments",
+    f"""WITH {FRAMES_SQL}, c AS (SELECT DISTINCT model, hour - hour % 9 AS a, hour - hour % 9 + 9 AS b FROM frames WHERE hour >= 0), h AS (SELECT * FROM frames WHERE hour % 4 <> 1 AND (hour // 9) % 5 <> 2),
+    s AS (SELECT c.*, h.hour FROM c JOIN h ON h.model = c.model AND h.hour > a AND h.hour <= b), w AS (SELECT *, (hour - lag(hour, 1, a) OVER (PARTITION BY model, a ORDER BY hour)) / 9.0::DOUBLE AS w FROM s)
+    SELECT model, a AS start_hour, b AS end_hour, hour, round(w, 6) AS weight FROM w UNION ALL SELECT model, a, b, b, 1 FROM c WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.model = c.model AND s.a = c.a)""",
+)
+def ice_environment_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks of nine hours over sampled hours with gaps; some chunks have no sample."""
+    held = frames(spark, sf_dir)
+    start = F.col("hour") - F.col("hour") % 9
+    chunks = held.where("hour >= 0").select("model", start.alias("start_hour"), (start + 9).alias("end_hour")).distinct()
+    sampled = held.where((F.col("hour") % 4 != 1) & (F.floor(F.col("hour") / 9) % 5 != 2))
+    return snow.environment_segments(chunks, sampled).withColumn("weight", F.round("weight", 6))
+
+
+@query(
+    "sounding_levels",
+    f"""WITH {FILES_SQL} SELECT hour, CAST(split_part(level, ' ', 1) AS INTEGER) AS pressure, CAST(count(DISTINCT param) AS INTEGER) AS variables FROM rec
+    WHERE param IN ('TMP', 'RH', 'HGT', 'UGRD', 'VGRD', 'VVEL') AND level IN ({", ".join(f"'{x} mb'" for x in range(1000, 99, -25))}) GROUP BY 1, 2""",
+)
+def sounding_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pressure levels that each file has for a sounding."""
+    return inventory.profile_levels(catalogue_records(spark, sf_dir), ["TMP", "RH", "HGT", "UGRD", "VGRD", "VVEL"], list(range(1000, 99, -25)))
+
+
+@query("plane_round_trip", f"WITH {HOLED_SQL} SELECT CAST(row // 100 AS BIGINT) AS frame, CAST(row % 100 AS INTEGER) AS row, col, round(CAST(CAST(v AS FLOAT) AS DOUBLE), 6) AS v FROM holed")
+def plane_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rasters of 100 rows written as raw floats behind a header, and read back by offset."""
+    cells = holed_grid(spark, sf_dir).select(F.floor(F.col("row") / 100).alias("frame"), (F.col("row") % 100).alias("row"), "col", "v")
+    cols = table(spark, sf_dir, "embeddings").agg(F.max(F.size("embedding"))).first()[0] or 1
+    files = planes.encode_planes(cells, ("frame",), 100, cols).select(F.col("frame").cast("string").alias("path"), F.concat(F.lit(b"HEAD"), "body").alias("content"))
+    found = planes.decode_planes(files, files.select("path", F.lit("v").alias("name"), F.lit(4).alias("offset")), 100, cols)
+    rows = cells.groupBy("frame").agg(F.max("row").alias("last"))
+    whole = found.select(F.col("path").cast("bigint").alias("frame"), "row", "col", F.round("v", 6).alias("v")).join(F.broadcast(rows), "frame")
+    return whole.where("row <= last").drop("last")

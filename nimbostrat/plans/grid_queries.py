@@ -53,6 +53,18 @@ def smooth5_renormalised(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stencil.smooth(holed_grid(spark, sf_dir)).select("row", "col", F.round("smoothed", 6).alias("smoothed"))
 
 
+POSITIVE_SQL = (
+    f"WITH {HOLED_SQL}, pos AS (SELECT row, col, greatest(0, v) AS v FROM (SELECT * FROM holed WHERE v IS NOT NULL) UNION ALL SELECT row, col, NULL FROM holed WHERE v IS NULL), " + _axis("pos", "h", "row", "col", stencil.BINOMIAL)
+    + ", g AS (SELECT row, col, v, CASE WHEN v IS NOT NULL THEN x_h END AS y FROM h), " + _axis("g", "s", "col", "row", stencil.BINOMIAL, "y") + " SELECT row, col, round(CASE WHEN v IS NOT NULL THEN greatest(0, x_s) END, 6) AS smoothed FROM s"
+)
+
+
+@query("presentation_smoothing", POSITIVE_SQL)
+def presentation_smoothing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The positive part alone, smoothed, as it is shown."""
+    return stencil.presentation(holed_grid(spark, sf_dir)).select("row", "col", F.round("smoothed", 6).alias("smoothed"))
+
+
 WEIGHTS = stencil.gaussian_weights(1.5, 3)
 BLUR_SQL = f"WITH {HOLED_SQL}, " + _axis("holed", "h", "row", "col", WEIGHTS) + ", g AS (SELECT row, col, x_h AS y FROM h), " + _axis("g", "s", "col", "row", WEIGHTS, "y") + " SELECT row, col, round(x_s, 6) AS blurred FROM s"
 

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nimbostrat.functions import severe, thermo, units, winter
-from nimbostrat.operators import column, forest, parcel, profile
+from nimbostrat.operators import column, forest, parcel, profile, snow
 from nimbostrat.plans.registry import query
 from nimbostrat.sources.proxies import SOUNDINGS_SQL, soundings, table
 
@@ -449,3 +449,47 @@ def rf_slr(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A forest of two small trees; a tree with a missing feature doesn't vote."""
     rows = items(spark, sf_dir).withColumn("xm", F.when(F.col("b") % 6 != 0, F.col("x")))
     return forest.forest_ratio(rows, TOY_FOREST, ["q", "xm", "y"]).select(*KEYS, "ratio")
+
+
+FEATURE_HEIGHTS = [300.0 * k for k in range(1, 9)]
+
+
+@query(
+    "snow_ratio_features",
+    f"""WITH {SOUNDINGS_SQL}, b AS (SELECT cell, p, z - min(z) OVER (PARTITION BY cell) AS agl, sqrt(u * u + v * v) AS spd, t, rh FROM soundings), l AS (SELECT *, lead(agl) OVER w AS agl2, lead(spd) OVER w AS spd2, lead(t) OVER w AS t2, lead(rh) OVER w AS rh2 FROM b WINDOW w AS (PARTITION BY cell ORDER BY agl)),
+    h AS (SELECT unnest({FEATURE_HEIGHTS}) AS h), x AS (SELECT cell, h, (h - agl) / (agl2 - agl) AS s, spd, t, rh, spd2, t2, rh2 FROM l, h WHERE agl <= h AND agl2 > h)
+    SELECT c.cell, h.h AS agl, round(spd + (spd2 - spd) * s, 4) AS spd, round(t + (t2 - t) * s, 4) AS t, round(rh + (rh2 - rh) * s, 4) AS rh FROM (SELECT DISTINCT cell FROM soundings) c CROSS JOIN h LEFT JOIN x ON x.cell = c.cell AND x.h = h.h""",
+)
+def snow_ratio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Speed, temperature and humidity at eight heights above the ground."""
+    out = column.agl_values(soundings(spark, sf_dir), FEATURE_HEIGHTS)
+    return out.select("cell", "agl", *[F.round(c, 4).alias(c) for c in ("spd", "t", "rh")])
+
+
+@query("pressure_at_agl", f"WITH {LAYERS_SQL}, a AS ({TOP_SQL.format(h=3000)}) SELECT c.cell, round(p, 4) AS p FROM (SELECT DISTINCT cell FROM pr) c LEFT JOIN a USING (cell)")
+def pressure_at_agl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = column.at_height(column.columns(soundings(spark, sf_dir)), "x", F.lit(3000.0))
+    return rows.select("cell", F.round("x.p", 4).alias("p"))
+
+
+@query(
+    "levels_without_doubles",
+    """WITH l AS (SELECT l_suppkey AS cell, 1000 - l_quantity * 15 + l_discount AS p, l_orderkey * 10 + l_linenumber AS ordinal FROM lineitem)
+    SELECT cell, round(p, 4) AS p, ordinal FROM (SELECT *, row_number() OVER (PARTITION BY cell, floor(p * 10 + 0.5) ORDER BY ordinal, p) AS k FROM l) WHERE k = 1""",
+)
+def levels_without_doubles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = 1000 - F.col("l_quantity") * 15 + F.col("l_discount")
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("cell"), p.alias("p"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ordinal"))
+    return column.without_doubles(rows.withColumn("order", F.struct("ordinal", "p")), order="order").select("cell", F.round("p", 4).alias("p"), "ordinal")
+
+
+@query(
+    "ice_environment",
+    f"""WITH {ITEMS_SQL}, s AS (SELECT {KEY_SQL}, 263 + q / 2 AS t, CASE WHEN b % 3 <> 0 THEN 255 + q / 3 END AS td, 40 + x * 500 AS rh, y * 200 AS u, q / 5 AS v FROM items0), g AS (SELECT *, ln(least(100, greatest(1, rh)) / 100) + 17.625 * (t - 273.15) / (t - 273.15 + 243.04) AS g FROM s),
+    d AS (SELECT *, coalesce(td, 243.04 * g / (17.625 - g) + 273.15) AS dew FROM g), e AS (SELECT *, t - 273.15 AS cc, greatest(1, least(100, 100 * exp(17.67 * (dew - 273.15) / (dew - 273.15 + 243.5)) / exp(17.67 * (t - 273.15) / (t - 273.15 + 243.5)))) AS h FROM d)
+    SELECT {KEY_SQL}, round(cc * atan(0.151977 * sqrt(h + 8.313659)) + atan(cc + h) - atan(h - 1.676331) + 0.00391838 * pow(h, 1.5) * atan(0.023101 * h) - 4.686035, 5) AS wet_bulb_c, round(sqrt(u * u + v * v) * 1.943844, 5) AS wind_kt FROM e""",
+)
+def ice_environment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q = F.col("q")
+    rows = items(spark, sf_dir).withColumns({"t": 263 + q / 2, "td": F.when(F.col("b") % 3 != 0, 255 + q / 3), "rh": 40 + F.col("x") * 500, "u": F.col("y") * 200, "v": q / 5})
+    return _out(snow.ice_environment(rows), wet_bulb_c=F.col("wet_bulb_c"), wind_kt=F.col("wind_kt"))

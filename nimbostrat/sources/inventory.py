@@ -162,3 +162,10 @@ def profile_complete(records: DataFrame, variables: list[str], levels: list[int]
     least = len(levels) if complete else 1
     ok = held.groupBy(*keys).agg((F.count_if(F.col("n") >= least) == len(variables)).alias("ok"))
     return records.select(*keys).distinct().join(ok, list(keys), "left").withColumn("ok", F.coalesce("ok", F.lit(False)))
+
+
+def profile_levels(records: DataFrame, variables: list[str], levels: list[int], keys: tuple[str, ...] = ("hour",)) -> DataFrame:
+    """keys, level, variables: the pressure levels at which a file has any of the variables, and how many."""
+    names = [f"{x} mb" for x in levels]
+    held = records.where(F.col("param").isin(variables) & F.col("level").isin(names))
+    return held.groupBy(*keys, F.regexp_extract("level", r"^(\d+)", 1).cast("int").alias("pressure")).agg(F.count_distinct("param").cast("int").alias("variables"))
