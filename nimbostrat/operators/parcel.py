@@ -171,6 +171,44 @@ def lifted(p: np.ndarray, t: np.ndarray, td: np.ndarray, target: float) -> tuple
     return np.where(good, temperature, np.nan), np.where(good, virtual(temperature, w), np.nan)
 
 
+def buoyancy_levels(p: np.ndarray, z: np.ndarray, t: np.ndarray, td: np.ndarray, step: float = 10.0) -> tuple[np.ndarray, np.ndarray]:
+    """Heights above the lowest level at which its parcel becomes and stops being buoyant, sampled every ``step`` hPa.
+
+    Buoyancy counts from condensation up; a crossing is interpolated between its
+    samples. A parcel that is buoyant at the last sample stops there; one that never
+    is has neither.
+    """
+    n, top = len(p), np.nanmin(p, axis=1)
+    deepest = np.nanmax(p[:, 0] - top)
+    count = int(max(deepest, 0) // step) + 1 if np.isfinite(deepest) else 1
+    at = p[:, :1] - step * np.arange(count)
+    height, warm, dew = thermo_at(p, z, t, td, at)
+    env = virtual(warm, mixing_ratio(vapour_pressure(np.minimum(dew, warm)), at))
+    source_td = np.minimum(td[:, 0], t[:, 0])
+    lcl = lcl_temperature(t[:, 0], source_td)
+    lcl_p = p[:, 0] * (lcl / t[:, 0]) ** (1 / KAPPA)
+    moist = at < lcl_p[:, None]
+    lift = np.full(at.shape, np.nan)
+    rows, cols = np.nonzero(moist & np.isfinite(height))
+    lift[rows, cols] = moist_lift(lcl_p[rows], lcl[rows], at[rows, cols])
+    lifted_tv = virtual(lift, mixing_ratio(vapour_pressure(lift), at))
+    force = GRAVITY * (lifted_tv - env) / np.maximum(180.0, env)
+    up = force > 0
+    some = up.any(axis=1)
+    first, last = up.argmax(axis=1), count - 1 - up[:, ::-1].argmax(axis=1)
+    each, above = np.arange(n), height - z[:, :1]
+
+    def crossing(low: np.ndarray, high: np.ndarray, plain: np.ndarray) -> np.ndarray:
+        a, b = force[each, low], force[each, high]
+        share = np.clip(-a / np.where(b == a, 1.0, b - a), 0, 1)
+        found = above[each, low] + (above[each, high] - above[each, low]) * share
+        return np.where(np.isfinite(found) & (np.abs(b - a) > 1e-9) & (low != high), found, above[each, plain])
+
+    free = crossing(np.maximum(first - 1, 0), first, first)
+    level = crossing(last, np.minimum(last + 1, count - 1), last)
+    return np.where(some, free, np.nan), np.where(some, level, np.nan)
+
+
 def stability(p: np.ndarray, z: np.ndarray, t: np.ndarray, td: np.ndarray) -> dict[str, np.ndarray]:
     """Lifted index (virtual temperatures at 500 hPa), Showalter index, wet-bulb zero height, mixed-layer and most unstable CAPE and CIN."""
     n = len(p)
@@ -186,6 +224,7 @@ def stability(p: np.ndarray, z: np.ndarray, t: np.ndarray, td: np.ndarray) -> di
         share = np.where(np.abs(b - a) < 1e-9, 0.0, np.clip(-a / np.where(b == a, 1.0, b - a), 0, 1))
         zero = np.where(cross, z[:, k] + (z[:, k + 1] - z[:, k]) * share, zero)
     out["wet_bulb_zero"] = zero
+    out["lfc_m"], out["el_m"] = buoyancy_levels(p, z, t, td)
     steps = p[:, :1] - np.arange(0, 301)
     height, warm, dew = thermo_at(p, z, t, td, steps)
     theta = np.where(height - z[:, :1] <= 4000, equivalent(warm, dew, steps), np.nan)
@@ -196,12 +235,12 @@ def stability(p: np.ndarray, z: np.ndarray, t: np.ndarray, td: np.ndarray) -> di
 
 
 def stability_indices(profiles: DataFrame, mixed: DataFrame | None = None) -> DataFrame:
-    """cell, lifted_index, showalter, wet_bulb_zero, mu_cape, mu_cin, ml_cape, ml_cin of profiles.
+    """cell, lifted_index, showalter, wet_bulb_zero, lfc_m, el_m, mu_cape, mu_cin, ml_cape, ml_cin of profiles.
 
     mixed: cell, p, t, td of mixed-layer parcels (``column.mixed_layer``); without it
-    the last two are missing. Cells of fewer than three complete levels are missing.
+    its two are missing. Cells of fewer than three complete levels are missing.
     """
-    names = ["lifted_index", "showalter", "wet_bulb_zero", "mu_cape", "mu_cin", "ml_cape", "ml_cin"]
+    names = ["lifted_index", "showalter", "wet_bulb_zero", "lfc_m", "el_m", "mu_cape", "mu_cin", "ml_cape", "ml_cin"]
     rows = arrays(profiles)
     if mixed is not None:
         rows = rows.join(mixed.select("cell", F.struct("p", "t", "td").alias("mixed")), "cell", "left")

@@ -10,7 +10,7 @@ from collections import defaultdict
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -134,15 +134,26 @@ def decode_polyline(text: str, digits: int = 5) -> list[Point]:
     return [tuple(p) for p in sums.tolist()]
 
 
-def encoded_lines(points: DataFrame, keys: tuple[str, ...], digits: int = 5) -> DataFrame:
-    """keys, encoded of lines given by place, x (longitude) and y (latitude)."""
+def _groups(value: Column) -> Column:
+    """A number, zig-zagged, in printable groups of five bits, the lowest first."""
+    v = F.when(value >= 0, F.shiftleft(value, 1)).otherwise(F.bitwise_not(F.shiftleft(value, 1)))
+    n = F.ceil(F.length(F.bin(v)) / 5).cast("int")
+    code = lambda k: F.call_function("shiftrightunsigned", v, k * 5).bitwiseAND(F.lit(31).cast("bigint")) + F.when(k < n - 1, 32).otherwise(0) + 63
+    return F.array_join(F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.chr(code(k))), "")
+
 
-    @F.pandas_udf("string")
-    def encode(lines: pd.Series) -> pd.Series:
-        return lines.map(lambda line: encode_polyline([(p["lat"], p["lon"]) for p in line], digits))
+def encoded_lines(points: DataFrame, keys: tuple[str, ...], digits: int = 5) -> DataFrame:
+    """keys, encoded of lines given by place, x (longitude) and y (latitude).
 
-    ordered = F.transform(F.sort_array(F.collect_list(F.struct("place", "x", "y"))), lambda p: F.struct(p["y"].alias("lat"), p["x"].alias("lon")))
-    return points.groupBy(*keys).agg(ordered.alias("p")).select(*keys, encode("p").alias("encoded"))
+    Each point's difference from the one before is written by itself, in the JVM;
+    the parts are put together in order.
+    """
+    order = Window.partitionBy(*keys).orderBy("place")
+    whole = lambda c: F.floor(F.col(c) * 10**digits + 0.5).cast("bigint")
+    step = lambda c: F.col(c) - F.coalesce(F.lag(c).over(order), F.lit(0).cast("bigint"))
+    rows = points.select(*keys, "place", whole("y").alias("lat"), whole("x").alias("lon")).withColumns({"dlat": step("lat"), "dlon": step("lon")})
+    parts = rows.select(*keys, "place", F.concat(_groups(F.col("dlat")), _groups(F.col("dlon"))).alias("part"))
+    return parts.groupBy(*keys).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", "part"))), lambda p: p["part"]), "").alias("encoded"))
 
 
 def spaced(candidates: DataFrame, keys: tuple[str, ...], spacing: float, most: int) -> DataFrame:

@@ -14,7 +14,7 @@ from nimbostrat.plans.catalog import catalog, for_model, products, requirements,
 from nimbostrat.plans.registry import query
 from nimbostrat.sources import inventory, planes
 from nimbostrat.sources.payload import decode_frames, encode_frames
-from nimbostrat.sources.proxies import EPOCH_US, FRAMES_SQL, HOLED_SQL, SERIES_SQL, frames, holed_grid, series, table
+from nimbostrat.sources.proxies import EPOCH_US, FRAMES_SQL, GRID_SQL, HOLED_SQL, SERIES_SQL, frames, grid, holed_grid, series, table
 
 MASKED_SQL = SERIES_SQL + """, masks AS (
     SELECT cell, hour, CASE WHEN hour % 9 <> 0 THEN count(*) FILTER (model = 'click') * 0.5 END AS snow, count(*) FILTER (model = 'view') * 0.5 AS rain,
@@ -301,7 +301,31 @@ def polyline_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return polyline.encoded_lines(contour_lines(spark, sf_dir), ("frame", "level", "line"))
 
 
-@query("centre_declutter")
+_GROUP = "list_aggregate(list_transform(range(CAST(ceil(len(bin({v})) / 5.0) AS BIGINT)), lambda k: chr(CAST((({v} >> (5 * k)) & 31) + CASE WHEN k < CAST(ceil(len(bin({v})) / 5.0) AS BIGINT) - 1 THEN 32 ELSE 0 END + 63 AS INTEGER))), 'string_agg', '')"
+
+
+@query(
+    "polyline_encode_rows",
+    f"""WITH {GRID_SQL}, p AS (SELECT row, col, CAST(floor(v * 40 * 100000 + 0.5) AS BIGINT) AS lat, CAST(floor((col - 100.5) * 100000 + 0.5) AS BIGINT) AS lon FROM grid),
+    d AS (SELECT row, col, lat - lag(lat, 1, 0) OVER w AS a, lon - lag(lon, 1, 0) OVER w AS b FROM p WINDOW w AS (PARTITION BY row ORDER BY col)), z AS (SELECT row, col, CASE WHEN a >= 0 THEN a * 2 ELSE -2 * a - 1 END AS a, CASE WHEN b >= 0 THEN b * 2 ELSE -2 * b - 1 END AS b FROM d)
+    SELECT row, string_agg({_GROUP.format(v="a")} || {_GROUP.format(v="b")}, '' ORDER BY col) AS encoded FROM z GROUP BY row""",
+)
+def polyline_encode_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each row of the raster as a line of latitudes and longitudes."""
+    points = grid(spark, sf_dir).select("row", F.col("col").alias("place"), (F.col("col") - 100.5).alias("x"), (F.col("v") * 40).alias("y"))
+    return polyline.encoded_lines(points, ("row",))
+
+
+@query(
+    "centre_declutter",
+    f"""WITH RECURSIVE {HOLED_SQL}, filled AS (SELECT row, col, coalesce(v, 0) AS v FROM holed), l AS (SELECT *, count(v) OVER a AS n1, max(v) OVER a AS h1, min(v) OVER a AS l1 FROM filled WINDOW a AS (PARTITION BY row ORDER BY col ROWS BETWEEN 4 PRECEDING AND 4 FOLLOWING)),
+    f AS (SELECT row, col, v, sum(n1) OVER b AS n, max(h1) OVER b AS hi, min(l1) OVER b AS lo FROM l WINDOW b AS (PARTITION BY col ORDER BY row ROWS BETWEEN 4 PRECEDING AND 4 FOLLOWING)),
+    m AS (SELECT CAST(row // 100 AS BIGINT) AS frame, CASE WHEN v >= hi - 0.03 AND v - lo > 0.04 THEN 'high' WHEN v <= lo + 0.03 AND hi - v > 0.04 THEN 'low' END AS kind, CAST(col AS DOUBLE) AS x, CAST(row AS DOUBLE) AS y, abs(v) AS score FROM f WHERE n = 81),
+    o AS (SELECT *, row_number() OVER (PARTITION BY frame, kind ORDER BY score DESC, y, x) AS k FROM m WHERE kind IS NOT NULL),
+    r AS (SELECT DISTINCT frame, kind, CAST(0 AS BIGINT) AS k, []::STRUCT(x DOUBLE, y DOUBLE, score DOUBLE)[] AS chosen FROM o UNION ALL SELECT r.frame, r.kind, o.k, CASE WHEN len(chosen) < 18 AND len(list_filter(chosen, lambda c: (c.x - o.x) * (c.x - o.x) + (c.y - o.y) * (c.y - o.y) < 36)) = 0 THEN list_append(chosen, struct_pack(x := o.x, y := o.y, score := o.score)) ELSE chosen END
+        FROM r JOIN o ON o.frame = r.frame AND o.kind = r.kind AND o.k = r.k + 1),
+    e AS (SELECT frame, kind, unnest(arg_max(chosen, k)) AS c FROM r GROUP BY 1, 2) SELECT frame, kind, c.x AS x, c.y AS y, c.score AS score FROM e""",
+)
 def centre_declutter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Extrema of each kind, at most 18 a frame and 6 cells apart."""
     found = stencil.extrema(holed_grid(spark, sf_dir).withColumn("v", F.coalesce("v", F.lit(0.0))))

@@ -100,3 +100,10 @@ def test_streamed_run_max(spark, tmp_path):
     query.awaitTermination(120)
     last = {r["cell"]: (r["hours"], r["run_max"]) for r in sorted(out, key=lambda r: r["hours"])}
     assert last == {1: (3, 7.0), 2: (2, 0.0)}
+
+
+def test_lines_are_encoded_as_by_the_plain_loop(spark):
+    rng = np.random.default_rng(4)
+    rows = [(k, i, float(rng.uniform(-180, 180)), float(rng.uniform(-80, 80))) for k in range(3) for i in range(12)]
+    got = {r["line"]: r["encoded"] for r in polyline.encoded_lines(spark.createDataFrame(rows, "line int, place int, x double, y double"), ("line",)).collect()}
+    assert got == {k: polyline.encode_polyline([(y, x) for line, _, x, y in rows if line == k]) for k in range(3)}

@@ -68,6 +68,24 @@ def test_indices_of_stable_and_unstable_air():
     assert (moister["lifted_index"] < out["lifted_index"]).all()
 
 
+def test_levels_of_buoyancy():
+    """A warm moist parcel under a cap: buoyant between its free convection and its equilibrium."""
+    rows = [(1000, 100, 30.0, 80), (900, 1050, 23.5, 40), (850, 1560, 22.0, 30), (700, 3150, 9.0, 30), (500, 5850, -10.0, 30), (300, 9600, -38.0, 30), (200, 12300, -52.0, 30), (150, 14200, -50.0, 30)]
+    p, z, t, td = arrays(rows)
+    with np.errstate(all="ignore"):
+        free, level = parcel.buoyancy_levels(p, z, t, td)
+        calm = parcel.buoyancy_levels(*arrays(WET))
+    assert 300 < free[0] < 3500 and 9000 < level[0] < 14100
+    # the lifted parcel is no colder than the air where it becomes buoyant, and meets it where it stops
+    for h in (free[0], level[0]):
+        at = math.exp(np.interp(h + 100, z[0], np.log(p[0])))
+        heights, warm, dew = parcel.thermo_at(p, z, t, td, np.array([[at]]))
+        air = parcel.virtual(warm[0], parcel.mixing_ratio(parcel.vapour_pressure(dew[0]), np.array([at])))
+        lifted = parcel.lifted(p[:, 0], t[:, 0], td[:, 0], at)[1][0]
+        assert lifted > air[0] - 0.35 and (h == free[0] or lifted < air[0] + 0.35)
+    assert np.isnan(calm[0][0]) or calm[1][0] >= calm[0][0]
+
+
 def test_saturated_parcels_lift_like_their_adiabat():
     at, virtual = parcel.lifted(np.array([1000.0]), np.array([293.15]), np.array([293.15]), 700.0)
     assert at[0] == pytest.approx(parcel.moist_lift(np.array([1000.0]), np.array([293.15]), np.array([700.0]))[0]) and virtual[0] > at[0]
