@@ -333,7 +333,7 @@ def centre_declutter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return polyline.spaced(marks, ("frame", "kind"), 6.0, 18)
 
 
-LAYERS = [("temperature", "image"), ("height500", "contour"), ("pressureVectors", "vector"), ("reflectivity", "reflectivity")]
+ASSET_LAYERS = [("temperature", "image"), ("height500", "contour"), ("pressureVectors", "vector"), ("reflectivity", "reflectivity")]
 GATES = [5, 15]
 
 
@@ -345,7 +345,7 @@ GATES = [5, 15]
 )
 def frame_asset_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     planned = frame_ops.template(frames(spark, sf_dir).where("hour >= 0"), F.col("model"), F.lit("20240101-0000Z"), F.lit("conus"))
-    return frame_ops.asset_keys(planned.drop("state"), spark.createDataFrame(LAYERS, "layer string, kind string"), GATES).select("model", "hour", "layer", "variant", "key")
+    return frame_ops.asset_keys(planned.drop("state"), spark.createDataFrame(ASSET_LAYERS, "layer string, kind string"), GATES).select("model", "hour", "layer", "variant", "key")
 
 
 REFS_SQL = """refs AS (SELECT l_orderkey AS frame, l_linenumber AS layer, 'k' || (l_partkey % 50) AS key, l_linenumber > 3 AS optional, CASE WHEN l_suppkey % 3 <> 0 THEN CAST(l_quantity AS BIGINT) END AS bytes FROM lineitem)"""

@@ -77,6 +77,7 @@ def test_axes(spark):
     hours = lambda df: sorted(r["hour"] for r in df.collect())
     assert hours(timeaxis.axis_intersection(frames, ["a", "b"])) == [0, 3] and hours(timeaxis.axis_union(frames, ["a", "b"])) == [0, 3, 6]
     targets = spark.createDataFrame([(1, 1), (2, 50)], "target_id int, hour bigint")
-    near = timeaxis.nearest_frame(targets, frames, 4).collect()
-    assert [(r["target_id"], r["model"], r["frame_hour"], r["delta_minutes"]) for r in near] == [(1, "a", 0, 60)]
+    near = timeaxis.nearest_frame(targets, frames).collect()
+    # however far: no target is left out
+    assert sorted((r["target_id"], r["model"], r["frame_hour"], r["delta_minutes"]) for r in near) == [(1, "a", 0, 60), (1, "b", 6, 300), (2, "a", 3, 2820), (2, "b", 6, 2640)]
     assert [r["next_hour"] for r in timeaxis.next_with_wrap(frames).where("model = 'a'").orderBy("hour").collect()] == [3, 0]
