@@ -5,6 +5,7 @@ from __future__ import annotations
 import itertools
 import uuid
 import weakref
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +17,7 @@ _FRESH = itertools.count()
 
 # Bytes of one Arrow batch handed to a Python function; long texts make it the
 # binding limit rather than the number of rows.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 
 def bound_batches(spark: SparkSession) -> None:
@@ -50,30 +51,48 @@ def saved(df: DataFrame) -> DataFrame:
     out = spark.read.schema(df.schema).parquet(path)
     _PATHS[id(out)] = path
     weakref.finalize(out, _PATHS.pop, id(out), None)
+    for scope in _SCOPES:
+        scope.append(path)
     return out
 
 
 _PATHS: dict[int, str] = {}
+_SCOPES: list[list[str]] = []
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
 
 
 def forget(table: DataFrame) -> None:
     """Remove a table of ``saved`` that nothing will read any more."""
     if path := _PATHS.pop(id(table), None):
-        spark = table.sparkSession
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+        _remove(table.sparkSession, path)
+
+
+def settled(spark: SparkSession, make: Callable[[], DataFrame]) -> DataFrame:
+    """What ``make`` returns, saved; the tables saved on the way to it are removed."""
+    _SCOPES.append(own := [])
+    try:
+        out = saved(make())
+    finally:
+        _SCOPES.pop()
+    for path in own[:-1]:
+        _remove(spark, path)
+    return out
 
 
 #: Rows of ids that are broadcast at most, about 32 bytes each.
 BROADCAST_ROWS = 200_000
 
 
-def within_reach(ids: DataFrame) -> DataFrame:
-    """A saved table of ids, marked for broadcast where it is small enough.
+def within_reach(ids: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """A saved table of ids, marked for broadcast where it has at most ``rows``.
 
-    Beyond ``BROADCAST_ROWS`` the join shuffles both sides as usual.
+    Beyond that the join shuffles both sides as usual.
     """
-    return F.broadcast(ids) if ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else ids
+    return F.broadcast(ids) if ids.limit(rows + 1).count() <= rows else ids
 
 
 def strings(array: pa.Array) -> pa.Array:

@@ -26,6 +26,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from nimbostrat.llm.common import bound_batches, forget, mix64, saved, strings, within_reach
 
@@ -42,6 +43,8 @@ LOAD = 1 << 22
 FANOUT = 16
 #: Points of one key compared directly; more of them are dealt in parts of about so many.
 RUN = 4096
+#: Ids of exact copies that are broadcast at most, 8 bytes each.
+COPIES = 2_000_000
 #: Vertices of a task held before their edges are given out.
 FOREST = 200_000
 #: Characters of text shingled together.
@@ -191,37 +194,71 @@ def frequent_shingles(docs: DataFrame, text: str, width: int, tracked: int = TRA
     return np.sort(np.array([r["key"] for r in rows.select(F.col("x.item").alias("key")).collect()], np.int64))
 
 
+def _lists(rows: list[np.ndarray]) -> pa.ListArray:
+    offsets = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(rows) if rows else np.zeros(0, np.int64)))
+
+
 def signatures(docs: DataFrame, text: str, width: int, limits: Threshold, frequent: np.ndarray) -> DataFrame:
-    """rid, doc_id, text_hash, n, set_hash (16 bytes), point, prefix of every row."""
+    """rid, doc_id, text_hash, n, set_hash (16 bytes), point, prefix, common of every row.
+
+    common holds those keys of the prefix that are known to be frequent.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = shared.value
         for batch in batches:
-            n, hashes, points, prefixes = [], [], [], []
+            n, hashes, points, prefixes, commons = [], [], [], [], []
             for s in shingle_sets(strings(batch.column(1)), width):
                 signed = np.sort(s.view(np.int64))
                 size = limits.prefix(len(s))
                 if len(last) and len(s):
                     at = np.minimum(np.searchsorted(last, signed), len(last) - 1)
                     often = last[at] == signed
-                    first = np.concatenate([signed[~often][:size], signed[often][:size]])[:size]
+                    first = signed[~often][:size]
+                    common = signed[often][: size - len(first)]
                 else:
-                    first = signed[:size]
+                    first, common = signed[:size], signed[:0]
                 n.append(len(s))
                 hashes.append(np.array([mix64(s ^ _A).sum(dtype=np.uint64), mix64(s ^ _B).sum(dtype=np.uint64)]).tobytes())
                 points.append(packed(point(s, limits.groups(len(s)))))
                 prefixes.append(first)
-            offsets = np.concatenate([[0], np.cumsum([len(p) for p in prefixes])]).astype(np.int32)
-            keys = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(prefixes) if prefixes else np.zeros(0, np.int64)))
-            columns = [batch.column(0), batch.column(2), pa.array(n, pa.int32()), pa.array(hashes, pa.binary()), pa.array(points, pa.binary()), keys]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_hash", "n", "set_hash", "point", "prefix"])
+                commons.append(common)
+            columns = [batch.column(0), batch.column(2), pa.array(n, pa.int32()), pa.array(hashes, pa.binary()), pa.array(points, pa.binary()), _lists(prefixes), _lists(commons)]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_hash", "n", "set_hash", "point", "prefix", "common"])
 
     given = docs.select("doc_id", F.col(text).alias("text"), F.xxhash64(text).alias("text_hash"))
-    rows = given.mapInArrow(run, "doc_id bigint, text_hash bigint, n int, set_hash binary, point binary, prefix array<bigint>")
+    rows = given.mapInArrow(run, "doc_id bigint, text_hash bigint, n int, set_hash binary, point binary, prefix array<bigint>, common array<bigint>")
     return rows.withColumn("rid", F.monotonically_increasing_id())
 
 
+def shared_keys(entries: DataFrame, limits: Threshold) -> DataFrame:
+    """The entries (key, n, rid) whose key another set of a fitting size has.
+
+    Keys come in order of size, so a row is judged by its two neighbours; no task
+    holds a key's rows.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, fits = None, False  # the last row, and whether the one before it fits
+        for batch in batches:
+            rows = batch if held is None else pa.concat_batches([held, batch])
+            if not rows.num_rows:
+                continue
+            key, n = rows.column(0).to_numpy(), rows.column(1).to_numpy().astype(np.int64)
+            near = (key[1:] == key[:-1]) & (100 * n[:-1] >= limits.percent * n[1:])
+            before = np.concatenate([[fits], near])
+            keep = before | np.concatenate([near, [False]])
+            yield rows.slice(0, len(key) - 1).filter(pa.array(keep[:-1]))
+            held, fits = rows.slice(len(key) - 1), bool(before[-1])
+        if held is not None and fits:
+            yield held
+
+    ordered = entries.select("key", "n", "rid").repartition("key").sortWithinPartitions("key", "n", "rid")
+    return ordered.mapInArrow(run, "key bigint, n int, rid bigint")
+
+
 class Forest:
     """Disjoint sets over the edges of one task, given out as stars."""
 
@@ -271,8 +308,8 @@ def near_groups(sizes: np.ndarray, points: Points, start: int, limits: Threshold
 _LEADER = {"key": pa.int64(), "rid": pa.int64(), "low": pa.int64(), "high": pa.int64(), "reach": pa.int64(), "point": pa.binary()}
 
 
-def candidate_edges(entries: DataFrame, limits: Threshold) -> DataFrame:
-    """a, b: stars that connect what may link; entries: key, rid, n, point.
+def candidate_edges(entries: DataFrame, points: DataFrame, limits: Threshold) -> DataFrame:
+    """a, b: stars that connect what may link; entries: key, rid, n (saved); points: rid, point.
 
     The points of one key come together, sizes ascending, and are compared with
     each other until all are connected. A key of more than ``RUN`` points comes
@@ -281,7 +318,7 @@ def candidate_edges(entries: DataFrame, limits: Threshold) -> DataFrame:
     most = RUN
     hot = saved(entries.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > most))
     parts = F.when(F.col("c").isNull(), 0).otherwise(1 + F.pmod(F.xxhash64("rid"), F.ceil(F.col("c") / most))).alias("part")
-    dealt = entries.join(within_reach(hot), "key", "left").select("key", parts, "n", "rid", "point")
+    dealt = entries.join(within_reach(hot), "key", "left").select("key", parts, "n", "rid").join(points, "rid").select("key", "part", "n", "rid", "point")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forest, held = Forest(), None
@@ -392,14 +429,20 @@ def components(edges: DataFrame) -> DataFrame:
     to the shared folder and the one before it removed. Neighbours are never
     gathered in a list.
     """
-    both = saved(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    # stars of one group from many tasks have a few centres: all hang on each point's smallest one
+    least = F.min("b").over(Window.partitionBy("a"))
+    stars = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().withColumn("m", least)
+    few = stars.select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).where("e.a <> e.b").select("e.a", "e.b").distinct()
+    both = saved(few.unionByName(few.select(F.col("b").alias("a"), F.col("a").alias("b"))))
     labels = saved(both.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("m")).select("v", F.least("v", "m").alias("root"), F.lit(True).alias("moved")))
     while True:
-        near = both.join(labels, both["b"] == labels["v"]).groupBy(F.col("a").alias("w")).agg(F.min("root").alias("least"))
+        near = both.join(within_reach(labels), both["b"] == labels["v"]).groupBy(F.col("a").alias("w")).agg(F.min("root").alias("least"))
         step = labels.join(near, F.col("v") == F.col("w")).select("v", "root", F.least("root", "least").alias("next"))
+        step = saved(step)
         jump = step.select(F.col("v").alias("u"), F.col("next").alias("far"))
-        after = saved(step.join(jump, F.col("next") == F.col("u")).select("v", F.col("far").alias("root"), (F.col("far") != F.col("root")).alias("moved")))
+        after = saved(step.join(within_reach(jump), F.col("next") == F.col("u")).select("v", F.col("far").alias("root"), (F.col("far") != F.col("root")).alias("moved")))
         forget(labels)
+        forget(step)
         labels = after
         if labels.where("moved").isEmpty():
             forget(both)
@@ -568,14 +611,13 @@ def ngram_join(docs: DataFrame, text: str = "text", width: int = 3, percent: int
     first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash", "rid"))
     rows = full.groupBy("set_hash").agg(first.alias("first"), F.first("n").alias("n"))
     classes = saved(rows.select("first.rid", "set_hash", "first.doc_id", "first.text_hash", "n"))
-    reps = full.select("rid", "n", "point", "prefix").join(within_reach(classes.select("rid")), "rid", "left_semi")
-    entries = reps.select("rid", F.explode("prefix").alias("key"))
-    shared = saved(entries.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key"))
-    several = entries.join(within_reach(shared), "key", "left_semi")
-    paired = several.join(full.select("rid", "n", "point"), "rid")
-    clusters = components(candidate_edges(paired, limits))
+    copies = saved(full.select("rid").join(classes.select("rid"), "rid", "left_anti"))
+    reps = full.select("rid", "n", "point", "prefix", "common").join(within_reach(copies, COPIES), "rid", "left_anti")
+    several = shared_keys(reps.select("n", "rid", F.explode("prefix").alias("key")), limits)
+    several = saved(several.unionByName(reps.select("n", "rid", F.explode("common").alias("key"))))
+    clusters = components(candidate_edges(several, full.select("rid", "point"), limits))
     members = saved(clusters.join(classes.select("rid", "doc_id", "text_hash", "n"), F.col("v") == F.col("rid")).select("root", "rid", "doc_id", "text_hash", "n"))
-    forget(shared)
+    forget(several)
     joined = components(verified_edges(members, given, "text", width, limits, cluster))
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash")
     least = joined.join(classes.select("rid", place.alias("own")), F.col("v") == F.col("rid")).groupBy("root").agg(F.min("own").alias("least"))
