@@ -24,13 +24,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nimbostrat.llm.common import bound_batches, fresh, mix64, saved, strings
+from nimbostrat.llm.tokens import by_size
 
 ORDER = 5
 #: Most characters of one language, and of all languages, in the fitting sample.
 TRAIN_CHARS = 6_000_000
 TRAIN_CHARS_ALL = 24_000_000
 #: Word scores remembered by one worker; the memory starts afresh beyond it.
-REMEMBERED = 300_000
+REMEMBERED = 150_000
+#: Bytes of text whose words are held at once.
+CHUNK_BYTES = 1 << 20
 #: A text's excess over its language's median entropy counts in units of
 #: sqrt(1 / characters + 1 / BETWEEN): the second part is the spread of long texts.
 #: A rejected text is SPREADS times as far out as QUANTILE of the calibration fold,
@@ -270,7 +273,8 @@ def predict(docs: DataFrame, models: LanguageModels, text: str = "text") -> Data
         scorer, languages = _Scorer(models), np.array([*models.languages, UNKNOWN], object)
         for batch in batches:
             texts = strings(batch.column(body)).to_pylist()
-            parts = [scorer.texts(texts[i : i + 256]) for i in range(0, len(texts) if models.languages else 0, 256)]
+            ranges = by_size([len(t) for t in texts], CHUNK_BYTES) if models.languages else []
+            parts = [scorer.texts(texts[a:b]) for a, b in ranges]
             bits, sizes = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros((len(texts), 0)), np.zeros(len(texts), np.int64))
             known = sizes > 0
             best = np.where(known, bits.argmin(axis=1) if models.languages else -1, -1)

@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 
 from nimbostrat.llm.common import bound_batches, fresh, strings
 
-#: Pieces remembered by one worker, 150 bytes each; its memory starts afresh beyond.
-REMEMBERED = 1_500_000
+#: Pieces remembered by one worker, 300 bytes each; its memory starts afresh beyond.
+REMEMBERED = 400_000
 #: Bytes of text that are cut and looked up together.
 CHUNK_BYTES = 1 << 20
 
