@@ -137,6 +137,8 @@ def downdraft_cape(p: np.ndarray, z: np.ndarray, t: np.ndarray, td: np.ndarray,
     rows = np.arange(len(p))
     least, source_p = np.full(len(p), np.inf), np.full(len(p), np.nan)
     for k in range(p.shape[1]):
+        if not (p[:, k] >= p[:, 0] - depth).any():
+            continue
         steps = p[:, k : k + 1] - np.arange(layer + 1)
         _, at, dew = thermo_at(p, z, t, td, steps)
         mean = equivalent(at, dew, steps).mean(axis=1)
