@@ -95,6 +95,26 @@ def within_reach(ids: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(ids) if ids.limit(rows + 1).count() <= rows else ids
 
 
+#: Rows of a key from which its partner is broadcast, at least; and such keys at most.
+SPREAD_ROWS, SPREAD_KEYS = 1000, 4096
+
+
+def spread_from(rows: int) -> int:
+    """From how many rows on a key counts as frequent: at most ``SPREAD_KEYS`` keys of ``rows`` rows can reach it."""
+    return max(SPREAD_ROWS, rows // SPREAD_KEYS + 1)
+
+
+def join_spread(left: DataFrame, on: list[str], right: DataFrame, keys: list[str], count: str, least: int) -> DataFrame:
+    """``left`` joined with a saved table that has each key once and in ``count`` how often ``left`` has it.
+
+    Rows of keys with at least ``least`` rows meet their broadcast partner where they
+    are, so no task gets all rows of a key; the others are shuffled as usual.
+    """
+    same = [F.col(a) == F.col(b) for a, b in zip(on, keys, strict=True)]
+    often, rest = right.where(F.col(count) >= least), right.where(F.col(count) < least)
+    return left.join(F.broadcast(often), same).unionByName(left.join(F.broadcast(often.select(*keys)), same, "left_anti").join(rest, same))
+
+
 def strings(array: pa.Array) -> pa.Array:
     """A text column with nulls as empty strings, safe beyond 2 GiB."""
     return pc.fill_null(array.cast(pa.large_string()), "")

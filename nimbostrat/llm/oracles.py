@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from nimbostrat.llm import mixing, secrets
+import math
+
+from nimbostrat.llm import mixing, quality_rules, secrets
 
 EXACT_DEDUP = """
     WITH d AS (
@@ -96,3 +98,79 @@ def secret_scan(scope: int = secrets.SCOPE) -> str:
         string_agg(kind || ':' || CAST(a AS BIGINT) || ':' || CAST(b AS BIGINT), ',' ORDER BY a, k) FILTER (kind IN ({base})) AS base, string_agg(kind || ':' || CAST(a AS BIGINT) || ':' || CAST(b AS BIGINT), ',' ORDER BY a, k) AS spans FROM s GROUP BY doc_id)
     SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN g USING (doc_id)
     """
+
+
+def quality() -> str:
+    """Features by unnested windows; the binomial tail through the logarithm of the gamma function."""
+    q = quality_rules
+    word, space = r"[^\x20\x09-\x0D]+", r"[\x20\x09-\x0D]+"
+    levels = ", ".join(f"({v}::DOUBLE)" for v in q.LEVELS)
+    tail = f"""list_sum(list_transform(range(0, good_lost + 1), lambda i: exp(lgamma(n_good + 1.0) - lgamma(i + 1.0) - lgamma(n_good - i + 1.0) + i * {math.log(q.RISK)!r} + (n_good - i) * {math.log(1 - q.RISK)!r})))"""
+    return f"""
+    WITH t AS (SELECT row_number() OVER () AS r, doc_id, lang, coalesce(text, '') AS text FROM documents),
+    w AS (SELECT *, regexp_extract_all(text, '{word}') AS w, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '{word}')) AS l FROM t),
+    v AS (SELECT r, i, array_to_string(w[i:i + 4], ' ') AS x FROM (SELECT r, w, unnest(range(1, len(w) - 3)) AS i FROM w)),
+    d AS (SELECT r, i, count(*) OVER (PARTITION BY r, x) AS c FROM v),
+    n AS (SELECT r, sum(n)::BIGINT AS n FROM (SELECT r, least(5, coalesce(lead(i) OVER (PARTITION BY r ORDER BY i) - i, 5)) AS n FROM d WHERE c > 1) GROUP BY r),
+    f AS (SELECT w.r, doc_id, lang, len(w)::BIGINT AS n_words, length(regexp_replace(text, '{space}', '', 'g'))::BIGINT AS word_chars,
+        length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(n.n, 0) AS n_repeat_words,
+        length(regexp_replace(text, '[^\\p{{Lu}}]+', '', 'g')) AS up, length(regexp_replace(text, '[^\\p{{L}}]+', '', 'g')) AS letters, len(l) AS lines
+        FROM w LEFT JOIN n ON n.r = w.r),
+    s AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, greatest(
+        CASE WHEN word_chars > 0 THEN n_symbols * 10.0::DOUBLE / word_chars ELSE 0 END, CASE WHEN letters > 0 THEN up * 5.0::DOUBLE / letters ELSE 0 END,
+        CASE WHEN lines > 0 THEN n_dup_lines * (10.0::DOUBLE / 3.0::DOUBLE) / lines ELSE 0 END, CASE WHEN n_words > 0 THEN n_repeat_words * 5.0::DOUBLE / n_words ELSE 0 END) AS score FROM f),
+    g AS (SELECT doc_id, min(quality) = 1 AS good FROM labels WHERE quality IS NOT NULL GROUP BY doc_id),
+    h AS (SELECT lang, score, good FROM s JOIN g USING (doc_id) WHERE NOT base_failed),
+    c AS (SELECT lang, cutoff, count(*) FILTER (good) AS n_good, count(*) FILTER (NOT good) AS n_bad, count(*) FILTER (good AND score > cutoff) AS good_lost, count(*) FILTER (NOT good AND score > cutoff) AS bad_caught
+        FROM h, (VALUES {levels}) AS level(cutoff) GROUP BY lang, cutoff),
+    k AS (SELECT *, bad_caught * n_good - good_lost * n_bad AS gain FROM c
+        WHERE n_good > 0 AND good_lost <= n_good * {q.RISK} AND {tail} <= {q.DELTA} / (SELECT count(DISTINCT coalesce(lang, chr(0))) FROM c WHERE n_good > 0)),
+    b AS (SELECT lang, cutoff FROM k QUALIFY row_number() OVER (PARTITION BY lang ORDER BY gain DESC, cutoff DESC) = 1)
+    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT coalesce(score > cutoff, false) AS kept, score, cutoff
+    FROM s LEFT JOIN b ON s.lang IS NOT DISTINCT FROM b.lang
+    """
+
+
+def vector_clusters(k: int = 16, rounds: int = 3) -> str:
+    """Rounds of nearest centroids and their floored means, each a few tables."""
+    parts = [f"""v AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(greatest(least(64 * x::DOUBLE, 134217728), -134217728)) AS BIGINT)) AS q
+        FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+    m AS (SELECT q, count(*) AS n, row_number() OVER () AS g FROM v GROUP BY q),
+    c0 AS (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id) NULLS LAST, q) - 1 AS c, q FROM v QUALIFY c < {k})"""]
+    near = "SELECT g, q, n, c, d FROM (SELECT m.g, m.q, m.n, x.c, list_sum(list_transform(list_zip(m.q, x.q), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT AS d FROM m, c{0} x) QUALIFY row_number() OVER (PARTITION BY g ORDER BY d, c) = 1"
+    for k_ in range(rounds):
+        parts.append(f"""a{k_} AS ({near.format(k_)}),
+    s{k_} AS (SELECT c, i, sum(x * n)::BIGINT AS t, sum(n)::BIGINT AS n FROM (SELECT c, n, unnest(q) AS x, unnest(range(64)) AS i FROM a{k_}) GROUP BY c, i),
+    u{k_} AS (SELECT c, list((t - ((t % n) + n) % n) // n ORDER BY i) AS q FROM s{k_} GROUP BY c),
+    c{k_ + 1} AS (SELECT o.c, coalesce(u.q, o.q) AS q FROM c{k_} o LEFT JOIN u{k_} u ON u.c = o.c)""")
+    parts.append(f"""e AS ({near.format(rounds)}),
+    i AS (SELECT c, sum(d * n)::BIGINT AS cluster_inertia FROM e GROUP BY c)""")
+    return f"""WITH {", ".join(parts)}
+    SELECT v.vec_id, e.c::INTEGER AS cluster, e.d AS distance, i.cluster_inertia, (SELECT sum(cluster_inertia)::BIGINT FROM i) AS inertia, sha256(array_to_string(f.q, ',')) AS centroid_sha256
+    FROM v JOIN e ON e.q = v.q JOIN i ON i.c = e.c JOIN c{rounds} f ON f.c = e.c
+    """
+
+
+def conversation_trie() -> str:
+    """Prefixes as joined digests; each node meets the nodes on its first member's path."""
+    # crc32 by the bits of each byte; 3988292384 is its polynomial
+    bit = "if(c % 2 = 1, xor(c // 2, 3988292384), c // 2)"
+    crc = f"xor(list_reduce(list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT), lambda a, b: list_reduce(range(8), lambda c, k: {bit}, xor(a, b)), 4294967295), 4294967295)"
+    return f"""
+    WITH o AS (SELECT conv_id, sha256(length(coalesce(role, ''))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, '')) AS x, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS w, turn FROM conversations WHERE conv_id IS NOT NULL),
+    t AS (SELECT conv_id, x, w, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, x) - 1 AS pos FROM o),
+    c AS (SELECT DISTINCT conv_id, conv_id - conv_id % 20 AS base, {crc} % 4 AS h FROM t),
+    a AS (SELECT c.conv_id, 0 AS own, pos, x, w FROM c JOIN t ON t.conv_id = c.base AND pos < h UNION ALL SELECT c.conv_id, 1, pos, x, w FROM c JOIN t ON t.conv_id = c.conv_id AND pos >= h),
+    r AS (SELECT conv_id, w, row_number() OVER q AS depth, string_agg(x, '') OVER q AS p FROM a WINDOW q AS (PARTITION BY conv_id ORDER BY own, pos)),
+    y AS (SELECT conv_id, 0 AS w, 0 AS depth, '' AS p FROM c UNION ALL SELECT conv_id, w, depth, p FROM r),
+    z AS (SELECT conv_id, max(depth) AS depth FROM y GROUP BY conv_id),
+    n AS (SELECT depth, p, min(conv_id) AS conv_id, count(*) AS n_convs, max(w) AS w FROM y GROUP BY depth, p),
+    l AS (SELECT y.conv_id, y.depth, n.conv_id AS node FROM y JOIN n ON n.depth = y.depth AND n.p = y.p),
+    k AS (SELECT n.conv_id, n.depth, n.n_convs, n.w, l.node AS parent, (SELECT count(*) FROM n m JOIN l j ON j.conv_id = m.conv_id AND j.depth = n.depth WHERE m.depth = n.depth + 1 AND j.node = n.conv_id) AS n_children
+        FROM n LEFT JOIN l ON l.conv_id = n.conv_id AND l.depth = n.depth - 1),
+    s AS (SELECT l.node AS conv_id, l.depth, sum(CASE WHEN k.n_children = 0 THEN 1 ELSE 0 END)::BIGINT AS n_leaves, sum((k.n_convs - 1) * k.w)::BIGINT AS saved_tokens
+        FROM k JOIN l ON l.conv_id = k.conv_id AND l.depth <= k.depth GROUP BY 1, 2),
+    e AS (SELECT l.node AS conv_id, l.depth, sha256(string_agg(l.conv_id::VARCHAR, ',' ORDER BY l.conv_id)) AS ends FROM z JOIN l ON l.conv_id = z.conv_id AND l.depth = z.depth GROUP BY 1, 2)
+    SELECT k.conv_id, k.depth::BIGINT AS depth, k.parent AS parent_conv_id, k.n_convs, k.n_children, s.n_leaves, s.saved_tokens, coalesce(e.ends, sha256('')) AS ends_sha256
+    FROM k JOIN s ON s.conv_id = k.conv_id AND s.depth = k.depth LEFT JOIN e ON e.conv_id = k.conv_id AND e.depth = k.depth
+    """

@@ -11,15 +11,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from nimbostrat.llm import mixing, oracles
+from nimbostrat.llm.conversation_trie import conversation_trie
 from nimbostrat.llm.decontamination import find_leaks
 from nimbostrat.llm.exact_dedup import exact_dedup
 from nimbostrat.llm.html_text import extract
 from nimbostrat.llm.language_id import languages
 from nimbostrat.llm.line_dedup import drop_recurring_lines
 from nimbostrat.llm.ngram_join import ngram_join
+from nimbostrat.llm.quality_rules import quality_rules
 from nimbostrat.llm.secrets import secret_scan
 from nimbostrat.llm.token_store import token_output
 from nimbostrat.llm.tokens import token_counts
+from nimbostrat.llm.vector_clusters import cluster_vectors
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -85,6 +88,21 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary())
 
 
+def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's counts and verdict; cutoffs certified for each language on all labels."""
+    return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every valid vector's cluster after three rounds from 16 seeded centroids."""
+    return cluster_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the trie of all rebuilt conversations, with the sums of its subtree."""
+    return conversation_trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_line_dedup": op2_line_dedup,
@@ -96,6 +114,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_ngram_join": op8_ngram_join,
     "op9_secret_scan": op9_secret_scan,
     "op10_token_counts": op10_token_counts,
+    "op11_quality_rules": op11_quality_rules,
+    "op12_centroid_clusters": op12_centroid_clusters,
+    "op13_conversation_trie": op13_conversation_trie,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -103,4 +124,7 @@ ORACLE_SQL: dict[str, str] = {
     "op7_source_mixing": oracles.source_mixing(0.5, 2.0, 7),
     "op8_ngram_join": oracles.ngram_join(),
     "op9_secret_scan": oracles.secret_scan(),
+    "op11_quality_rules": oracles.quality(),
+    "op12_centroid_clusters": oracles.vector_clusters(),
+    "op13_conversation_trie": oracles.conversation_trie(),
 }
