@@ -23,11 +23,12 @@ def fresh(name: str) -> str:
     return f"__{name}_{next(_FRESH)}"
 
 
-def columns(profiles: DataFrame, names: tuple[str, ...] = WINDS) -> DataFrame:
-    """cell, levels: structs of z, p, agl and ``names``, without levels that lack one of them."""
+def columns(profiles: DataFrame, names: tuple[str, ...] = WINDS, optional: tuple[str, ...] = ()) -> DataFrame:
+    """cell, levels: structs of z, p, agl and ``names``, without levels that lack one of them; ``optional`` ones may be missing."""
     known = profiles
     for c in ("z", "p", *names):
         known = known.where(F.col(c).isNotNull())
+    names = (*names, *optional)
     rows = known.groupBy("cell").agg(F.sort_array(F.collect_list(F.struct("z", (-F.col("p")).alias("order"), "p", *names))).alias("rows"))
     base = F.col("rows")[0]["z"]
     return rows.select("cell", F.transform("rows", lambda x: F.struct(x["z"].alias("z"), x["p"].alias("p"), (x["z"] - base).alias("agl"), *[x[c].alias(c) for c in names])).alias("levels"))
@@ -58,12 +59,13 @@ def at_pressure(rows: DataFrame, name: str, pressure: Column, names: tuple[str,
     return _between(rows, name, low, high, share, lambda lo, hi, part: pressure, names)
 
 
-def pressure_mean(levels: Column, bottom: Column, top: Column, names: tuple[str, ...] = WINDS) -> Column:
+def pressure_mean(levels: Column, bottom: Column, top: Column, names: tuple[str, ...] = WINDS, weighted: bool = False) -> Column:
     """Mean over pressure between two structs of p and ``names``, by Simpson's rule.
 
     Within a segment values are linear in the logarithm of pressure, so its
-    middle differs from the mean of its ends.
+    middle differs from the mean of its ends. weighted: each value counts by its pressure.
     """
+    weight = (lambda p: p) if weighted else (lambda p: F.lit(1.0))
     inner = F.filter(levels, lambda x: (x["p"] < bottom["p"]) & (x["p"] > top["p"]))
     pick = lambda x: F.struct(x["p"].alias("p"), *[x[c].alias(c) for c in names])
     samples = F.concat(F.array(pick(bottom)), F.transform(inner, pick), F.array(pick(top)))
@@ -73,8 +75,9 @@ def pressure_mean(levels: Column, bottom: Column, top: Column, names: tuple[str,
         last = acc["last"]
         dp, middle = last["p"] - x["p"], (last["p"] + x["p"]) / 2
         share = F.coalesce(F.try_divide(F.ln(middle) - F.ln(last["p"]), F.ln(x["p"]) - F.ln(last["p"])), F.lit(0.0))
-        part = lambda c: (last[c] + 4 * (last[c] + (x[c] - last[c]) * share) + x[c]) / 6 * dp
-        return F.struct((acc["w"] + dp).alias("w"), x.alias("last"), *[(acc[c] + part(c)).alias(c) for c in names])
+        lower, mid, upper = weight(last["p"]), weight(middle), weight(x["p"])
+        part = lambda c: (lower * last[c] + 4 * mid * (last[c] + (x[c] - last[c]) * share) + upper * x[c]) / 6 * dp
+        return F.struct((acc["w"] + (lower + 4 * mid + upper) / 6 * dp).alias("w"), x.alias("last"), *[(acc[c] + part(c)).alias(c) for c in names])
 
     mean = F.aggregate(samples, start, add, lambda acc: F.struct(*[F.try_divide(acc[c], acc["w"]).alias(c) for c in names]))
     return F.when(bottom.isNotNull() & top.isNotNull() & (bottom["p"] > top["p"]), mean)
@@ -137,6 +140,16 @@ def helicity(levels: Column, top: Column, end: Column, c_u: Column, c_v: Column)
     return F.when(end.isNotNull(), total + c_v * (levels[0]["u"] - end["u"]) + c_u * (end["v"] - levels[0]["v"]))
 
 
+def helicity_between(levels: Column, low: Column, bottom: Column, high: Column, top: Column, c_u: Column, c_v: Column) -> Column:
+    """m2/s2 between two heights that may differ by cell, where the winds are ``bottom`` and ``top``, relative to a motion."""
+    wind = lambda x: F.struct(x["u"].alias("u"), x["v"].alias("v"))
+    winds = F.concat(F.transform(F.filter(levels, lambda x: (x["agl"] > low) & (x["agl"] < high)), wind), F.array(wind(top)))
+    start = F.struct(F.lit(0.0).alias("sum"), bottom["u"].alias("u"), bottom["v"].alias("v"))
+    turn = lambda acc, x: x["u"] * acc["v"] - acc["u"] * x["v"]
+    total = F.aggregate(winds, start, lambda acc, x: F.struct((acc["sum"] + turn(acc, x)).alias("sum"), x["u"].alias("u"), x["v"].alias("v")), lambda acc: acc["sum"])
+    return F.when(bottom.isNotNull() & top.isNotNull() & (high > low), total + c_v * (bottom["u"] - top["u"]) + c_u * (top["v"] - bottom["v"]))
+
+
 def corfidi(profiles: DataFrame) -> DataFrame:
     """cell, upshear_u, upshear_v, downshear_u, downshear_v: propagation of convective systems.
 
@@ -171,8 +184,14 @@ def mixed_layer(profiles: DataFrame, depth: float = 100.0) -> DataFrame:
     Simpson's rule over pressure; the middle of a segment takes t and td linear in
     the logarithm of pressure. Missing where the profile is less deep.
     """
+    rows = columns(_moist(profiles), ("t", "td")).where((F.size("levels") >= 2) & (F.col("levels")[0]["p"] > depth + 100))
+    return mixed_parcels(rows, depth).select("cell", "mixed.*")
+
+
+def mixed_parcels(rows: DataFrame, depth: float = 100.0) -> DataFrame:
+    """``rows`` (cell, levels with t and td) with a struct ``mixed`` of p, t and td; other columns pass through."""
     levels, names = F.col("levels"), ("t", "td")
-    rows = columns(_moist(profiles), names).where((F.size("levels") >= 2) & (levels[0]["p"] > depth + 100))
+    given = rows.columns
     rows = at_pressure(rows.withColumn("p0", levels[0]["p"]), "high", F.col("p0") - depth, names)
     of = lambda x: F.struct(x["p"].alias("p"), x["t"].alias("t"), x["td"].alias("td"))
     inner = F.filter(levels, lambda x: (x["p"] < levels[0]["p"]) & (x["p"] > F.col("high.p")))
@@ -194,7 +213,7 @@ def mixed_layer(profiles: DataFrame, depth: float = 100.0) -> DataFrame:
     p = levels[0]["p"]
     t = F.col("mean.theta") * F.pow(p / 1000.0, F.lit(thermo.KAPPA))
     e = F.col("mean.w") * p / (thermo.EPSILON + F.col("mean.w"))
-    return rows.select("cell", F.when(F.col("mean").isNotNull(), p).alias("p"), t.alias("t"), thermo.dewpoint_from_vapour_pressure(e).alias("td"))
+    return rows.select(*given, F.struct(F.when(F.col("mean").isNotNull(), p).alias("p"), t.alias("t"), thermo.dewpoint_from_vapour_pressure(e).alias("td")).alias("mixed"))
 
 
 def most_unstable(profiles: DataFrame, depth: float = 300.0, highest: float = 4000.0, step: float = 1.0) -> DataFrame:
@@ -232,5 +251,5 @@ def agl_features(profiles: DataFrame, heights: list[float], names: tuple[str, ..
     rows = agl_values(profiles, heights, names)
     by_height = F.sort_array(F.collect_list(F.struct("agl", *names)))
     whole = rows.groupBy("cell").agg(by_height.alias("x"))
-    features = F.concat(*[F.transform("x", lambda r, c=c: r[c]) for c in names])
+    features = F.concat(*[F.col("x").getField(c) for c in names])
     return whole.select("cell", F.when(~F.exists(features, lambda v: v.isNull()), features).alias("features"))

@@ -126,17 +126,18 @@ def equivalent(t: np.ndarray, td: np.ndarray, p: np.ndarray) -> np.ndarray:
     return t * (1000.0 / (p - e)) ** (KAPPA * (1 - 0.28 * w)) * np.exp((3376.0 / lcl - 2.54) * w * (1 + 0.81 * w))
 
 
-def downdraft_cape(p: np.ndarray, z: np.ndarray, t: np.ndarray, td: np.ndarray, depth: float = 400.0, layer: int = 100) -> np.ndarray:
+def downdraft_cape(p: np.ndarray, z: np.ndarray, t: np.ndarray, td: np.ndarray, depth: float = 400.0, layer: int = 100, from_lowest: bool = True) -> np.ndarray:
     """DCAPE within 0..4000 J/kg.
 
     Each level within ``depth`` hPa of the lowest one is scored by the mean theta-e
     of the ``layer`` hPa above it, every hPa. The parcel starts in the middle of the
     layer of least mean, at its wet bulb, and descends saturated to the lowest level;
-    negative buoyancy is added up by trapezoids. Missing without such a layer.
+    negative buoyancy is added up by trapezoids. Missing without such a layer. Without
+    ``from_lowest`` the lowest level, the ground, is no layer's bottom.
     """
     rows = np.arange(len(p))
     least, source_p = np.full(len(p), np.inf), np.full(len(p), np.nan)
-    for k in range(p.shape[1]):
+    for k in range(0 if from_lowest else 1, p.shape[1]):
         if not (p[:, k] >= p[:, 0] - depth).any():
             continue
         steps = p[:, k : k + 1] - np.arange(layer + 1)
