@@ -62,3 +62,78 @@ def forest_ratio(cells: DataFrame, trees: list[Tree], features: list[str], name:
 
     value = predict(*[F.col(c).cast("double") for c in features])
     return cells.withColumn(name, value).withColumn(name, F.when(~F.isnan(name), F.col(name)))
+
+
+#: Nodes of a forest that is broadcast at most, about 40 bytes each.
+MOST_NODES = 4_000_000
+#: Cells that walk together.
+WALKERS = 1024
+
+
+@dataclass(frozen=True)
+class Forest:
+    """All trees' nodes in one set of arrays; a node with a negative child is a leaf."""
+
+    roots: np.ndarray
+    left: np.ndarray
+    right: np.ndarray
+    feature: np.ndarray
+    threshold: np.ndarray
+    value: np.ndarray
+
+    def votes(self, rows: np.ndarray) -> np.ndarray:
+        """(cells, trees): every cell goes down all trees at once, one level a step; a missing feature ends without a vote."""
+        node = np.broadcast_to(self.roots, (len(rows), len(self.roots))).copy()
+        live, each = np.ones(node.shape, bool), np.arange(len(rows))[:, None]
+        while True:
+            inner = live & (self.left[node] >= 0) & (self.right[node] >= 0)
+            if not inner.any():
+                return np.where(live, self.value[node], np.nan)
+            x = rows[each, np.where(inner, self.feature[node], 0)]
+            live &= ~(inner & ~np.isfinite(x))
+            below = np.where(x <= self.threshold[node], self.left[node], self.right[node])
+            node = np.where(inner & live, below, node)
+
+    def predict(self, rows: np.ndarray) -> np.ndarray:
+        """The mean of the trees that vote, missing if none does."""
+        out = np.full(len(rows), np.nan)
+        for start in range(0, len(rows), WALKERS):
+            votes = self.votes(rows[start : start + WALKERS])
+            n = np.isfinite(votes).sum(axis=1)
+            out[start : start + WALKERS] = np.where(n > 0, np.nansum(votes, axis=1) / np.maximum(n, 1), np.nan)
+        return out
+
+
+def forest_from_table(nodes: DataFrame) -> Forest:
+    """A forest from rows of tree, node, left, right, feature, threshold and value.
+
+    A tree's root is its smallest node; a missing or negative child, or one that isn't there,
+    makes a leaf. More than ``MOST_NODES`` nodes are refused before any is read.
+    """
+    count = nodes.limit(MOST_NODES + 1).count()
+    if count > MOST_NODES:
+        raise ValueError(f"a forest of more than {MOST_NODES} nodes is too large to broadcast")
+    table = nodes.select("tree", "node", "left", "right", "feature", "threshold", "value").toPandas().sort_values(["tree", "node"], kind="stable").reset_index(drop=True)
+    place = pd.Series(np.arange(len(table)), index=pd.MultiIndex.from_frame(table[["tree", "node"]]))
+
+    def child(column: str) -> np.ndarray:
+        wanted = pd.MultiIndex.from_arrays([table["tree"], table[column].fillna(-1).astype("int64")])
+        return place.reindex(wanted).fillna(-1).to_numpy(np.int64)
+
+    number = lambda c: table[c].to_numpy(float, na_value=np.nan)
+    roots = np.flatnonzero(~table["tree"].duplicated().to_numpy())
+    return Forest(roots, child("left"), child("right"), table["feature"].fillna(0).to_numpy(np.int64), number("threshold"), number("value"))
+
+
+def forest_values(cells: DataFrame, forest: Forest, features: str = "features", name: str = "ratio") -> DataFrame:
+    """``cells`` with the forest's mean over an array column of features; null where that is null or no tree votes."""
+    shared = cells.sparkSession.sparkContext.broadcast(forest)
+
+    @F.pandas_udf("double")
+    def predict(rows: pd.Series) -> pd.Series:
+        out, given = np.full(len(rows), np.nan), np.flatnonzero(rows.notna().to_numpy())
+        if len(given):
+            out[given] = shared.value.predict(np.stack([np.asarray(r, float) for r in rows.iloc[given]]))
+        return pd.Series(out)
+
+    return cells.withColumn(name, predict(F.col(features).cast("array<double>"))).withColumn(name, F.when(~F.isnan(name), F.col(name)))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from nimbostrat.functions import units
 from nimbostrat.functions.mercator import CONUS
 from nimbostrat.functions.winter import TRACE_IN
 from nimbostrat.operators import contour, polyline, snow, stencil
@@ -62,22 +63,23 @@ def snowfall_10to1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "snowfall_from_trace",
-    f"WITH {CHUNKS_SQL}, s AS (SELECT cell, CASE WHEN liquid <= {TRACE_IN!r} THEN 0 ELSE liquid * greatest(1, least(60, ratio)) END AS x FROM chunks WHERE liquid IS NOT NULL) SELECT cell, round(sum(x), 4) AS snow FROM s GROUP BY cell",
+    f"WITH {CHUNKS_SQL}, s AS (SELECT cell, CASE WHEN liquid IS NULL THEN NULL WHEN liquid <= {TRACE_IN!r} THEN 0 ELSE liquid * greatest(1, least(60, ratio)) END AS x FROM chunks) SELECT cell, round(CASE WHEN count(x) = count(*) THEN sum(x) END, 4) AS snow FROM s GROUP BY cell",
 )
 def snowfall_from_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
-    known = chunks(spark, sf_dir).where("liquid IS NOT NULL")
-    return snow.snowfall(known, ("cell",), F.col("ratio"), from_trace=True).select("cell", F.round("snow", 4).alias("snow"))
+    """A supplier with a missing chunk has a missing total."""
+    return snow.snowfall(chunks(spark, sf_dir), ("cell",), F.col("ratio"), from_trace=True).select("cell", F.round("snow", 4).alias("snow"))
 
 
 @query(
     "fram_ice_total",
-    f"""WITH {CHUNKS_SQL}, p AS (SELECT *, greatest(0.02, liquid / hours) AS p, greatest(-7, tw) AS t FROM chunks WHERE liquid IS NOT NULL),
+    f"""WITH {CHUNKS_SQL}, p AS (SELECT *, greatest(0.02, liquid / hours) AS p, greatest(-7, tw) AS t FROM chunks),
     k AS (SELECT *, 0.1395 * pow(p, -0.541) AS a1, -0.0071 * t * t * t - 0.1039 * t * t - 0.3904 * t + 0.5545 AS b1, 0.0014 * wind * wind + 0.0027 * wind + 0.7574 AS c1 FROM p),
-    f AS (SELECT cell, CASE WHEN liquid <= 0 THEN 0 ELSE liquid * greatest(0, CASE WHEN t > -0.35 THEN 0.7 * a1 + 0.29 * b1 + 0.01 * c1 WHEN wind > 12 THEN 0.73 * a1 + 0.01 * b1 + 0.26 * c1 ELSE 0.79 * a1 + 0.2 * b1 + 0.01 * c1 END) END AS x FROM k)
-    SELECT cell, round(greatest(0, sum(x)), 4) AS flat_ice, round(greatest(0, sum(x)) * 0.394, 4) AS radial_ice FROM f GROUP BY cell""",
+    f AS (SELECT cell, CASE WHEN liquid IS NULL THEN NULL WHEN liquid <= 0 THEN 0 ELSE liquid * greatest(0, CASE WHEN t > -0.35 THEN 0.7 * a1 + 0.29 * b1 + 0.01 * c1 WHEN wind > 12 THEN 0.73 * a1 + 0.01 * b1 + 0.26 * c1 ELSE 0.79 * a1 + 0.2 * b1 + 0.01 * c1 END) END AS x FROM k)
+    SELECT cell, CASE WHEN count(x) = count(*) THEN round(greatest(0, sum(x)), 4) END AS flat_ice, CASE WHEN count(x) = count(*) THEN round(greatest(0, sum(x)) * 0.394, 4) END AS radial_ice FROM f GROUP BY cell""",
 )
 def fram_ice_total(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = snow.ice_accretion(chunks(spark, sf_dir).where("liquid IS NOT NULL").withColumnRenamed("liquid", "liquid_in"), ("cell",))
+    """A supplier with a missing chunk has missing totals."""
+    out = snow.ice_accretion(chunks(spark, sf_dir).withColumnRenamed("liquid", "liquid_in"), ("cell",))
     return out.select("cell", F.round("flat_ice", 4).alias("flat_ice"), F.round("radial_ice", 4).alias("radial_ice"))
 
 
@@ -276,12 +278,13 @@ def catalog_display(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "payload_round_trip",
-    f"""WITH {HOLED_SQL} SELECT CAST(row // 50 AS BIGINT) AS frame, 'v' AS variable, row % 50 AS row, col, round(CASE WHEN v IS NOT NULL THEN floor(v / 0.001 + 0.5) * 0.001 END, 6) AS value FROM holed WHERE col < 64""",
+    f"""WITH {HOLED_SQL} SELECT CAST(row // 50 AS BIGINT) AS frame, 'v' AS variable, row % 50 AS row, col, round(CASE WHEN v IS NOT NULL THEN floor(v / 0.001 + 0.5) * 0.001 END, 6) AS value FROM holed""",
 )
 def payload_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Frames of 50 rows packed into payloads and read back."""
-    cells = holed_grid(spark, sf_dir).where("col < 64").select(F.floor(F.col("row") / 50).alias("frame"), F.lit("v").alias("variable"), F.lit(0.001).alias("scale"), (F.col("row") % 50).alias("row"), "col", F.col("v").alias("value"))
-    packed = encode_frames(cells, 50, 64, ("frame",))
+    """Frames of 50 rows, as wide as the table, packed into payloads and read back."""
+    width = table(spark, sf_dir, "embeddings").agg(F.max(F.size("embedding"))).first()[0] or 0
+    cells = holed_grid(spark, sf_dir).select(F.floor(F.col("row") / 50).alias("frame"), F.lit("v").alias("variable"), F.lit(0.001).alias("scale"), (F.col("row") % 50).alias("row"), "col", F.col("v").alias("value"))
+    packed = encode_frames(cells, 50, width, ("frame",))
     return decode_frames(packed, ("frame",)).withColumn("value", F.round("value", 6))
 
 
@@ -427,3 +430,14 @@ def plane_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = cells.groupBy("frame").agg(F.max("row").alias("last"))
     whole = found.select(F.col("path").cast("bigint").alias("frame"), "row", "col", F.round("v", 6).alias("v")).join(F.broadcast(rows), "frame")
     return whole.where("row <= last").drop("last")
+
+
+@query(
+    "ceiling_above_ground",
+    """SELECT l_orderkey, l_linenumber, l_extendedprice, l_quantity, round(CASE WHEN l_partkey % 23 <> 0 THEN greatest(0, (l_extendedprice / 10 - l_quantity * 60)) * 3.28084 END, 4) AS ceiling_ft FROM lineitem""",
+)
+def ceiling_above_ground(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cloud ceilings above the ground in feet: heights above sea level less the ground's, at least 0."""
+    height = F.when(F.col("l_partkey") % 23 != 0, F.col("l_extendedprice") / 10)
+    above = units.above_ground(height, F.col("l_quantity") * 60)
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice", "l_quantity", F.round(units.transform(above, "metersToFeet"), 4).alias("ceiling_ft"))

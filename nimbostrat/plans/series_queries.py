@@ -10,6 +10,8 @@ from nimbostrat.functions import winter
 from nimbostrat.operators import accumulate, runs, timeaxis
 from nimbostrat.plans.registry import query
 from nimbostrat.sources.proxies import FRAMES_SQL, SERIES_SQL, frames, series, table
+from nimbostrat.sources.shared import shared_path
+from nimbostrat.streaming import sums
 
 MODELS = ["click", "view", "purchase"]
 
@@ -332,3 +334,21 @@ def planned_hour_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     planned = held.select("model").distinct().select("model", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(96).cast("bigint"))).alias("hour"))
     last = held.groupBy("model").agg(F.max(F.when(F.col("hour") <= 60, F.col("hour"))).alias("last_hour"))
     return timeaxis.hour_status(planned, held.where("hour % 7 = 0").select("model", "hour", F.lit("failed").alias("status")), last)
+
+
+@query(
+    "streamed_totals",
+    """WITH i AS (SELECT l_suppkey AS cell, l_orderkey AS a, l_linenumber AS b, max(l_quantity) AS q, max(l_partkey) AS p FROM lineitem GROUP BY 1, 2, 3),
+    h AS (SELECT cell, row_number() OVER (PARTITION BY cell ORDER BY a, b) AS hour, CASE WHEN p % 499 <> 0 THEN q END AS value FROM i)
+    SELECT cell, hour, round(CASE WHEN count(value) OVER w = count(*) OVER w THEN sum(value) OVER w END, 4) AS total FROM h WINDOW w AS (PARTITION BY cell ORDER BY hour ROWS UNBOUNDED PRECEDING)""",
+)
+def streamed_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sums since the start, of a stream whose files hold the hours out of order; a supplier's items are its hours."""
+    rows = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("cell"), "l_orderkey", "l_linenumber").agg(F.max("l_quantity").alias("q"), F.max("l_partkey").alias("p"))
+    hour = F.row_number().over(Window.partitionBy("cell").orderBy("l_orderkey", "l_linenumber"))
+    hours = rows.select("cell", hour.cast("long").alias("hour"), F.when(F.col("p") % 499 != 0, F.col("q")).cast("double").alias("value"))
+    place = shared_path(spark, "stream")
+    hours.repartition(4, F.col("hour") % 7).write.parquet(f"{place}/in")
+    stream = spark.readStream.schema(hours.schema).option("maxFilesPerTrigger", 2).parquet(f"{place}/in")
+    sums.run_to_table(sums.cumulative_sums(stream), f"{place}/out", f"{place}/state")
+    return spark.read.parquet(f"{place}/out").select("cell", "hour", F.round("total", 4).alias("total"))
