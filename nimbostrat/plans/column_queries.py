@@ -131,7 +131,7 @@ TREE = 63
 
 def forest_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """tree, node, left, right, feature, threshold, value; a child that isn't there ends the walk."""
-    at = F.col("p_partkey") - 1
+    at = F.col("p_partkey")
     feature, value = F.col("p_partkey") * 7 % 24, F.col("p_partkey") % 40 + 1
     low = F.when(feature < 8, F.col("p_partkey") * 13 % 30).when(feature < 16, 270 + F.col("p_partkey") * 11 % 30).otherwise(20 + F.col("p_partkey") * 17 % 80)
     rows = table(spark, sf_dir, "part").select(F.floor(at / TREE).alias("tree"), (at % TREE).alias("node"), feature.alias("feature"), (low + 0.37).alias("threshold"), value.cast("double").alias("value"))
@@ -142,7 +142,7 @@ FOREST_SQL = f"""WITH RECURSIVE {SOUNDINGS_SQL}, b AS (SELECT cell, z - min(z) O
     l AS (SELECT *, lead(agl) OVER w AS agl2, lead(spd) OVER w AS spd2, lead(t) OVER w AS t2, lead(rh) OVER w AS rh2 FROM b WINDOW w AS (PARTITION BY cell ORDER BY agl)),
     h AS (SELECT unnest({FEATURE_HEIGHTS}) AS h), y AS (SELECT cell, h, spd + (spd2 - spd) * s AS spd, t + (t2 - t) * s AS t, rh + (rh2 - rh) * s AS rh FROM (SELECT *, (h - agl) / (agl2 - agl) AS s FROM l, h WHERE agl <= h AND agl2 > h)),
     f AS (SELECT cell, list(spd ORDER BY h) || list(t ORDER BY h) || list(rh ORDER BY h) AS x FROM y GROUP BY cell HAVING count(*) = {len(FEATURE_HEIGHTS)} AND count(rh) = {len(FEATURE_HEIGHTS)}),
-    n AS (SELECT (p_partkey - 1) // {TREE} AS tree, (p_partkey - 1) % {TREE} AS k, p_partkey * 7 % 24 AS feature, CASE WHEN p_partkey * 7 % 24 < 8 THEN p_partkey * 13 % 30 WHEN p_partkey * 7 % 24 < 16 THEN 270 + p_partkey * 11 % 30 ELSE 20 + p_partkey * 17 % 80 END + 0.37::DOUBLE AS threshold, (p_partkey % 40 + 1)::DOUBLE AS value FROM part),
+    n AS (SELECT p_partkey // {TREE} AS tree, p_partkey % {TREE} AS k, p_partkey * 7 % 24 AS feature, CASE WHEN p_partkey * 7 % 24 < 8 THEN p_partkey * 13 % 30 WHEN p_partkey * 7 % 24 < 16 THEN 270 + p_partkey * 11 % 30 ELSE 20 + p_partkey * 17 % 80 END + 0.37::DOUBLE AS threshold, (p_partkey % 40 + 1)::DOUBLE AS value FROM part),
     m AS (SELECT n.*, r.k IS NOT NULL AS inner_ FROM n LEFT JOIN n r ON r.tree = n.tree AND r.k = 2 * n.k + 2),
     w AS (SELECT cell, tree, k, value, inner_, CASE WHEN x[feature + 1] <= threshold THEN 2 * k + 1 ELSE 2 * k + 2 END AS next FROM f, m WHERE k = 0
         UNION ALL SELECT w.cell, w.tree, m.k, m.value, m.inner_, CASE WHEN f.x[m.feature + 1] <= m.threshold THEN 2 * m.k + 1 ELSE 2 * m.k + 2 END FROM w JOIN m ON m.tree = w.tree AND m.k = w.next JOIN f ON f.cell = w.cell WHERE w.inner_),
