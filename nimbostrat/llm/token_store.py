@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from nimbostrat.llm.common import bound_batches, shared_folder, strings
-from nimbostrat.llm.tokens import encode_texts, encoder
+from nimbostrat.llm.tokens import as_bytes, encoder, ids_batch
 
 SHARD_TOKENS = 1 << 21
 MARK = 512
@@ -140,7 +140,7 @@ def folder(spark: SparkSession) -> str:
 
 def id_bits(vocabulary: str, end_id: int) -> tuple[int, str]:
     """Planes that the ids need, and the NumPy type that holds an id."""
-    size = encoder(vocabulary, "lengths", len, sum).tokenizer.get_vocab_size()
+    size = encoder(vocabulary, "lengths", len).tokenizer.get_vocab_size()
     bits = max(size - 1, end_id, 1).bit_length()
     return bits, "<u2" if bits <= 16 else "<u4"
 
@@ -160,28 +160,28 @@ def write_tokens(docs: DataFrame, vocabulary: str, out: str, text: str = "text",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, kind = id_bits(vocabulary, end_id)
-        enc = encoder(vocabulary, kind, lambda ids: np.array(ids, kind).tobytes(), b"".join)
-        end = np.array([end_id], kind).tobytes()
+        enc = encoder(vocabulary, kind, as_bytes(kind))
+        end = np.array([end_id], kind)
         part, seq = TaskContext.get().partitionId(), 0
-        doc_ids, bodies, size = [], [], 0
+        doc_ids, bodies, lengths, size = [], [], [], 0
 
         def shard() -> pa.RecordBatch:
-            width = np.dtype(kind).itemsize
-            ids = np.frombuffer(b"".join(bodies), kind)
+            ids = np.concatenate(bodies)
             planes, marks, zeros = WaveletMatrix.build(ids, bits).parts()
-            row = {"part": part, "seq": seq, "doc_ids": doc_ids, "lengths": [len(b) // width for b in bodies], "n_tokens": len(ids), "planes": planes, "marks": marks, "zeros": zeros}
+            row = {"part": part, "seq": seq, "doc_ids": doc_ids, "lengths": lengths, "n_tokens": len(ids), "planes": planes, "marks": marks, "zeros": zeros}
             return pa.RecordBatch.from_pylist([row], schema=ARROW)
 
         for batch in batches:
-            bodies_of = encode_texts(strings(batch.column(1)).to_pylist(), enc)
-            for doc_id, found in zip(batch.column(0).to_pylist(), bodies_of, strict=True):
-                n = len(found) // np.dtype(kind).itemsize + 1
-                if size and size + n > shard_tokens:
+            ids, counts = ids_batch(strings(batch.column(1)), enc, kind)
+            at = 0
+            for doc_id, n in zip(batch.column(0).to_pylist(), counts.tolist(), strict=True):
+                if size and size + n + 1 > shard_tokens:
                     yield shard()
-                    doc_ids, bodies, size, seq = [], [], 0, seq + 1
+                    doc_ids, bodies, lengths, size, seq = [], [], [], 0, seq + 1
                 doc_ids.append(doc_id)
-                bodies.append(found + end)
-                size += n
+                bodies += [ids[at : at + n], end]
+                lengths.append(n + 1)
+                at, size = at + n, size + n + 1
         if size:
             yield shard()
 

@@ -6,12 +6,14 @@ are plain to see: before white space after another character (no match holds
 that pair, and the pattern looks ahead only from white space), between Latin
 letters or digits and ASCII punctuation (save that an apostrophe may begin a
 contraction), and between a single line break and a letter or digit.  The
-pieces recur, so each batch encodes only those that this worker hasn't met yet.
+pieces recur: a batch is split at spaces and its pieces are numbered by Arrow, so that
+Python meets each distinct piece once, and encodes only what this worker hasn't met yet.
 """
 
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,10 +24,9 @@ from pyspark.sql import functions as F
 
 from nimbostrat.llm.common import bound_batches, fresh, strings
 
-#: Pieces remembered by one worker, 300 bytes each; its memory starts afresh beyond.
-REMEMBERED = 400_000
-#: Bytes of text that are cut and looked up together.
-CHUNK_BYTES = 1 << 20
+#: Pieces of one generation of a worker's memory, 300 bytes each. Beyond it a new one begins and the one
+#: before the last is forgotten, so that pieces which recur stay known.
+REMEMBERED = 200_000
 
 _ALNUM = "A-Za-z0-9À-ÖØ-öø-ÿ"
 _PUNCT = r"!-/:-@\[-`{-~"
@@ -36,6 +37,10 @@ _PIECE = re.compile(
     rf"|(?<=\S)\n(?=[{_ALNUM}])"
     r"|(?s:.)+?(?=(?<=\S) |\Z)"  # anything, up to a space after another character
 )
+# The same places for Arrow: in a text without odd spaces (after anything but visible ASCII or a Latin
+# letter) it may be cut before every space; the others are where these patterns' two groups meet.
+_ODD_SPACE = r"[^\x{21}-\x{7e}\x{c0}-\x{24f}] |\x00"
+_MEET = [(rf"([{_ALNUM}])([{_QUIET}])", "\\1\0\\2"), (rf"([{_QUIET}])([{_ALNUM}])", "\\1\0\\2"), (rf"([\x{{21}}-\x{{7e}}\x{{c0}}-\x{{24f}}])\n([{_ALNUM}])", "\\1\0\n\0\\2")]
 _COARSE = re.compile(r"(?s:.)+?(?=(?<=\S) |\Z)")
 _ENCODERS: dict[tuple[str, str], PieceEncoder] = {}
 
@@ -43,17 +48,16 @@ _ENCODERS: dict[tuple[str, str], PieceEncoder] = {}
 class PieceEncoder:
     """Encodes pieces with a public vocabulary file and remembers them.
 
-    keep turns the ids of a piece into what is remembered, join puts that of
-    several pieces together.
+    keep turns the encoding of a piece into what is remembered.
     """
 
-    def __init__(self, path: str, keep, join):
-        self.memory, self.keep, self.join = {}, keep, join
+    def __init__(self, path: str, keep):
+        self.memory, self.older, self.keep = {}, {}, keep
         if path.endswith(".json"):
             from tokenizers import Tokenizer
 
             self.tokenizer = Tokenizer.from_file(path)
-            self.encode = lambda new: [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
+            self.encode = lambda new: self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
             spec = self.tokenizer.pre_tokenizer
             self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
             self.splits = self.tokenizer.normalizer is None and type(spec).__name__ == "ByteLevel" and not spec.add_prefix_space
@@ -78,26 +82,31 @@ class PieceEncoder:
 
     def learn(self, parts: list[str]) -> dict:
         """The memory, with every part in it."""
-        memory = self.memory
-        if len(memory) > REMEMBERED:
-            memory.clear()
-        new = [x for x in dict.fromkeys(parts) if x not in memory]
+        if len(self.memory) > REMEMBERED:
+            self.memory, self.older = {}, self.memory
+        memory, older, new = self.memory, self.older, []
+        for x in dict.fromkeys(parts):
+            if x not in memory:
+                if x in older:
+                    memory[x] = older[x]
+                else:
+                    new.append(x)
         if new:
             memory.update(zip(new, map(self.keep, self.encode(new)), strict=True))
         return memory
 
 
-def encoder(path: str, purpose: str, keep, join) -> PieceEncoder:
+def encoder(path: str, purpose: str, keep) -> PieceEncoder:
     """This worker's encoder for one vocabulary and purpose."""
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     if (path, purpose) not in _ENCODERS:
-        _ENCODERS[path, purpose] = PieceEncoder(path, keep, join)
+        _ENCODERS[path, purpose] = PieceEncoder(path, keep)
     return _ENCODERS[path, purpose]
 
 
-def by_size(sizes: list[int], limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
+def by_size(sizes: list[int], limit: int) -> Iterator[tuple[int, int]]:
     """Ranges of texts of about ``limit`` bytes; a longer text stands alone."""
     start = total = 0
     for i, size in enumerate(sizes):
@@ -109,23 +118,70 @@ def by_size(sizes: list[int], limit: int = CHUNK_BYTES) -> Iterator[tuple[int, i
         yield start, len(sizes)
 
 
-def encode_texts(texts: list[str], enc: PieceEncoder, sizes: list[int] | None = None) -> list:
-    """What ``enc`` keeps of each text, joined; sizes: their bytes, if known."""
-    out = []
-    for a, b in by_size(sizes or [len(t.encode()) for t in texts]):
-        cuts = [enc.cut(t) for t in texts[a:b]]
-        try:
-            out += [enc.join([enc.memory[x] for x in parts]) for parts in cuts]
-        except KeyError:  # a piece is new
-            del out[a:]
-            memory = enc.learn([x for parts in cuts for x in parts])
-            out += [enc.join([memory[x] for x in parts]) for parts in cuts]
-    return out
+def looked_up(texts: pa.Array, enc: PieceEncoder) -> tuple[list, np.ndarray, np.ndarray]:
+    """(kept, which, n): what ``enc`` keeps of distinct pieces, the pieces of all texts in order by number, and how many each text has.
+
+    Texts with odd spaces or special strings, and all of them where pieces can't be
+    encoded apart, are cut one by one.
+    """
+    odd = pc.match_substring_regex(texts, _ODD_SPACE) if enc.splits else pa.array(np.ones(len(texts), bool))
+    for special in enc.special:
+        odd = pc.or_(odd, pc.match_substring(texts, special))
+    odd = odd.to_numpy(zero_copy_only=False)
+    marked = pc.replace_substring(texts.filter(pa.array(~odd)), " ", "\0 ")
+    for pattern, cut in _MEET:
+        marked = pc.replace_substring_regex(marked, pattern, cut)
+    split = pc.split_pattern(marked, "\0")
+    n = np.zeros(len(texts), np.int64)
+    n[~odd] = pc.list_value_length(split).to_numpy(zero_copy_only=False)
+    pieces = pc.list_flatten(split).dictionary_encode()
+    parts, which = pieces.dictionary.to_pylist(), pieces.indices.to_numpy(zero_copy_only=False)
+    if odd.any():
+        number, every, at = {x: i for i, x in enumerate(parts)}, [], 0
+        for k in range(len(texts)):
+            if odd[k]:
+                cut = enc.cut(texts[k].as_py())
+                every.append(np.array([number.setdefault(x, len(number)) for x in cut], np.int64))
+                n[k] = len(cut)
+            else:
+                every.append(which[at : at + n[k]])
+                at += n[k]
+        parts, which = list(number), np.concatenate(every)
+    memory = enc.learn(parts)
+    return [memory[x] for x in parts], which, n
 
 
 def count_batch(texts: pa.Array, path: str) -> np.ndarray:
     """Tokens of each text."""
-    return np.array(encode_texts(texts.to_pylist(), encoder(path, "lengths", len, sum), pc.binary_length(texts).to_pylist()), np.int64)
+    kept, which, n = looked_up(texts, encoder(path, "lengths", len))
+    total = np.concatenate([[0], np.cumsum(np.array(kept, np.int64)[which])]) if len(which) else np.zeros(1, np.int64)
+    ends = np.cumsum(n)
+    return total[ends] - total[ends - n]
+
+
+def as_bytes(kind: str):
+    """Keeps the ids of a piece as bytes of ``kind``."""
+    code = {"<u2": "H", "<u4": "I"}[kind]
+    return lambda encoding: array(code, encoding if isinstance(encoding, list) else encoding.ids).tobytes()
+
+
+#: Pieces of which the ids are put together at once.
+TOGETHER = 1 << 20
+
+
+def ids_batch(texts: pa.Array, enc: PieceEncoder, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all texts in order, and how many each text has; ``enc`` keeps ids as bytes of ``kind``."""
+    kept, which, n = looked_up(texts, enc)
+    flat = np.frombuffer(b"".join(kept), kind)
+    size = np.array([len(x) for x in kept], np.int64) // np.dtype(kind).itemsize
+    begin, out = np.cumsum(size) - size, []
+    for start in range(0, len(which), TOGETHER):
+        some = which[start : start + TOGETHER]
+        each = size[some]
+        out.append(flat[np.repeat(begin[some] - (np.cumsum(each) - each), each) + np.arange(int(each.sum()))])
+    ends = np.cumsum(n)
+    total = np.concatenate([[0], np.cumsum(size[which])]) if len(which) else np.zeros(1, np.int64)
+    return np.concatenate(out) if out else np.zeros(0, kind), total[ends] - total[ends - n]
 
 
 def token_counts(docs: DataFrame, path: str, text: str = "text", limit: int = 512) -> DataFrame:

@@ -1,28 +1,52 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import public_tokenizers
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from nimbostrat.llm.token_store import WaveletMatrix, folder, occurrences, read_documents, token_output, write_tokens
-from nimbostrat.llm.tokens import encode_texts, encoder, token_counts
+from nimbostrat.llm.tokens import as_bytes, count_batch, encoder, ids_batch, token_counts
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 PARTS = ["a", "B", "é", "'", "'s", "'ll", " ", "  ", "\n", "\n\n", "\t", ".", "***", "1", "42", "漢", "́", " ", "\x1c", "<|endoftext|>", "Ω", "²", "_", "\r\n", " the", "ing", "😀"]
 
 
 def whole(texts):
-    return [e.ids for e in encoder(PATH, "test", list, None).tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    return [e.ids for e in encoder(PATH, "test", lambda e: e.ids).tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
 
 @settings(max_examples=300, deadline=None)
 @given(st.lists(st.sampled_from(PARTS), max_size=14).map("".join))
 def test_pieces_encode_like_whole_texts(text):
-    enc = encoder(PATH, "test", list, lambda parts: [x for p in parts for x in p])
-    assert "".join(enc.cut(text)) == text
-    assert encode_texts([text], enc) == whole([text])
+    enc = encoder(PATH, "test", lambda e: e.ids)
+    parts = enc.cut(text)
+    memory = enc.learn(parts)
+    assert "".join(parts) == text
+    assert [x for p in parts for x in memory[p]] == whole([text])[0]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(PARTS), max_size=14).map("".join), max_size=5))
+def test_batches_encode_like_whole_texts(texts):
+    enc = encoder(PATH, "<u2", as_bytes("<u2"))
+    ids, counts = ids_batch(pa.array(texts, pa.large_string()), enc, "<u2")
+    want = whole(texts) if texts else []
+    assert counts.tolist() == [len(x) for x in want] == count_batch(pa.array(texts, pa.large_string()), PATH).tolist()
+    assert ids.tolist() == [i for x in want for i in x]
+
+
+def test_memory_starts_afresh(monkeypatch):
+    """With little memory, and more pieces in a batch than it holds, results stay the same."""
+    from nimbostrat.llm import tokens
+
+    monkeypatch.setattr(tokens, "REMEMBERED", 5)
+    monkeypatch.setattr(tokens, "TOGETHER", 7)
+    texts = [" ".join(f"w{k}.x\ny{k % 3}" for k in range(j, j + 9)) for j in range(20)]
+    ids, counts = ids_batch(pa.array(texts, pa.large_string()), tokens.PieceEncoder(PATH, as_bytes("<u2")), "<u2")
+    assert ids.tolist() == [i for x in whole(texts) for i in x] and counts.tolist() == [len(x) for x in whole(texts)]
 
 
 def test_counts(docs, by_id):
