@@ -8,9 +8,12 @@ element to its parent; cutting such an edge costs its capacity.  The blocks on
 the source side of a minimum cut are the article.
 
 A class or id speaks for a side bar, an advert or the like only by whole names:
-``page-with-sidebar`` and ``no-ads`` say what is absent or beside.  It says nothing
-where the element holds the page's article or heading, or most of its prose while
-none stands elsewhere: such an element wraps the content.
+``page-with-sidebar`` and ``no-ads`` say what is absent or beside, and inside an
+article ``related-work`` is a topic, as its other word isn't one of such parts. Names,
+and tags and roles of forms and boxes, say nothing where the element holds the page's
+article or heading, or most of its prose while none stands elsewhere: such an element
+wraps the content.  On a page without an article or a named content, blocks that
+follow the first heading count as likely content.
 """
 
 from __future__ import annotations
@@ -37,7 +40,10 @@ BLOCK = frozenset(
 )
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = frozenset("ul ol table tbody thead tfoot dl article section div main aside nav footer header form body".split())
-APART = frozenset("nav footer aside form menu dialog fieldset address".split())
+APART = frozenset("nav footer aside menu address".split())
+# Tags and roles of forms and boxes, which may wrap a whole page.
+BOXES = frozenset("form fieldset dialog details".split())
+BOX_ROLES = frozenset("form search dialog alertdialog".split())
 APART_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
 APART_NAMES = frozenset(
     "ad ads adv advert advertisement advertising adsense banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright disclaimer discuss "
@@ -46,6 +52,11 @@ APART_NAMES = frozenset(
     "toolbar topbar warning widget".split()
 )
 MAIN_NAMES = frozenset("article articlebody body content entry main page post story text".split())
+# Words that go along with the names of such parts.
+COMPANIONS = frozenset(
+    "area article articles author bar block blocks body bottom box button buttons container content data desktop entries entry feed follow form global group head heading icon icons inner item items left link links "
+    "list lists main media mobile module more news outer page panel post posts primary right row secondary section site slot stories story text title top unit wrap wrapper".split()
+)
 PROSE = frozenset("p h1 h2 h3 blockquote pre".split())
 # Words that make a name speak of its surroundings or its state, not of its role.
 QUALIFIERS = frozenset("no not non without with has have is hide hidden show open opened closed enabled disabled allow allowed layout grid col cols row".split())
@@ -53,55 +64,73 @@ QUALIFIERS = frozenset("no not non without with has have is hide hidden show ope
 MOST = 0.6
 
 # The classifier's weights, and the capacities of the edges.
-W_APART, W_ARTICLE, W_NAME, W_MAIN, W_LINKS, W_LENGTH, W_TAG, BIAS = -9.0, 4.0, -8.0, 2.0, -4.0, 0.6, 0.7, -1.6
+W_APART, W_ARTICLE, W_NAME, W_MAIN, W_LINKS, W_LENGTH, W_TAG, W_BELOW, BIAS = -9.0, 4.0, -8.0, 2.0, -4.0, 0.6, 0.7, 1.8, -1.6
 NEXT, HOLDS, NESTED = 1.0, 0.5, 0.3
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*+)>""", re.S)
-_NAME = re.compile(r"""\b(class|id|role|style|hidden|aria-hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
+_TELLING = frozenset("class id role style hidden aria-hidden".split())
 _WORDS = re.compile(r"[A-Z]?[a-z]+")
 
 
-def named(value: str, prose: bool) -> float:
+def attributes_of(written: str) -> dict[str, str]:
+    """The attributes of a tag that tell something, by name; of equal names the first, as browsers take it."""
+    found: dict[str, str] = {}
+    for name, value in _ATTRIBUTE.findall(written):
+        if (name := name.lower()) in _TELLING:
+            found.setdefault(name, references.unescape(value[1:-1] if value[:1] in "\"'" else value))
+    return found
+
+
+def named(value: str, prose: bool, strict: bool = False) -> float:
     """What class or id names say: the strongest of the names that tell a role.
 
     prose: the element is a paragraph or heading, where a name like
-    ``social-history`` tells a topic; there all words of a name must agree.
+    ``social-history`` tells a topic; there all words of a name must agree. strict: the
+    element stands where topics have names too; words that don't go along with parts of a page make a topic.
     """
     apart = main = False
     for name in value.split():
         words = {w.lower() for w in _WORDS.findall(name)}
         if words & QUALIFIERS:
             continue
-        apart |= words <= APART_NAMES and bool(words) if prose else bool(words & APART_NAMES)
-        main |= bool(words & MAIN_NAMES) and not words & APART_NAMES
+        telling = words & APART_NAMES
+        apart |= bool(telling) and (words <= APART_NAMES if prose else words <= APART_NAMES | COMPANIONS or not strict)
+        main |= bool(words & MAIN_NAMES) and not telling
     return W_NAME if apart else W_MAIN if main else 0.0
 
 
 class Element:
-    __slots__ = ("tag", "parent", "own", "name", "article", "seen", "link", "number", "prose", "heads")
+    __slots__ = ("tag", "parent", "own", "name", "box", "article", "seen", "link", "number", "prose", "heads")
 
     def __init__(self, tag: str, parent: Element | None, attributes: str, number: int):
         self.tag, self.parent, self.number = tag, parent, number
         self.article = bool(parent and parent.article) or tag in ("article", "main")
         self.link = tag == "a" or bool(parent and parent.link)
         self.seen = not (parent and not parent.seen) and tag not in UNSEEN
-        self.own = self.name = 0.0  # evidence of tag, role and style; of names
+        self.own = self.name = self.box = 0.0  # evidence of tag, role and style; of names; of forms and boxes
         self.prose = 0  # unlinked characters below
-        if tag in APART or tag == "header" and not self.article:
+        if tag in APART and not (tag == "address" and self.article) or tag == "header" and not self.article:
             self.own += W_APART
+        elif tag in BOXES:
+            self.box += W_APART
         elif tag in ("article", "main"):
             self.own += W_ARTICLE
-        if attributes and "=" in attributes or "hidden" in attributes:
-            for name, value in _NAME.findall(attributes):
-                name, value = name.lower(), value.strip("\"'")
-                if name in ("class", "id") and tag not in ("html", "body"):
-                    said = named(value, tag in PROSE)
-                    self.name = min(self.name, said) if self.name < 0 or said < 0 else max(self.name, said)
-                elif name == "role":
-                    words = {w.lower() for w in _WORDS.findall(value)}
-                    self.own += W_APART if words & APART_ROLES else W_ARTICLE if words & {"main", "article"} else 0.0
-                elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
-                    self.own += W_APART
+        told = attributes_of(attributes) if attributes else {}
+        if tag not in ("html", "body"):
+            for name in ("class", "id"):
+                said = named(told.get(name, ""), tag in PROSE, self.article or tag == "section")
+                self.name = min(self.name, said) if self.name < 0 or said < 0 else max(self.name, said)
+        roles = set(told.get("role", "").lower().split())
+        if roles & APART_ROLES:
+            if roles & BOX_ROLES:
+                self.box += W_APART
+            else:
+                self.own += W_APART
+        elif roles & {"main", "article"}:
+            self.own += W_ARTICLE
+        if "hidden" in told and told["hidden"].lower() != "until-found" or told.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none", told.get("style", ""), re.I):
+            self.own += W_APART
         # holds an article, a heading or what is named as content
         self.heads = tag in ("article", "main", "h1") or self.name > 0 or self.own > 0
 
@@ -113,10 +142,11 @@ class Block:
         self.text, self.holder, self.linked, self.depth_change, self.score = text, holder, min(linked, len(text)), depth_change, 0.0
 
 
-def score(blocks: list[Block], heads: bool) -> None:
-    """Sets each block's score: the evidence around it, its links, its length and its tag.
+def score(blocks: list[Block], heads: bool, marked: bool) -> None:
+    """Sets each block's score: the evidence around it, its links, its length, its tag and its place.
 
-    heads: whether the page has an article, a first-level heading or an element named as content.
+    heads: whether the page has an article, a first-level heading or an element named as content;
+    marked: whether it has one of these besides headings.
     """
     whole = 0
     for block in blocks:
@@ -136,12 +166,14 @@ def score(blocks: list[Block], heads: bool) -> None:
         total = bias[element.number] if element is not None else 0.0
         for e in reversed(chain):
             wraps = e.heads or not heads and e.prose > MOST * whole
-            total += e.own + (e.name if e.name > 0 or not wraps else 0.0)
+            total += e.own + (e.name if e.name > 0 or not wraps else 0.0) + (0.0 if wraps else e.box)
             bias[e.number] = total
         return total
 
+    below = False
     for block in blocks:
-        block.score = BIAS + around(block.holder) + W_LINKS * block.linked / max(len(block.text), 1) + W_LENGTH * math.log2(1 + len(block.text) / 8)
+        below |= block.holder.tag == "h1" and not marked
+        block.score = W_BELOW * below + BIAS + around(block.holder) + W_LINKS * block.linked / max(len(block.text), 1) + W_LENGTH * math.log2(1 + len(block.text) / 8)
         if block.holder.tag in PROSE:
             block.score += W_TAG
 
@@ -151,7 +183,7 @@ def blocks_of(page: str) -> list[Block]:
     root = here = Element("#root", None, "", 0)
     stack, found, parts, linked, holder, moves, number = [root], [], [], 0, root, 0, 0
     open_: Counter[str] = Counter()  # open elements by tag, so that a stray end tag costs no search
-    heads = False
+    heads = marked = False
 
     def close(upto: int) -> None:
         for e in stack[upto:]:
@@ -221,6 +253,7 @@ def blocks_of(page: str) -> list[Block]:
         stack.append(here)
         open_[tag] += 1
         if here.heads:
+            marked |= tag != "h1"
             heads, above = True, here.parent
             while above is not None and not above.heads:
                 above.heads, above = True, above.parent
@@ -229,7 +262,7 @@ def blocks_of(page: str) -> list[Block]:
             at = end.start() if end else len(page)
     add(page[at:])
     flush()
-    score(found, heads)
+    score(found, heads, marked)
     return found
 
 

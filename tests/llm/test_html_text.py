@@ -45,7 +45,36 @@ def test_the_cut_decides_what_scores_leave_open():
     page = f"<div>{BLOCK}<p>Hi.</p>{BLOCK}</div><div><p>Hi.</p></div>"
     blocks = blocks_of(page)
     assert [b.score > 0 for b in blocks] == [True, False, True, False]
-    assert main_text(page).split("\n") == [LONG.strip(), "Hi.", LONG.strip()] or main_text(page).split("\n")[1] == "Hi."
+    assert main_text(page).split("\n")[:3] == [LONG.strip(), "Hi.", LONG.strip()]
+
+
+SENTENCES = [f"Sentence number {k} of this article has enough words to be read as prose by anyone. " for k in ("one", "two", "three", "four")]
+PROSE_OF = "".join(f"<p>{x}</p>" for x in SENTENCES)
+WHOLE = "\n".join(x.strip() for x in SENTENCES)
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        (f"<article><div data-hidden='false'>{PROSE_OF}</div></article>", WHOLE),
+        (f"<article><div data-role='form'>{PROSE_OF}</div></article>", WHOLE),
+        (f"<article><h1>T</h1><div title='Hidden gems of Rome, id=ad class=ad'>{PROSE_OF}</div></article>", f"T\n{WHOLE}"),
+        (f"<article><div hidden>{PROSE_OF}</div><div style='color:red; display : none'>x</div><p>{LONG}</p></article>", LONG.strip()),
+        (f"<form id='aspnetForm'><nav><a href=/>Home</a></nav><article>{PROSE_OF}</article></form>", WHOLE),
+        (f"<form id='aspnetForm'><nav><a href=/>Home</a></nav><div>{PROSE_OF}</div><footer>Me</footer></form>", WHOLE),
+        (f"<details open><summary>More</summary>{PROSE_OF}</details>", WHOLE),
+        (f"<div role='form'><fieldset>{PROSE_OF}</fieldset></div>", WHOLE),
+        (f"<article>{PROSE_OF}<form><label>Your mail</label><p>Subscribe to our letter and never miss a thing that we write.</p></form></article>", WHOLE),
+        (f"<article><p>{LONG}</p><section id='related-work'>{PROSE_OF}</section></article>", f"{LONG.strip()}\n{WHOLE}"),
+        (f"<article><p>{LONG}</p><section class='privacy-law'>{PROSE_OF}</section></article>", f"{LONG.strip()}\n{WHOLE}"),
+        (f"<article><p>{LONG}</p><div class='meta-analysis'>{PROSE_OF}</div></article>", f"{LONG.strip()}\n{WHOLE}"),
+        (f"<article>{PROSE_OF}<div class='related-posts'><p>{LONG}</p></div><div class='share-buttons'>Tell it</div></article>", WHOLE),
+        (f"<article>{PROSE_OF}<address>Write to the desk, Long Street 5, Old Town.</address></article>", f"{WHOLE}\nWrite to the desk, Long Street 5, Old Town."),
+        ("<body><nav><a href=/>Home</a> <a href=/b>About</a></nav><h1>A title</h1><p>First short one.</p><p>Second short one.</p><footer>Me</footer>", "A title\nFirst short one.\nSecond short one."),
+    ],
+)
+def test_names_and_wrappers(page, text):
+    assert main_text(page) == text
 
 
 def brute_text(page):
