@@ -8,8 +8,8 @@ from pyspark.sql.window import Window
 
 from nimbostrat.functions import units
 from nimbostrat.functions.mercator import CONUS
-from nimbostrat.operators import contour, resample, stencil
-from nimbostrat.plans.registry import query
+from nimbostrat.operators import contour, labels, resample, stencil, tiles
+from nimbostrat.plans.registry import ORACLE_SQL, query
 from nimbostrat.sources.proxies import GRID_SQL, HOLED_SQL, grid, holed_grid, table
 
 # The raster of the SQL is the whole table, too.
@@ -259,3 +259,54 @@ def contour_label_topn(spark: SparkSession, sf_dir: str) -> DataFrame:
 def wind_speed_dir(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = grid(spark, sf_dir).select("row", "col", (100 * F.col("v")).alias("u"), (100 * F.lead("v").over(Window.partitionBy("row").orderBy("col"))).alias("w"))
     return pairs.select("row", "col", F.round(units.wind_speed(F.col("u"), F.col("w")), 6).alias("speed"), F.round(units.wind_direction(F.col("u"), F.col("w")), 6).alias("direction"))
+
+
+# Tiles of 24 cells, so that even the smallest raster has several in each direction.
+TILE_SIDE = 24
+
+
+@query("tiled_smoothing", SMOOTH_SQL)
+def tiled_smoothing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same as over whole rows and columns, tile by tile."""
+    out = tiles.over_tiles(holed_grid(spark, sf_dir), 2, lambda cells, keys: stencil.smooth(cells, keys=keys), side=TILE_SIDE)
+    return out.select("row", "col", F.round("smoothed", 6).alias("smoothed"))
+
+
+@query("tiled_blur", BLUR_SQL)
+def tiled_blur(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A halo of the blur's radius."""
+    out = tiles.over_tiles(holed_grid(spark, sf_dir), 3, lambda cells, keys: stencil.gaussian_blur(cells, 1.5, 3, keys=keys), side=TILE_SIDE)
+    return out.select("row", "col", F.round("blurred", 6).alias("blurred"))
+
+
+@query("tiled_extrema", ORACLE_SQL["pressure_extrema"])
+def tiled_extrema(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A halo of the neighbourhood's reach."""
+    out = tiles.over_tiles(grid(spark, sf_dir), 4, lambda cells, keys: stencil.extrema(cells, keys=keys), side=TILE_SIDE)
+    return out.select("row", "col", F.round("v", 6).alias("v"), "kind")
+
+
+def drawn_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """frame, line, value, place, x, y: an order's items as the points of a line, 40 frames."""
+    rows = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("line"), F.col("l_linenumber").alias("place")).agg(F.max("l_quantity").alias("x"), F.max("l_partkey").alias("part"))
+    return rows.select((F.col("line") % 40).alias("frame"), "line", (F.col("line") % 7).alias("value"), "place", F.col("x").cast("double").alias("x"), (F.col("part") % 83 * 0.5).cast("double").alias("y"))
+
+
+CANDIDATES_SQL = f"""WITH p AS (SELECT l_orderkey % 40 AS frame, l_orderkey AS line, l_linenumber AS place, max(l_quantity) AS x, max(l_partkey) % 83 * 0.5::DOUBLE AS y FROM lineitem GROUP BY l_orderkey, l_linenumber),
+    s AS (SELECT *, lead(x) OVER w AS x2, lead(y) OVER w AS y2 FROM p WINDOW w AS (PARTITION BY line ORDER BY place)),
+    t AS (SELECT *, sqrt((x2 - x) * (x2 - x) + (y2 - y) * (y2 - y)) AS size FROM s WHERE x2 IS NOT NULL),
+    u AS (SELECT *, sum(size) OVER (PARTITION BY line ORDER BY place) AS upto, sum(size) OVER (PARTITION BY line) AS whole FROM t),
+    c AS (SELECT *, unnest({list(labels.SHARES)!r}) AS share, unnest(range({len(labels.SHARES)})) AS turn FROM u WHERE size > 0)
+    SELECT frame, line, turn, round(x + (x2 - x) * (share * whole - upto + size) / size, 4) AS x, round(y + (y2 - y) * (share * whole - upto + size) / size, 4) AS y FROM c WHERE share * whole > upto - size AND share * whole <= upto"""
+
+
+@query("line_label_candidates", CANDIDATES_SQL)
+def line_label_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each line's label may stand."""
+    return labels.candidates(drawn_lines(spark, sf_dir)).select("frame", "line", "turn", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"))
+
+
+@query("line_labels")
+def line_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A label for each line that has room, frame by frame; placing is greedy, in the order of lines."""
+    return labels.line_labels(drawn_lines(spark, sf_dir), 2.0, (1.0, 1.0, 49.0, 40.0))
