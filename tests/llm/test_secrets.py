@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 from nimbostrat.llm.secrets import secret_scan
@@ -45,3 +46,49 @@ def test_odd_tables(docs):
     assert secret_scan(docs([])).count() == 0
     twice = secret_scan(docs([(1, "token=abcdef"), (1, "token=abcdef"), (1, "none"), (None, "token=abcdef"), (None, None)])).collect()
     assert sorted((r["doc_id"] or 0, r["n_assign"]) for r in twice) == [(0, 0), (0, 1), (1, 0), (1, 1), (1, 1)]
+
+
+LOGIN = re.compile(r"""(user(?:name)?|login|client_?id|account)["']?\x20*[:=]\x20*["']?([A-Za-z0-9@+_.-]{3,})""", re.I | re.A)
+ENDPOINT = re.compile(r"""(?:https?|ftp|s3|postgres|postgresql|mysql|redis|mongodb|amqp)://[^\x20\x09-\x0D"'<>]+""")
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_-]{32,}")
+
+
+def linked(text, scope=160):
+    """All spans of a text, every pair of parts compared."""
+    parts = [(kind, a, b) for a, _, kind, b in base(text)]
+    parts += [("login", m.start(), m.end()) for m in LOGIN.finditer(text)]
+    parts += [("endpoint", m.start(), m.end()) for m in ENDPOINT.finditer(text)]
+    parts += [("candidate", m.start(), m.end()) for m in CANDIDATE.finditer(text) if all(re.search(c, m[0]) for c in ("[0-9]", "[A-Z]", "[a-z]"))]
+    near = lambda x, y, d: y[1] < x[2] + d and y[2] > x[1] - d
+    of = lambda *kinds: [p for p in parts if p[0] in kinds]
+    free = [c for c in of("candidate") if not any(near(c, b, 0) for b in of("assign", "access", "hex"))]
+    weak = [c for c in free if any(near(c, p, scope) for p in of("access", "login"))]
+    more = [p for p in of("login", "endpoint") if any(near(p, q, scope) for q in [*of("assign"), *weak])]
+    kinds = ["assign", "access", "hex", "login", "endpoint", "candidate"]
+    return ",".join(f"{k}:{a}:{b}" for k, a, b in sorted([*of("assign", "access", "hex"), *weak, *more], key=lambda s: (s[1], kinds.index(s[0]), s[2])))
+
+
+def test_links_of_many_credentials_match_all_pairs(docs, by_id):
+    """Hundreds of credentials in parts of all kinds, at distances on both sides of the scope's edge."""
+    rng = random.Random(8)
+    mixed = lambda n: "".join(rng.choices("abcdefXYZ0123456789", k=n - 3)) + "aB7"
+    make = {
+        "assign": lambda: f"password={mixed(9)}", "access": lambda: "AKIA" + "".join(rng.choices("ABC123", k=16)), "hex": lambda: "".join(rng.choices("0123456789abcdef", k=30)),
+        "login": lambda: f"user: {mixed(6)}", "endpoint": lambda: f"https://h{rng.randrange(99)}.example/{mixed(5)}", "candidate": lambda: mixed(40), "covered": lambda: f"token={mixed(40)}",
+    }
+    rows = []
+    for k in range(150):
+        text = "é " * rng.randrange(3)
+        for _ in range(rng.randrange(1, 9)):
+            text += make[rng.choice(list(make))]() + " " * rng.choice([1, 2, 40, 157, 158, 159, 160, 161, 162, 200, 330])
+        rows.append((k, text))
+    out = by_id(secret_scan(docs(rows)))
+    assert {k: r["spans"] for k, r in out.items()} == {k: linked(t) for k, t in rows}
+    kinds = [s.split(":")[0] for r in out.values() for s in r["spans"].split(",") if s]
+    assert min(kinds.count(k) for k in ("assign", "access", "hex", "login", "endpoint", "candidate")) > 20
+    assert kinds.count("candidate") < sum(len(CANDIDATE.findall(t)) for _, t in rows)
+
+
+def test_clashing_columns(spark):
+    rows = spark.createDataFrame([(1, "token=abcdef", "x", 5, "y")], "doc_id bigint, text string, kind string, begin int, spans string")
+    assert [r["spans"] for r in secret_scan(rows).collect()] == ["assign:0:12"]
