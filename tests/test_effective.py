@@ -145,7 +145,9 @@ def test_integrators_agree():
         a, b = ascent.segments(*m, source), ascent.pressure_steps(*m, source)
         if b["cape"][0] > 50:
             assert a["cape"][0] == pytest.approx(b["cape"][0], rel=0.125)
-            assert a["el_m"][0] == pytest.approx(b["el_m"][0], abs=200) and a["lfc_m"][0] == pytest.approx(b["lfc_m"][0], abs=200)
+            assert a["lfc_m"][0] == pytest.approx(b["lfc_m"][0], abs=200)
+            # a parcel that is buoyant up to the top has no crossing, and so no level, by samples
+            assert np.isnan(b["el_m"][0]) or a["el_m"][0] == pytest.approx(b["el_m"][0], abs=200)
         assert 0 <= b["cape_3km"][0] <= b["cape"][0]
         assert b["lcl_m"][0] == pytest.approx(a["lcl_m"][0], abs=120)
     assert ascent.pressure_steps(*matrices(STABLE), ascent.Source(*(x[:, 0] for x in matrices(STABLE))))["cape"][0] == 0
