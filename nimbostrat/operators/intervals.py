@@ -69,26 +69,28 @@ def _walk(plans: DataFrame, start: int, end: int) -> DataFrame:
     return plans.withColumn("reach", reach).withColumn("path", walk)
 
 
-def window_terms(intervals: DataFrame, hours: int | None, published: DataFrame) -> DataFrame:
+def window_terms(intervals: DataFrame, hours: int | None, published: DataFrame, keys: tuple[str, ...] = ("model",)) -> DataFrame:
     """Terms that add up to the amount of the last ``hours`` (None: since hour 0) at each published hour.
 
-    intervals: model, start_hour, end_hour; published: model, hour. Gives model,
+    intervals: keys, start_hour, end_hour; published: keys, hour. Gives keys,
     hour, start_hour, end_hour, weight; nothing for an hour without a plan. Three
     ways are tried in turn: an interval that fits exactly; the total since hour 0
-    less the total before the window; the longest tiles that fill the window. A
-    model's intervals and hours, a plan of hundreds of rows, come to one task.
+    less the total before the window; the longest tiles that fill the window. Keys
+    tell plans apart: with several runs of a model in a table, model and run. One
+    plan's intervals and hours, hundreds of rows, come to one task.
     """
     spans = intervals.where((F.col("start_hour") >= 0) & (F.col("end_hour") > F.col("start_hour")))
-    rows = spans.select("model", F.col("start_hour").cast("bigint").alias("a"), F.col("end_hour").cast("bigint").alias("b"))
-    rows = rows.unionByName(published.select("model", F.col("hour").cast("bigint").alias("a"), F.lit(None).cast("bigint").alias("b"))).distinct()
+    rows = spans.select(*keys, F.col("start_hour").cast("bigint").alias("a"), F.col("end_hour").cast("bigint").alias("b"))
+    rows = rows.unionByName(published.select(*keys, F.col("hour").cast("bigint").alias("a"), F.lit(None).cast("bigint").alias("b"))).distinct()
+    names = [*keys, "hour", "start_hour", "end_hour", "weight"]
 
-    def run(plan: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, plan: pd.DataFrame) -> pd.DataFrame:
         known = plan[plan["b"].notna()]
         book = Plans(list(zip(known["a"].astype(int), known["b"].astype(int), strict=True)), set(plan.loc[plan["b"].isna(), "a"].astype(int)))
-        out = [(plan["model"].iloc[0], h, a, b, w) for h in sorted(book.hours) for (a, b), w in book.window(h, hours).items()]
-        return pd.DataFrame(out, columns=["model", "hour", "start_hour", "end_hour", "weight"])
+        return pd.DataFrame([(*key, h, a, b, w) for h in sorted(book.hours) for (a, b), w in book.window(h, hours).items()], columns=names)
 
-    return rows.groupBy("model").applyInPandas(run, "model string, hour bigint, start_hour bigint, end_hour bigint, weight double")
+    kinds = [f"`{k}` {intervals.schema[k].dataType.simpleString()}" for k in keys]
+    return rows.groupBy(*keys).applyInPandas(run, ", ".join([*kinds, "hour bigint, start_hour bigint, end_hour bigint, weight double"]))
 
 
 class Plans:

@@ -103,3 +103,12 @@ def test_resume_steps_and_source_hours(spark):
     held, targets = spark.createDataFrame([("g", 7)], "model string, hour bigint"), spark.createDataFrame([("g", 11), ("h", 0)], "model string, target bigint")
     got = sorted(map(tuple, source_hours(held, targets, 4, 3).collect()))
     assert got == [("g", x) for x in (0, 1, 2, 3, 4, 7, 10, 11)] + [("h", 0)]
+
+
+def test_runs_of_one_model_have_plans_of_their_own(spark):
+    """The same hours with other intervals in another run; by model alone they would mix."""
+    spans = [("m", 1, 0, 3), ("m", 1, 3, 6), ("m", 2, 0, 6), ("m", 2, 6, 9)]
+    hours = [("m", r, h) for r in (1, 2) for h in (3, 6, 9)]
+    found = window_terms(spark.createDataFrame(spans, "model string, run int, start_hour int, end_hour int"), 6, spark.createDataFrame(hours, "model string, run int, hour int"), ("model", "run"))
+    got = {(r["run"], r["hour"], r["start_hour"], r["end_hour"]): r["weight"] for r in found.collect()}
+    assert {k[:2] for k in got if k[1] == 9} == set() and {k for k in got if k[1] == 6} == {(1, 6, 0, 3), (1, 6, 3, 6), (2, 6, 0, 6)}
