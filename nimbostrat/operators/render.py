@@ -6,22 +6,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from nimbostrat.functions.units import MPS_TO_MPH
-
-# The steps in which values of a unit are kept; 0.1 for any other.
-SCALES = {"F": 0.05, "C": 0.05, "hPa": 0.05, "in": 0.01, "in/hr": 0.001, "ft": 5.0, "m": 1.0, "J/kg": 1.0, "m2/s2": 1.0}
-LEAST, MOST, MISSING = -32767, 32767, -32768
+from nimbostrat.functions.units import MPS_TO_MPH, quantise, step_of
 
 
 def scale_of(unit: Column) -> Column:
     """The quantisation step of a unit."""
-    steps = F.create_map(*[F.lit(x) for pair in SCALES.items() for x in pair])
-    return F.coalesce(steps[F.trim(unit)], F.lit(0.1))
+    return step_of(F.trim(unit))
 
 
 def quantised(value: Column, scale: Column) -> Column:
     """A 16-bit step number, halves up, clamped; missing values have a number of their own."""
-    return F.coalesce(F.greatest(F.lit(LEAST), F.least(F.lit(MOST), F.floor(value / scale + 0.5))), F.lit(MISSING)).cast("int")
+    return quantise(value, scale).cast("int")
 
 
 def quantised_wind(u: Column, v: Column, scale: Column, factor: float = MPS_TO_MPH) -> Column:

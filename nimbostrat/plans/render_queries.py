@@ -17,7 +17,7 @@ SCALE_SQL = "CASE WHEN trim(unit) IN ('F', 'C', 'hPa') THEN 0.05 WHEN trim(unit)
 @query(
     "hover_quantise_units",
     f"""WITH x AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN l_partkey % 11 <> 0 THEN l_quantity * 40 - 900.25 END AS v, ([{", ".join(repr(u) for u in UNITS)}])[CAST(l_partkey % {len(UNITS)} + 1 AS INTEGER)] AS unit FROM lineitem)
-    SELECT DISTINCT l_orderkey, l_linenumber, l_partkey, l_suppkey, {SCALE_SQL} AS scale, CAST(coalesce(greatest(-32767, least(32767, floor(v / {SCALE_SQL} + 0.5))), -32768) AS INTEGER) AS code FROM x""",
+    SELECT DISTINCT l_orderkey, l_linenumber, l_partkey, l_suppkey, {SCALE_SQL} AS scale, CAST(CASE WHEN v IS NULL THEN -32768 ELSE greatest(-32767, least(32767, floor(v / {SCALE_SQL} + 0.5))) END AS INTEGER) AS code FROM x""",
 )
 def hover_quantise_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Codes at the step of each value's unit."""
@@ -30,7 +30,7 @@ def hover_quantise_units(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "hover_quantise_wind",
     f"""WITH {HOLED_SQL}, w AS (SELECT row, col, v * 200 AS u, lead(v) OVER (PARTITION BY row ORDER BY col) * 150 AS w FROM holed)
-    SELECT row, col, CAST(coalesce(least(32767, floor(sqrt(u * u + w * w) * 2.2369362920544 / 0.1 + 0.5)), -32768) AS INTEGER) AS code FROM w""",
+    SELECT row, col, CAST(CASE WHEN u IS NULL OR w IS NULL THEN -32768 ELSE least(32767, floor(sqrt(u * u + w * w) * 2.2369362920544 / 0.1 + 0.5)) END AS INTEGER) AS code FROM w""",
 )
 def hover_quantise_wind(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql.window import Window

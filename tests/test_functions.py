@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from nimbostrat.functions import severe, thermo, units, winter
 from nimbostrat.functions.mercator import CONUS, latitude_row, row_latitude
 from nimbostrat.functions.missing import clamp, floor_at, half_up, known, poison_sum, renormalised
-from nimbostrat.operators import accumulate, parcel
+from nimbostrat.operators import accumulate, parcel, render
 
 
 def value(spark, column):
@@ -58,6 +58,8 @@ def test_mercator_and_codes(spark):
     assert value(spark, latitude_row(row_latitude(L(321.0), 980, CONUS), 980, CONUS)) == pytest.approx(321)
     assert value(spark, units.quantise(L(None), L(0.1))) == -32768 and value(spark, units.quantise(L(1e9), L(0.1))) == 32767
     assert value(spark, units.quantise(L(-0.25), L(0.1))) == -2
+    assert value(spark, render.quantised(L(None), L(0.1))) == -32768 and value(spark, render.quantised_wind(L(1.0), L(None), L(0.1))) == -32768
+    assert value(spark, render.quantised(L(1e9), L(0.1))) == 32767 and value(spark, render.quantised(L(-1e9), L(0.1))) == -32767
     assert value(spark, units.dequantise(F.lit(-32768), L(0.1))) is None
     assert value(spark, units.wind_direction(L(0.0), L(-1.0))) == pytest.approx(0)
 
