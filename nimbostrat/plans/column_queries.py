@@ -59,7 +59,7 @@ KINEMATICS_SQL = f"""WITH {LAYERS_SQL}, {LAYER_SQL},
     c AS (SELECT lx.cell, coalesce(g.u, g6.u) AS cu, coalesce(g.v, g6.v) AS cv FROM lx LEFT JOIN g USING (cell) LEFT JOIN g6 USING (cell)),
     w AS (SELECT cell, base_m AS h, u, v FROM a JOIN lx USING (cell) WHERE cell IN (SELECT cell FROM t) UNION ALL SELECT cell, agl, u, v FROM pr JOIN lx USING (cell) WHERE agl > base_m AND agl < top AND cell IN (SELECT cell FROM a) AND cell IN (SELECT cell FROM t) UNION ALL SELECT cell, top, u, v FROM t JOIN lx USING (cell) WHERE cell IN (SELECT cell FROM a)),
     e AS (SELECT cell, sum((u2 - cu) * (v - cv) - (u - cu) * (v2 - cv)) AS esrh FROM (SELECT *, lead(u) OVER q AS u2, lead(v) OVER q AS v2 FROM w WINDOW q AS (PARTITION BY cell ORDER BY h)) JOIN c USING (cell) WHERE u2 IS NOT NULL GROUP BY cell)
-    SELECT lx.cell, round(cu, 4) AS motion_u, round(cv, 4) AS motion_v, round(esrh, 3) AS esrh, round(sqrt((b.u - a.u) * (b.u - a.u) + (b.v - a.v) * (b.v - a.v)) * 1.943844, 4) AS ebwd_kt
+    SELECT lx.cell, round(cu, 4) + 0.0 AS motion_u, round(cv, 4) + 0.0 AS motion_v, round(esrh, 3) + 0.0 AS esrh, round(sqrt((b.u - a.u) * (b.u - a.u) + (b.v - a.v) * (b.v - a.v)) * 1.943844, 4) AS ebwd_kt
     FROM lx JOIN (SELECT DISTINCT cell FROM pr) USING (cell) LEFT JOIN c USING (cell) LEFT JOIN e USING (cell) LEFT JOIN a ON a.cell = lx.cell LEFT JOIN b ON b.cell = lx.cell"""
 
 
@@ -68,7 +68,7 @@ def effective_kinematics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Motion, helicity and shear of layers whose bottom and top differ by cell."""
     rows = column.columns(soundings(spark, sf_dir)).join(layers(spark, sf_dir), "cell")
     out = effective.kinematics(rows)
-    return out.select("cell", *[F.round(c, d).alias(c) for c, d in (("motion_u", 4), ("motion_v", 4), ("esrh", 3), ("ebwd_kt", 4))])
+    return out.select("cell", *[(F.round(c, d) + 0.0).alias(c) for c, d in (("motion_u", 4), ("motion_v", 4), ("esrh", 3), ("ebwd_kt", 4))])
 
 
 @query("effective_products")
@@ -81,7 +81,7 @@ DERIVED_SQL = f"""WITH {LAYERS_SQL}, a AS ({TOP_SQL.format(h=6000)}),
     w AS (SELECT cell, CASE WHEN agl = 3000 THEN t ELSE t + (3000 - agl) / (agl2 - agl) * (t2 - t) END AS t3 FROM ly WHERE agl <= 3000 AND (agl2 > 3000 OR agl = 3000)),
     b AS (SELECT cell, t AS t0, u AS u0, v AS v0, count(*) OVER (PARTITION BY cell) AS n, k FROM pr QUALIFY k = 1),
     f AS (SELECT o_orderkey AS cell, o_totalprice / 100 - 900 AS mu, o_totalprice / 120 - 900 AS ml, o_totalprice / 110 - 950 AS sb, CASE WHEN o_custkey % 300 % 17 <> 0 THEN -(o_custkey % 300) END AS mi, -(o_custkey % 300) / 2 AS si FROM orders)
-    SELECT b.cell, coalesce(mu >= 100 OR (ml > 0 AND coalesce(mi > -200, true) AND (mu >= 100 OR ml >= 100 OR sb >= 100)), false) AND n >= 3 AS searched, round((t0 - t3) / 3, 5) AS lapse_0_3km,
+    SELECT b.cell, coalesce(mu >= 100 OR (ml > 0 AND coalesce(mi > -200, true) AND (mu >= 100 OR ml >= 100 OR sb >= 100)), false) AND n >= 3 AS searched, round((t0 - t3) / 3, 5) + 0.0 AS lapse_0_3km,
         round(sqrt((a.u - u0) * (a.u - u0) + (a.v - v0) * (a.v - v0)) * 1.943844, 4) AS shear_0_6km_kt,
         CASE WHEN coalesce(ml >= 100 AND mi >= -250, false) OR coalesce(sb >= 100 AND si >= -250, false) THEN round(sqrt((a.u - u0) * (a.u - u0) + (a.v - v0) * (a.v - v0)) * 1.943844, 4) END AS shear_effective_kt
     FROM b LEFT JOIN f USING (cell) LEFT JOIN a ON a.cell = b.cell LEFT JOIN w ON w.cell = b.cell"""
@@ -91,7 +91,7 @@ DERIVED_SQL = f"""WITH {LAYERS_SQL}, a AS ({TOP_SQL.format(h=6000)}),
 def profile_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which cells are searched, and the derived fields that need no iteration."""
     out = effective.profile_derived_grids(soundings(spark, sf_dir), given_fields(spark, sf_dir))
-    return out.select("cell", "searched", F.round("lapse_0_3km", 5).alias("lapse_0_3km"), *[F.round(c, 4).alias(c) for c in ("shear_0_6km_kt", "shear_effective_kt")])
+    return out.select("cell", "searched", (F.round("lapse_0_3km", 5) + 0.0).alias("lapse_0_3km"), *[F.round(c, 4).alias(c) for c in ("shear_0_6km_kt", "shear_effective_kt")])
 
 
 @query("profile_derived_grids")
