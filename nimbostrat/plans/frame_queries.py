@@ -434,10 +434,10 @@ def plane_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "ceiling_above_ground",
-    """SELECT l_orderkey, l_linenumber, l_extendedprice, l_quantity, round(CASE WHEN l_partkey % 23 <> 0 THEN greatest(0, (l_extendedprice / 10 - l_quantity * 60)) * 3.28084 END, 4) AS ceiling_ft FROM lineitem""",
+    """SELECT l_orderkey, l_linenumber, l_partkey, l_quantity, round(CASE WHEN l_partkey % 23 <> 0 THEN greatest(0, l_partkey - l_quantity * 10) * 3.28084 END, 4) AS ceiling_ft FROM lineitem""",
 )
 def ceiling_above_ground(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cloud ceilings above the ground in feet: heights above sea level less the ground's, at least 0."""
-    height = F.when(F.col("l_partkey") % 23 != 0, F.col("l_extendedprice") / 10)
-    above = units.above_ground(height, F.col("l_quantity") * 60)
-    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice", "l_quantity", F.round(units.transform(above, "metersToFeet"), 4).alias("ceiling_ft"))
+    height = F.when(F.col("l_partkey") % 23 != 0, F.col("l_partkey"))
+    above = units.above_ground(height, F.col("l_quantity") * 10)
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", F.round(units.transform(above, "metersToFeet"), 4).alias("ceiling_ft"))
