@@ -80,20 +80,24 @@ class PieceEncoder:
             return [text] if text else []
         return (_COARSE if any(t in text for t in self.special) else _PIECE).findall(text)
 
-    def learn(self, parts: list[str]) -> dict:
-        """The memory, with every part in it."""
+    def learn(self, parts: list[str]) -> list:
+        """What is kept of each part; parts should differ."""
         if len(self.memory) > REMEMBERED:
             self.memory, self.older = {}, self.memory
-        memory, older, new = self.memory, self.older, []
-        for x in dict.fromkeys(parts):
-            if x not in memory:
-                if x in older:
-                    memory[x] = older[x]
-                else:
-                    new.append(x)
+        memory, older = self.memory, self.older
+        kept = [memory.get(x) for x in parts]
+        unknown = [k for k, v in enumerate(kept) if v is None]
+        new = []
+        for k in unknown:
+            if (v := older.get(x := parts[k])) is None:
+                new.append(x)
+            else:
+                memory[x] = kept[k] = v
         if new:
             memory.update(zip(new, map(self.keep, self.encode(new)), strict=True))
-        return memory
+            for k in unknown:
+                kept[k] = memory[parts[k]]
+        return kept
 
 
 def encoder(path: str, purpose: str, keep) -> PieceEncoder:
@@ -147,8 +151,7 @@ def looked_up(texts: pa.Array, enc: PieceEncoder) -> tuple[list, np.ndarray, np.
                 every.append(which[at : at + n[k]])
                 at += n[k]
         parts, which = list(number), np.concatenate(every)
-    memory = enc.learn(parts)
-    return [memory[x] for x in parts], which, n
+    return enc.learn(parts), which, n
 
 
 def count_batch(texts: pa.Array, path: str) -> np.ndarray:
