@@ -105,10 +105,11 @@ def walked(nodes, x):
     return sum(votes) / len(votes) if votes else None
 
 
-def test_a_large_forest_equals_plain_walks(spark):
+def test_a_large_forest_equals_plain_walks(spark, tmp_path):
     table = grown(300, 12, 24, 1)
     assert len(table) > 300_000
-    found = forest.forest_from_table(spark.createDataFrame(table.astype({"left": "Int64", "right": "Int64"}).astype(object).where(table.notna(), None), "tree int, node int, left int, right int, feature int, threshold double, value double"))
+    table.astype({"left": "Int64", "right": "Int64"}).to_parquet(tmp_path / "nodes.parquet")
+    found = forest.forest_from_table(spark.read.parquet(str(tmp_path / "nodes.parquet")))
     rng = np.random.default_rng(2)
     x = rng.normal(size=(40, 24))
     x[5] = np.nan
