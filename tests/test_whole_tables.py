@@ -124,3 +124,14 @@ def test_inventory_covers_every_supplier(spark, name):
     columns = [f'"{c}"' for c in got.columns]
     assert plain(got.collect()) == plain(con.execute(f"SELECT {', '.join(columns)} FROM ({ORACLE_SQL[name]})").fetchall())
     assert got.select("hour").distinct().count() > 24
+
+
+def test_payloads_give_back_the_tables_cells_alone(spark, tmp_path):
+    # a last frame of fewer rows, a frame without a known value, a gap, vectors of other lengths, one id twice
+    vectors = [(k, [0.001 * k] * (4 + k % 3)) for k in [*range(53), 120]] + [(200, [None] * 5), (7, [1.5] * 3)]
+    spark.createDataFrame(vectors, "vec_id bigint, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{tmp_path}/embeddings.parquet/*.parquet')")
+    plain = lambda rows: sorted(tuple(str(x) for x in row) for row in rows)
+    got = QUERIES["payload_round_trip"](spark, str(tmp_path)).select("frame", "variable", "row", "col", "value").collect()
+    assert plain(got) == plain(con.execute(f"SELECT frame, variable, row, col, value FROM ({ORACLE_SQL['payload_round_trip']})").fetchall())
