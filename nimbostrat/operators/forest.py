@@ -64,15 +64,17 @@ def forest_ratio(cells: DataFrame, trees: list[Tree], features: list[str], name:
     return cells.withColumn(name, value).withColumn(name, F.when(~F.isnan(name), F.col(name)))
 
 
-#: Nodes of a forest that is broadcast at most, about 40 bytes each.
+#: Nodes of a forest that is broadcast at most, about 40 bytes each; trees that are alike count once.
 MOST_NODES = 4_000_000
+#: Walks of cells down trees that are held at once, about 60 bytes each.
+WALKS = 1 << 18
 #: Cells that walk together.
 WALKERS = 1024
 
 
 @dataclass(frozen=True)
 class Forest:
-    """All trees' nodes in one set of arrays; a node with a negative child is a leaf."""
+    """All trees' nodes in one set of arrays; a node with a negative child is a leaf, a tree votes ``weights`` times."""
 
     roots: np.ndarray
     left: np.ndarray
@@ -80,10 +82,11 @@ class Forest:
     feature: np.ndarray
     threshold: np.ndarray
     value: np.ndarray
+    weights: np.ndarray
 
-    def votes(self, rows: np.ndarray) -> np.ndarray:
-        """(cells, trees): every cell goes down all trees at once, one level a step; a missing feature ends without a vote."""
-        node = np.broadcast_to(self.roots, (len(rows), len(self.roots))).copy()
+    def votes(self, rows: np.ndarray, roots: np.ndarray) -> np.ndarray:
+        """(cells, trees): every cell goes down the trees at once, one level a step; a missing feature ends without a vote."""
+        node = np.broadcast_to(roots, (len(rows), len(roots))).copy()
         live, each = np.ones(node.shape, bool), np.arange(len(rows))[:, None]
         while True:
             inner = live & (self.left[node] >= 0) & (self.right[node] >= 0)
@@ -95,25 +98,33 @@ class Forest:
             node = np.where(inner & live, below, node)
 
     def predict(self, rows: np.ndarray) -> np.ndarray:
-        """The mean of the trees that vote, missing if none does."""
-        out = np.full(len(rows), np.nan)
+        """The mean of the trees that vote, missing if none does; cells and trees meet in blocks of ``WALKS``."""
+        total, n = np.zeros(len(rows)), np.zeros(len(rows))
+        width = max(WALKS // WALKERS, 1)
         for start in range(0, len(rows), WALKERS):
-            votes = self.votes(rows[start : start + WALKERS])
-            n = np.isfinite(votes).sum(axis=1)
-            out[start : start + WALKERS] = np.where(n > 0, np.nansum(votes, axis=1) / np.maximum(n, 1), np.nan)
-        return out
+            some = slice(start, start + WALKERS)
+            for k in range(0, len(self.roots), width):
+                votes, weights = self.votes(rows[some], self.roots[k : k + width]), self.weights[k : k + width]
+                known = np.isfinite(votes)
+                n[some] += known @ weights
+                total[some] += np.where(known, votes, 0.0) @ weights
+        return np.where(n > 0, total / np.maximum(n, 1), np.nan)
 
 
 def forest_from_table(nodes: DataFrame) -> Forest:
     """A forest from rows of tree, node, left, right, feature, threshold and value.
 
     A tree's root is its smallest node; a missing or negative child, or one that isn't there,
-    makes a leaf. More than ``MOST_NODES`` nodes are refused before any is read.
+    makes a leaf. Trees of the same nodes are kept once, with their number. More than
+    ``MOST_NODES`` nodes of different trees are refused before any is read.
     """
-    count = nodes.limit(MOST_NODES + 1).count()
+    node = ["node", "left", "right", "feature", "threshold", "value"]
+    alike = nodes.groupBy("tree").agg(F.sort_array(F.collect_list(F.struct(*node))).alias("nodes")).groupBy("nodes").agg(F.count(F.lit(1)).cast("double").alias("weight"))
+    count = alike.agg(F.sum(F.size("nodes"))).first()[0] or 0
     if count > MOST_NODES:
         raise ValueError(f"a forest of more than {MOST_NODES} nodes is too large to broadcast")
-    table = nodes.select("tree", "node", "left", "right", "feature", "threshold", "value").toPandas().sort_values(["tree", "node"], kind="stable").reset_index(drop=True)
+    rows = alike.withColumn("tree", F.monotonically_increasing_id()).select("tree", "weight", F.explode("nodes").alias("x")).select("tree", "weight", *[f"x.{c}" for c in node])
+    table = rows.toPandas().sort_values(["tree", "node"], kind="stable").reset_index(drop=True)
     place = pd.Series(np.arange(len(table)), index=pd.MultiIndex.from_frame(table[["tree", "node"]]))
 
     def child(column: str) -> np.ndarray:
@@ -122,7 +133,7 @@ def forest_from_table(nodes: DataFrame) -> Forest:
 
     number = lambda c: table[c].to_numpy(float, na_value=np.nan)
     roots = np.flatnonzero(~table["tree"].duplicated().to_numpy())
-    return Forest(roots, child("left"), child("right"), table["feature"].fillna(0).to_numpy(np.int64), number("threshold"), number("value"))
+    return Forest(roots, child("left"), child("right"), table["feature"].fillna(0).to_numpy(np.int64), number("threshold"), number("value"), table["weight"].to_numpy(float)[roots])
 
 
 def forest_values(cells: DataFrame, forest: Forest, features: str = "features", name: str = "ratio") -> DataFrame:

@@ -130,6 +130,16 @@ def test_forest_over_rows_and_edges(spark):
     assert got == {1: 3.5, 2: 5.0, 3: None, 4: 2.0}  # a child that isn't there makes a leaf; the single-leaf tree always votes
 
 
+def test_trees_that_are_alike_are_kept_once(spark, monkeypatch):
+    shape = "CASE WHEN id % 3 = 0 THEN 1 END left, CASE WHEN id % 3 = 0 THEN 2 END right, 0 feature, CASE WHEN id < 3000 THEN 1.0D ELSE 3.0D END threshold, CAST(id % 3 * 4 AS double) value"
+    nodes = spark.range(6000).selectExpr("id div 3 tree", "id % 3 node", *shape.split(", "))[["tree", "node", "left", "right", "feature", "threshold", "value"]]
+    monkeypatch.setattr(forest, "MOST_NODES", 6)
+    model = forest.forest_from_table(nodes)
+    assert len(model.roots) == 2 and model.weights.tolist() == [1000.0, 1000.0]
+    monkeypatch.setattr(forest, "WALKS", 1024)  # one tree a block
+    assert model.predict(np.array([[0.5], [2.0], [4.0], [np.nan]])).tolist()[:3] == [4.0, 6.0, 8.0]
+
+
 def test_forest_of_too_many_nodes_is_refused(spark, monkeypatch):
     monkeypatch.setattr(forest, "MOST_NODES", 3)
     with pytest.raises(ValueError):
