@@ -8,15 +8,14 @@ the lowest level up, with gaps as NaN. Heights are above the lowest level.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nimbostrat.functions.thermo import DRY_LAPSE, GRAVITY, KAPPA
-from nimbostrat.operators.parcel import _matrix, arrays, equivalent, lcl_temperature, mixing_ratio, moist_lift, moist_move, vapour_pressure, virtual
+from nimbostrat.operators.parcel import arrays, by_column, equivalent, lcl_temperature, mixing_ratio, moist_lift, moist_move, vapour_pressure, virtual
 
 #: Cells of which the matrices are held at once.
 TOGETHER = 512
@@ -93,8 +92,10 @@ def along_pressure(p: np.ndarray, values: list[np.ndarray], target: np.ndarray)
         if known.sum() < 1:
             continue
         x, want = -np.log(p[r, known]), -np.log(target[r])
+        # judged by pressure: two logarithms of one number may differ in their last bit
+        inside = (target[r] <= p[r, known].max()) & (target[r] >= p[r, known].min())
         for v, found in zip(values, out, strict=True):
-            found[r] = np.interp(want, x, v[r, known], left=np.nan, right=np.nan)
+            found[r] = np.where(inside, np.interp(want, x, v[r, known]), np.nan)
     return out
 
 
@@ -112,12 +113,27 @@ def sample_pressures(p: np.ndarray, source: Source, step: float = 1.0) -> np.nda
     return every[:, : max(int(np.isfinite(every).sum(axis=1).max(initial=0)), 1)]
 
 
-def path(source: Source, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Temperature and virtual temperature of each parcel at pressures (rows, n): dry, then saturated."""
+def path(source: Source, at: np.ndarray, step: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
+    """Temperature and virtual temperature of each parcel at pressures (rows, n): dry, then saturated.
+
+    Parcels of one start share their saturated path at whole steps of pressure.
+    """
     p, t, lcl_p, lcl_t, w = (x[:, None] for x in (source.p, source.t, source.lcl_p, source.lcl_t, source.w))
     dry = at >= lcl_p
     temperature = t * (at / p) ** KAPPA
-    rows, cols = np.nonzero(~dry & np.isfinite(at))
+    _, first, of = np.unique(np.stack([source.lcl_p, source.lcl_t], axis=1), axis=0, return_index=True, return_inverse=True)
+    moist = ~dry & np.isfinite(at)
+    place = at / step
+    whole = moist & (place == np.floor(place))
+    if whole.any():
+        place, of = np.where(whole, place, 0).astype(np.int64), of.reshape(-1, 1)
+        low = place[whole].min()
+        asked = np.zeros((len(first), int(place.max() - low) + 1), bool)
+        asked[np.broadcast_to(of, at.shape)[whole], place[whole] - low] = True
+        table, (rows, cols) = np.full(asked.shape, np.nan), np.nonzero(asked)
+        table[rows, cols] = moist_lift(source.lcl_p[first[rows]], source.lcl_t[first[rows]], (cols + low) * step)
+        temperature = np.where(whole, table[of, np.maximum(place - low, 0)], temperature)
+    rows, cols = np.nonzero(moist & ~whole)
     temperature[rows, cols] = moist_lift(source.lcl_p[rows], source.lcl_t[rows], at[rows, cols])
     ratio = np.where(dry, w, mixing_ratio(vapour_pressure(temperature), at))
     return np.where(source.good[:, None], temperature, np.nan), np.where(source.good[:, None], virtual(temperature, ratio), np.nan)
@@ -134,7 +150,7 @@ def pressure_steps(p: np.ndarray, agl: np.ndarray, t: np.ndarray, td: np.ndarray
     lcl_m = along_pressure(p, [agl], source.lcl_p[:, None])[0][:, 0]
     lcl_m = np.where(np.isfinite(lcl_m), np.maximum(0, lcl_m), np.maximum(0, source.lcl_agl))
     env = virtual(warm, mixing_ratio(vapour_pressure(np.minimum(dew, warm)), at))
-    _, tv = path(source, at)
+    _, tv = path(source, at, step)
     force = GRAVITY * (tv - env) / np.maximum(180.0, env)
     low, high, z0, z1 = force[:, :-1], force[:, 1:], height[:, :-1], height[:, 1:]
     dz = z1 - z0
@@ -171,16 +187,6 @@ def saturated_temperature(theta_e: np.ndarray, p: np.ndarray) -> np.ndarray:
     return (low + high) / 2
 
 
-def _parts(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, list[np.ndarray]]]:
-    """Batches cut to ``TOGETHER`` cells with p, height above the lowest level, t and td as matrices."""
-    for batch in batches:
-        for start in range(0, len(batch), TOGETHER):
-            part = batch.iloc[start : start + TOGETHER]
-            width = max(part["p"].map(len).max(), 2)
-            p, z, t, td = (_matrix(part[c], width) for c in ("p", "z", "t", "td"))
-            yield part, [p, z - z[:, :1], t, td]
-
-
 def _known(df: DataFrame, names: list[str]) -> DataFrame:
     return df.select("cell", *[F.when(~F.isnan(c), F.col(c)).alias(c) for c in names])
 
@@ -192,15 +198,14 @@ def both_integrators(profiles: DataFrame, step: float = 1.0) -> DataFrame:
     """
     names = [f"{c}_{kind}" for kind in ("seg", "step") for c in RESULTS] + ["cape_3km"]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part, (p, agl, t, td) in _parts(batches):
-            with np.errstate(all="ignore"):
-                source = Source(p[:, 0], agl[:, 0], t[:, 0], td[:, 0])
-                source.good &= np.isfinite(p).sum(axis=1) >= 3
-                a, b = segments(p, agl, t, td, source), pressure_steps(p, agl, t, td, source, step)
-            yield pd.DataFrame({"cell": part["cell"].to_numpy(), **{f"{c}_seg": a[c] for c in RESULTS}, **{f"{c}_step": b[c] for c in RESULTS}, "cape_3km": b["cape_3km"]})
+    def found(p: np.ndarray, z: np.ndarray, t: np.ndarray, td: np.ndarray) -> dict[str, np.ndarray]:
+        agl = z - z[:, :1]
+        source = Source(p[:, 0], agl[:, 0], t[:, 0], td[:, 0])
+        source.good &= np.isfinite(p).sum(axis=1) >= 3
+        a, b = segments(p, agl, t, td, source), pressure_steps(p, agl, t, td, source, step)
+        return {**{f"{c}_seg": a[c] for c in RESULTS}, **{f"{c}_step": b[c] for c in RESULTS}, "cape_3km": b["cape_3km"]}
 
-    return _known(arrays(profiles).mapInPandas(run, "cell bigint, " + ", ".join(f"{c} double" for c in names)), names)
+    return _known(by_column(arrays(profiles), found, TOGETHER, ", ".join(f"{c} double" for c in names)), names)
 
 
 def parcel_traces(profiles: DataFrame, step: float = 25.0) -> DataFrame:
@@ -212,21 +217,19 @@ def parcel_traces(profiles: DataFrame, step: float = 25.0) -> DataFrame:
     """
     names = ("p", "t", "tv", "dewpoint", "env_tv")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part, (p, agl, t, td) in _parts(batches):
-            with np.errstate(all="ignore"):
-                source = Source(p[:, 0], agl[:, 0], t[:, 0], td[:, 0])
-                at = sample_pressures(p, source, step)
-                temperature, tv = path(source, at)
-                x = np.log(source.w[:, None] * at / (0.622 + source.w[:, None]) / 6.112)
-                dew = np.where(at >= source.lcl_p[:, None], 243.5 * x / (17.67 - x) + 273.15, temperature)
-                warm, moist = along_pressure(p, [t, td], at)
-                env = virtual(warm, mixing_ratio(vapour_pressure(np.minimum(moist, warm)), at))
-            kept = [np.isfinite(a) & np.isfinite(b) for a, b in zip(at, tv, strict=True)]
-            columns = {c: [list(v[k]) for v, k in zip(m, kept, strict=True)] for c, m in zip(names, (at, temperature, tv, dew, env), strict=True)}
-            yield pd.DataFrame({"cell": part["cell"].to_numpy(), **columns})
-
-    return arrays(profiles).mapInPandas(run, "cell bigint, " + ", ".join(f"{c} array<double>" for c in names))
+    def found(p: np.ndarray, z: np.ndarray, t: np.ndarray, td: np.ndarray) -> dict[str, pa.Array]:
+        source = Source(p[:, 0], np.zeros(len(p)), t[:, 0], td[:, 0])
+        at = sample_pressures(p, source, step)
+        temperature, tv = path(source, at, step)
+        x = np.log(source.w[:, None] * at / (0.622 + source.w[:, None]) / 6.112)
+        dew = np.where(at >= source.lcl_p[:, None], 243.5 * x / (17.67 - x) + 273.15, temperature)
+        warm, moist = along_pressure(p, [t, td], at)
+        env = virtual(warm, mixing_ratio(vapour_pressure(np.minimum(moist, warm)), at))
+        kept = np.isfinite(at) & np.isfinite(tv)
+        offsets = pa.array(np.concatenate([[0], np.cumsum(kept.sum(axis=1))]).astype(np.int32))
+        return {c: pa.ListArray.from_arrays(offsets, pa.array(m[kept])) for c, m in zip(names, (at, temperature, tv, dew, env), strict=True)}
+
+    return by_column(arrays(profiles), found, TOGETHER, ", ".join(f"{c} array<double>" for c in names))
 
 
 def moist_adiabats(levels: DataFrame, theta_e: Column, pressure: Column) -> DataFrame:

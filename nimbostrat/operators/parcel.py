@@ -6,10 +6,11 @@ cells by levels, and all cells take each step together.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -66,6 +67,47 @@ def _matrix(column: pd.Series, width: int) -> np.ndarray:
     return out
 
 
+def _lists(column: pa.Array, width: int) -> np.ndarray:
+    """A matrix of an Arrow column of lists, padded with NaN."""
+    lengths = np.diff(column.offsets.to_numpy())
+    out = np.full((len(column), width), np.nan)
+    out[np.arange(width) < lengths[:, None]] = column.flatten().to_numpy(zero_copy_only=False)
+    return out
+
+
+def by_column(rows: DataFrame, found: Callable[..., dict[str, np.ndarray | pa.Array]], together: int, schema: str, more: tuple[str, ...] = (), least: int = 2) -> DataFrame:
+    """cell and ``schema``: what ``found`` gives for matrices p, z, t, td (and ``more`` numbers of a cell), ``together`` at once.
+
+    rows: of ``arrays``. Cells are put in order of their lowest level and then of
+    the whole column, so that equal columns stand together and are computed once, and parcels of
+    one start meet in a batch. Ties are ordered by cell: a frequent column is spread over tasks.
+    """
+    start = [F.col(c)[0] for c in ("p", "t", "td")]
+    order = [*start, "p", "t", "td", "z", "cell"]
+    names = [n.split()[0] for n in schema.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            width = max(int(np.diff(batch.column(1).offsets.to_numpy()).max()), least)
+            columns = [_lists(batch.column(k), width) for k in range(1, 5)]
+            columns += [batch.column(5 + k).to_numpy(zero_copy_only=False).astype(float)[:, None] for k in range(len(more))]
+            bits = np.concatenate(columns, axis=1).view(np.int64)
+            new = np.concatenate([[True], (bits[1:] != bits[:-1]).any(axis=1)])
+            first, parts = np.flatnonzero(new), []
+            for k in range(0, len(first), together):
+                some = [c[first[k : k + together]] for c in columns]
+                with np.errstate(all="ignore"):
+                    one = found(*some[:4], *[c[:, 0] for c in some[4:]])
+                parts.append([x if isinstance(x := one[n], pa.Array) else pa.array(x) for n in names])
+            of = pa.array(np.cumsum(new) - 1)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.concat_arrays(list(c)).take(of) for c in zip(*parts, strict=True)]], names=["cell", *names])
+
+    ordered = rows.select("cell", "p", "z", "t", "td", *more).repartitionByRange(*order).sortWithinPartitions(*order)
+    return ordered.mapInArrow(run, f"cell bigint, {schema}")
+
+
 def cape_cin(p: np.ndarray, z: np.ndarray, t: np.ndarray, td: np.ndarray, source: tuple | None = None) -> tuple[np.ndarray, np.ndarray]:
     """CAPE and CIN (J/kg, CIN at most 0) of the lowest level's parcel, one segment per level pair.
 
@@ -251,43 +293,25 @@ def stability_indices(profiles: DataFrame, mixed: DataFrame | None = None) -> Da
         rows = rows.withColumn("mixed", F.lit(None).cast("struct<p:double,t:double,td:double>"))
     rows = rows.select("cell", "p", "z", "t", "td", *[F.col(f"mixed.{c}").alias(f"m_{c}") for c in ("p", "t", "td")])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for start in range(0, len(batch), 2048):
-                part = batch.iloc[start : start + 2048]
-                width = max(part["p"].map(len).max(), 2)
-                p, z, t, td = (_matrix(part[c], width) for c in ("p", "z", "t", "td"))
-                with np.errstate(all="ignore"):
-                    found = stability(p, z, t, td)
-                    own = tuple(part[f"m_{c}"].to_numpy(float) for c in ("p", "t", "td"))
-                    found["ml_cape"], found["ml_cin"] = cape_cin(p, z, t, td, (own[0], z[:, 0], own[1], own[2]))
-                enough = np.isfinite(p).sum(axis=1) >= 3
-                known = np.isfinite(own[0])
-                yield pd.DataFrame({"cell": part["cell"].to_numpy(), **{k: np.where(enough & (known | (not k.startswith("ml_"))), found[k], np.nan) for k in names}})
-
-    out = rows.mapInPandas(run, "cell bigint, " + ", ".join(f"{k} double" for k in names))
+    def found(p: np.ndarray, z: np.ndarray, t: np.ndarray, td: np.ndarray, *own: np.ndarray) -> dict[str, np.ndarray]:
+        out = stability(p, z, t, td)
+        out["ml_cape"], out["ml_cin"] = cape_cin(p, z, t, td, (own[0], z[:, 0], own[1], own[2]))
+        enough, known = np.isfinite(p).sum(axis=1) >= 3, np.isfinite(own[0])
+        return {k: np.where(enough & (known | (not k.startswith("ml_"))), out[k], np.nan) for k in names}
+
+    out = by_column(rows, found, 2048, ", ".join(f"{k} double" for k in names), ("m_p", "m_t", "m_td"))
     return out.select("cell", *[F.when(~F.isnan(c), F.col(c)).alias(c) for c in names])
 
 
 def parcel_indices(profiles: DataFrame) -> DataFrame:
-    """cell, cape, cin, dcape of profiles; cells with fewer than three complete levels are missing.
+    """cell, cape, cin, dcape of profiles; cells with fewer than three complete levels are missing."""
 
-    Groups are the levels of one cell, so a task never gathers more than those.
-    """
+    def found(p: np.ndarray, z: np.ndarray, t: np.ndarray, td: np.ndarray) -> dict[str, np.ndarray]:
+        cape, cin = cape_cin(p, z, t, td)
+        enough = np.isfinite(p).sum(axis=1) >= 3
+        return {n: np.where(enough, x, np.nan) for n, x in (("cape", cape), ("cin", cin), ("dcape", downdraft_cape(p, z, t, td)))}
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for start in range(0, len(batch), 4096):
-                part = batch.iloc[start : start + 4096]
-                width = max(part["p"].map(len).max(), 2)
-                p, z, t, td = (_matrix(part[c], width) for c in ("p", "z", "t", "td"))
-                with np.errstate(all="ignore"):
-                    cape, cin = cape_cin(p, z, t, td)
-                    dcape = downdraft_cape(p, z, t, td)
-                enough = np.isfinite(p).sum(axis=1) >= 3
-                yield pd.DataFrame({"cell": part["cell"], **{n: np.where(enough, x, np.nan) for n, x in (("cape", cape), ("cin", cin), ("dcape", dcape))}})
-
-    out = arrays(profiles).mapInPandas(run, "cell bigint, cape double, cin double, dcape double")
+    out = by_column(arrays(profiles), found, 4096, "cape double, cin double, dcape double")
     return out.select("cell", *[F.when(~F.isnan(c), F.col(c)).alias(c) for c in ("cape", "cin", "dcape")])
 
 
@@ -296,30 +320,47 @@ WOBUS_COLD = [1.0, -8.841660499999999e-3, 1.4714143e-4, -9.671989000000001e-7, -
 WOBUS_WARM = [1.0, 3.6182989e-3, -1.3603273e-5, 4.9618922e-7, -6.1059365e-9, 3.9401551e-11, -1.2588129e-13, 1.668828e-16]
 
 
+def _powers(x: np.ndarray, coefficients: list[float]) -> np.ndarray:
+    out = np.full_like(x, coefficients[-1])
+    for c in reversed(coefficients[:-1]):
+        out *= x
+        out += c
+    return out
+
+
 def wobus(t_c: np.ndarray) -> np.ndarray:
-    x = t_c - 20.0
-    cold, warm = np.polynomial.polynomial.polyval(x, WOBUS_COLD), np.polynomial.polynomial.polyval(x, WOBUS_WARM)
-    return np.where(x <= 0, 15.13 / cold**4, 29.93 / warm**4 + 0.96 * x - 14.8)
+    x = np.atleast_1d(np.asarray(t_c, float) - 20.0)
+    out, warm = np.empty_like(x), x > 0
+    cold = ~warm
+    c, w = _powers(x[cold], WOBUS_COLD), _powers(x[warm], WOBUS_WARM)
+    c *= c
+    w *= w
+    out[cold], out[warm] = 15.13 / (c * c), 29.93 / (w * w) + 0.96 * x[warm] - 14.8
+    return out.reshape(np.shape(t_c))
 
 
 def saturated_lift(p: np.ndarray, theta_c: np.ndarray, close: float = 0.1, rounds: int = 80) -> np.ndarray:
-    """Temperature in C at p of a saturated parcel, by the secant method on the Wobus function."""
-    power = (p / 1000.0) ** KAPPA
-    before = (theta_c + 273.15) * power - 273.15
-    gap_before, rate = wobus(before) - wobus(theta_c), np.ones_like(before)
-    t, error = before.copy(), np.full_like(before, np.inf)
-    for _ in range(rounds):
-        move = np.abs(error) > close
-        if not move.any():
+    """Temperature in C at p of a saturated parcel, by the secant method on the Wobus function; parcels that have settled take no further part."""
+    shape = np.broadcast(p, theta_c).shape
+    every_p, every_theta = (np.broadcast_to(x, shape).astype(float).ravel() for x in (p, theta_c))
+    settled, live = np.full(every_p.shape, np.nan), np.arange(every_p.size)
+    theta, power = every_theta, (every_p / 1000.0) ** KAPPA
+    before = (theta + 273.15) * power - 273.15
+    gap_before, rate = wobus(before) - wobus(theta), np.ones_like(before)
+    for last in range(rounds - 1, -1, -1):
+        if not len(live):
             break
         now = before - gap_before * rate
         potential = (now + 273.15) / power - 273.15
-        gap = potential + wobus(now) - wobus(potential) - theta_c
-        t, error = np.where(move, now, t), np.where(move, gap * rate, error)
+        gap = potential + wobus(now) - wobus(potential) - theta
+        error = gap * rate
+        move = np.abs(error) > close
+        done = np.flatnonzero(~move) if last else slice(None)
+        settled[live[done]] = (now - error)[done]
         with np.errstate(all="ignore"):
-            rate = np.where(move, (now - before) / (gap - gap_before), rate)
-        before, gap_before = np.where(move, now, before), np.where(move, gap, gap_before)
-    return np.where(np.abs(p - 1000.0) <= 0.001, theta_c, t - error)
+            rate = (now - before) / (gap - gap_before)
+        live, theta, power, before, gap_before, rate = (x[move] for x in (live, theta, power, now, gap, rate))
+    return np.where(np.abs(every_p - 1000.0) <= 0.001, every_theta, settled).reshape(shape)
 
 
 def moist_lift(p0: np.ndarray, t0: np.ndarray, p1: np.ndarray) -> np.ndarray:
@@ -375,15 +416,7 @@ def effective_layer(p: np.ndarray, z: np.ndarray, t: np.ndarray, td: np.ndarray)
 
 def effective_layers(profiles: DataFrame) -> DataFrame:
     """cell, base_m, top_m, mucape of profiles; missing without an effective layer."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for start in range(0, len(batch), 4096):
-                part = batch.iloc[start : start + 4096]
-                width = max(part["p"].map(len).max(), 3)
-                with np.errstate(all="ignore"):
-                    base, top, most = effective_layer(*(_matrix(part[c], width) for c in ("p", "z", "t", "td")))
-                yield pd.DataFrame({"cell": part["cell"], "base_m": base, "top_m": top, "mucape": most})
-
-    out = arrays(profiles).mapInPandas(run, "cell bigint, base_m double, top_m double, mucape double")
+    names = ("base_m", "top_m", "mucape")
+    found = lambda *column: dict(zip(names, effective_layer(*column), strict=True))
+    out = by_column(arrays(profiles), found, 4096, "base_m double, top_m double, mucape double", least=3)
     return out.select("cell", *[F.when(~F.isnan(c), F.col(c)).alias(c) for c in ("base_m", "top_m", "mucape")])

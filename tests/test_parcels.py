@@ -5,7 +5,7 @@ import math
 import numpy as np
 import pytest
 
-from nimbostrat.operators import column, parcel
+from nimbostrat.operators import ascent, column, parcel
 
 DRY = [(1008, 80, 38.0, None), (1000, 110, 36.0, 14), (925, 790, 29.5, 18), (850, 1500, 22.5, 24), (700, 3100, 8.0, 55), (500, 5800, -12.5, 40), (300, 9600, -38.0, 30)]
 WET = [(1008, 80, 14.0, 99), (1000, 110, 14.0, 99), (925, 760, 10.0, 99), (850, 1430, 6.5, 99), (700, 2990, -1.5, 99), (500, 5560, -16.0, 95), (300, 9100, -40.0, 90)]
@@ -124,3 +124,27 @@ def test_mean_winds_match_fine_sums(spark):
     deep = simpson(whole, 850, 300, lambda r: r[1])
     low_top = math.exp(math.log(900) + (math.log(700) - math.log(900)) * (1500 - 900) / 2000)
     assert storm["upshear_u"] == pytest.approx(deep - simpson(whole, 1000, low_top, lambda r: r[1]), abs=4e-3)
+
+
+def test_equal_columns_are_computed_once(spark):
+    levels = "cell long, p array<double>, z array<double>, t array<double>, td array<double>"
+    rows = spark.createDataFrame([(k, [1000.0, 900.0], [100.0, 1000.0], [290.0 + (k == 7), 280.0], [280.0, 270.0]) for k in range(300)], levels).coalesce(1)
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        out = {r["cell"]: (r["n"], r["t0"]) for r in parcel.by_column(rows, lambda p, z, t, td: {"n": np.full(len(p), len(p)), "t0": t[:, 0]}, 512, "n long, t0 double").collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert len(out) == 300 and {n for n, _ in out.values()} == {2}
+    assert all(t0 == 290.0 + (cell == 7) for cell, (_, t0) in out.items())
+
+
+def test_parcels_of_one_start_share_their_path(monkeypatch):
+    lifted, plain = [], parcel.moist_lift
+    monkeypatch.setattr(ascent, "moist_lift", lambda p0, t0, p1: lifted.append(np.size(p1)) or plain(p0, t0, p1))
+    n = 50
+    source = ascent.Source(np.full(n, 1000.0), np.zeros(n), np.full(n, 300.0), np.full(n, 290.0))
+    at = np.tile(np.append(np.arange(1000.0, 500.0, -1.0), 432.1), (n, 1))
+    temperature, _ = ascent.path(source, at)
+    assert sum(lifted) < 500 + n
+    assert temperature[:, -1] == pytest.approx(plain(source.lcl_p, source.lcl_t, np.full(n, 432.1)))
+    assert temperature[3, 400] == pytest.approx(float(plain(source.lcl_p[:1], source.lcl_t[:1], np.array([600.0]))[0]))
