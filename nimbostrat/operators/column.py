@@ -9,11 +9,13 @@ from __future__ import annotations
 
 import itertools
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nimbostrat.functions import thermo
 from nimbostrat.functions.units import MPS_TO_KT
+from nimbostrat.operators import parcel
 
 WINDS = ("u", "v")
 _FRESH = itertools.count()
@@ -218,23 +220,18 @@ def mixed_parcels(rows: DataFrame, depth: float = 100.0) -> DataFrame:
 
 def most_unstable(profiles: DataFrame, depth: float = 300.0, highest: float = 4000.0, step: float = 1.0) -> DataFrame:
     """cell, p, agl, theta_e: of the levels every ``step`` hPa within ``depth`` of the lowest one, that of most theta-e; the lowest among equals."""
-    rows = columns(_moist(profiles), ("t", "td")).where(F.size("levels") >= 2)
-    p0 = F.col("levels")[0]["p"]
-    rows = rows.withColumns({"p0": p0, "floor": F.greatest(F.element_at("levels", -1)["p"], p0 - depth), "pairs": F.arrays_zip(F.slice("levels", F.lit(1), F.size("levels") - 1).alias("a"), F.slice("levels", F.lit(2), F.size("levels") - 1).alias("b"))})
-
-    def steps(x: Column) -> Column:
-        """The steps between two levels; one that meets a level stands in both pairs, with the same values."""
-        first, last = F.ceil((F.col("p0") - x["a"]["p"]) / step).cast("int"), F.floor((F.col("p0") - F.greatest(x["b"]["p"], F.col("floor"))) / step).cast("int")
-        inside = F.when(last >= first, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
-        return F.transform(inside, lambda k: F.struct(k.alias("k"), (F.col("p0") - k * step).alias("p"), x["a"].alias("a"), x["b"].alias("b")))
-
-    share = lambda s: F.coalesce(F.try_divide(F.ln(s["p"]) - F.ln(s["a"]["p"]), F.ln(s["b"]["p"]) - F.ln(s["a"]["p"])), F.lit(0.0))
-    at = lambda s, c: s["a"][c] + (s["b"][c] - s["a"][c]) * s["share"]
-    rows = rows.withColumn("samples", F.transform(F.flatten(F.transform("pairs", steps)), lambda s: F.struct(s["k"].alias("k"), s["p"].alias("p"), s["a"].alias("a"), s["b"].alias("b"), share(s).alias("share"))))
-    rows = rows.withColumn("samples", F.transform("samples", lambda s: F.struct(s["k"].alias("k"), s["p"].alias("p"), *[at(s, c).alias(c) for c in ("agl", "t", "td")])))
-    scored = F.transform(F.filter("samples", lambda s: s["agl"] <= highest), lambda s: F.struct(thermo.theta_e(s["t"], s["td"], s["p"]).alias("theta_e"), (-s["k"]).alias("order"), s["p"].alias("p"), s["agl"].alias("agl")))
-    best = F.array_max(F.filter(scored, lambda s: s["theta_e"].isNotNull()))
-    return rows.withColumn("best", best).select("cell", "best.p", "best.agl", "best.theta_e")
+    rows = columns(_moist(profiles), ("t", "td")).where(F.size("levels") >= 2).select("cell", *[F.col("levels").getField(c).alias(c) for c in ("p", "z", "t", "td")])
+
+    def found(p: np.ndarray, z: np.ndarray, t: np.ndarray, td: np.ndarray) -> dict[str, np.ndarray]:
+        steps = p[:, :1] - step * np.arange(int(depth // step) + 1)
+        agl, warm, dew = parcel.thermo_at(p, z - z[:, :1], t, td, steps)
+        theta = np.where((agl <= highest) & (steps > 100), parcel.equivalent(warm, dew, steps), np.nan)
+        known, each = np.isfinite(theta), np.arange(len(p))
+        best = np.where(known, theta, -np.inf).argmax(axis=1)
+        return {k: np.where(known.any(axis=1), v[each, best], np.nan) for k, v in (("p", steps), ("agl", agl), ("theta_e", theta))}
+
+    out = parcel.by_column(rows, found, 2048, "p double, agl double, theta_e double")
+    return out.select("cell", *[F.when(~F.isnan(c), F.col(c)).alias(c) for c in ("p", "agl", "theta_e")])
 
 
 def without_doubles(levels: DataFrame, keys: tuple[str, ...] = ("cell",), order: str = "ordinal") -> DataFrame:

@@ -148,3 +148,12 @@ def test_parcels_of_one_start_share_their_path(monkeypatch):
     assert sum(lifted) < 500 + n
     assert temperature[:, -1] == pytest.approx(plain(source.lcl_p, source.lcl_t, np.full(n, 432.1)))
     assert temperature[3, 400] == pytest.approx(float(plain(source.lcl_p[:1], source.lcl_t[:1], np.array([600.0]))[0]))
+
+
+def test_most_unstable_levels_leave_the_expressions(spark):
+    # once a struct for every step of every cell, now equal columns once, as matrices
+    rows = spark.createDataFrame([(1, float(p), float(z), c + 273.15, float(rh or 50), 0.0, 0.0) for p, z, c, rh in DRY], "cell long, p double, z double, t double, rh double, u double, v double")
+    out = column.most_unstable(rows)
+    assert "MapInArrow" in out._jdf.queryExecution().toString()
+    got = out.first()
+    assert 708 <= got["p"] <= 1008 and (1008 - got["p"]) % 1 == 0 and 0 <= got["agl"] <= 4000
