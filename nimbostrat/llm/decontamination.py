@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nimbostrat.llm.common import bound_batches, fresh, mix64, saved, strings, within_reach
+from nimbostrat.llm.common import bound_batches, fresh, lean, mix64, saved, strings, within_reach
 
 MIN_MATCH = 5
 COVERAGE = 0.8
@@ -268,4 +268,4 @@ def _pass(docs: DataFrame, body: str, index: ItemIndex, coverage: float, state:
             yield out.filter(pa.array([r["n"] > 0 for r in rows], pa.bool_())) if leaks_only else out
 
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema]
-    return docs.mapInArrow(run, ", ".join([*fields, f"`{state}` struct<n:int,item_id:bigint,coverage:double,n_tiles:int>"]))
+    return docs.mapInArrow(lean(run), ", ".join([*fields, f"`{state}` struct<n:int,item_id:bigint,coverage:double,n_tiles:int>"]))

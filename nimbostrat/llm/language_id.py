@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nimbostrat.llm.common import bound_batches, fresh, mix64, saved, strings
+from nimbostrat.llm.common import bound_batches, fresh, lean, mix64, saved, strings
 from nimbostrat.llm.tokens import by_size
 
 ORDER = 5
@@ -291,7 +291,7 @@ def predict(docs: DataFrame, models: LanguageModels, text: str = "text") -> Data
             yield pa.RecordBatch.from_arrays(columns, names=[*kept, *results])
 
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema if f.name != body] + [f"{k} {v}" for k, v in results.items()]
-    return given.mapInArrow(run, ", ".join(fields))
+    return given.mapInArrow(lean(run), ", ".join(fields))
 
 
 def identify(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from nimbostrat.llm.common import bound_batches, forget, mix64, saved, strings, within_reach
+from nimbostrat.llm.common import bound_batches, forget, lean, mix64, saved, strings, within_reach
 
 #: Groups of the points in the tree, and most and fewest groups of those sent by key.
 GROUPS, MOST_GROUPS, FEWEST_GROUPS = 256, 1024, 16
@@ -159,6 +159,10 @@ class Threshold:
         """Shingles of which a linked set shares at least one."""
         return n - -(-self.percent * n // 100) + 1 if n else 0
 
+    def inner(self, n: int) -> int:
+        """Shingles of which one is the first that a set shares with a linked one of its own size or more: both hold 2 t / (1 + t) of it."""
+        return n - -(-2 * self.percent * n // (100 + self.percent)) + 1 if n else 0
+
     def groups(self, n: int) -> int:
         """Groups at which unrelated points of n shingles lie well beyond the bound."""
         wanted = n * (2.7 * self.radius) ** 2
@@ -187,7 +191,7 @@ def frequent_shingles(docs: DataFrame, text: str, width: int, tracked: int = TRA
                 part = np.concatenate(rows[i : i + 512])
                 yield pa.RecordBatch.from_arrays([pa.array(part)], names=["key"])
 
-    keys = docs.select(F.col(text).alias("text")).mapInArrow(run, "key bigint")
+    keys = docs.select(F.col(text).alias("text")).mapInArrow(lean(run), "key bigint")
     sketches = keys.groupBy(F.pmod(F.spark_partition_id(), F.lit(64)).alias("part")).agg(F.expr(f"approx_top_k_accumulate(key, {tracked})").alias("sketch"))
     whole = sketches.groupBy((F.col("part") >= 0).alias("any")).agg(F.expr(f"approx_top_k_combine(sketch, {tracked})").alias("sketch"))
     rows = whole.select(F.explode(F.expr(f"approx_top_k_estimate(sketch, {tracked})")).alias("x")).where(F.col("x.count") >= FREQUENT)
@@ -229,34 +233,42 @@ def signatures(docs: DataFrame, text: str, width: int, limits: Threshold, freque
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_hash", "n", "set_hash", "point", "prefix", "common"])
 
     given = docs.select("doc_id", F.col(text).alias("text"), F.xxhash64(text).alias("text_hash"))
-    rows = given.mapInArrow(run, "doc_id bigint, text_hash bigint, n int, set_hash binary, point binary, prefix array<bigint>, common array<bigint>")
+    rows = given.mapInArrow(lean(run), "doc_id bigint, text_hash bigint, n int, set_hash binary, point binary, prefix array<bigint>, common array<bigint>")
     return rows.withColumn("rid", F.monotonically_increasing_id())
 
 
 def shared_keys(entries: DataFrame, limits: Threshold) -> DataFrame:
     """The entries (key, n, rid) whose key another set of a fitting size has.
 
-    Keys come in order of size, so a row is judged by its two neighbours; no task
+    entries: also whether the key is one of the set's first ``inner`` ones. Of two linked sets
+    the first shingle that they share is one of these in the smaller one. Keys come in order of
+    size, so a row is judged by the next one and the last such one before it; no task
     holds a key's rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, fits = None, False  # the last row, and whether the one before it fits
+        held, fits, last = None, False, (0, -1)  # the last row, whether one before it fits, and key and size of the last inner row
         for batch in batches:
             rows = batch if held is None else pa.concat_batches([held, batch])
             if not rows.num_rows:
                 continue
-            key, n = rows.column(0).to_numpy(), rows.column(1).to_numpy().astype(np.int64)
-            near = (key[1:] == key[:-1]) & (100 * n[:-1] >= limits.percent * n[1:])
-            before = np.concatenate([[fits], near])
-            keep = before | np.concatenate([near, [False]])
-            yield rows.slice(0, len(key) - 1).filter(pa.array(keep[:-1]))
+            key, n, inner = (rows.column(k).to_numpy(zero_copy_only=False) for k in (0, 1, 3))
+            n = n.astype(np.int64)
+            at = np.maximum.accumulate(np.where(inner, np.arange(len(key)), -1))[:-1]
+            small = np.where(at >= 0, n[at], np.where(key[1:] == last[0], last[1], -1))
+            smaller = (np.where(at >= 0, key[at], last[0]) == key[1:]) & (small >= 0) & (100 * small >= limits.percent * n[1:])
+            larger = inner[:-1] & (key[1:] == key[:-1]) & (100 * n[:-1] >= limits.percent * n[1:])
+            before = np.concatenate([[fits], smaller])
+            keep = before | np.concatenate([larger, [False]])
+            yield rows.slice(0, len(key) - 1).filter(pa.array(keep[:-1])).select(["key", "n", "rid"])
+            if len(some := np.flatnonzero(inner)):
+                last = key[some[-1]], n[some[-1]]
             held, fits = rows.slice(len(key) - 1), bool(before[-1])
         if held is not None and fits:
-            yield held
+            yield held.select(["key", "n", "rid"])
 
-    ordered = entries.select("key", "n", "rid").repartition("key").sortWithinPartitions("key", "n", "rid")
-    return ordered.mapInArrow(run, "key bigint, n int, rid bigint")
+    ordered = entries.select("key", "n", "rid", "inner").repartition("key").sortWithinPartitions("key", "n", "rid")
+    return ordered.mapInArrow(lean(run), "key bigint, n int, rid bigint")
 
 
 class Forest:
@@ -373,7 +385,7 @@ def candidate_edges(entries: DataFrame, points: DataFrame, limits: Threshold) ->
         yield from stars()
 
     schema = "a bigint, b bigint, key bigint, rid bigint, low bigint, high bigint, reach bigint, point binary"
-    found = saved(dealt.repartition("key", "part").sortWithinPartitions("key", "part", "n", "rid").mapInArrow(run, schema))
+    found = saved(dealt.repartition("key", "part").sortWithinPartitions("key", "part", "n", "rid").mapInArrow(lean(run), schema))
     edges, leaders = found.where("a IS NOT NULL").select("a", "b"), found.where("a IS NULL").drop("a", "b")
     return edges if hot.isEmpty() else edges.unionByName(leader_edges(leaders, limits, most))
 
@@ -419,7 +431,7 @@ def leader_edges(leaders: DataFrame, limits: Threshold, most: int) -> DataFrame:
             settle(held)
         yield forest.stars()
 
-    return dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "rid").mapInArrow(run, "a bigint, b bigint")
+    return dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "rid").mapInArrow(lean(run), "a bigint, b bigint")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -536,7 +548,7 @@ def _verify(groups: DataFrame, docs: DataFrame, text: str, width: int, limits: T
             yield edges()
 
     ordered = placed.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "rid")
-    return ordered.mapInArrow(run, "a bigint, b bigint")
+    return ordered.mapInArrow(lean(run), "a bigint, b bigint")
 
 
 def verified_edges(members: DataFrame, docs: DataFrame, text: str, width: int, limits: Threshold, cluster: int = CLUSTER) -> DataFrame:
@@ -613,7 +625,8 @@ def ngram_join(docs: DataFrame, text: str = "text", width: int = 3, percent: int
     classes = saved(rows.select("first.rid", "set_hash", "first.doc_id", "first.text_hash", "n"))
     copies = saved(full.select("rid").join(classes.select("rid"), "rid", "left_anti"))
     reps = full.select("rid", "n", "point", "prefix", "common").join(within_reach(copies, COPIES), "rid", "left_anti")
-    several = shared_keys(reps.select("n", "rid", F.explode("prefix").alias("key")), limits)
+    first = F.col("n") + 1 - F.ceil(F.col("n") * (2 * percent) / (100 + percent))
+    several = shared_keys(reps.select("n", "rid", first.alias("most"), F.posexplode("prefix").alias("place", "key")).select("n", "rid", "key", (F.col("place") <= F.col("most")).alias("inner")), limits)
     several = saved(several.unionByName(reps.select("n", "rid", F.explode("common").alias("key"))))
     clusters = components(candidate_edges(several, full.select("rid", "point"), limits))
     members = saved(clusters.join(classes.select("rid", "doc_id", "text_hash", "n"), F.col("v") == F.col("rid")).select("root", "rid", "doc_id", "text_hash", "n"))

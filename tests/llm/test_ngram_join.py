@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from nimbostrat.llm.ngram_join import Points, RTree, Threshold, components, linked, ngram_join, packed, point
+from nimbostrat.llm.ngram_join import Points, RTree, Threshold, components, linked, ngram_join, packed, point, shared_keys
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -124,3 +124,10 @@ def test_very_long_text_and_other_columns(spark, by_id):
     rows = [(1, " ".join(words), 5, "x"), (2, " ".join([*words[:-50], "end"]), 6, "y"), (3, "w1 w4 w9 w16", 7, "z")]
     out = by_id(ngram_join(spark.createDataFrame(rows, "doc_id bigint, text string, rid int, component_id string")))
     assert [out[k]["component_id"] for k in (1, 2, 3)] == [1, 1, 3] and set(out[1]) == {"doc_id", "n_shingles", "component_id"}
+
+
+def test_a_key_beyond_the_inner_ones_needs_a_smaller_set(spark):
+    rows = [(1, 100, 1, False), (1, 100, 2, False), (2, 100, 3, True), (2, 104, 4, False), (3, 100, 5, False), (3, 104, 6, True), (4, 50, 7, True), (4, 100, 8, True), (5, 100, 9, True), (5, 101, 10, False), (5, 102, 11, False)]
+    entries = spark.createDataFrame(rows, "key bigint, n int, rid bigint, inner boolean")
+    got = {r["rid"] for r in shared_keys(entries, Threshold(90)).collect()}
+    assert got == {3, 4, 9, 10, 11}
