@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from nimbostrat.llm.common import bound_batches, shared_folder, strings
+from nimbostrat.llm.common import BROADCAST_ROWS, bound_batches, lean, shared_folder, strings
 from nimbostrat.llm.tokens import as_bytes, encoder, ids_batch
 
 SHARD_TOKENS = 1 << 21
@@ -185,7 +185,7 @@ def write_tokens(docs: DataFrame, vocabulary: str, out: str, text: str = "text",
         if size:
             yield shard()
 
-    ordered.mapInArrow(run, SCHEMA).write.option("compression", "zstd").option("parquet.block.size", 32 << 20).parquet(out)
+    ordered.mapInArrow(lean(run), SCHEMA).write.option("compression", "zstd").option("parquet.block.size", 32 << 20).parquet(out)
 
 
 ARROW = pa.schema(
@@ -239,8 +239,11 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
                     names=["part", "seq", "doc_id", "at", "n_tokens", "ids_crc32"],
                 )
 
-    decoded = rows.mapInArrow(run, "part int, seq int, doc_id bigint, at bigint, n_tokens bigint, ids_crc32 bigint")
-    return decoded.join(shard_starts(rows), ["part", "seq"]).select(
+    decoded = rows.mapInArrow(lean(run), "part int, seq int, doc_id bigint, at bigint, n_tokens bigint, ids_crc32 bigint")
+    starts = shard_starts(rows)
+    if rows.count() <= BROADCAST_ROWS:  # of shards; the documents then stay where they are
+        starts = F.broadcast(starts)
+    return decoded.join(starts, ["part", "seq"]).select(
         "doc_id", (F.col("shard_start") + F.col("at")).alias("start"), "n_tokens", "ids_crc32"
     )
 

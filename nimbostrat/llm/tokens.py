@@ -22,11 +22,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nimbostrat.llm.common import bound_batches, fresh, strings
+from nimbostrat.llm.common import bound_batches, fresh, lean, strings
 
-#: Pieces of one generation of a worker's memory, 300 bytes each. Beyond it a new one begins and the one
-#: before the last is forgotten, so that pieces which recur stay known.
-REMEMBERED = 200_000
+#: Pieces of a worker's memory, about 40 bytes each.
+REMEMBERED = 400_000
+#: Pieces that are joined to one text for the library, and pieces of which the ids are put together at once.
+JOINED, TOGETHER = 1000, 1 << 18
 
 _ALNUM = "A-Za-z0-9À-ÖØ-öø-ÿ"
 _PUNCT = r"!-/:-@\[-`{-~"
@@ -41,18 +42,22 @@ _PIECE = re.compile(
 # letter) it may be cut before every space; the others are where these patterns' two groups meet.
 _ODD_SPACE = r"[^\x{21}-\x{7e}\x{c0}-\x{24f}] |\x00"
 _MEET = [(rf"([{_ALNUM}])([{_QUIET}])", "\\1\0\\2"), (rf"([{_QUIET}])([{_ALNUM}])", "\\1\0\\2"), (rf"([\x{{21}}-\x{{7e}}\x{{c0}}-\x{{24f}}])\n([{_ALNUM}])", "\\1\0\n\0\\2")]
+#: Pieces that may follow each other in one text: it may be cut before each.
+_JOINS = r"^ [\x{21}-\x{7e}\x{c0}-\x{24f}]+$"
 _COARSE = re.compile(r"(?s:.)+?(?=(?<=\S) |\Z)")
 _ENCODERS: dict[tuple[str, str], PieceEncoder] = {}
 
 
 class PieceEncoder:
-    """Encodes pieces with a public vocabulary file and remembers them.
+    """Encodes pieces with a public vocabulary file and remembers their ids.
 
-    keep turns the encoding of a piece into what is remembered.
+    keep turns the encoding of a piece into what ``learn`` returns. The memory is made of Arrow and NumPy
+    arrays, some 40 bytes a piece: ``pieces``, their ``ids`` in one array, and how many each has.
     """
 
     def __init__(self, path: str, keep):
-        self.memory, self.older, self.keep = {}, {}, keep
+        self.keep, self.pieces = keep, pa.array([], pa.large_string())
+        self.ids, self.sizes, self.widths = np.zeros(0, np.uint32), np.zeros(0, np.int64), None
         if path.endswith(".json"):
             from tokenizers import Tokenizer
 
@@ -81,23 +86,70 @@ class PieceEncoder:
         return (_COARSE if any(t in text for t in self.special) else _PIECE).findall(text)
 
     def learn(self, parts: list[str]) -> list:
-        """What is kept of each part; parts should differ."""
-        if len(self.memory) > REMEMBERED:
-            self.memory, self.older = {}, self.memory
-        memory, older = self.memory, self.older
-        kept = [memory.get(x) for x in parts]
-        unknown = [k for k, v in enumerate(kept) if v is None]
-        new = []
-        for k in unknown:
-            if (v := older.get(x := parts[k])) is None:
-                new.append(x)
-            else:
-                memory[x] = kept[k] = v
-        if new:
-            memory.update(zip(new, map(self.keep, self.encode(new)), strict=True))
-            for k in unknown:
-                kept[k] = memory[parts[k]]
-        return kept
+        """What is kept of each part, encoded apart."""
+        return [self.keep(x) for x in self.encode(parts)]
+
+    def apart(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all parts, and how many each has; each part is a text for the library."""
+        found = [array("I", x if isinstance(x, list) else x.ids) for x in self.encode(parts)]
+        return np.frombuffer(b"".join(found), np.uint32), np.fromiter(map(len, found), np.int64, len(found))
+
+    def joined(self, parts: pa.Array) -> tuple[np.ndarray, np.ndarray] | None:
+        """The same of parts that begin with a space and go on in visible characters, which encode in one
+        text as they do apart; None unless an id ends where each of them does."""
+        if self.widths is None:  # bytes of each id: a byte-level token has a character for each
+            words = self.tokenizer.get_vocab()
+            self.widths = np.zeros(max(words.values(), default=0) + 1, np.int64)
+            self.widths[list(words.values())] = [len(x) for x in words]
+        texts = ["".join(parts.slice(k, JOINED).to_pylist()) for k in range(0, len(parts), JOINED)]
+        ids = self.apart(texts)[0]
+        reached, wanted = np.cumsum(self.widths[ids]), np.cumsum(pc.binary_length(parts).to_numpy())
+        at = np.searchsorted(reached, wanted)
+        if not len(ids) or reached[-1] != wanted[-1] or (reached[at] != wanted).any():
+            return None
+        return ids, np.diff(at + 1, prepend=0)
+
+    def encoded(self, parts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all parts in order, and how many each has."""
+        plain = pc.match_substring_regex(parts, _JOINS) if self.splits else pa.array(np.zeros(len(parts), bool))
+        for special in self.special:
+            plain = pc.and_not(plain, pc.match_substring(parts, special))
+        plain = plain.to_numpy(zero_copy_only=False)
+        some = parts.filter(pa.array(plain))
+        if not plain.any() or (quick := self.joined(some)) is None:
+            return self.apart(parts.to_pylist())
+        slow = self.apart(parts.filter(pa.array(~plain)).to_pylist())
+        order = np.concatenate([np.flatnonzero(plain), np.flatnonzero(~plain)])
+        ids, sizes = (np.concatenate(x) for x in zip(quick, slow, strict=True))
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        return gathered(ids, sizes, place), sizes[place]
+
+    def recall(self, parts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """As ``encoded``, of parts that differ; what this worker has met lately isn't encoded again."""
+        if not self.splits:
+            return self.encoded(parts)
+        known = pc.index_in(parts, value_set=self.pieces)
+        new = parts.filter(known.is_null())
+        ids, sizes = self.encoded(new)
+        which = pc.fill_null(known, -1).to_numpy().astype(np.int64)
+        which[which < 0] = len(self.pieces) + np.arange(len(new))
+        pieces = pa.concat_arrays([self.pieces, new])
+        ids, sizes = np.concatenate([self.ids, ids]), np.concatenate([self.sizes, sizes])
+        out = gathered(ids, sizes, which), sizes[which]
+        # beyond its size the memory holds the pieces met last
+        self.pieces, (self.ids, self.sizes) = (pieces, (ids, sizes)) if len(pieces) <= REMEMBERED else (parts, out)
+        return out
+
+
+def gathered(ids: np.ndarray, sizes: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """The ids of the pieces numbered by ``which``, one after the other; ids holds those of all pieces."""
+    begin, out = np.cumsum(sizes) - sizes, []
+    for start in range(0, len(which), TOGETHER):
+        some = which[start : start + TOGETHER]
+        each = sizes[some]
+        out.append(ids[np.repeat(begin[some] - (np.cumsum(each) - each), each) + np.arange(int(each.sum()))])
+    return np.concatenate(out) if out else ids[:0]
 
 
 def encoder(path: str, purpose: str, keep) -> PieceEncoder:
@@ -122,8 +174,8 @@ def by_size(sizes: list[int], limit: int) -> Iterator[tuple[int, int]]:
         yield start, len(sizes)
 
 
-def looked_up(texts: pa.Array, enc: PieceEncoder) -> tuple[list, np.ndarray, np.ndarray]:
-    """(kept, which, n): what ``enc`` keeps of distinct pieces, the pieces of all texts in order by number, and how many each text has.
+def looked_up(texts: pa.Array, enc: PieceEncoder) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(ids, sizes, which, n): the ids of distinct pieces and how many each has, the pieces of all texts in order by number, and how many each text has.
 
     Texts with odd spaces or special strings, and all of them where pieces can't be
     encoded apart, are cut one by one.
@@ -139,9 +191,9 @@ def looked_up(texts: pa.Array, enc: PieceEncoder) -> tuple[list, np.ndarray, np.
     n = np.zeros(len(texts), np.int64)
     n[~odd] = pc.list_value_length(split).to_numpy(zero_copy_only=False)
     pieces = pc.list_flatten(split).dictionary_encode()
-    parts, which = pieces.dictionary.to_pylist(), pieces.indices.to_numpy(zero_copy_only=False)
+    parts, which = pieces.dictionary, pieces.indices.to_numpy(zero_copy_only=False)
     if odd.any():
-        number, every, at = {x: i for i, x in enumerate(parts)}, [], 0
+        number, every, at = {x: i for i, x in enumerate(parts.to_pylist())}, [], 0
         for k in range(len(texts)):
             if odd[k]:
                 cut = enc.cut(texts[k].as_py())
@@ -150,16 +202,20 @@ def looked_up(texts: pa.Array, enc: PieceEncoder) -> tuple[list, np.ndarray, np.
             else:
                 every.append(which[at : at + n[k]])
                 at += n[k]
-        parts, which = list(number), np.concatenate(every)
-    return enc.learn(parts), which, n
+        parts, which = pa.array(list(number), pa.large_string()), np.concatenate(every)
+    return *enc.recall(parts), which, n
+
+
+def per_text(values: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Sums of the values of each text's pieces."""
+    total, ends = np.concatenate([[0], np.cumsum(values, dtype=np.int64)]), np.cumsum(n)
+    return total[ends] - total[ends - n]
 
 
 def count_batch(texts: pa.Array, path: str) -> np.ndarray:
     """Tokens of each text."""
-    kept, which, n = looked_up(texts, encoder(path, "lengths", len))
-    total = np.concatenate([[0], np.cumsum(np.array(kept, np.int64)[which])]) if len(which) else np.zeros(1, np.int64)
-    ends = np.cumsum(n)
-    return total[ends] - total[ends - n]
+    _, sizes, which, n = looked_up(texts, encoder(path, "lengths", len))
+    return per_text(sizes[which], n)
 
 
 def as_bytes(kind: str):
@@ -168,23 +224,10 @@ def as_bytes(kind: str):
     return lambda encoding: array(code, encoding if isinstance(encoding, list) else encoding.ids).tobytes()
 
 
-#: Pieces of which the ids are put together at once.
-TOGETHER = 1 << 20
-
-
 def ids_batch(texts: pa.Array, enc: PieceEncoder, kind: str) -> tuple[np.ndarray, np.ndarray]:
-    """The ids of all texts in order, and how many each text has; ``enc`` keeps ids as bytes of ``kind``."""
-    kept, which, n = looked_up(texts, enc)
-    flat = np.frombuffer(b"".join(kept), kind)
-    size = np.array([len(x) for x in kept], np.int64) // np.dtype(kind).itemsize
-    begin, out = np.cumsum(size) - size, []
-    for start in range(0, len(which), TOGETHER):
-        some = which[start : start + TOGETHER]
-        each = size[some]
-        out.append(flat[np.repeat(begin[some] - (np.cumsum(each) - each), each) + np.arange(int(each.sum()))])
-    ends = np.cumsum(n)
-    total = np.concatenate([[0], np.cumsum(size[which])]) if len(which) else np.zeros(1, np.int64)
-    return np.concatenate(out) if out else np.zeros(0, kind), total[ends] - total[ends - n]
+    """The ids of all texts in order as ``kind``, and how many each text has."""
+    ids, sizes, which, n = looked_up(texts, enc)
+    return gathered(ids.astype(kind), sizes, which), per_text(sizes[which], n)
 
 
 def token_counts(docs: DataFrame, path: str, text: str = "text", limit: int = 512) -> DataFrame:
@@ -210,4 +253,4 @@ def token_counts(docs: DataFrame, path: str, text: str = "text", limit: int = 51
             columns += [pc.binary_length(texts).cast(pa.int64()), pa.array(counts), pa.array(counts > limit)]
             yield pa.RecordBatch.from_arrays(columns, names=[*kept, *results])
 
-    return given.mapInArrow(run, ", ".join([*fields, "n_bytes bigint", "n_tokens bigint", "over_limit boolean"]))
+    return given.mapInArrow(lean(run), ", ".join([*fields, "n_bytes bigint", "n_tokens bigint", "over_limit boolean"]))

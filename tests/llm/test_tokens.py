@@ -1,3 +1,4 @@
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -48,6 +49,44 @@ def test_memory_starts_afresh(monkeypatch):
     assert ids.tolist() == [i for x in whole(texts) for i in x] and counts.tolist() == [len(x) for x in whole(texts)]
 
 
+def test_memory_of_pieces_is_small():
+    """Pieces are remembered in arrays, not as an object each."""
+    enc = encoder(PATH, "small", as_bytes("<u2"))
+    ids_batch(pa.array(["some first words"], pa.large_string()), enc, "<u2")
+    texts = pa.array([" ".join(f"w{k * 7919}q" for k in range(j, j + 1000)) for j in range(0, 50000, 1000)], pa.large_string())
+    tracemalloc.start()
+    try:
+        ids_batch(texts, enc, "<u2")
+        assert tracemalloc.get_traced_memory()[0] < 100 * 50000
+    finally:
+        tracemalloc.stop()
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.lists(st.sampled_from([*PARTS, " a", " B!", " 'll", " é", " <|", "endoftext|>", " ²"]), max_size=14).map("".join), min_size=1, max_size=40))
+def test_joined_pieces_encode_like_whole_texts(texts):
+    """Pieces that the library gets in one text, in texts of three pieces and with a memory of few."""
+    from nimbostrat.llm import tokens
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(tokens, "JOINED", 3)
+        patch.setattr(tokens, "REMEMBERED", 9)
+        enc = encoder(PATH, "joined", as_bytes("<u4"))
+        ids, counts = ids_batch(pa.array(texts, pa.large_string()), enc, "<u4")
+    want = whole(texts)
+    assert counts.tolist() == [len(x) for x in want] and ids.tolist() == [i for x in want for i in x]
+
+
+def test_documents_meet_shard_starts_where_they_are(spark, docs):
+    """Rows of documents aren't shuffled to find where their shard begins."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = token_output(docs([(1, "a"), (2, "b")]), PATH)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "BroadcastHashJoin" in plan
+
+
 def test_counts(docs, by_id):
     rows = [(1, "Some words, again."), (2, None), (3, ""), (4, "a" * 3000), (5, "long text " * 20000)]
     out = by_id(token_counts(docs(rows), PATH))
