@@ -19,12 +19,14 @@ def parse_lines(lines: DataFrame, line: str = "line") -> DataFrame:
     A line is ``record:offset:d=YYYYMMDDHH:param:level:forecast:``; lines without
     a numeric offset or a parameter are dropped.
     """
-    part = F.split(F.col(line), ":", -1)
+    # the one row of an explode keeps the parts apart, else each use of a part makes and splits the line again
+    rows = lines.select("*", F.explode(F.array(F.split(F.col(line), ":", -1))).alias("__part"))
+    part = F.col("__part")
     at = lambda k: F.get(part, F.lit(k))
     offset = F.when(at(1).rlike(r"^\d{1,18}$"), at(1)).cast("bigint")
-    rows = lines.withColumns({
+    rows = rows.withColumns({
         "record": at(0), "offset": offset, "run_hour": F.regexp_replace(at(2), "^d=", ""), "param": at(3), "level": at(4), "forecast": F.coalesce(at(5), F.lit("")),
-    })
+    }).drop("__part")
     return rows.where(F.col("offset").isNotNull() & (F.coalesce("param", F.lit("")) != ""))
 
 
@@ -80,13 +82,18 @@ def first_match(records: DataFrame, selectors: DataFrame, keys: tuple[str, ...]
     prefers certain layers. The selectors, a catalogue, join by parameter.
     """
     chosen = selectors.select("selector", F.col("param").alias("s_param"), F.col("level").alias("s_level"), "level_regex")
-    fits = matches()
     plain = (F.col("param") == "CAPE") & F.col("s_level").isNull() & F.col("level_regex").isNull()
     rank = F.when(plain & ~F.col("level").rlike(CAPE_LEVELS), 1).otherwise(0)
-    found = records.join(F.broadcast(chosen), fits)
-    # a minimum of structs is taken on the map side already; no group is sorted
-    best = found.groupBy(*keys, "selector").agg(F.min_by(F.struct(*[F.col(c) for c in records.columns if c not in keys]), F.struct(rank, "ordinal", "record")).alias("best"))
-    return best.select(*keys, "selector", "best.*")
+    place = F.coalesce(F.col("ordinal").cast("bigint"), F.lit(-(1 << 63)))  # a missing one first
+    found = records.join(F.broadcast(chosen), matches()).select(*records.columns, "selector", rank.alias("rank"), place.alias("place"))
+    # numbers alone are aggregated by hash, without a sort; whole records then meet the few winners
+    group = [*keys, "selector"]
+    least = found.groupBy(*group).agg(*[F.min(F.when(F.col("rank") == k, F.col("place"))).alias(f"least{k}") for k in (0, 1)])
+    won = least.select(*[F.col(c).alias(f"won_{c}") for c in group], F.when(F.col("least0").isNull(), 1).otherwise(0).alias("won_rank"), F.coalesce("least0", "least1").alias("won_place"))
+    same = [F.col(c).eqNullSafe(F.col(f"won_{c}")) for c in group] + [F.col("rank") == F.col("won_rank"), F.col("place") == F.col("won_place")]
+    rest = [c for c in records.columns if c not in keys]
+    best = found.join(won.hint("shuffle_hash"), same).groupBy(*group).agg(F.min_by(F.struct(*rest), "record").alias("best"))
+    return best.select(*group, "best.*")
 
 
 def unique_records(records: DataFrame, keys: tuple[str, ...] = ("hour", "record"), order: tuple[str, ...] = ("ordinal",)) -> DataFrame:

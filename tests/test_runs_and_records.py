@@ -98,3 +98,18 @@ def test_keys_of_frames(spark):
     layers = spark.createDataFrame([("t", "image"), ("h", "contour"), ("w", "vector"), ("r", "reflectivity")], "layer string, kind string")
     keys = sorted(r["key"] for r in frames.asset_keys(planned, layers, [5, 15]).collect())
     assert keys == ["b/007/h-contours.json", "b/007/h.png", "b/007/r-g15.png", "b/007/r-g5.png", "b/007/t.png", "b/007/w-vectors.json"]
+
+
+def test_lines_are_split_once_and_records_not_sorted(spark):
+    """Parts of a line are made once; first matches are found by hash, before whole records are looked at."""
+    from nimbostrat.sources import inventory
+
+    lines = spark.range(9).selectExpr("id % 2 AS hour", "id AS ordinal", "concat_ws(':', id, id, 'd=2024010100', 'CAPE', if(id < 4, 'x', 'surface'), 'anl', '') AS line")
+    rows = inventory.parse_lines(lines)
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
+    wanted = spark.createDataFrame([("a", "CAPE", None, None), ("b", "CAPE", "x", None)], "selector string, param string, level string, level_regex string")
+    found = inventory.first_match(rows, wanted)
+    assert "ShuffledHashJoin" in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r["hour"], r["selector"], r["ordinal"]) for r in found.collect()) == [(0, "a", 4), (0, "b", 0), (1, "a", 5), (1, "b", 1)]
+    missing = inventory.first_match(rows.withColumn("ordinal", F.expr("nullif(ordinal, 6)")).withColumn("hour", F.expr("nullif(hour, 1)")), wanted)
+    assert sorted((str(r["hour"]), r["selector"], str(r["record"])) for r in missing.collect()) == [("0", "a", "6"), ("0", "b", "0"), ("None", "a", "5"), ("None", "b", "1")]
