@@ -10,8 +10,9 @@ from __future__ import annotations
 
 import math
 from collections import defaultdict
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -61,17 +62,27 @@ def candidates(points: DataFrame, keys: tuple[str, ...] = ("frame",), shares: tu
     return rows.select(*keys, "line", "value", "turn", (F.col("x") + (F.col("x2") - F.col("x")) * F.col("part")).alias("x"), (F.col("y") + (F.col("y2") - F.col("y")) * F.col("part")).alias("y"), flat.alias("angle"))
 
 
-def place_labels(rows: pd.DataFrame, taken: list[tuple[float, float]], spacing: float) -> pd.DataFrame:
-    """The first free place of each line, in the order of lines; lines without room have none."""
-    room, chosen, done = Room(spacing), [], set()
-    for x, y in taken:
-        room.place(x, y)
-    for r in rows.sort_values(["line", "turn"], kind="stable").itertuples(index=False):
-        if r.line not in done and room.free(r.x, r.y):
-            room.place(r.x, r.y)
-            done.add(r.line)
-            chosen.append(r)
-    return pd.DataFrame(chosen, columns=rows.columns)
+def place_labels(batches: Iterator[pa.RecordBatch], spacing: float, keys: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
+    """The first free place of each line; lines without room have none.
+
+    Rows come in the order of keys, line and turn, a frame's standing labels (turn -1) before its lines, and are
+    not given back. Only the labels of one frame are held.
+    """
+    frame, room, named = None, Room(spacing), None
+    for batch in batches:
+        chosen, columns = [], [batch.column(c).to_pylist() for c in ("line", "turn", "x", "y")]
+        whose = zip(*[batch.column(c).to_pylist() for c in keys], strict=True)
+        for k, (key, line, turn, x, y) in enumerate(zip(whose, *columns, strict=True)):
+            if key != frame:
+                frame, room, named = key, Room(spacing), None
+            if turn < 0:
+                room.place(x, y)
+            elif (line,) != named and room.free(x, y):
+                room.place(x, y)
+                named = (line,)
+                chosen.append(k)
+        if chosen:
+            yield batch.take(pa.array(chosen))
 
 
 def line_labels(points: DataFrame, spacing: float, bounds: tuple[float, float, float, float], taken: DataFrame | None = None, keys: tuple[str, ...] = ("frame",), reach: float = 1.0) -> DataFrame:
@@ -79,13 +90,13 @@ def line_labels(points: DataFrame, spacing: float, bounds: tuple[float, float, f
 
     bounds: least x, least y, most x and most y of a label. taken: keys, value, x, y of labels that
     stand already; a line with one of its value within ``reach`` of one of its points
-    needs no other. A frame's candidates, a few for each of its lines, are placed together.
+    needs no other. A frame's candidates, a few for each of its lines, pass one task in their order.
     """
     x0, y0, x1, y1 = bounds
     rows = candidates(points, keys).where(F.col("x").between(x0, x1) & F.col("y").between(y0, y1))
-    kinds = [f"{f.name} {f.dataType.simpleString()}" for f in rows.schema]
+    place = lambda given: given.repartition(*keys).sortWithinPartitions(*keys, F.col("turn") >= 0, "line", "turn").mapInArrow(lambda part: place_labels(part, spacing, keys), rows.schema).drop("turn")
     if taken is None:
-        return rows.groupBy(*keys).applyInPandas(lambda part: place_labels(part, [], spacing), ", ".join(kinds)).drop("turn")
+        return place(rows)
     # labels and points within reach share a square or stand in neighbouring ones
     square = lambda c: F.floor(F.col(c) / reach)
     spots = taken.select(*keys, "value", F.col("x").alias("tx"), F.col("y").alias("ty"))
@@ -94,5 +105,5 @@ def line_labels(points: DataFrame, spacing: float, bounds: tuple[float, float, f
     dx, dy = F.col("x") - F.col("tx"), F.col("y") - F.col("ty")
     named = near.where(dx * dx + dy * dy <= reach * reach).select(*keys, "line").distinct()
     rows = rows.join(named, [*keys, "line"], "left_anti").select(*rows.columns)
-    others = taken.select(*keys, F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
-    return rows.groupBy(*keys).cogroup(others.groupBy(*keys)).applyInPandas(lambda a, b: place_labels(a, list(zip(b["x"], b["y"], strict=True)), spacing), ", ".join(kinds)).drop("turn")
+    others = taken.select(*[F.col(c) if c in keys else F.col(c).cast("double") if c in ("x", "y") else F.lit(-1 if c == "turn" else None).cast(rows.schema[c].dataType).alias(c) for c in rows.columns])
+    return place(rows.unionByName(others))

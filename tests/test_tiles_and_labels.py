@@ -105,3 +105,14 @@ def test_angles_are_readable(spark):
     rows = [(0, 0, 1, 0, 5.0, 5.0), (0, 0, 1, 1, 2.0, 5.0), (0, 1, 1, 0, 9.0, 9.0), (0, 1, 1, 1, 9.0, 12.0), (0, 2, 1, 0, 1.0, 1.0)]
     got = {r["line"]: r["angle"] for r in labels.line_labels(spark.createDataFrame(rows, POINTS), 1.0, (0.0, 0.0, 20.0, 20.0)).collect()}
     assert got == {0: pytest.approx(0.0), 1: pytest.approx(90.0)}  # a line of one point has no label
+
+
+def test_frames_are_not_held_whole(spark):
+    """A frame's candidates pass in batches; only its labels are held."""
+    import pyarrow as pa
+
+    given = pa.RecordBatch.from_pydict({"frame": [0] * 7, "line": [None, 1, 1, 2, 2, 3, 3], "turn": [-1, 0, 1, 0, 1, 0, 1], "x": [0.0, 0.5, 3.0, 3.5, 9.0, 9.5, 0.1], "y": [0.0] * 7})
+    out = labels.place_labels(iter([given.slice(k, 1) for k in range(7)]), 2.0, ("frame",))
+    assert [(b["line"][0].as_py(), b["x"][0].as_py()) for b in out] == [(1, 3.0), (2, 9.0)]
+    plan = labels.line_labels(spark.createDataFrame(drawn(4), POINTS), 2.0, (1.0, 1.0, 19.0, 19.0))._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroups" not in plan and "MapInArrow" in plan
