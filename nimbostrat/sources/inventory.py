@@ -51,7 +51,8 @@ def byte_ranges(records: DataFrame, keys: tuple[str, ...] = ("hour",), length: C
     share an offset share a range; the last one ends with the file, where its
     length is known.
     """
-    order = Window.partitionBy(*keys).orderBy("offset").rangeBetween(1, Window.unboundedFollowing)
+    # from the end, so that the frame grows; one that shrinks is gone through anew for each record
+    order = Window.partitionBy(*keys).orderBy(F.col("offset").desc()).rangeBetween(Window.unboundedPreceding, -1)
     end = F.coalesce(F.min("offset").over(order), length if length is not None else F.lit(None).cast("bigint"))
     return records.withColumns({"first_byte": F.col("offset"), "last_byte": end - 1})
 

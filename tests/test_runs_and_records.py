@@ -113,3 +113,11 @@ def test_lines_are_split_once_and_records_not_sorted(spark):
     assert sorted((r["hour"], r["selector"], r["ordinal"]) for r in found.collect()) == [(0, "a", 4), (0, "b", 0), (1, "a", 5), (1, "b", 1)]
     missing = inventory.first_match(rows.withColumn("ordinal", F.expr("nullif(ordinal, 6)")).withColumn("hour", F.expr("nullif(hour, 1)")), wanted)
     assert sorted((str(r["hour"]), r["selector"], str(r["record"])) for r in missing.collect()) == [("0", "a", "6"), ("0", "b", "0"), ("None", "a", "5"), ("None", "b", "1")]
+
+
+def test_ranges_by_a_growing_frame(spark):
+    """Next offsets come from a frame that grows, so a file's records are gone through once."""
+    rows = spark.createDataFrame([(0, 5), (0, 5), (0, 9), (0, None), (1, 3)], "hour int, offset bigint")
+    out = inventory.byte_ranges(rows)
+    assert "unboundedfollowing" not in out._jdf.queryExecution().executedPlan().toString().lower()
+    assert sorted((r["hour"], str(r["first_byte"]), r["last_byte"]) for r in out.collect() if r["hour"] == 0) == [(0, "5", 8), (0, "5", 8), (0, "9", None), (0, "None", 4)]
