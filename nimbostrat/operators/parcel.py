@@ -46,8 +46,10 @@ def moist_move(t: np.ndarray, z0: np.ndarray, z1: np.ndarray, p: np.ndarray) ->
     depth = z1 - z0
     steps = np.maximum(1, np.ceil(np.abs(np.nan_to_num(depth)) / MOST_STEP_M)).astype(int)
     step = depth / steps
+    t, live = np.array(t, float), np.flatnonzero(depth != 0)
     for k in range(int(steps.max(initial=1))):
-        t = np.where(k < steps, t - moist_lapse(t, p) * step, t)
+        live = live[k < steps[live]]
+        t[live] -= moist_lapse(t[live], p[live]) * step[live]
     return t
 
 
@@ -145,19 +147,33 @@ def cape_cin(p: np.ndarray, z: np.ndarray, t: np.ndarray, td: np.ndarray, source
     return cape, np.where(cape > 0, cin, 0.0)
 
 
+def segments_at(p: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For pressures (rows, n): the first pair of levels around each, -1 outside the profile, and the share of its way up by the logarithm."""
+    at = np.full(target.shape, -1, np.int64)
+    for k in range(p.shape[1] - 2, -1, -1):
+        low, high = p[:, k : k + 1], p[:, k + 1 : k + 2]
+        at[(low >= target) & (high <= target)] = k
+    log = np.log(p)
+    share = np.clip((np.log(target) - _picked(log, at)) / _picked(log[:, 1:] - log[:, :-1], at), 0, 1)
+    return at, share
+
+
+def _picked(values: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Each row's values at its places; any value where there is no place."""
+    return values.take(np.maximum(at, 0) + np.arange(len(at))[:, None] * values.shape[1])
+
+
+def between(values: np.ndarray, at: np.ndarray, share: np.ndarray) -> np.ndarray:
+    """Values of ``segments_at``, linear between both levels; missing outside the profile."""
+    return np.where(at >= 0, _picked(values[:, :-1], at) + _picked(values[:, 1:] - values[:, :-1], at) * share, np.nan)
+
+
 def thermo_at(p: np.ndarray, z: np.ndarray, t: np.ndarray, td: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """z, t and td of each row's levels at pressures (rows, n), linear in their logarithm; missing outside the profile."""
-    out = [np.full(target.shape, np.nan) for _ in range(3)]
-    open_ = np.ones(target.shape, bool)
-    for k in range(p.shape[1] - 1):
-        low, high = p[:, k : k + 1], p[:, k + 1 : k + 2]
-        inside = open_ & (low >= target) & (high <= target)
-        share = np.clip((np.log(target) - np.log(low)) / (np.log(high) - np.log(low)), 0, 1)
-        for values, found in zip((z, t, td), out, strict=True):
-            a, b = values[:, k : k + 1], values[:, k + 1 : k + 2]
-            found[inside] = (a + (b - a) * share)[inside]
-        open_ &= ~inside
-    return out[0], out[1], out[2]
+    if p.shape[1] < 2:
+        return tuple(np.full(target.shape, np.nan) for _ in range(3))
+    at, share = segments_at(p, target)
+    return between(z, at, share), between(t, at, share), between(td, at, share)
 
 
 def equivalent(t: np.ndarray, td: np.ndarray, p: np.ndarray) -> np.ndarray:
@@ -179,14 +195,19 @@ def downdraft_cape(p: np.ndarray, z: np.ndarray, t: np.ndarray, td: np.ndarray,
     """
     rows = np.arange(len(p))
     least, source_p = np.full(len(p), np.inf), np.full(len(p), np.nan)
+    top = np.fmin.reduce(p, axis=1)
     for k in range(0 if from_lowest else 1, p.shape[1]):
-        if not (p[:, k] >= p[:, 0] - depth).any():
+        # only of layers that are a parcel's candidates and within the profile
+        some = np.flatnonzero((p[:, k] >= p[:, 0] - depth) & (p[:, k] - layer >= top))
+        if not len(some):
             continue
-        steps = p[:, k : k + 1] - np.arange(layer + 1)
-        _, at, dew = thermo_at(p, z, t, td, steps)
-        mean = equivalent(at, dew, steps).mean(axis=1)
-        better = np.isfinite(mean) & (p[:, k] >= p[:, 0] - depth) & (mean < least)
-        least, source_p = np.where(better, mean, least), np.where(better, p[:, k] - layer / 2, source_p)
+        steps = p[some, k : k + 1] - np.arange(layer + 1)
+        # where pressure falls with every level, none below the layer's bottom takes part, save that it ends a pair there
+        first = k - 1 if k and (p[some, 1 : k + 1] < p[some, :k]).all() else 0
+        at, share = segments_at(p[some, first:], steps)
+        mean = equivalent(between(t[some, first:], at, share), between(td[some, first:], at, share), steps).mean(axis=1)
+        better = np.isfinite(mean) & (mean < least[some])
+        least[some], source_p[some] = np.where(better, mean, least[some]), np.where(better, p[some, k] - layer / 2, source_p[some])
     height, warm, dew = (x[:, 0] for x in thermo_at(p, z, t, td, source_p[:, None]))
     parcel, at_p, env, total = wet_bulb(warm, np.minimum(dew, warm), source_p), source_p.copy(), warm, np.zeros(len(p))
     for k in range(p.shape[1] - 1, -1, -1):

@@ -260,3 +260,27 @@ def test_downdraft_without_the_ground(spark):
     assert np.isfinite(both[1][0]) and both[0][0] != both[1][0]
     same = parcel.downdraft_cape(*matrices(CAPPED)), parcel.downdraft_cape(*matrices(CAPPED), from_lowest=False)
     assert same[0][0] == same[1][0]
+
+
+def test_derived_grids_of_a_candidate_without_temperatures(spark):
+    """Its winds still give a shear; what needs temperatures is missing."""
+    profiles = _table(spark, c1=[(*r[:2], None, *r[3:]) for r in STORM], c2=STORM)
+    fields = spark.createDataFrame([(c, 2000.0, -25.0, 1500.0, -10.0, 2500.0) for c in (1, 2)], FIELDS)
+    got = {r["cell"]: r for r in effective.profile_derived_grids(profiles, fields).collect()}
+    assert got[1]["searched"] and got[1]["shear_0_6km_kt"] == got[2]["shear_0_6km_kt"]
+    assert all(got[1][c] is None for c in ("lapse_0_3km", "dcape", "scp_effective", "stp_effective")) and got[2]["scp_effective"] > 0.1
+
+
+def test_downdraft_scores_only_candidate_layers(monkeypatch):
+    """Layers of other levels, and those that end above the profile, cost nothing."""
+    scored, plain = [], parcel.equivalent
+    monkeypatch.setattr(parcel, "equivalent", lambda t, td, p: scored.append(len(p)) or plain(t, td, p))
+    parcel.downdraft_cape(*matrices(STORM[:2], CAPPED, STORM[:3], *[STORM[:2]] * 50), from_lowest=False)
+    assert sum(scored) == sum(600 <= r[0] < 1000 for r in CAPPED)
+
+
+def test_derived_grids_are_one_trip_to_python(spark):
+    """No step of the fields is evaluated level by level outside of it."""
+    profiles, fields = _table(spark, c1=STORM), spark.createDataFrame([(1, 2000.0, -25.0, 1500.0, -10.0, 2500.0)], FIELDS)
+    plan = effective.profile_derived_grids(profiles, fields)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and not any(x in plan for x in ("ArrowEvalPython", "aggregate(", "filter("))
