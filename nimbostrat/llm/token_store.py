@@ -56,9 +56,9 @@ class WaveletMatrix:
             cut = np.concatenate([[0], np.add.reduceat(ones, np.arange(0, len(ones), MARK // 8), dtype=np.int64)]) if len(ones) else np.zeros(1)
             planes.append(packed.tobytes())
             marks.append(np.cumsum(cut).astype("<u4").tobytes())
-            low = np.compress(~bit, ids)
-            zeros.append(len(low))
-            ids = np.concatenate([low, np.compress(bit, ids)])
+            zeros.append(len(ids) - int(np.count_nonzero(bit)))
+            if b:
+                ids = np.concatenate([np.compress(~bit, ids), np.compress(bit, ids)])
         return cls(len(ids), planes, marks, zeros)
 
     def parts(self) -> tuple[list[bytes], list[bytes], list[int]]:

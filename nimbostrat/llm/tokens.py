@@ -58,6 +58,7 @@ class PieceEncoder:
     def __init__(self, path: str, keep):
         self.keep, self.pieces = keep, pa.array([], pa.large_string())
         self.ids, self.sizes, self.widths = np.zeros(0, np.uint32), np.zeros(0, np.int64), None
+        self.again = np.zeros(0, bool)  # whether a piece was met again since it came or was last kept
         if path.endswith(".json"):
             from tokenizers import Tokenizer
 
@@ -137,10 +138,23 @@ class PieceEncoder:
         pieces = pa.concat_arrays([self.pieces, new])
         ids, sizes = np.concatenate([self.ids, ids]), np.concatenate([self.sizes, sizes])
         out = gathered(ids, sizes, which), sizes[which]
-        # beyond its size the memory holds the pieces met last
-        self.pieces, (self.ids, self.sizes) = (pieces, (ids, sizes)) if len(pieces) <= REMEMBERED else (parts, out)
+        self.again = np.concatenate([self.again, np.zeros(len(new), bool)])
+        self.again[which[which < len(self.pieces)]] = True
+        self.pieces, self.ids, self.sizes = pieces, ids, sizes
+        if len(pieces) > REMEMBERED:
+            self.forget(which)
         return out
 
+    def forget(self, latest: np.ndarray) -> None:
+        """Keep the pieces met in the latest batch and, where they fit, those met more than once of late."""
+        kept = np.zeros(len(self.pieces), bool)
+        kept[latest] = True
+        if np.count_nonzero(kept | self.again) <= REMEMBERED * 3 // 4:
+            kept |= self.again
+        which = np.flatnonzero(kept)
+        self.ids = gathered(self.ids, self.sizes, which)
+        self.pieces, self.sizes, self.again = self.pieces.take(pa.array(which)), self.sizes[which], np.zeros(len(which), bool)
+
 
 def gathered(ids: np.ndarray, sizes: np.ndarray, which: np.ndarray) -> np.ndarray:
     """The ids of the pieces numbered by ``which``, one after the other; ids holds those of all pieces."""

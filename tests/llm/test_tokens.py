@@ -151,3 +151,19 @@ def test_repeated_rows_and_clashing_columns(docs):
     assert sorted((r["doc_id"], r["n_tokens"]) for r in token_counts(clash, PATH).collect()) == sorted((k, len(whole([t])[0])) for k, t in rows)
     found = token_output(clash, PATH).orderBy("start").collect()
     assert [(r["doc_id"], r["n_tokens"]) for r in found] == [(k, len(whole([t])[0]) + 1) for k, t in rows]
+
+
+def test_recurring_pieces_outlast_the_memory(monkeypatch):
+    """Pieces met again stay when the memory is full, though the latest batch lacks them; ids are those of the library."""
+    from nimbostrat.llm import tokens
+
+    monkeypatch.setattr(tokens, "REMEMBERED", 100)
+    enc, common = tokens.PieceEncoder(PATH, as_bytes("<u2")), [f" the{k}" for k in range(20)]
+    batches = [common + [f" a{k}" for k in range(20)], common + [f" b{k}" for k in range(20)], [f" c{k}" for k in range(45)], common[::-1]]
+    met, plain = [], enc.encoded
+    enc.encoded = lambda parts: met.append(len(parts)) or plain(parts)
+    for parts in batches:
+        ids, sizes = enc.recall(pa.array(parts, pa.large_string()))
+        assert np.split(ids, np.cumsum(sizes)[:-1])[-1].tolist() == whole(parts)[-1] and ids.tolist() == [x for one in whole(parts) for x in one]
+    assert met == [40, 20, 45, 0]
+    assert len(enc.pieces) <= 100
