@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _FRESH = itertools.count()
@@ -101,14 +101,35 @@ def settled(spark: SparkSession, make: Callable[[], DataFrame]) -> DataFrame:
 BROADCAST_ROWS = 200_000
 
 
-def within_reach(ids: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """A saved table of ids, marked for broadcast where it has at most ``rows``.
+def within_reach(ids: DataFrame, rows: int | None = None) -> DataFrame:
+    """A saved table of ids, marked for broadcast where it has at most ``rows`` (``BROADCAST_ROWS``).
 
     Beyond that the join shuffles both sides as usual.
     """
+    rows = BROADCAST_ROWS if rows is None else rows
     return F.broadcast(ids) if ids.limit(rows + 1).count() <= rows else ids
 
 
+#: Hashes that are broadcast at most, 8 bytes each.
+BROADCAST_HASHES = 2_000_000
+
+
+def by_hash(rows: DataFrame, own: Column, ids: DataFrame, name: str) -> tuple[DataFrame | None, DataFrame]:
+    """``rows`` whose hash ``own`` isn't in the column ``name`` of ``ids``, and the others, which alone can meet ids.
+
+    ids: a saved table. Where it is too large for ``within_reach``, a join with it would shuffle whole
+    rows; its hashes alone are still broadcast, and only the rows that have one need that join.
+    Of a table that is within reach, or of more than ``BROADCAST_HASHES``, (None, rows).
+    """
+    if ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        return None, rows
+    known = fresh("hash")
+    hashes = saved(ids.select(F.col(name).alias(known)).distinct())
+    if hashes.count() > BROADCAST_HASHES:
+        return None, rows
+    return rows.join(F.broadcast(hashes), own == F.col(known), "left_anti"), rows.join(F.broadcast(hashes), own == F.col(known), "left_semi")
+
+
 #: Rows of a key from which its partner is broadcast, at least; and such keys at most.
 SPREAD_ROWS, SPREAD_KEYS = 1000, 4096
 

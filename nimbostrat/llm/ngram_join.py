@@ -19,6 +19,7 @@ the cost, never the result.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -28,15 +29,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from nimbostrat.llm.common import bound_batches, forget, lean, mix64, saved, strings, within_reach
+from nimbostrat.llm.common import bound_batches, by_hash, forget, lean, mix64, saved, strings, within_reach
 
 #: Groups of the points in the tree, and most and fewest groups of those sent by key.
-GROUPS, MOST_GROUPS, FEWEST_GROUPS = 256, 1024, 16
+GROUPS, MOST_GROUPS, FEWEST_GROUPS = 256, 1024, 64
 #: Frequent shingles that the sketch tracks, 8 bytes each when broadcast.
 TRACKED = 1 << 16
 FREQUENT = 512
 #: Sets verified together in one task; a larger cluster is dealt in blocks.
 CLUSTER = 1024
+#: Blocks that the sets of a large cluster meet in pairs, and times that these may be longer
+#: than half of ``CLUSTER``: a text is sent to about so many tasks, not to more and more.
+BLOCKS, LONGER = 16, 4
 #: Shingles that the sets verified together hold, about 35 bytes each; it bounds
 #: the memory of a task where the texts are long.
 LOAD = 1 << 22
@@ -50,8 +54,9 @@ FOREST = 200_000
 #: Characters of text shingled together.
 CHUNK_CHARS = 1 << 20
 
-#: Fixed: the integers of a packed point.
+#: Fixed: the integers of a packed point; the last kind has two counts in a byte.
 _KINDS = ("u1", "<u2", "<u4")
+_HALVES = len(_KINDS)
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -112,8 +117,10 @@ def point(shingles: np.ndarray, groups: int = GROUPS) -> np.ndarray:
 
 def packed(counts: np.ndarray) -> bytes:
     """A byte that gives the groups and the kind of integer, and the counts in the narrowest one."""
-    kind = int(np.searchsorted([1 << 8, 1 << 16], counts.max(initial=0), "right"))
-    return bytes([len(counts).bit_length() << 2 | kind]) + counts.astype(_KINDS[kind]).tobytes()
+    most = counts.max(initial=0)
+    kind = _HALVES if most < 16 else int(np.searchsorted([1 << 8, 1 << 16], most, "right"))
+    whole = counts.astype("u1" if kind == _HALVES else _KINDS[kind])
+    return bytes([len(counts).bit_length() << 2 | kind]) + (whole[0::2] | whole[1::2] << 4 if kind == _HALVES else whole).tobytes()
 
 
 class Points:
@@ -129,10 +136,10 @@ class Points:
             parts = []
             for kind in np.unique(heads[self.bits == bits] & 3).tolist():
                 at = np.flatnonzero(heads == (bits << 2 | kind))
-                width = (1 << bits - 1) * np.dtype(_KINDS[kind]).itemsize
-                body = data[offsets[at][:, None] + np.arange(1, width + 1)]
+                width = (1 << bits - 1) * np.dtype(_KINDS[kind]).itemsize if kind < _HALVES else 1 << bits - 2
+                body = np.ascontiguousarray(data[offsets[at][:, None] + np.arange(1, width + 1)])
                 self.row[at] = np.arange(len(at)) + sum(map(len, parts))
-                parts.append(np.ascontiguousarray(body).view(_KINDS[kind]))
+                parts.append(body.view(_KINDS[kind]) if kind < _HALVES else np.stack([body & 15, body >> 4], axis=-1).reshape(len(at), -1))
             self.counts[bits] = np.concatenate(parts) if len(parts) > 1 else parts[0]
 
     def overlap(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -164,8 +171,13 @@ class Threshold:
         return n - -(-2 * self.percent * n // (100 + self.percent)) + 1 if n else 0
 
     def groups(self, n: int) -> int:
-        """Groups at which unrelated points of n shingles lie well beyond the bound."""
-        wanted = n * (2.7 * self.radius) ** 2
+        """Groups at which unrelated points of n shingles lie seven deviations beyond the bound.
+
+        Their counts are about Poisson, so of n = g * m shingles in g groups about n * (1 - (pi * m) ** -0.5)
+        are in the minima, with a deviation of ((0.5 - 1 / pi) * n) ** 0.5. Fewer deviations
+        leave a share of all pairs, and as tables grow that share connects most texts.
+        """
+        wanted = math.pi * (self.radius * n**0.5 + 7 * (0.5 - 1 / math.pi) ** 0.5) ** 2
         return min(max(1 << int(wanted).bit_length(), FEWEST_GROUPS), MOST_GROUPS)
 
     def links(self, shared, n, m):
@@ -523,7 +535,8 @@ def _verify(groups: DataFrame, docs: DataFrame, text: str, width: int, limits: T
     """
     bodies = docs.select(F.col("doc_id").alias("d"), F.col(text).alias("text"), F.xxhash64(text).alias("h"))
     same = F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("h") == F.col("text_hash"))
-    placed = bodies.join(within_reach(groups), same).select("root", "i", "j", "rid", "text")
+    _, near = by_hash(bodies, F.col("h"), groups, "text_hash")
+    placed = near.join(within_reach(groups), same).select("root", "i", "j", "rid", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, ids, held = None, [], []
@@ -559,8 +572,9 @@ def verified_edges(members: DataFrame, docs: DataFrame, text: str, width: int, l
     blocks; then a few sets of each part so connected are verified with each
     other, which joins the parts of a group of near copies. Only sets outside a
     cluster's largest part can still lack a link: they are verified, in blocks,
-    against each other and against all blocks of that part. So no task holds
-    more than about ``cluster`` sets or ``LOAD`` shingles, and the work grows with
+    against each other and against all blocks of that part. These blocks are up to ``LONGER``
+    times as long where the cluster has more than ``BLOCKS`` of them. So no task holds
+    more than about ``LONGER`` times ``cluster`` sets or ``LOAD`` shingles, and the work grows with
     what the largest part leaves over.
     """
     half, names = cluster // 2, ["root", "i", "j", "rid", "doc_id", "text_hash"]
@@ -584,9 +598,11 @@ def verified_edges(members: DataFrame, docs: DataFrame, text: str, width: int, l
     edges = saved(edges.unionByName(_verify(saved(few.select(names)), docs, text, width, limits)))
 
     left = saved(parts(edges))
-    counts = left.groupBy("root", "part").agg(weight.alias("c"))
-    main = counts.groupBy("root").agg(F.max(F.struct("c", "part")).alias("x"), F.sum("c").alias("m"))
-    main = main.select("root", F.col("x.part").alias("main"), F.ceil(F.col("x.c") / half).alias("nd"), F.ceil((F.col("m") - F.col("x.c")) / half).alias("ns"))
+    counts = left.groupBy("root", "part").agg(weight.alias("c"), F.count(F.lit(1)).alias("k"), F.sum("n").alias("l"))
+    main = counts.groupBy("root").agg(F.max(F.struct("c", "part", "k", "l")).alias("x"), F.sum("k").alias("k"), F.sum("l").alias("l"))
+    longest = F.least(F.greatest(F.ceil(F.col("k") / BLOCKS), F.lit(half)), F.lit(LONGER * half))
+    blocks = lambda k, n: F.greatest(F.ceil(k / longest), F.ceil(2 * n / LOAD))
+    main = main.select("root", F.col("x.part").alias("main"), blocks(F.col("x.k"), F.col("x.l")).alias("nd"), blocks(F.col("k") - F.col("x.k"), F.col("l") - F.col("x.l")).alias("ns"))
     # blocks of the rest are numbered from 0, blocks of the largest part from -1 down
     rest = left.join(main.where("ns > 0"), "root").withColumn("rest", F.col("part") != F.col("main"))
     own = F.pmod(F.xxhash64("rid", F.lit(5)), F.when(F.col("rest"), F.col("ns")).otherwise(F.col("nd")))

@@ -6,6 +6,8 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+from nimbostrat.llm import common
+from nimbostrat.llm import ngram_join as ngram
 from nimbostrat.llm.ngram_join import Points, RTree, Threshold, components, linked, ngram_join, packed, point, shared_keys
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -131,3 +133,63 @@ def test_a_key_beyond_the_inner_ones_needs_a_smaller_set(spark):
     entries = spark.createDataFrame(rows, "key bigint, n int, rid bigint, inner boolean")
     got = {r["rid"] for r in shared_keys(entries, Threshold(90)).collect()}
     assert got == {3, 4, 9, 10, 11}
+
+
+@pytest.mark.parametrize(("percent", "n"), [(90, 100), (90, 395), (90, 700), (80, 60), (80, 156), (80, 700)])
+def test_unrelated_points_are_far(percent, n):
+    """A share of all pairs within the bound would connect most texts of a large table."""
+    rng, limits = np.random.default_rng(2), Threshold(percent)
+    points = np.array([point(rng.integers(0, 1 << 63, n, dtype=np.uint64), limits.groups(n)) for _ in range(400)])
+    overlap = np.minimum(points[:200, None], points[None, 200:]).sum(axis=2, dtype=np.int64)
+    assert not limits.close(overlap, n, n).any()
+
+
+def test_points_of_small_counts_take_half_a_byte():
+    rng = np.random.default_rng(3)
+    rows = [rng.integers(0, high, 64).astype(np.uint32) for high in (16, 16, 17, 3)]
+    rows[0][0], rows[2][0] = 15, 16
+    assert [len(packed(r)) for r in rows] == [33, 33, 65, 33]
+    points = Points(pa.array([packed(r) for r in rows], pa.binary()))
+    a, b = map(np.array, zip(*combinations(range(4), 2), strict=True))
+    assert points.overlap(a, b).tolist() == [int(np.minimum(rows[x], rows[y]).sum()) for x, y in zip(a, b, strict=True)]
+
+
+def test_a_text_of_a_loose_cluster_meets_a_bounded_number_of_blocks(docs, by_id, monkeypatch):
+    """Edits of one text, many of them not linked: the cluster is dealt in pairs of blocks."""
+    rng, base, sent = random.Random(8), [f"w{k}" for k in range(40)], []
+    rows = [(k, " ".join(w if rng.random() > 0.05 else f"e{rng.random()}" for w in base)) for k in range(160)]
+    verify = ngram._verify
+
+    def counted(groups, *rest):
+        sent.append(groups.groupBy("rid").count().agg({"count": "max"}).first()[0] or 0)
+        return verify(groups, *rest)
+
+    monkeypatch.setattr(ngram, "_verify", counted)
+    monkeypatch.setattr(Threshold, "close", lambda self, overlap, n, m: overlap == overlap)
+    out = by_id(ngram_join(docs(rows), width=1, percent=90, cluster=4))
+    assert {d: (r["n_shingles"], r["component_id"]) for d, r in out.items()} == brute(rows, 1, 90)
+    assert 1 < max(sent) <= ngram.BLOCKS + ngram.LONGER + 4
+
+
+@pytest.mark.parametrize("most", [0, 3, 100])
+def test_few_rows_meet_ids_beyond_reach(spark, most, monkeypatch):
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 2)
+    monkeypatch.setattr(common, "BROADCAST_HASHES", most)
+    rows = spark.createDataFrame([(k, k % 50) for k in range(200)], "k long, h long")
+    ids = common.saved(spark.createDataFrame([(h,) for h in (3, 3, 4, 99)], "hash long"))
+    far, near = common.by_hash(rows, rows["h"], ids, "hash")
+    if most < 3:
+        assert far is None and near is rows
+        return
+    assert {r["h"] for r in near.collect()} == {3, 4}
+    assert sorted(r["k"] for r in far.unionByName(near).collect()) == list(range(200))
+    assert "BroadcastHashJoin" in far._jdf.queryExecution().executedPlan().toString()
+    assert common.by_hash(rows, rows["h"], common.saved(ids.limit(2)), "hash") == (None, rows)
+
+
+@pytest.mark.parametrize("rows", [0, 2])
+def test_joins_beyond_reach_give_the_same(docs, by_id, monkeypatch, rows):
+    monkeypatch.setattr(common, "BROADCAST_ROWS", rows)
+    given = corpus(3)
+    out = by_id(ngram_join(docs(given), width=2, percent=80, cluster=8))
+    assert {d: (r["n_shingles"], r["component_id"]) for d, r in out.items()} == brute(given, 2, 80)
